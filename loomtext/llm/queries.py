@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
+from .byte_bpe import round_trip
 from .exact_dedup import exact_dedup
 from .shared import table
+from .token_counts import token_counts
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,5 +17,17 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup}
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op5_token_counts": op5_token_counts,
+    "op10_byte_bpe": op10_byte_bpe,
+}
 ORACLE_SQL = {"op1_exact_dedup": oracles.EXACT_DEDUP}
