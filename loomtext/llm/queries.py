@@ -8,6 +8,7 @@ from . import oracles
 from .byte_bpe import round_trip
 from .exact_dedup import exact_dedup
 from .shared import table
+from .simhash import near_duplicates
 from .token_counts import token_counts
 
 
@@ -21,6 +22,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
@@ -28,6 +33,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op5_token_counts": op5_token_counts,
+    "op8_simhash": op8_simhash,
     "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLE_SQL = {"op1_exact_dedup": oracles.EXACT_DEDUP}
