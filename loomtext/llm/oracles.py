@@ -13,3 +13,21 @@ SELECT doc_id,
 FROM d
 WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id)
 """
+
+#: Base32 takes 20 bits (5 hex digits) at a time as 4 letters.
+WARC = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body FROM pages),
+h AS (
+  SELECT page_id, octet_length(encode(body)) AS n, sha1(body) AS hex, sha256(body) AS full_hash FROM p),
+g AS (
+  SELECT *, max(page_id) OVER (PARTITION BY full_hash, n) AS holder FROM h)
+SELECT page_id,
+       n::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + ((('0x' || substr(hex, (5 * (i // 4) + 1)::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31), 1)), '')
+         AS payload_digest,
+       CASE WHEN page_id = holder THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = holder THEN NULL ELSE holder END AS refers_to
+FROM g
+"""

@@ -10,6 +10,7 @@ from .exact_dedup import exact_dedup
 from .shared import table
 from .simhash import near_duplicates
 from .token_counts import token_counts
+from .warc import archive_round_trip
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +19,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -32,8 +39,9 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op4_warc": op4_warc,
     "op5_token_counts": op5_token_counts,
     "op8_simhash": op8_simhash,
     "op10_byte_bpe": op10_byte_bpe,
 }
-ORACLE_SQL = {"op1_exact_dedup": oracles.EXACT_DEDUP}
+ORACLE_SQL = {"op1_exact_dedup": oracles.EXACT_DEDUP, "op4_warc": oracles.WARC}
