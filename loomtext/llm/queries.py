@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import oracles
 from .byte_bpe import round_trip
 from .exact_dedup import exact_dedup
+from .quality import fit_quality, score_quality
 from .shared import table
 from .simhash import near_duplicates
 from .token_counts import token_counts
@@ -33,6 +34,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
@@ -42,6 +48,7 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op5_token_counts": op5_token_counts,
     "op8_simhash": op8_simhash,
+    "op9_quality": op9_quality,
     "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLE_SQL = {"op1_exact_dedup": oracles.EXACT_DEDUP, "op4_warc": oracles.WARC}
