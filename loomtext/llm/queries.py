@@ -11,6 +11,7 @@ from .quality import fit_quality, score_quality
 from .shared import table
 from .simhash import near_duplicates
 from .token_counts import token_counts
+from .topk import top_k
 from .warc import archive_round_trip
 
 
@@ -20,6 +21,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
@@ -45,10 +50,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_topk": op2_topk,
     "op4_warc": op4_warc,
     "op5_token_counts": op5_token_counts,
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_byte_bpe": op10_byte_bpe,
 }
-ORACLE_SQL = {"op1_exact_dedup": oracles.EXACT_DEDUP, "op4_warc": oracles.WARC}
+ORACLE_SQL = {"op1_exact_dedup": oracles.EXACT_DEDUP, "op2_topk": oracles.TOP_K, "op4_warc": oracles.WARC}
