@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import oracles
 from .byte_bpe import round_trip
 from .exact_dedup import exact_dedup
+from .pii import find_personal_data
 from .quality import fit_quality, score_quality
 from .shared import table
 from .simhash import near_duplicates
@@ -25,6 +26,10 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
@@ -51,6 +56,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_topk": op2_topk,
+    "op3_pii": op3_pii,
     "op4_warc": op4_warc,
     "op5_token_counts": op5_token_counts,
     "op8_simhash": op8_simhash,
