@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import oracles
 from .byte_bpe import round_trip
 from .exact_dedup import exact_dedup
 from .pii import find_personal_data
 from .quality import fit_quality, score_quality
+from .secrets_scan import scan_secrets
 from .shared import table
 from .simhash import near_duplicates
 from .token_counts import token_counts
@@ -40,6 +42,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings with a digest in place of the secret."""
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "ordinal", F.sha2("candidate", 256).alias("candidate_sha256"), "n_chars", "probability", "kept"
+    )
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -59,6 +69,7 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op4_warc": op4_warc,
     "op5_token_counts": op5_token_counts,
+    "op6_secrets": op6_secrets,
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_byte_bpe": op10_byte_bpe,
