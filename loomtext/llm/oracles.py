@@ -46,3 +46,48 @@ r AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
+
+
+def mixing(rounds: int = 6, keep: float = 0.5, seed: int = 42) -> str:
+    """Raking unrolled round by round; the scale comes from sums over the cells in order of their rate."""
+    powers = {"source": 0.5, "lang": 0.7, "topic": 1.0}
+    steps = [
+        f"""g_{d} AS (SELECT {d}, pow(sum(tokens)::DOUBLE, {p}) / sum(pow(sum(tokens)::DOUBLE, {p})) OVER () AS target
+             FROM cells GROUP BY {d} HAVING sum(tokens) > 0)"""
+        for d, p in powers.items()
+    ]
+    last = "w0"
+    steps.append("w0 AS (SELECT *, tokens::DOUBLE AS weight FROM cells)")
+    for i in range(rounds):
+        for d in powers:
+            name = f"w{i}_{d}"
+            steps.append(
+                f"""{name} AS MATERIALIZED (SELECT w.* REPLACE (coalesce(weight * coalesce(target, 0)
+                    * (SELECT sum(tokens)::DOUBLE FROM cells)
+                    / nullif(sum(weight) OVER (PARTITION BY w.{d}), 0), 0) AS weight)
+                    FROM {last} w LEFT JOIN g_{d} USING ({d}))"""
+            )
+            last = name
+    return f"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
+         CASE WHEN contains(coalesce(text, ''), 'Licensed under') OR contains(coalesce(text, ''), 'rights reserved') THEN 'legal'
+              WHEN contains(coalesce(text, ''), ' | ') THEN 'table'
+              WHEN contains(coalesce(text, ''), '@') THEN 'contact' ELSE 'prose' END AS topic,
+         len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS n_tokens
+  FROM documents),
+cells AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY ALL),
+{", ".join(steps)},
+r AS (SELECT source, lang, topic, tokens, coalesce(weight / nullif(tokens::DOUBLE, 0), 0) AS rate FROM {last}),
+o AS (
+  SELECT *, row_number() OVER (ORDER BY rate DESC) AS k, coalesce(sum(tokens) OVER (ORDER BY rate DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS whole,
+         sum(rate * tokens) OVER (ORDER BY rate DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_part
+  FROM r WHERE rate > 0),
+s AS (
+  SELECT arg_min(({keep} * (SELECT sum(tokens) FROM cells) - whole) / open_part, k) AS scale
+  FROM o WHERE rate * ({keep} * (SELECT sum(tokens) FROM cells) - whole) / open_part < 1),
+p AS (SELECT *, round(least(1.0, rate * (SELECT scale FROM s)), 6) AS probability FROM r)
+SELECT doc_id, source, lang, topic, n_tokens, round(rate, 6) AS weight, probability,
+       ('0x' || substr(sha256('{seed}|' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT / 281474976710656.0 < probability AS sampled
+FROM d JOIN p USING (source, lang, topic)
+"""

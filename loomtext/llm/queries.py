@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import oracles
 from .byte_bpe import round_trip
 from .exact_dedup import exact_dedup
+from .mixing import mix_sources
 from .pii import find_personal_data
 from .quality import fit_quality, score_quality
 from .secrets_scan import scan_secrets
@@ -50,6 +51,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -70,8 +75,14 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op5_token_counts": op5_token_counts,
     "op6_secrets": op6_secrets,
+    "op7_mixing": op7_mixing,
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_byte_bpe": op10_byte_bpe,
 }
-ORACLE_SQL = {"op1_exact_dedup": oracles.EXACT_DEDUP, "op2_topk": oracles.TOP_K, "op4_warc": oracles.WARC}
+ORACLE_SQL = {
+    "op1_exact_dedup": oracles.EXACT_DEDUP,
+    "op2_topk": oracles.TOP_K,
+    "op4_warc": oracles.WARC,
+    "op7_mixing": oracles.mixing(),
+}
