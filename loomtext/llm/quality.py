@@ -19,6 +19,7 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -293,8 +294,6 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
 
 def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score at least ``least``, with their own columns and in one narrow pass."""
-    import pandas as pd
-
     text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
