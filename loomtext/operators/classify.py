@@ -8,7 +8,7 @@ from itertools import product
 
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .dense import FEATURE_SETS
@@ -115,11 +115,15 @@ def leaderboard(results: DataFrame, metric: str = "f1_macro") -> DataFrame:
     return results.withColumn("place", F.row_number().over(Window.partitionBy().orderBy(F.desc(metric), *KEY)))
 
 
-def family():
-    """The representation family of an experiment."""
-    r, p = F.col("representation"), F.col("preprocessing")
-    tuned = p.contains("finetun") | r.endswith("_finetuned")
-    return F.when(tuned & ~r.endswith("_finetuned"), F.concat(r, F.lit("_finetuned"))).when(r.isin("sbert", "labse") & ~tuned, F.concat(r, F.lit("_frozen"))).otherwise(r)
+def family() -> Column:
+    """The representation family of an experiment: fine-tuned models are their own, encoders are frozen."""
+    r = F.col("representation")
+    base = F.substring_index(r, ":", 1)
+    return (
+        F.when(F.col("preprocessing") == "transformer_finetuned", r)
+        .when(base.isin("sbert", "labse"), F.concat(base, F.lit("_frozen")))
+        .otherwise(r)
+    )
 
 
 def family_winners(results: DataFrame, metric: str = "f1_macro") -> DataFrame:
