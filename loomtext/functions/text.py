@@ -80,7 +80,10 @@ def strip_uri(text: Column) -> Column:
 def parse_multivalue(text: Column, separator: str = "||", uri: bool = False) -> Column:
     """Distinct values of a cell in their order, trimmed, without empty ones."""
     parts = F.split(collapse_spaces(text), F.lit("\\Q" + separator + "\\E"))
-    clean = (lambda x: F.trim(F.substring_index(F.trim(x), "::", 1))) if uri else F.trim
+
+    def clean(x: Column) -> Column:
+        return F.trim(F.substring_index(x, "::", 1) if uri else x)
+
     return F.array_distinct(F.filter(F.transform(parts, clean), lambda x: x != ""))
 
 
@@ -101,14 +104,11 @@ def text_segments(cells: Sequence[tuple[str, Column]]) -> Column:
     Absence markers are counted and left out; texts that fold alike stay once, with the first language.
     """
     kind = "array<struct<text:string,language:string,folded:string>>"
-    stacked = F.concat(
-        *[
-            F.transform(
-                parse_multivalue(cell), lambda x, n=name: F.struct(x.alias("text"), F.lit(declared_suffix(n)).alias("language"), fold(x).alias("folded"))
-            )
-            for name, cell in cells
-        ]
-    )
+
+    def tagged(language: str):
+        return lambda x: F.struct(x.alias("text"), F.lit(language).alias("language"), fold(x).alias("folded"))
+
+    stacked = F.concat(*[F.transform(parse_multivalue(cell), tagged(declared_suffix(name))) for name, cell in cells])
     marked = F.filter(stacked, lambda x: is_missing_marker(x["text"]))
     real = F.filter(stacked, lambda x: ~is_missing_marker(x["text"]))
     once = F.aggregate(
@@ -152,10 +152,13 @@ def stopwords(language: str) -> list[str]:
 def remove_stopwords(text: Column, language: Column, languages: Sequence[str] = ("en", "es", "fr", "de", "pt")) -> Column:
     """Words that are no stop words, joined by a space; text of other languages stays as it is."""
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+
+    def outside(gone: list[str]):
+        return lambda w: ~fold(w).isin(*gone)
+
     result = None
     for lang in languages:
-        gone = stopwords(lang)
-        kept = F.array_join(F.filter(words, lambda w, g=gone: ~fold(w).isin(*g)), " ")
+        kept = F.array_join(F.filter(words, outside(stopwords(lang))), " ")
         result = F.when(language == lang, kept) if result is None else result.when(language == lang, kept)
     return text if result is None else result.otherwise(text)
 

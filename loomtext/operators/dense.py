@@ -69,12 +69,15 @@ def weighted_units(items: DataFrame, feature_set: str, field_weights: dict[str,
         "fulltext": F.col("fulltext_documents") if "fulltext_documents" in items.columns else None,
         "keywords": F.filter(F.array(F.trim(F.coalesce("keywords", F.lit("")))), lambda x: x != "") if "keywords" in items.columns else None,
     }
+
+    def unit(f: str, values: Column):
+        share = F.lit(given[f] / total) / F.size(values)
+        return lambda x: F.struct(F.concat(F.lit(f"{f.upper()}: "), T.normalize_text(x)).alias("text"), share.alias("w"))
+
     parts = []
     for f in active:
-        values = F.coalesce(source[f], F.array().cast("array<string>"))
-        parts.append(
-            F.transform(values, lambda x, f=f, v=values: F.struct(F.concat(F.lit(f"{f.upper()}: "), T.normalize_text(x)).alias("text"), (F.lit(given[f] / total) / F.size(v)).alias("w")))
-        )
+        values = F.coalesce(source[f] if source[f] is not None else F.array().cast("array<string>"), F.array().cast("array<string>"))
+        parts.append(F.transform(values, unit(f, values)))
     rows = items.select(key, F.concat(*parts).alias("u")).withColumn("s", F.aggregate("u", F.lit(0.0), lambda a, x: a + x["w"]))
     rows = rows.select(key, "s", F.posexplode("u").alias("unit_idx", "x"))
     return rows.select(key, "unit_idx", F.col("x.text").alias("text"), F.coalesce(F.try_divide(F.col("x.w"), F.col("s")), F.col("x.w")).alias("weight"))

@@ -121,35 +121,45 @@ def target_schema_report(metadata: DataFrame, target_columns: Sequence[str]) ->
     return rows.groupBy("label", "source_field").agg(F.count("*").alias("support"))
 
 
-def budget_units(units: DataFrame, max_chars: int, key: str = "handle", order: str = "pos", text: str = "text") -> DataFrame:
+def budget_units(units: DataFrame, max_chars: int, key: str = "handle", order: str | Sequence[str] = "pos", text: str = "text") -> DataFrame:
     """A fair character budget per item: each unit's retained length, by water-filling.
 
     Adds source_chars, retained_chars and retained text. Blank units go. Level: the largest length that
     every unit may have within the budget; what remains goes to the first units that are longer, one
     character each. Windows are over one item's units.
     """
-    lengths = units.where(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), T.SPACE, " ")) != "").withColumn("n", F.length(text).cast("long"))
+    order = [order] if isinstance(order, str) else list(order)
+    blank = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), T.SPACE, " ")) == ""
+    n, level = F.col("_n"), F.col("_level")
     item = Window.partitionBy(key)
-    up = item.orderBy("n", order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = lengths.withColumns(
+    up = item.orderBy("_n", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = units.where(~blank).withColumn("_n", F.length(text).cast("long"))
+    seen = seen.withColumns(
         {
-            "total": F.sum("n").over(item),
-            "count": F.count("*").over(item),
-            "filled": F.sum("n").over(up) - F.col("n"),
-            "before": F.count("*").over(up) - 1,
+            "_total": F.sum("_n").over(item),
+            "_count": F.count("*").over(item),
+            "_filled": F.sum("_n").over(up) - n,
+            "_before": F.count("*").over(up) - 1,
         }
     )
-    # With the shorter units whole, the rest share what is left; the level is where a unit no longer fits.
-    share = F.floor((F.lit(max_chars) - F.col("filled")) / (F.col("count") - F.col("before")))
-    level = F.min(F.when(F.col("n") > F.col("share"), F.col("share"))).over(item)
-    seen = seen.withColumn("share", share).withColumn("level", F.when(F.col("total") <= max_chars, F.lit((1 << 62))).otherwise(F.greatest(level, F.lit(0))))
-    seen = seen.withColumn("base", F.least("n", "level"))
-    left = F.when(F.col("total") <= max_chars, F.lit(0)).otherwise(F.lit(max_chars) - F.sum("base").over(item))
-    longer = F.sum((F.col("n") > F.col("level")).cast("long")).over(item.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    seen = seen.withColumns({"left": left, "turn": longer})
-    kept = F.col("base") + F.when((F.col("n") > F.col("level")) & (F.col("turn") <= F.col("left")), 1).otherwise(0)
+    # With the shorter units whole, the rest share what is left; the level is where a unit first no longer fits.
+    seen = seen.withColumn("_share", F.floor((F.lit(max_chars) - F.col("_filled")) / (F.col("_count") - F.col("_before"))))
+    whole = F.col("_total") <= max_chars
+    over = F.greatest(F.max(F.when(n > F.col("_share"), F.col("_share"))).over(item), F.lit(0))
+    seen = seen.withColumn("_level", F.when(whole, F.lit(1 << 62)).otherwise(over)).withColumn("_base", F.least(n, level))
+    so_far = item.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = seen.withColumns(
+        {
+            "_rest": F.when(whole, F.lit(0)).otherwise(F.lit(max_chars) - F.sum("_base").over(item)),
+            "_turn": F.sum((n > level).cast("long")).over(so_far),
+        }
+    )
+    kept = F.col("_base") + F.when((n > level) & (F.col("_turn") <= F.col("_rest")), 1).otherwise(0)
     return seen.select(
-        *units.columns, F.col("n").alias("source_chars"), kept.cast("long").alias("retained_chars"), F.substring(F.col(text), F.lit(1), kept.cast("int")).alias("retained")
+        *units.columns,
+        n.alias("source_chars"),
+        kept.cast("long").alias("retained_chars"),
+        F.substring(F.col(text), F.lit(1), kept.cast("int")).alias("retained"),
     )
 
 

@@ -24,18 +24,24 @@ Detector = Callable[[Column], Column]
 
 def heuristic(text: Column, min_chars: int = 12) -> Column:
     """The language with most distinct markers (ties in MARKERS' order) and its share of all; else und."""
-    value = T.collapse_spaces(F.lower(F.coalesce(text, F.lit(""))))
-    padded = F.concat(F.lit(" "), value, F.lit(" "))
-    hits = {lang: sum((F.contains(padded, F.lit(f" {w} ")).cast("int") for w in words), F.lit(0)) for lang, words in MARKERS.items()}
-    best, total = F.greatest(*hits.values()), sum(hits.values(), F.lit(0))
-    name = None
-    for lang, n in hits.items():
-        name = F.when(n == best, lang) if name is None else name.when(n == best, lang)
-    none = (F.length(value) < min_chars) | (best == 0)
-    return F.struct(
-        F.when(none, "und").otherwise(name).alias("language"),
-        F.when(none, F.lit(None)).otherwise(best.cast("double") / total.cast("double")).alias("score"),
-    )
+    padded = F.concat(F.lit(" "), T.collapse_spaces(F.lower(F.coalesce(text, F.lit("")))), F.lit(" "))
+
+    def hits(p: Column) -> Column:
+        counts = [sum((F.contains(p, F.lit(f" {w} ")).cast("int") for w in words), F.lit(0)).alias(lang) for lang, words in MARKERS.items()]
+        return F.struct((F.length(p) - 2).alias("chars"), *counts)
+
+    def choice(h: Column) -> Column:
+        values = [h[lang] for lang in MARKERS]
+        best, total = F.greatest(*values), sum(values, F.lit(0))
+        none = (h["chars"] < min_chars) | (best == 0)
+        name = F.coalesce(*[F.when(h[lang] == best, F.lit(lang)) for lang in MARKERS])
+        return F.struct(
+            F.when(none, "und").otherwise(name).alias("language"),
+            F.when(~none, best.cast("double") / total.cast("double")).alias("score"),
+        )
+
+    # Arrays of one element name the steps' results: the text is normalised once, and the markers counted once.
+    return F.get(F.transform(F.transform(F.array(padded), hits), choice), F.lit(0))
 
 
 def _library(classify: Callable[[str], tuple[str, float | None]]) -> Detector:

@@ -15,13 +15,17 @@ def terms(texts: DataFrame, key: str = "handle", text: str = "text", ngrams: tup
     """key, term: every n-gram occurrence of every text."""
     value = F.coalesce(F.col(text), F.lit(""))
     words = texts.select(key, F.regexp_extract_all(F.lower(value) if lowercase else value, F.lit(TERM), F.lit(0)).alias("w"))
+
+    def together(n: int):
+        return lambda x: F.concat_ws(" ", *[x[f"w{i}"] for i in range(n)])
+
     grams = []
     for n in range(ngrams[0], ngrams[1] + 1):
         if n == 1:
             grams.append(F.col("w"))
             continue
         spans = F.arrays_zip(*[F.slice("w", i + 1, F.greatest(F.size("w") - (n - 1), F.lit(0))).alias(f"w{i}") for i in range(n)])
-        grams.append(F.transform(spans, lambda x, n=n: F.concat_ws(" ", *[x[f"w{i}"] for i in range(n)])))
+        grams.append(F.transform(spans, together(n)))
     return words.select(key, F.explode(F.concat(*grams)).alias("term"))
 
 

@@ -1,4 +1,4 @@
 """The registered queries and their oracle SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import q_language, q_text  # noqa: F401
+from .base import ORACLE_SQL, QUERIES  # noqa: F401
