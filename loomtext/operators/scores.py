@@ -163,8 +163,8 @@ def _micro_average_precision(scores: DataFrame, buckets: int = 64) -> DataFrame:
     cells = scores.groupBy("score").agg(F.sum("y").cast("double").alias("pos"), F.count("*").cast("double").alias("n"))
     edges = cells.agg(F.percentile_approx("score", [i / buckets for i in range(1, buckets)], 10_000).alias("e")).first()["e"] or []
     edges = sorted(set(edges))
-    place = sum(((F.col("score") > F.lit(e)).cast("int") for e in edges), F.lit(0))
-    cells = cells.withColumn("bucket", place)
+    known = F.array(*[F.lit(float(e)) for e in edges]) if edges else F.array().cast("array<double>")
+    cells = cells.withColumn("bucket", F.size(F.filter(known, lambda e: e < F.col("score"))))
     offsets = cells.groupBy("bucket").agg(F.sum("pos").alias("p"), F.sum("n").alias("m"))
     up = Window.partitionBy().orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)  # at most ``buckets`` rows
     offsets = offsets.select("bucket", F.coalesce(F.sum("p").over(up), F.lit(0.0)).alias("p0"), F.coalesce(F.sum("m").over(up), F.lit(0.0)).alias("m0"))

@@ -57,14 +57,14 @@ def hash_scores(spark: SparkSession, sf_dir: str, seed: str = "score") -> DataFr
     from ..operators.labels import indicator
 
     rows = indicator(order_items(spark, sf_dir))
-    return rows.withColumn("score", (T.unit_hash(seed, F.col("handle"), F.col("label")) + F.col("y")) / 2)
+    return rows.withColumn("score", T.unit_hash(seed, F.col("handle"), F.col("label")) * 0.75 + F.col("y") * 0.25)
 
 
 def scores_sql(seed: str = "score", name: str = "scores") -> str:
     return f"""{name} AS (
   SELECT handle, label, list_contains(labels, label)::INT AS y,
-    (('0x' || substr(sha256('{seed}|' || handle || '|' || label), 1, 12))::BIGINT / 281474976710656.0
-     + list_contains(labels, label)::INT) / 2 AS score
+    ('0x' || substr(sha256('{seed}|' || handle || '|' || label), 1, 12))::BIGINT / 281474976710656.0::DOUBLE * 0.75::DOUBLE
+     + list_contains(labels, label)::INT * 0.25::DOUBLE AS score
   FROM items, (SELECT DISTINCT label FROM il))"""
 
 
