@@ -18,7 +18,7 @@ SPARSE = ("bow", "tfidf", "bm25")
 CLASSIFIERS = ("logreg", "linear_svc", "sgd")
 
 
-def create_classifier(name: str, n: int, c: float = 1.0, tol: float = 1e-4, weight: str | None = None):
+def create_classifier(name: str, n: int, c: float = 1.0, tol: float = 1e-4, weight: str | None = None, max_iter: int = 100):
     """logreg, linear_svc (and linear_svc_* names) or sgd. C * sum(loss) becomes regParam = 1 / (C n) on the mean loss.
 
     sgd is a logistic regression with few iterations; Spark's LinearSVC has the plain hinge loss.
@@ -27,11 +27,11 @@ def create_classifier(name: str, n: int, c: float = 1.0, tol: float = 1e-4, weig
     if weight:
         common["weightCol"] = weight
     if name == "logreg":
-        return LogisticRegression(maxIter=200, **common)
+        return LogisticRegression(maxIter=max_iter, **common)
     if name == "sgd":
-        return LogisticRegression(maxIter=15, **common | {"tol": 1e-3})
+        return LogisticRegression(maxIter=min(15, max_iter), **common | {"tol": 1e-3})
     if name == "linear_svc" or name.startswith("linear_svc_"):
-        return LinearSVC(maxIter=200, **common)
+        return LinearSVC(maxIter=max_iter, **common)
     raise ValueError(f"unknown classifier: {name}")
 
 
