@@ -83,6 +83,7 @@ def fit_one_vs_rest(features: DataFrame, indicator: DataFrame, name: str = "logr
     wide = wide.select(key, *[F.coalesce(F.col(f"`{label}`"), F.lit(0)).cast("double").alias(c) for label, c in names.items()])
     table = features.select(key, "features", *([settings["weight"]] if settings.get("weight") else [])).join(wide, key).persist()
     try:
+        table.count()  # stored once, before the fits share it
 
         def one(label: str) -> LabelModel:
             pos, n = counts[label]

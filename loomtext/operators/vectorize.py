@@ -102,16 +102,14 @@ def indexed_vectors(weights: DataFrame, model: SparseModel, key: str = "handle")
     names = [r.term for r in model.terms.select("term").orderBy("term").toLocalIterator()]
     ids = model.terms.sparkSession.createDataFrame([(t, i) for i, t in enumerate(names)], "term string, id int")
     rows = weights.join(ids, "term").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("id", "weight"))).alias("v"))
-    from pyspark.ml.functions import array_to_vector  # dense form, for small vocabularies
-
-    size = len(names)
-    if size <= 4096:
-        dense = F.aggregate("v", F.array_repeat(F.lit(0.0), size), lambda a, x: F.concat(F.slice(a, 1, x["id"]), F.array(x["weight"]), F.slice(a, x["id"] + 2, size)))
-        return rows.select(key, array_to_vector(dense).alias("features"))
-    sparse = F.struct(
-        F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), F.transform("v", lambda x: x["id"]).alias("indices"), F.transform("v", lambda x: x["weight"]).alias("values")
+    # The stored form of a sparse vector, read back as the vector type.
+    stored = F.struct(
+        F.lit(0).alias("type"),
+        F.lit(len(names)).alias("size"),
+        F.transform("v", lambda x: x["id"]).alias("indices"),
+        F.transform("v", lambda x: x["weight"]).alias("values"),
     )
-    return rows.select(key, F.from_json(F.to_json(F.struct(sparse.alias("features"))), _vector_schema())["features"].alias("features"))
+    return rows.select(key, F.from_json(F.to_json(F.struct(stored.alias("features"))), _vector_schema())["features"].alias("features"))
 
 
 def _vector_schema():
