@@ -56,25 +56,25 @@ def target_shares(cells: DataFrame, dimension: str, power: float) -> DataFrame:
     return sums.select(dimension, (F.pow("t", F.lit(power)) / F.lit(total)).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int) -> DataFrame:
-    """Cells with ``weight``: raked tokens whose sums have the targets' shares. Targets have a column of the
-    dimension's name and ``target``; values without a target get weight 0."""
-    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+def rake(cells: DataFrame, targets: dict[str, DataFrame], total: float, rounds: int) -> DataFrame:
+    """Cells with ``weight``: raked tokens whose sums have the targets' shares of ``total``. Targets have a
+    column of the dimension's name and ``target``; values without a target get weight 0."""
     held = cells.withColumn("weight", F.col("tokens").cast("double"))
-    for turn in range(rounds):
+    for dimension, target in targets.items():  # every cell's goals, joined once for all rounds
+        held = held.join(target.withColumnRenamed("target", f"goal_{dimension}"), dimension, "left")
+    before = None
+    for _ in range(rounds):
         for dimension in targets:
-            sums = held.groupBy(dimension).agg(F.sum("weight").alias("now"))
-            factor = sums.join(targets[dimension], dimension, "left").select(
-                dimension, (F.coalesce("target", F.lit(0.0)) * F.lit(total)).alias("goal"), "now"
-            )
-            held = held.join(factor, dimension).withColumn(
-                "weight", F.coalesce(F.col("weight") * F.try_divide(F.col("goal"), F.col("now")), F.lit(0.0))
-            ).drop("goal", "now")
+            now = held.groupBy(dimension).agg(F.sum("weight").alias("now"))
+            goal = F.coalesce(f"goal_{dimension}", F.lit(0.0)) * F.lit(total)
+            weight = F.coalesce(F.col("weight") * F.try_divide(goal, F.col("now")), F.lit(0.0))
+            # Merged, not broadcast: there may be as many values as sources, and AQE splits hot ones.
+            held = held.join(now.hint("merge"), dimension).withColumn("weight", weight).drop("now")
         after = stash(held, "raked")
-        if turn:
+        if before is not None:
             forget(before)
         before = held = after
-    return held
+    return held.drop(*(f"goal_{d}" for d in targets))
 
 
 def calibrated_scale(cells: DataFrame, budget: float) -> float:
@@ -114,10 +114,10 @@ def mixing_rates(
     cells = stash(rows.groupBy(*DIMENSIONS).agg(F.sum("n").alias("tokens")), "cells")
     goals = {d: (targets or {}).get(d) for d in DIMENSIONS}
     goals = {d: target_shares(cells, d, powers[d]) if g is None else g for d, g in goals.items()}
-    raked = rake(cells, goals, rounds).withColumn(
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    raked = rake(cells, goals, total, rounds).withColumn(
         "rate", F.coalesce(F.try_divide(F.col("weight"), F.col("tokens").cast("double")), F.lit(0.0))
     )
-    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     scale = calibrated_scale(raked, keep * total)
     return raked.withColumn("probability", F.least(F.lit(1.0), F.col("rate") * F.lit(scale)))
 
