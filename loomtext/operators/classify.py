@@ -20,10 +20,11 @@ CLASSIFIERS = ("logreg", "linear_svc", "sgd")
 
 def create_classifier(name: str, n: int, c: float = 1.0, tol: float = 1e-4, weight: str | None = None, max_iter: int = 100):
     """logreg, linear_svc (and linear_svc_* names) or sgd. C * sum(loss) becomes regParam = 1 / (C n) on the mean loss.
+    Features are standardised: without it the line search fails on terms that nearly every document has.
 
     sgd is a logistic regression with few iterations; Spark's LinearSVC has the plain hinge loss.
     """
-    common = {"regParam": 1.0 / (c * max(1, n)), "standardization": False, "tol": tol}
+    common = {"regParam": 1.0 / (c * max(1, n)), "standardization": True, "tol": tol}
     if weight:
         common["weightCol"] = weight
     if name == "logreg":
