@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Sequence
+from functools import lru_cache
+from pathlib import Path
+from zipfile import ZipFile
 
 import pandas as pd
+import pyspark
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -143,17 +147,27 @@ def declared_language(cells: Sequence[Column]) -> Column:
     return one_language(F.filter(codes, lambda x: ~x.isin(*NO_LANGUAGE)))
 
 
-def stopwords(language: str) -> list[str]:
-    """Folded stop words of a language, sorted; none for unknown languages and und."""
+@lru_cache
+def stopwords(language: str) -> tuple[str, ...]:
+    """Folded stop words of a language, sorted; none for unknown languages and und. Needs no session: Spark's
+    lists are read from its library file, and from the session only where that file is not beside PySpark."""
     name = STOPWORD_LISTS.get(language or "")
-    return sorted({w.lower().replace("ß", "ss") for w in StopWordsRemover.loadDefaultStopWords(name)}) if name else []
+    if not name:
+        return ()
+    jars = sorted(Path(pyspark.__file__).parent.glob("jars/spark-mllib_*.jar"))
+    if jars:
+        with ZipFile(jars[0]) as jar:
+            words = jar.read(f"org/apache/spark/ml/feature/stopwords/{name}.txt").decode().split("\n")
+    else:
+        words = StopWordsRemover.loadDefaultStopWords(name)
+    return tuple(sorted({w.strip().lower().replace("ß", "ss") for w in words} - {""}))
 
 
 def remove_stopwords(text: Column, language: Column, languages: Sequence[str] = ("en", "es", "fr", "de", "pt")) -> Column:
     """Words that are no stop words, joined by a space; text of other languages stays as it is."""
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
-    def outside(gone: list[str]):
+    def outside(gone: tuple[str, ...]):
         return lambda w: ~fold(w).isin(*gone)
 
     result = None
