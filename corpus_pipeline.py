@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomtext.llm.byte_bpe import round_trip
 from loomtext.llm.exact_dedup import drop_exact_duplicates
+from loomtext.llm.jaccard import drop_similar
 from loomtext.llm.mixing import sample_mixed
 from loomtext.llm.quality import fit_quality, keep_good
 from loomtext.llm.shared import forget, stash, table
-from loomtext.llm.simhash import drop_near_duplicates
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +28,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest identifier, of every component of similar fingerprints."""
-    return drop_near_duplicates(docs)
+    """One document, that of the smallest identifier, of every component of texts at Jaccard similarity 0.8 on five-word shingles."""
+    return drop_similar(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("mixing", mixing), ("encoding", encoding)]
 
-#: The classifier and the fingerprints' components are beyond SQL; tests hold the stages against brute force.
+#: The classifier and the similar texts' components are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

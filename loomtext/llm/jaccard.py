@@ -1,0 +1,128 @@
+"""Near copies by exact Jaccard similarity of shingles, for the corpus pipeline's near stage.
+
+SimHash distance is a poor measure of light edits: pairs with a similarity of 0.8 lie up to 17 of 64 bits
+apart, where a search by bits meets unrelated texts. So candidates come from MinHash bands: documents that
+agree in one of ``BANDS`` bands of ``ROWS`` minima share a bucket, which a pair at similarity s misses with
+probability (1 - s^ROWS)^BANDS, 0.00003 at 0.8. Every link is then verified on the whole sets of shingles.
+
+A bucket is not expanded to all its pairs. First each member meets the bucket's first one. Members that
+this leaves outside the first one's component meet all members of other components. So each pair of a
+bucket is either in one component by verified links, or was compared itself.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .shared import forget, spread_lookup, stash, text_or_empty
+from .simhash import components, keep_named, shingle_hashes
+from .tokenizer_files import text_batches
+
+BANDS, ROWS = 20, 4
+_RANDOM = np.random.default_rng(11)
+TIMES = _RANDOM.integers(0, 2**64, size=(BANDS * ROWS, 1), dtype=np.uint64) | np.uint64(1)
+FLIPS = _RANDOM.integers(0, 2**64, size=(BANDS * ROWS, 1), dtype=np.uint64)
+FOLD = np.uint64(0x9E37_79B9_7F4A_7C15)
+
+
+def shingles(data: bytes, words: int) -> np.ndarray:
+    """The distinct shingle hashes of a text; that of no words is the one hash 0."""
+    found = [np.unique(h) for h in shingle_hashes(data, words)]
+    return np.unique(np.concatenate(found)) if found else np.zeros(1, dtype=np.uint64)
+
+
+def band_keys(found: np.ndarray) -> np.ndarray:
+    """One key per band: equal keys, but for chance, are equal minima in that band."""
+    least = np.full(BANDS * ROWS, 2**64 - 1, dtype=np.uint64)
+    for i in range(0, len(found), 2048):
+        np.minimum(least, ((found[i : i + 2048] ^ FLIPS) * TIMES).min(axis=1), out=least)
+    rows = least.reshape(BANDS, ROWS)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for r in range(ROWS):
+        key = (key ^ rows[:, r]) * FOLD
+        key ^= key >> np.uint64(29)
+    return key
+
+
+def _arrays(rows: DataFrame, make, name: str, columns: str) -> DataFrame:
+    """Rows with the listed columns and, as an array of longs, what ``make`` gives for their text."""
+    import pyarrow as pa
+
+    text_batches(rows.sparkSession)
+    kept = [c.split()[0] for c in columns.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            made = [make(x.as_buffer().to_pybytes()).view(np.int64) for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in kept), pa.array(made, pa.list_(pa.int64()))], names=[*kept, name]
+            )
+
+    return rows.withColumn("text", F.encode("text", "UTF-8")).mapInArrow(run, f"{columns}, {name} array<long>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Of the pairs (a, b, part) those (a, b) whose sets (uid, found) have a Jaccard similarity of ``least``.
+
+    A document that many pairs have as b meets them by their parts, so no task gets all of them.
+    """
+    near = pairs.select("part", "b").distinct().join(sets.select(F.col("uid").alias("b"), F.col("found").alias("y")), "b")
+    both = pairs.join(near, ["part", "b"]).join(sets.select(F.col("uid").alias("a"), F.col("found").alias("x")), "a")
+    n, m = F.size("x"), F.size("y")
+    both = both.where(F.least(n, m) >= F.lit(least) * F.greatest(n, m))
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= F.lit(least) * (n + m - shared)).select("a", "b")
+
+
+def similar_components(
+    docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row per document: doc_id, component_id, the smallest identifier that links reach.
+
+    Documents link at a Jaccard similarity of ``least`` or more of their sets of ``words``-word shingles.
+    Words are cut at ASCII white space and only A-Z are lower-cased; a text of fewer words is one shingle.
+    Null texts and identifiers count as in near_duplicates.
+    """
+    held = stash(
+        docs.select(
+            F.col(id_col).alias("doc_id"),
+            F.monotonically_increasing_id().alias("uid"),
+            F.spark_partition_id().alias("part"),
+            text_or_empty(text_col).alias("text"),
+        ),
+        "near-texts",
+    )
+    keys = _arrays(held.select("uid", "part", "text"), lambda d: band_keys(shingles(d, words)), "keys", "uid long, part int")
+    rows = stash(keys.select("uid", "part", F.explode("keys").alias("key")), "bands")
+    first = rows.groupBy("key").agg(F.min("uid").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
+    members = stash(spread_lookup(rows, stash(first, "buckets"), ["key"], "part").where("lead is not null"), "bucket-members")
+    forget(rows)
+    texts = held.join(members.select("uid").distinct(), "uid", "left_semi").select("uid", "text")
+    sets = stash(_arrays(texts, lambda d: shingles(d, words), "found", "uid long"), "shingle-sets")
+
+    pairs = stash(members.where("uid <> lead").select(F.col("uid").alias("a"), F.col("lead").alias("b"), "part").distinct(), "near-pairs")
+    links = stash(verified(pairs, sets, least), "near-links")
+    stars = stash(components(links), "stars")
+    root = members.join(stars.withColumnRenamed("node", "uid"), "uid", "left").withColumn("own", F.coalesce("root", "uid")).drop("root")
+    root = stash(root, "rooted")
+    first = stars.select(F.col("node").alias("lead"), F.col("root").alias("lead_root"))
+    rooted = stash(spread_lookup(root, first, ["lead"], "part").withColumn("lead_root", F.coalesce("lead_root", "lead")), "rooted")
+    stray = rooted.where("own <> lead_root").select("key", F.col("uid").alias("b"), F.col("own").alias("b_own"))
+    more = rooted.join(stray, "key").where("own <> b_own and (own = lead_root or uid < b)")
+    more = stash(more.select(F.col("uid").alias("a"), "b", "part").distinct(), "near-pairs")
+    links = links.unionByName(verified(more, sets, least))
+    stars = stash(components(links), "stars")
+    forget(sets)
+
+    named = held.select("doc_id", "uid", "part").join(stars.withColumnRenamed("node", "uid"), "uid", "left")
+    named = stash(named.withColumn("root", F.coalesce("root", "uid")), "named")
+    smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    forget(held)
+    return spread_lookup(named, smallest, ["root"], "part").select("doc_id", "component_id")
+
+
+def drop_similar(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without those whose component of similar texts has a smaller identifier; own columns."""
+    return keep_named(docs, stash(similar_components(docs, words, least, id_col, text_col), "components"), id_col, text_col)

@@ -342,22 +342,15 @@ def near_duplicates(
     )
 
 
-def drop_near_duplicates(
-    docs: DataFrame,
-    words: int = 3,
-    most: int = 3,
-    group_rows: int = 8192,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
+def keep_named(docs: DataFrame, ruled: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without those whose component has a smaller identifier; own columns.
 
+    ``ruled`` is a stashed table of doc_id and component_id.
     Of a component one row stays: the one whose identifier is the component's. A row without identifier
     stays only if its component has no identifier at all. Rows that repeat a staying identifier stay once
     for each different text. Only narrow rows of dropped identifiers meet the texts: Spark
     broadcasts them if they measure small enough, and else joins by identifier, which has no hot key.
     """
-    ruled = stash(near_duplicates(docs, words, most, group_rows, id_col, text_col), "components")
     name = F.col("doc_id").alias("_gone")
     # An identifier stays if one of its rows is the component's.
     stay = ruled.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count()
@@ -371,3 +364,16 @@ def drop_near_duplicates(
     one = kept.join(again, match, "left_semi").withColumn("_text", text_or_empty(text_col))
     one = one.dropDuplicates([id_col, "_text"]).select(*docs.columns)
     return kept.join(again, match, "left_anti").unionByName(one)
+
+
+def drop_near_duplicates(
+    docs: DataFrame,
+    words: int = 3,
+    most: int = 3,
+    group_rows: int = 8192,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs`` that keep_named leaves by the components of near_duplicates."""
+    ruled = stash(near_duplicates(docs, words, most, group_rows, id_col, text_col), "components")
+    return keep_named(docs, ruled, id_col, text_col)

@@ -1,0 +1,58 @@
+import numpy as np
+
+from loomtext.llm.jaccard import drop_similar, similar_components
+from loomtext.llm.shared import table
+
+from .test_simhash import texts
+
+
+def plain_set(text, words=5):
+    found = text.encode().lower().split()
+    return {b" ".join(found[i : i + words]) for i in range(len(found) - words + 1)} or {b" ".join(found)}
+
+
+def plain_similar(rows, least=0.8):
+    """Smallest identifier of each row's component, and the pairs, by comparing all pairs."""
+    sets, name, pairs = [plain_set(t) for _, t in rows], list(range(len(rows))), []
+    for i in range(len(rows)):
+        for j in range(i):
+            if min(len(sets[i]), len(sets[j])) >= least * max(len(sets[i]), len(sets[j])):
+                both = len(sets[i] & sets[j])
+                if both >= least * (len(sets[i]) + len(sets[j]) - both):
+                    pairs.append((i, j))
+                    a, b = name[i], name[j]
+                    name = [b if x == a else x for x in name]
+    best = {}
+    for x, (i, _) in zip(name, rows, strict=True):
+        best[x] = min(best.get(x, i), i)
+    return [best[x] for x in name], pairs
+
+
+def test_components_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows = texts(120, 4)
+    base = [f"v{i}" for i in range(200)]
+    for _ in range(60):  # a chain of edits: the ends of it are not similar to each other
+        base = [x if rng.random() > 0.008 else f"v{rng.integers(1000)}" for x in base]
+        rows.append(" ".join(base))
+    rows = list(enumerate(rows, start=10))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in similar_components(df).collect()}
+    want, pairs = plain_similar(rows)
+    assert len(pairs) > 60 and [found[i] for i, _ in rows] == want
+    assert sorted(r.doc_id for r in drop_similar(df).collect()) == sorted(set(want))
+
+
+def test_lightly_edited_copies_go(spark):
+    """Pairs of the tables that lie 5 bits or more apart, so the 3-bit rule kept both."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents").dropDuplicates(["text"])
+    rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+    want, pairs = plain_similar(rows)
+    assert len(pairs) >= 5 and sorted(r.doc_id for r in drop_similar(docs).collect()) == sorted(set(want))
+
+
+def test_nulls_and_empty(spark):
+    df = spark.createDataFrame([(1, None), (None, ""), (2, "a"), (3, "A"), (None, "b c")], "doc_id long, text string")
+    found = {(r.doc_id, r.component_id) for r in similar_components(df).collect()}
+    assert found == {(1, 1), (None, 1), (2, 2), (3, 2), (None, None)}
+    assert similar_components(df.limit(0)).count() == 0
