@@ -214,7 +214,7 @@ def positive_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _epochs(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").where("user_id < 60")
+    e = table(spark, sf, "events")
     return e.groupBy(F.col("user_id").alias("run"), (F.col("event_id") % 12).alias("epoch")).agg(F.round(F.avg("value"), 3).alias("metric"))
 
 
