@@ -160,7 +160,7 @@ def sparse_classifier(spark: SparkSession, sf: str) -> DataFrame:
     texts = d.select(F.col("doc_id").alias("handle"), "text")
     train = items.where("split = 'train'").select("handle")
     counts = vectorize.term_counts(texts, ngrams=(1, 1))
-    model = vectorize.fit("bm25", counts.join(train, "handle", "left_semi"), train.count(), 500)
+    model = vectorize.fit("bm25", counts.join(train, "handle", "left_semi"), train.count())
     vectors = vectorize.indexed_vectors(model.transform(counts), model)
     truth = labels.indicator(items)
     fitted = classify.fit_one_vs_rest(vectors.join(train, "handle", "left_semi"), truth.join(train, "handle", "left_semi"), "logreg")

@@ -131,7 +131,7 @@ _VOCAB = f"""{_COUNTS}, v AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS co
 def _fitted(spark: SparkSession, sf: str, kind: str):
     texts = _texts(spark, sf)
     counts = vectorize.term_counts(texts)
-    return vectorize.fit(kind, counts, texts.count(), 2000), counts
+    return vectorize.fit(kind, counts, texts.count()), counts
 
 
 @query(f"WITH {_VOCAB} SELECT term, df, corpus_tf FROM v")

@@ -15,3 +15,11 @@ def test_every_run_is_evaluated(spark):
     assert len(runs) > 60
     stops = q_dense.early_stopping(spark, TABLES).select("run", "epoch").collect()
     assert {(r.run, r.epoch) for r in stops} == {(u, e) for u, es in runs.items() for e in es} and len(stops) == sum(map(len, runs.values()))
+
+
+def test_vocabulary_has_production_size(spark):
+    from loomtext.plans import q_labels
+
+    texts = spark.read.parquet(f"{TABLES}/documents.parquet")
+    assert q_labels.bow_vocab(spark, TABLES).count() == 100_000
+    assert q_labels.bm25_stats(spark, TABLES).first().terms == 100_000 and texts.count() > 0
