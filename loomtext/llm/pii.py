@@ -7,7 +7,10 @@ and the word after. Spark scores the graph of patterns and instances (distinct v
 pattern's confidence is the mean confidence of its instances, lessened if few seeds support it; seeds
 count 1, candidates that fail their kind's check 0 (for cards each weighs as the numbers that pass the
 check digit by chance), other candidates their best pattern's confidence.
-Candidates whose shape pattern ends with a high confidence and enough seeds are spans, too.
+Candidates whose shape pattern ends with a high confidence and enough seeds are spans, too, and so are those
+after or before a word whose pattern does. By words alone, wide candidates are taken as well: numbers at an end
+of a run of digits without a base rule's form (phones without +, cards with other separators), and addresses
+that write @ or dots as words. They weigh a quarter in a pattern's mean.
 
 Texts are read once. Patterns reach occurrences through a salted lookup, so a pattern that a third of
 all occurrences have meets no single task.
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -35,13 +39,18 @@ NOT_DIGITS = re.compile(r"[^0-9]+")
 #: Runs in which candidates lie: digits with up to three separators between them.
 RUN = re.compile(r"\+?[0-9](?:[\x20().-]{0,3}[0-9])+")
 DIGITS = re.compile(r"[0-9]+")
-#: Groups of digits that a candidate's form has at most.
-GROUPS = 8
+#: Addresses with @ or dots written out; possessive and tied to a word's start, so that long words cost linear time.
+SPELLED = re.compile(
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\x20?[\[({<]\x20?(?:@|at|AT)\x20?[\])}>]\x20?|\x20(?:@|at|AT)\x20)"
+    r"[A-Za-z0-9-]++(?:(?:\.|\x20?[\[({<]?(?:\.|dot|DOT)[\])}>]?\x20)[A-Za-z0-9-]++)+"
+)
 #: Of numbers that are no cards, one in ten passes the check digit: each failed one stands for this many passed ones.
 BY_CHANCE = 1 / 9
 FIND = "array<struct<kind:int,start:int,stop:int,value:string,role:int,shape:string,before:string,after:string>>"
-#: Roles of an occurrence: 2 seed, 1 candidate, 0 candidate that fails its kind's check.
-SEED, OPEN, FAILED = 2, 1, 0
+#: Roles of an occurrence: 3 seed, 2 candidate, 1 wide candidate, 0 candidate that fails its kind's check.
+SEED, OPEN, WIDE, FAILED = 3, 2, 1, 0
+#: A wide candidate's weight in a pattern's mean.
+WIDE_WEIGHT = 0.25
 
 
 def luhn(digits: str) -> bool:
@@ -113,7 +122,7 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[i
             while first < len(taken) and taken[first][1] <= begin:
                 first += 1
             wall = taken[first][0] if first < len(taken) else len(text) + 1
-            for j in range(i, min(i + GROUPS, len(parts))):
+            for j in range(i, len(parts)):
                 n += parts[j][1] - parts[j][0]
                 end = parts[j][1]
                 if n > 19 or end > wall:
@@ -131,6 +140,41 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[i
                     yield 2, begin, end
 
 
+def wide_candidates(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
+    """(kind, start, end) of spans at an end of a run, in no base rule's form, that overlap no base span.
+
+    Only the run as a whole may fail its kind's check: the other spans of a run are no evidence.
+    """
+    taken = sorted((s, e) for s, _, e in taken)
+    starts = [s for s, _ in taken]
+
+    def free(start: int, end: int) -> bool:
+        at = bisect_left(starts, end)
+        return at == 0 or taken[at - 1][1] <= start
+
+    if "at" in text or "AT" in text or "@" in text:
+        yield from ((0, *m.span()) for m in SPELLED.finditer(text) if free(*m.span()))
+    for run in RUN.finditer(text):
+        if run.end() - run.start() < 9 or run.group().startswith("+"):
+            continue
+        parts = [d.span() for d in DIGITS.finditer(text, run.start(), run.end())]
+        last = len(parts) - 1
+        ends = {(0, j) for j in range(min(last + 1, 19))} | {(i, last) for i in range(max(0, last - 18), last + 1)}
+        for i, j in sorted(ends):
+            start, end = parts[i][0], parts[j][1]
+            n = sum(b - a for a, b in parts[i : j + 1])
+            if start and text[start - 1] == "(" and ")" in text[start:end]:
+                start -= 1
+            if not 9 <= n <= 19 or text[start - 1 : start] == "+" or not free(start, end):
+                continue
+            gaps = {text[a[1] : b[0]] for a, b in zip(parts[i:j], parts[i + 1 : j + 1], strict=True)}
+            whole = i == 0 and j == last
+            if n <= 15 and not (gaps == {"."} and j - i == 3):
+                yield 3, start, end
+            if n >= 12 and gaps - {" ", "-"} and (whole or valid(2, text[start:end])):
+                yield 2, start, end
+
+
 def side(c: str) -> str:
     """The class of a neighbouring character; none counts as space."""
     if not c or c.isspace():
@@ -164,6 +208,8 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[dict]]:
     finds = [occurrence(text, k, s, e, SEED) for s, k, e in base]
     seen = sorted({c for c in candidates(text, base)})
     finds += [occurrence(text, k, s, e, OPEN if valid(k, text[s:e]) else FAILED) for k, s, e in seen]
+    wide = sorted(set(wide_candidates(text, base)).difference(seen))
+    finds += [occurrence(text, k, s, e, WIDE if valid(k, text[s:e]) else FAILED) for k, s, e in wide]
     return base, finds
 
 
@@ -175,11 +221,11 @@ def pattern_scores(edges: DataFrame, rounds: int) -> DataFrame:
     """kind, pattern, confidence, n_seeds after ``rounds`` rounds over the edges (kind, instance, pattern, role, salt)."""
     role = F.col("role")
     fixed = F.when(role == SEED, 1.0).when(role == FAILED, 0.0)
-    weight = F.when((role == FAILED) & (F.col("kind") == KINDS.index("card")), BY_CHANCE).otherwise(1.0)
+    weight = F.when((role == FAILED) & (F.col("kind") == KINDS.index("card")), BY_CHANCE).when(role == WIDE, WIDE_WEIGHT).otherwise(1.0)
     scored = edges.withColumn("r", F.coalesce(fixed, F.lit(0.0)))
     for turn in range(rounds):
         patterns = scored.groupBy("kind", "pattern").agg(
-            (F.sum("r") / F.sum(weight)).alias("mean"), F.sum((role == SEED).cast("long")).alias("n_seeds")
+            (F.sum(F.when(role == WIDE, F.col("r") * WIDE_WEIGHT).otherwise(F.col("r"))) / F.sum(weight)).alias("mean"), F.sum((role == SEED).cast("long")).alias("n_seeds")
         )
         patterns = stash(
             patterns.select("kind", "pattern", "n_seeds", (F.col("mean") * F.col("n_seeds") / (F.col("n_seeds") + 1)).alias("confidence")),
@@ -261,11 +307,13 @@ def find_personal_data(
     edges = stash(edges, "pattern-edges")
     trusted = (
         pattern_scores(edges, rounds)
-        .where(F.col("pattern").startswith("shape:") & (F.col("confidence") >= min_confidence) & (F.col("n_seeds") >= min_seeds))
+        .where(~F.col("pattern").isin("before:", "after:") & (F.col("confidence") >= min_confidence) & (F.col("n_seeds") >= min_seeds))
         .select("kind", "pattern", "confidence")
     )
-    open_finds = finds.where(F.col("role") == OPEN).select(
-        "row_uid", "kind", "start", "stop", shape.alias("pattern"), F.pmod("row_uid", F.lit(salts)).alias("salt")
+    # A wide candidate has no base form, so its shape says nothing: only the words beside it count.
+    usable = F.when(F.col("role") == OPEN, patterns).otherwise(F.slice(patterns, 2, 2))
+    open_finds = finds.where(F.col("role").isin(OPEN, WIDE)).select(
+        "row_uid", "kind", "start", "stop", F.explode(usable).alias("pattern"), F.pmod("row_uid", F.lit(salts)).alias("salt")
     )
     accepted = spread_lookup(open_finds, trusted, ["kind", "pattern"], "salt").where("confidence is not null")
     # Leftmost, then longest, without overlaps: a fold over the few accepted spans of one document.
