@@ -33,7 +33,19 @@ DICTIONARY = (
     "level library light line linux list load local locale login main manager manual master media member menu message "
     "method mobile mock model module monitor mount move music name native network news node note number object offset "
     "open option order output package page panel param parent parser patch path pattern photo plan player plugin point "
-    "policy post power preview print process product profile project proxy public query queue random range read record"
+    "policy post power preview print process product profile project proxy public query queue random range read record "
+    "region register release remote render report request reset resource response result role root route router rule sample "
+    "scale schedule schema score screen script search section security select send sensor server service session setting "
+    "shape share shell shop signal simple site size slide social socket sort source space spec stack staff start state static "
+    "status step stock storage store stream string style submit summary support switch symbol sync system table target task "
+    "team template term test text theme thread thumb time title tool topic total trace track traffic train transfer tree type "
+    "unit update upload upper user utility value vector vendor version video view virtual visit visual volume watch water wave "
+    "weather web week widget width window wire word work worker world wrapper write year zero zone zoom"
+).split()
+#: Words outside the dictionary, for harmless findings: identifiers hold names that no list has.
+OUTSIDE = (
+    "alder banjo cobalt dahlia ermine falcon gravel hazel indigo jasper kestrel lagoon marten nectar obsidian pelican quartz "
+    "raven saffron thicket umber velvet walnut xenon yarrow zephyr tundra sorrel harbor bramble"
 ).split()
 SECRET_WORDS = r"(?i)(secret|token|passw|pwd|api[_-]?key|apikey|access[_-]?key|auth|credential|private|bearer|client[_-]?key)"
 HARMLESS_WORDS = r"(?i)(sha-?\d*|md5|checksum|digest|commit|revision|uuid|guid|etag|build|version|order|invoice|card|phone|isbn|id|test|example|sample|dummy|placeholder)\W*$"
@@ -85,7 +97,7 @@ def with_features(found: DataFrame) -> DataFrame:
         "f_upper": share("A-Z"),
         "f_lower": share("a-z"),
         "f_other": share("+/_.=-"),
-        "f_distinct": F.size(F.array_distinct(F.split(F.left(c, F.lit(256)), ""))) / F.least(n, F.lit(256.0)),
+        "f_distinct": F.size(F.array_distinct(F.split(c, ""))) / F.least(n, F.lit(256.0)),
         "f_transitions": (F.length(classes) - 1) / n,
         "f_hex": flag(c.rlike("^[0-9a-f]+$")),
         "f_prefix": flag(c.rlike(KNOWN_PREFIX)),
@@ -113,7 +125,7 @@ def example_findings(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
     b64 = lambda k, salt="b": F.substring(F.regexp_replace(F.base64(F.unhex(h(salt))), "[+/=\\s]", "x"), 1, k)
     upper = lambda k: F.substring(F.upper(F.regexp_replace(F.base64(F.unhex(F.concat(h("u"), h("v")))), "[+/=\\s]", "Q")), 1, k)
     digits = lambda k: F.substring(F.translate(h("d"), "abcdef", "123456"), 1, k)
-    word, other = pick("w1", DICTIONARY), pick("w2", DICTIONARY)
+    word, other = pick("w1", DICTIONARY + OUTSIDE * 5), pick("w2", DICTIONARY + OUTSIDE * 5)
     lead = F.concat(word, F.lit(" "), other, F.lit(" "))
     sure = pick("s", ["token", "api_key", "secret", "password", "auth_token", "ACCESS_KEY", "client_secret", "passwd"])
     sign = pick("q", [' = "', '="', ": '", ": ", "=", ' := "'])
@@ -127,6 +139,7 @@ def example_findings(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
         (F.concat(F.lit("AKIA"), upper(16)), lead, plain, clean, 1),
         (F.concat(pick("k", ["ghp_", "glpat-", "sk_live_", "npm_"]), b64(30)), lead, plain, clean, 1),
         (hexes(18), F.concat(lead, pick("s2", ["password=", "pwd=", "passwd: ", "secret="])), plain, clean, 1),
+        (F.concat(word, F.lit("-"), other, F.lit("-"), pick("w3", DICTIONARY + OUTSIDE * 5), F.lit("-20"), digits(2)), lead, plain, clean, 0),
         (hexes(40), F.concat(lead, calm), plain, clean, 0),
         (hexes(64), F.concat(lead, calm), plain, clean, 0),
         (digits(16), lead, plain, clean, 0),
