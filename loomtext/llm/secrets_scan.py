@@ -1,8 +1,8 @@
 """Operator 6, secret scans, native: candidates by pattern, false positives removed by a random forest.
 
-DataFrame functions only. A pattern finds candidates (long runs of key-like characters with a digit);
-splitting the text at the same pattern gives the text on either side of each. Features are columns:
-length and character make-up, transitions between character classes, how much of the candidate words of
+DataFrame functions only. A pattern finds candidates (long runs of key-like characters with a digit, and
+values of six or more of any characters that are assigned or quoted after a secret word); splitting the
+text at the same pattern gives the text on either side of each. Features are columns: length and character make-up, transitions between character classes, how much of the candidate words of
 a dictionary cover, path-like surroundings, and neighbouring words. The forest is trained on labelled
 findings (a bounded table, made from a rule if none is given) and scores every candidate where it lies;
 no row is shuffled.
@@ -18,8 +18,15 @@ from pyspark.sql import functions as F
 
 from .shared import text_or_empty
 
-#: Characters of a candidate, its least length, and what may end it.
-CANDIDATE = r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_.-]*[0-9])[A-Za-z0-9+/_.-]{16,}={0,2}"
+#: Fixed values. A long run of key-like characters with a digit.
+RUN = r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_.-]*[0-9])[A-Za-z0-9+/_.-]{16,}={0,2}"
+#: What leads to a value: a secret word, the rest of its name, a sign, a quote. Java looks back over bounded lengths only.
+NAME = r"(?i:secret|token|passw|pwd|api[_-]?key|access[_-]?key|auth|credential|private|bearer|client[_-]?key)[A-Za-z0-9_-]{0,12}[\"'`]?"
+SIGN = r"\s{0,2}(?::=|=>|[=:])\s{0,2}"
+#: A value of six or more of any characters, in quotes or up to white space; closing marks at its end are not of it.
+QUOTED = "|".join(rf"(?<={q})(?<={NAME}(?:{SIGN}|\s{{1,2}}){q})[^{q}\n]{{6,}}(?={q})" for q in "\"'`")
+ASSIGNED = rf"(?<=[=:>\s])(?<={NAME}{SIGN})[^\s\"'`,;<>=][^\s\"'`,;<>]{{4,}}(?<![.)\]}}])"
+CANDIDATE = f"{QUOTED}|{ASSIGNED}|{RUN}"
 #: Characters of text that are looked at on either side of a candidate.
 NEAR = 48
 #: Words of the dictionary, of secrets' neighbourhoods and of harmless ones.
@@ -53,7 +60,7 @@ TEST_PATH = r"(?i)(^|[/_.-])(tests?|spec|examples?|fixtures?|mocks?|docs?|sample
 KNOWN_PREFIX = r"^(AKIA|ASIA|ghp_|gho_|ghs_|glpat-|xox[abpr]-|sk_live_|sk-|AIza|eyJ|ya29\.|SG\.|npm_)"
 FEATURES = (
     "f_length f_digits f_upper f_lower f_other f_distinct f_transitions f_hex f_prefix f_dictionary f_vowels f_slashes "
-    "f_path f_secret_word f_harmless_word f_assigned f_quoted f_word_before"
+    "f_path f_secret_word f_harmless_word f_assigned f_quoted f_word_before f_symbols"
 ).split()
 #: Labelled findings that the default rule makes.
 EXAMPLES = 6000
@@ -110,6 +117,7 @@ def with_features(found: DataFrame) -> DataFrame:
         "f_assigned": flag(F.col("before").rlike(r"[=:]\s*[\"'`]?$")),
         "f_quoted": flag(F.col("before").rlike("[\"'`]$") & F.col("after").rlike("^[\"'`]")),
         "f_word_before": flag(F.col("before").rlike(r"[A-Za-z]\s+$")),
+        "f_symbols": F.length(F.regexp_replace(c, "[A-Za-z0-9+/_.=-]+", "")) / n,
     }
     return found.withColumns(values)
 
@@ -139,6 +147,14 @@ def example_findings(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
         (F.concat(F.lit("AKIA"), upper(16)), lead, plain, clean, 1),
         (F.concat(pick("k", ["ghp_", "glpat-", "sk_live_", "npm_"]), b64(30)), lead, plain, clean, 1),
         (hexes(18), F.concat(lead, pick("s2", ["password=", "pwd=", "passwd: ", "secret="])), plain, clean, 1),
+        (F.concat(pick("o", DICTIONARY + OUTSIDE), digits(1), b64(3)), F.concat(lead, sure, sign), plain, clean, 1),
+        (F.concat(b64(3), pick("m1", ["@", "!", "#", "$"]), b64(5, "n"), pick("m2", ["!", "%", "&", "*"]), b64(3, "e")), F.concat(lead, sure, sign), plain, clean, 1),
+        (F.regexp_replace(b64(20, "l"), "[0-9]", "k"), F.concat(lead, sure, sign), plain, clean, 1),
+        (pick("v", ["required", "optional", "string", "undefined", "enabled", "disabled", "missing", "changeme", "invalid", "expired"]), F.concat(lead, sure, sign), plain, clean, 0),
+        (F.concat(word, F.lit("."), other), F.concat(lead, sure, sign), plain, clean, 0),
+        (F.concat(word, F.initcap(other), F.lit("(") , pick("w4", OUTSIDE)), F.concat(lead, sure, sign), plain, clean, 0),
+        (F.concat(F.lit("${"), F.upper(word), F.lit("_"), F.upper(other)), F.concat(lead, sure, sign), plain, clean, 0),
+        (F.concat(F.lit("Enter your "), word, F.lit(" here")), F.concat(lead, sure, F.lit(': "')), F.lit('"'), clean, 0),
         (F.concat(word, F.lit("-"), other, F.lit("-"), pick("w3", DICTIONARY + OUTSIDE * 5), F.lit("-20"), digits(2)), lead, plain, clean, 0),
         (hexes(40), F.concat(lead, calm), plain, clean, 0),
         (hexes(64), F.concat(lead, calm), plain, clean, 0),
