@@ -186,7 +186,7 @@ class Run:
         self.report("results_test", metrics)
         self.report("per_label_test", table.orderBy("rank"))
         self.report("label_substitution_errors", scores.substitution_errors(test))
-        self.report("bootstrap_ci", scores.bootstrap_intervals(test, int(self.config.get("metrics", {}).get("bootstrap_resamples", 200)), seed=self.seed))
+        self.report("bootstrap_ci", scores.bootstrap_intervals(test, int(self.config.get("metrics", {}).get("bootstrap_resamples", 1000)), seed=self.seed))
         sinks.write_parquet(scores.predictions(test), self.path("predictions_test"))
         Path(self.folder, "evaluation.md").write_text(sinks.evaluation_report(metrics, table), encoding="utf-8")
         return metrics

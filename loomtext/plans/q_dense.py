@@ -126,7 +126,7 @@ def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 def _ovr(spark: SparkSession, sf: str, name: str) -> DataFrame:
     features, truth = _vectors(spark, sf)
-    model = classify.fit_one_vs_rest(features, truth, name, max_iter=25)
+    model = classify.fit_one_vs_rest(features, truth, name)
     rows = model.scores(features).join(truth, ["handle", "label"])
     pred = scores.apply_thresholds(rows, scores.default_threshold(model.score_kind))
     return scores.multilabel_metrics(pred).select("f1_micro", "f1_macro", "n_items")

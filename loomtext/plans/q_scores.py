@@ -164,14 +164,14 @@ def _weights_sql(stream: str = "") -> str:
     UNION ALL SELECT 'f1_micro', round((SELECT 2.0::DOUBLE * sum(tp) / sum(2 * tp + fp + fn) FROM l), 6), round(quantile_cont(f1_micro, 0.025), 6), round(quantile_cont(f1_micro, 0.975), 6) FROM bf"""
 )
 def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
-    found = S.bootstrap_intervals(_pred(spark, sf), replicates=20)
+    found = S.bootstrap_intervals(_pred(spark, sf))
     return found.select("metric", *[F.round(c, 6).alias(c) for c in ("estimate", "ci_lower", "ci_upper")])
 
 
 @query()
 def paired_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     rows = hash_scores(spark, sf)
-    return S.paired_bootstrap(S.apply_thresholds(rows, 0.7), S.apply_thresholds(rows, 0.55), replicates=20)
+    return S.paired_bootstrap(S.apply_thresholds(rows, 0.7), S.apply_thresholds(rows, 0.55))
 
 
 @query(
