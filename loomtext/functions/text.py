@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import unicodedata
 from collections.abc import Sequence
 from functools import lru_cache
@@ -46,7 +47,8 @@ def compatible(text: Column) -> Column:
     def nfkc(values: pd.Series) -> pd.Series:
         return values.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
-    return F.when(text.rlike("^\\p{ASCII}*$"), text).otherwise(nfkc(text))
+    beyond = F.when(~text.rlike("^\\p{ASCII}*$"), text)  # null, which costs the worker nothing, for all others
+    return F.coalesce(nfkc(beyond), text)
 
 
 def collapse_spaces(text: Column) -> Column:
@@ -147,16 +149,27 @@ def declared_language(cells: Sequence[Column]) -> Column:
     return one_language(F.filter(codes, lambda x: ~x.isin(*NO_LANGUAGE)))
 
 
+def _mllib_jar() -> Path | None:
+    """Spark's machine-learning library, under SPARK_HOME or above the place of PySpark, which may be a zip file."""
+    home = os.environ.get("SPARK_HOME")
+    places = [Path(home)] if home else []
+    for folder in (*places, *Path(pyspark.__file__).parents):
+        found = sorted(folder.glob("jars/spark-mllib_*.jar")) if folder.is_dir() else []
+        if found:
+            return found[0]
+    return None
+
+
 @lru_cache
 def stopwords(language: str) -> tuple[str, ...]:
     """Folded stop words of a language, sorted; none for unknown languages and und. Needs no session: Spark's
-    lists are read from its library file, and from the session only where that file is not beside PySpark."""
+    lists are read from its library file, and from the session only where that file is not found."""
     name = STOPWORD_LISTS.get(language or "")
     if not name:
         return ()
-    jars = sorted(Path(pyspark.__file__).parent.glob("jars/spark-mllib_*.jar"))
-    if jars:
-        with ZipFile(jars[0]) as jar:
+    library = _mllib_jar()
+    if library:
+        with ZipFile(library) as jar:
             words = jar.read(f"org/apache/spark/ml/feature/stopwords/{name}.txt").decode().split("\n")
     else:
         words = StopWordsRemover.loadDefaultStopWords(name)

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str | Callable[[], str]] = {}
 
 
-def query(sql: str | None = None, name: str | None = None):
-    """Registers a function as a query, with the SQL that DuckDB answers it by."""
+def query(sql: str | Callable[[], str] | None = None, name: str | None = None):
+    """Registers a function as a query, with the SQL that DuckDB answers it by, or a function that builds it."""
 
     def keep(f):
         QUERIES[name or f.__name__] = f
@@ -25,6 +25,11 @@ def query(sql: str | None = None, name: str | None = None):
     return keep
 
 
+def oracle_sql() -> dict[str, str]:
+    """The SQL of all queries that have one."""
+    return {name: sql if isinstance(sql, str) else sql() for name, sql in ORACLE_SQL.items()}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

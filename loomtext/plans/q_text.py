@@ -39,14 +39,14 @@ def tokenize_counts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", T.token_count(F.col("text")).alias("tokens"), F.size(terms).alias("terms"))
 
 
-_STOP = " ".join(f"WHEN lang = '{g}' THEN {_list(T.stopwords(g))}" for g in ("en", "es", "fr", "de"))
-
-
-@query(
-    f"""WITH d AS (SELECT doc_id, {NORM} AS t, CASE {_STOP} END AS gone FROM documents)
+def _stopword_sql() -> str:
+    gone = " ".join(f"WHEN lang = '{g}' THEN {_list(T.stopwords(g))}" for g in ("en", "es", "fr", "de"))
+    return f"""WITH d AS (SELECT doc_id, {NORM} AS t, CASE {gone} END AS gone FROM documents)
     SELECT doc_id, sha256(array_to_string(list_filter(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}_]+'),
       lambda w: NOT list_contains(gone, replace(lower(w), 'ß', 'ss'))), ' ')) AS kept_sha256 FROM d"""
-)
+
+
+@query(_stopword_sql)
 def stopword_filter(spark: SparkSession, sf: str) -> DataFrame:
     value = T.preprocess(F.col("text"), F.col("lang"), "language_stopwords")
     return table(spark, sf, "documents").select("doc_id", F.sha2(value, 256).alias("kept_sha256"))
