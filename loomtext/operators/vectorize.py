@@ -1,37 +1,42 @@
-"""Sparse features as long tables: term counts, vocabularies, TF-IDF and BM25, fitted on training items."""
+"""Sparse features as long tables: term counts, vocabularies, TF-IDF and BM25, fitted on training items.
+
+Counts are dealt out by item before the n-grams are made: only texts move, the n-grams of an item are
+counted, weighted and summed where they are. The vocabulary alone is grouped by term, after partial sums.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import keep
+
 #: Words of two characters or more.
 TERM = "(?U)\\b\\w\\w+\\b"
+#: Bytes of a vocabulary that is broadcast at most; a larger one is joined by merging.
+BROADCAST_BYTES = 64 << 20
 
 
 def terms(texts: DataFrame, key: str = "handle", text: str = "text", ngrams: tuple[int, int] = (1, 2), lowercase: bool = True) -> DataFrame:
     """key, term: every n-gram occurrence of every text."""
     value = F.coalesce(F.col(text), F.lit(""))
     words = texts.select(key, F.regexp_extract_all(F.lower(value) if lowercase else value, F.lit(TERM), F.lit(0)).alias("w"))
-
-    def together(n: int):
-        return lambda x: F.concat_ws(" ", *[x[f"w{i}"] for i in range(n)])
-
-    grams = []
-    for n in range(ngrams[0], ngrams[1] + 1):
-        if n == 1:
-            grams.append(F.col("w"))
-            continue
-        spans = F.arrays_zip(*[F.slice("w", i + 1, F.greatest(F.size("w") - (n - 1), F.lit(0))).alias(f"w{i}") for i in range(n)])
-        grams.append(F.transform(spans, together(n)))
+    grams, made = [], F.col("w")
+    for n in range(1, ngrams[1] + 1):
+        if n > 1:
+            size = F.greatest(F.size("w") - (n - 1), F.lit(0))
+            made = F.zip_with(F.slice(made, F.lit(1), size), F.slice("w", F.lit(n), size), lambda a, b: F.concat(a, F.lit(" "), b))
+        if n >= ngrams[0]:
+            grams.append(made)
     return words.select(key, F.explode(F.concat(*grams)).alias("term"))
 
 
-def term_counts(texts: DataFrame, key: str = "handle", **settings) -> DataFrame:
-    """key, term, tf."""
-    return terms(texts, key, **settings).groupBy(key, "term").agg(F.count("*").alias("tf"))
+def term_counts(texts: DataFrame, key: str = "handle", text: str = "text", **settings) -> DataFrame:
+    """key, term, tf; dealt out by key, so that sums by key need no further exchange."""
+    dealt = texts.select(key, text).repartition(key)
+    return terms(dealt, key, text, **settings).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def vocabulary(counts: DataFrame, n_documents: int, max_features: int | None = None, min_df: int | float = 1, max_df: int | float = 1.0) -> DataFrame:
@@ -48,7 +53,7 @@ def vocabulary(counts: DataFrame, n_documents: int, max_features: int | None = N
 
 @dataclass
 class SparseModel:
-    """A fitted representation: a table of terms with df, and the fit's scalars."""
+    """A fitted representation: a stored table of terms with df, its size, and the fit's scalars."""
 
     kind: str
     terms: DataFrame
@@ -56,22 +61,29 @@ class SparseModel:
     average_length: float
     k1: float = 1.5
     b: float = 0.75
+    n_bytes: int | None = None
+
+    def known(self, counts: DataFrame) -> DataFrame:
+        """The counts' terms that the vocabulary has, with df."""
+        table = self.terms.select("term", "df")
+        return counts.join(F.broadcast(table) if self.n_bytes is not None and self.n_bytes <= BROADCAST_BYTES else table, "term")
 
     def transform(self, counts: DataFrame, key: str = "handle") -> DataFrame:
         """key, term, weight for the counts' terms that the vocabulary has."""
-        known = counts.join(self.terms.select("term", "df"), "term")
+        known = self.known(counts)
         n, df, tf = F.lit(float(self.n_documents)), F.col("df").cast("double"), F.col("tf").cast("double")
+        of_item = Window.partitionBy(key)
         if self.kind == "bow":
             return known.select(key, "term", tf.alias("weight"))
         if self.kind == "tfidf":
-            raw = known.withColumn("w", tf * (F.log((1 + n) / (1 + df)) + 1))
-            norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-            return raw.join(norms, key).select(key, "term", F.coalesce(F.try_divide(F.col("w"), F.col("norm")), F.lit(0.0)).alias("weight"))
-        lengths = known.groupBy(key).agg(F.sum("tf").cast("double").alias("dl"))
+            raw = known.select(key, "term", (tf * (F.log((1 + n) / (1 + df)) + 1)).alias("w"))
+            raw = raw.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(of_item)))
+            return raw.select(key, "term", F.coalesce(F.try_divide(F.col("w"), F.col("norm")), F.lit(0.0)).alias("weight"))
+        known = known.withColumn("dl", F.sum("tf").over(of_item).cast("double"))
         average = self.average_length if self.average_length > 0 else 1.0
         idf = F.log((n - df + 0.5) / (df + 0.5) + 1)
         denominator = tf + self.k1 * (1 - self.b + self.b * F.col("dl") / F.lit(average))
-        return known.join(lengths, key).select(key, "term", (tf * (self.k1 + 1) / denominator * idf).alias("weight"))
+        return known.select(key, "term", (tf * (self.k1 + 1) / denominator * idf).alias("weight"))
 
 
 def fit(
@@ -87,25 +99,31 @@ def fit(
     """bow, tfidf or bm25 from the training items' counts. ``n_documents`` includes items without terms."""
     if kind not in ("bow", "tfidf", "bm25"):
         raise ValueError(f"unknown sparse representation: {kind}")
-    table = vocabulary(counts, n_documents, max_features, min_df, max_df)
-    average = 0.0
-    if kind == "bm25" and n_documents:
-        average = float(counts.join(table.select("term"), "term", "left_semi").agg(F.sum("tf")).first()[0] or 0) / n_documents
-    return SparseModel(kind, table, n_documents, average, k1, b)
+    table = keep(vocabulary(counts, n_documents, max_features, min_df, max_df), "vocabulary")
+    sums = table.agg(F.sum("corpus_tf").alias("tf"), F.sum(F.octet_length("term") + F.lit(32)).alias("bytes")).first()
+    average = float(sums.tf or 0) / n_documents if n_documents else 0.0
+    return SparseModel(kind, table, n_documents, average, k1, b, int(sums.bytes or 0))
 
 
-def indexed_vectors(weights: DataFrame, model: SparseModel, key: str = "handle") -> DataFrame:
-    """key, features: sparse vectors for classifiers; term ids in alphabetical order.
+def numbered(table: DataFrame) -> DataFrame:
+    """term, id: terms numbered from 0 in alphabetical order, partition by partition of a sorted table."""
+    order = keep(table.select("term").orderBy("term").withColumn("part", F.spark_partition_id()), "ordered-terms")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a partition
+    starts = order.groupBy("part").count().withColumn("start", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("term")) - 1
+    return order.withColumn("place", place).join(starts, "part").select("term", (F.col("start") + F.col("place")).cast("int").alias("id"))
 
-    The vocabulary is bounded by max_features, so its array is of bounded size.
-    """
-    names = [r.term for r in model.terms.select("term").orderBy("term").toLocalIterator()]
-    ids = model.terms.sparkSession.createDataFrame([(t, i) for i, t in enumerate(names)], "term string, id int")
-    rows = weights.join(ids, "term").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("id", "weight"))).alias("v"))
+
+def indexed_vectors(weights: DataFrame, model: SparseModel, key: str = "handle") -> DataFrame:
+    """key, features: sparse vectors for classifiers; term ids in alphabetical order."""
+    ids = keep(numbered(model.terms), "term-ids")
+    small = model.n_bytes is not None and model.n_bytes <= BROADCAST_BYTES
+    rows = weights.join(F.broadcast(ids) if small else ids, "term")
+    rows = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("id", "weight"))).alias("v"))
     # The stored form of a sparse vector, read back as the vector type.
     stored = F.struct(
         F.lit(0).alias("type"),
-        F.lit(len(names)).alias("size"),
+        F.lit(ids.count()).cast("int").alias("size"),
         F.transform("v", lambda x: x["id"]).alias("indices"),
         F.transform("v", lambda x: x["weight"]).alias("values"),
     )

@@ -215,10 +215,10 @@ def positive_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 def _epochs(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
-    return e.groupBy(F.col("user_id").alias("run"), (F.col("event_id") % 12).alias("epoch")).agg(F.round(F.avg("value"), 3).alias("metric"))
+    return e.groupBy(F.col("user_id").alias("run"), (F.col("event_id") % 12).alias("epoch")).agg(F.round(F.avg("value"), 6).alias("metric"))
 
 
-_EPOCHS = "ep AS (SELECT user_id AS run, event_id % 12 AS epoch, round(avg(value), 3) AS metric FROM events WHERE user_id < 60 GROUP BY ALL)"
+_EPOCHS = "ep AS (SELECT user_id AS run, event_id % 12 AS epoch, round(avg(value), 6) AS metric FROM events GROUP BY ALL)"
 
 
 @query(

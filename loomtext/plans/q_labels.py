@@ -124,7 +124,7 @@ _COUNTS = """w AS (SELECT doc_id AS handle, regexp_extract_all(lower(text), '[\\
   g AS (SELECT handle, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w),
   c AS (SELECT handle, term, count(*) AS tf FROM g GROUP BY ALL),
   nd AS (SELECT count(*)::DOUBLE AS n FROM documents)"""
-_VOCAB = f"""{_COUNTS}, v AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS corpus_tf FROM c GROUP BY term ORDER BY corpus_tf DESC, term LIMIT 2000),
+_VOCAB = f"""{_COUNTS}, v AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS corpus_tf FROM c GROUP BY term ORDER BY corpus_tf DESC, term LIMIT 100000),
   kc AS (SELECT c.*, v.df FROM c JOIN v USING (term))"""
 
 
