@@ -131,7 +131,7 @@ def family() -> Column:
 def family_winners(results: DataFrame, metric: str = "f1_macro") -> DataFrame:
     order = F.struct(-F.col(metric), *KEY)
     own = results.withColumn("family", family())
-    return own.groupBy("family").agg(F.min_by(F.struct(*results.columns), order).alias("r")).select("family", "r.*")
+    return own.groupBy("family").agg(F.min_by(F.struct(*results.columns), order).alias("r")).select("r.*", "family")
 
 
 def pending(expected: DataFrame, completed: DataFrame) -> DataFrame:

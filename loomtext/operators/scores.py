@@ -6,11 +6,14 @@ multiply rows. Ties rank by label.
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import portable_hash
+from ..sources.scratch import keep
 
 #: Thresholds that are tried for probabilities, and for the heads' scores of fine-tuned models.
 PROBABILITY_CANDIDATES = [round(0.05 * i, 2) for i in range(1, 20)]
@@ -136,44 +139,36 @@ def multilabel_metrics(rows: DataFrame, key: str = "handle", by: tuple[str, ...]
     return both.select(*[F.col(f"_g.{b}").alias(b) for b in by], *names)
 
 
-def average_precision(scores: DataFrame, by: tuple[str, ...] = ("label",)) -> DataFrame:
+def average_precision(scores: DataFrame, by: tuple[str, ...] = ("label",), ranges: int = 64) -> DataFrame:
     """Sum of recall steps times precision over distinct scores downwards; groups without positives are left out.
 
-    Scores fold to distinct values before the window, whose rows are a group's distinct scores.
+    Scores fold to distinct values by partial sums. Each group's scores are cut into ``ranges`` at its
+    quantiles; ranges get the sums of those above them, and each is swept on its own, so that a group
+    that holds a third of all rows is no single task's.
     """
     cells = scores.groupBy(*by, "score").agg(F.sum("y").cast("double").alias("pos"), F.count("*").cast("double").alias("n"))
-    w = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    steps = cells.select(*by, "pos", F.sum("pos").over(w).alias("tp"), F.sum("n").over(w).alias("seen"))
+    cells = keep(cells, "score-cells")
+    edges = cells.groupBy(*by).agg(F.array_distinct(F.percentile_approx("score", [i / ranges for i in range(1, ranges)], 10_000)).alias("edges"))
+    cells = cells.join(edges, list(by)).withColumn("range", F.size(F.filter("edges", lambda e: e < F.col("score")))).drop("edges")
+    sums = cells.groupBy(*by, "range").agg(F.sum("pos").alias("p"), F.sum("n").alias("m"))
+    above = Window.partitionBy(*by).orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)  # ``ranges`` rows a group
+    sums = sums.select(*by, "range", F.coalesce(F.sum("p").over(above), F.lit(0.0)).alias("p0"), F.coalesce(F.sum("m").over(above), F.lit(0.0)).alias("m0"))
+    w = Window.partitionBy(*by, "range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = cells.join(sums, [*by, "range"])
+    steps = steps.select(*by, "pos", (F.col("p0") + F.sum("pos").over(w)).alias("tp"), (F.col("m0") + F.sum("n").over(w)).alias("seen"))
     found = steps.groupBy(*by).agg(F.sum("pos").alias("total"), F.sum(F.col("pos") * F.col("tp") / F.col("seen")).alias("s"))
     return found.where("total > 0").select(*by, (F.col("s") / F.col("total")).alias("average_precision"))
 
 
 def average_precision_summary(scores: DataFrame) -> DataFrame:
     """Micro (all pairs of labels that have positives) and macro average precision; null without positives."""
-    per = average_precision(scores)
+    per = keep(average_precision(scores), "average-precision")
     macro = per.agg(F.avg("average_precision").alias("average_precision_macro"))
     flat = scores.join(per.select("label"), "label", "left_semi").withColumn("all", F.lit(1))
-    # Distinct scores go to buckets by rank of magnitude first, so that the ordered sum isn't over one task.
-    micro = _micro_average_precision(flat)
+    micro = average_precision(flat, ("all",)).agg(F.max("average_precision").alias("average_precision_micro"))
     return macro.join(F.broadcast(micro), F.lit(True))  # one row each
 
 
-def _micro_average_precision(scores: DataFrame, buckets: int = 64) -> DataFrame:
-    """Average precision over all rows: scores fall into ranges, ranges get offsets, and each is summed on its own."""
-    cells = scores.groupBy("score").agg(F.sum("y").cast("double").alias("pos"), F.count("*").cast("double").alias("n"))
-    edges = cells.agg(F.percentile_approx("score", [i / buckets for i in range(1, buckets)], 10_000).alias("e")).first()["e"] or []
-    edges = sorted(set(edges))
-    known = F.array(*[F.lit(float(e)) for e in edges]) if edges else F.array().cast("array<double>")
-    cells = cells.withColumn("bucket", F.size(F.filter(known, lambda e: e < F.col("score"))))
-    offsets = cells.groupBy("bucket").agg(F.sum("pos").alias("p"), F.sum("n").alias("m"))
-    up = Window.partitionBy().orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)  # at most ``buckets`` rows
-    offsets = offsets.select("bucket", F.coalesce(F.sum("p").over(up), F.lit(0.0)).alias("p0"), F.coalesce(F.sum("m").over(up), F.lit(0.0)).alias("m0"))
-    w = Window.partitionBy("bucket").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = cells.join(F.broadcast(offsets), "bucket")  # at most ``buckets`` rows
-    rows = rows.select("pos", (F.col("p0") + F.sum("pos").over(w)).alias("tp"), (F.col("m0") + F.sum("n").over(w)).alias("seen"))
-    return rows.agg(F.try_divide(F.sum(F.col("pos") * F.col("tp") / F.col("seen")), F.sum("pos")).alias("average_precision_micro"))
-
-
 def at_k(scores: DataFrame, ks: tuple[int, ...] = (1, 3, 5), key: str = "handle", by: tuple[str, ...] = ()) -> DataFrame:
     """precision_at_k and recall_at_k; k is at most the number of labels; items without positives recall 0."""
     ranked = rank_labels(scores, key)
@@ -260,30 +255,82 @@ def correlation_p_values(found: DataFrame) -> dict[str, float]:
     return out
 
 
-def resample_weights(items: DataFrame, replicates: int, seed: int, key: str = "handle", stream: str = "") -> DataFrame:
-    """key, replicate, w: Poisson(1) multiplicities by hash, the bootstrap that needs no totals.
-
-    An item's multiplicity in a replicate follows from its hash alone, so items are never gathered; the
-    number of drawn items varies about the number of items.
-    """
-    steps = np.cumsum([0.36787944117144233, 0.36787944117144233, 0.18393972058572117, 0.06131324019524039, 0.015328310048810098, 0.0030656620097620196, 0.0005109436682936699])
-    u = portable_hash(str(seed), stream, F.col(key), F.col("replicate")).cast("double") / F.lit(float(1 << 48))
-    w = sum((u >= F.lit(float(s))).cast("int") for s in steps)
-    return items.select(key, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).withColumn("w", w).where("w > 0")
-
-
-def _replicate_f1(rows: DataFrame, weights: DataFrame, key: str) -> DataFrame:
+#: Poisson(1)'s distribution function, up to where 16 bits no longer tell more.
+POISSON_STEPS = np.cumsum([np.exp(-1.0) / math.factorial(i) for i in range(7)])
+#: Sums of (label, cell) that a task holds at a time.
+HELD_CELLS = 2000
+
+
+def multiplicities(keys: list[str], replicates: int, seed: int, stream: str = "") -> np.ndarray:
+    """keys x replicates Poisson(1) draws: every 16 bits of SHA-256(seed|stream|key|block) are one replicate's."""
+    steps = (np.arange(65_536)[:, None] / 65_536 >= POISSON_STEPS).sum(axis=1).astype(np.uint8)
+    blocks, lead = -(-replicates // 16), f"{seed}|{stream}|"
+    data = b"".join(hashlib.sha256(f"{lead}{key}|{i}".encode()).digest() for key in keys for i in range(blocks))
+    return steps[np.frombuffer(data, dtype=">u2").reshape(len(keys), blocks * 16)[:, :replicates]]
+
+
+def _replicate_counts(rows: DataFrame, replicates: int, seed: int, key: str, stream: str) -> DataFrame:
+    """replicate, label, tp, fp, fn under the items' multiplicities. A task keeps one row of sums a label and
+    cell and hands these on; items are never gathered, nor multiplied by the replicates in an exchange."""
+    import pyarrow as pa
+
+    def run(batches):
+        held: dict[tuple[str, int], np.ndarray] = {}
+
+        def flush():
+            names = list(held)
+            out = pa.RecordBatch.from_arrays(
+                [
+                    pa.array([n[0] for n in names], pa.string()),
+                    pa.array([n[1] for n in names], pa.int32()),
+                    pa.array([held[n] for n in names], pa.list_(pa.int64())),
+                ],
+                names=["label", "cell", "sums"],
+            )
+            held.clear()
+            return out
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, 20_000):
+                part = batch.slice(start, 20_000)
+                items = part.column("item").dictionary_encode()
+                labels = part.column("label").dictionary_encode()
+                own = multiplicities(items.dictionary.to_pylist(), replicates, seed, stream)
+                code = labels.indices.to_numpy().astype(np.int64) * 3 + part.column("cell").to_numpy()
+                order = np.argsort(code, kind="stable")
+                code, at = code[order], items.indices.to_numpy()[order]
+                first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, dtype=np.int64)
+                names = labels.dictionary.to_pylist()
+                for i, j in zip(first.tolist(), [*first[1:].tolist(), len(code)], strict=True):
+                    name = names[int(code[i]) // 3], int(code[i]) % 3
+                    sums = own[at[i:j]].sum(axis=0, dtype=np.int64)
+                    held[name] = held[name] + sums if name in held else sums
+                if len(held) > HELD_CELLS:
+                    yield flush()
+        if held:
+            yield flush()
+
+    cell = F.when((F.col("y") == 1) & (F.col("pred") == 1), 0).when(F.col("pred") == 1, 1).otherwise(2)
+    narrow = rows.where("y = 1 or pred = 1").select(F.col(key).cast("string").alias("item"), F.col("label").cast("string").alias("label"), cell.alias("cell"))
+    sums = narrow.mapInArrow(run, "label string, cell int, sums array<long>").select("label", "cell", F.posexplode("sums").alias("replicate", "n"))
+    of = lambda c: F.sum(F.when(F.col("cell") == c, F.col("n")).otherwise(0))
+    return sums.groupBy("replicate", "label").agg(of(0).alias("tp"), of(1).alias("fp"), of(2).alias("fn"))
+
+
+def _replicate_f1(rows: DataFrame, replicates: int, seed: int, key: str, stream: str = "") -> DataFrame:
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    joined = rows.select(key, "label", "y", "pred").where("y = 1 or pred = 1").join(weights, key)
-    per = counts(("replicate", "label"), joined, F.col("w"))
+    per = _replicate_counts(rows, replicates, seed, key, stream)
     return per.groupBy("replicate").agg(F.sum(f1_of(tp, fp, fn)).alias("f1_sum"), ratio(2 * F.sum(tp), F.sum(2 * tp + fp + fn)).alias("f1_micro"))
 
 
 def bootstrap_intervals(rows: DataFrame, replicates: int = 1000, confidence: float = 0.95, seed: int = 42, key: str = "handle") -> DataFrame:
-    """Estimate and percentile interval of Macro- and Micro-F1; both metrics share each replicate's draw."""
+    """Estimate and percentile interval of Macro- and Micro-F1; both metrics share each replicate's draw.
+
+    An item's multiplicity in a replicate follows from its hash alone (the Poisson bootstrap, which needs no
+    totals); the number of drawn items varies about the number of items.
+    """
     labels = rows.select("label").distinct().count()
-    weights = resample_weights(rows.select(key).distinct(), replicates, seed, key)
-    drawn = _replicate_f1(rows, weights, key).select((F.col("f1_sum") / F.lit(float(labels))).alias("f1_macro"), "f1_micro")
+    drawn = _replicate_f1(rows, replicates, seed, key).select((F.col("f1_sum") / F.lit(float(labels))).alias("f1_macro"), "f1_micro")
     alpha = (1 - confidence) / 2
     main = multilabel_metrics(rows, key)
     out = None
@@ -302,10 +349,9 @@ def paired_bootstrap(reference: DataFrame, candidate: DataFrame, replicates: int
     labels = float(reference.select("label").distinct().count())
     alpha, out = (1 - confidence) / 2, None
     for metric in ("f1_macro", "f1_micro"):
-        weights = resample_weights(reference.select(key).distinct(), replicates, seed, key, metric)
         value = F.col("f1_sum") / F.lit(labels) if metric == "f1_macro" else F.col("f1_micro")
-        a = _replicate_f1(reference, weights, key).select("replicate", value.alias("a"))
-        b = _replicate_f1(candidate, weights, key).select("replicate", value.alias("b"))
+        a = _replicate_f1(reference, replicates, seed, key, metric).select("replicate", value.alias("a"))
+        b = _replicate_f1(candidate, replicates, seed, key, metric).select("replicate", value.alias("b"))
         d = a.join(b, "replicate", "full").select((F.coalesce("b", F.lit(0.0)) - F.coalesce("a", F.lit(0.0))).alias("d"))
         q = d.agg(
             F.percentile("d", F.lit(alpha)).alias("ci_lower"),

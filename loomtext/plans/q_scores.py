@@ -46,7 +46,11 @@ _METRICS = f"""(SELECT avg((fp + fn = 0)::INT) FROM i) AS subset_accuracy, (SELE
 @query(f"WITH {BASE}, {_LABEL}, m AS (SELECT {_METRICS}) SELECT round(COLUMNS(* EXCLUDE n_items), 6), n_items FROM m")
 def multilabel_metrics(spark: SparkSession, sf: str) -> DataFrame:
     found = S.multilabel_metrics(_pred(spark, sf))
-    return found.select(*[F.round(c, 6).alias(c) if c != "n_items" else F.col(c) for c in found.columns])
+    names = (
+        "subset_accuracy hamming_loss precision_macro recall_macro f1_macro jaccard_macro precision_micro recall_micro f1_micro jaccard_micro "
+        "f1_samples jaccard_samples"
+    ).split()
+    return found.select(*[F.round(c, 6).alias(c) for c in names], "n_items")
 
 
 _AP = """s AS (SELECT label, score, sum(y)::DOUBLE AS pos, count(*)::DOUBLE AS n FROM scores GROUP BY ALL),
@@ -147,13 +151,14 @@ def threshold_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(float(t),) for t in found], "threshold double").select(F.round("threshold", 6).alias("threshold")).distinct()
 
 
-_STEPS = "[0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]"
+_STEPS = str([float(x) for x in S.POISSON_STEPS])
 
 
 def _weights_sql(stream: str = "") -> str:
-    h = f"('0x' || substr(sha256('42|{stream}|' || handle || '|' || r), 1, 12))::BIGINT / 281474976710656.0"
-    return f"""bw{stream} AS (SELECT handle, r AS replicate, len(list_filter({_STEPS}, lambda s: u >= s)) AS w
-      FROM (SELECT handle, r, {h} AS u FROM items, (SELECT unnest(range(20)) AS r)) WHERE u >= 0.36787944117144233),
+    h = f"sha256('42|{stream}|' || handle || '|' || i)"
+    return f"""bh{stream} AS (SELECT handle, i, {h} AS h FROM items, (SELECT unnest(range(63)) AS i)),
+    bu{stream} AS (SELECT handle, i * 16 + j AS r, ('0x' || substr(h, (1 + 4 * j)::INT, 4))::INT / 65536.0::DOUBLE AS u FROM bh{stream}, (SELECT unnest(range(16)) AS j)),
+    bw{stream} AS (SELECT handle, r AS replicate, len(list_filter({_STEPS}, lambda s: u >= s)) AS w FROM bu{stream} WHERE r < 1000 AND u >= {float(S.POISSON_STEPS[0])}),
     bc{stream} AS (SELECT replicate, label, sum(w * y * pred) AS tp, sum(w * (1 - y) * pred) AS fp, sum(w * y * (1 - pred)) AS fn FROM p JOIN bw{stream} USING (handle) WHERE y = 1 OR pred = 1 GROUP BY ALL),
     bf{stream} AS (SELECT replicate, sum({_F1}) / (SELECT count(DISTINCT label) FROM il) AS f1_macro, 2.0::DOUBLE * sum(tp) / sum(2 * tp + fp + fn) AS f1_micro FROM bc{stream} GROUP BY replicate)"""
 
