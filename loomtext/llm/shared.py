@@ -54,6 +54,18 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of a table that is broadcast at most.
+BROADCAST_BYTES = 16 << 20
+
+
+def small_side(df: DataFrame, label: str, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A narrow table, stashed and measured: to be broadcast up to ``most`` bytes, else to be merged."""
+    held = stash(df, label)
+    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) if t in ("string", "binary") else F.lit(8)) + 8 for c, t in df.dtypes)
+    size = held.agg(F.sum(width)).first()[0] or 0
+    return F.broadcast(held) if size <= most else held.hint("merge")
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

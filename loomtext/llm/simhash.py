@@ -2,8 +2,9 @@
 
 Fingerprints are folded to distinct ones. Two fingerprints within ``most`` differing bits agree on one
 of ``most + 1`` blocks of bits, so each goes to one group for every block. A group larger than
-``group_rows`` is dealt on to smaller groups by blocks of the bits that its key leaves free, as often as
-needed: members of a group are distinct, so the free bits bound its size, and no pair is lost.
+``group_rows`` is dealt on once more by blocks of the bits that its key leaves free; what is larger even
+then is a crowd of close fingerprints, which is cut into runs, and only those outside the crowd's main
+component meet all of it. No pair is lost.
 
 Inside a task every group is a tree. Its fingerprints are sorted by Gray rank; runs of neighbours are
 factored into upper nodes, each with the masked bit pattern its members share. A self-join walks down
@@ -16,14 +17,14 @@ its pairs. Links become components by large-star and small-star rounds over stas
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import forget, pieces, spread_lookup, stash, text_or_empty
+from .shared import forget, pieces, small_side, spread_lookup, stash, text_or_empty
 from .tokenizer_files import text_batches
 
 BITS = 64
@@ -136,8 +137,8 @@ class GrayTree:
             group = group[first]
         self.kids = [(s, np.r_[s[1:], n]) for s, n in zip(starts, [len(x[0]) for x in self.levels[:-1]], strict=True)]
 
-    def links(self, most: int) -> np.ndarray:
-        """Labels of the components at ``most`` differing bits or fewer."""
+    def links(self, most: int, accept: Callable | None = None) -> np.ndarray:
+        """Labels of the components at ``most`` differing bits or fewer; ``accept`` (rows a, rows b) may refuse links."""
         label = np.arange(len(self.levels[0][0]))
         top = len(self.levels) - 1
         every = np.arange(len(self.levels[top][0]))
@@ -152,8 +153,12 @@ class GrayTree:
             least = np.bitwise_count((value[a] ^ value[b]) & shared).astype(np.int64)
             near = least <= most
             if level == 0:
-                near &= a != b
-                label = unite(label, a[near], b[near])
+                near &= label[a] != label[b] if accept else a != b
+                a, b = a[near], b[near]
+                if accept:
+                    good = accept(a, b)
+                    a, b = a[good], b[good]
+                label = unite(label, a, b)
                 continue
             a, b, least, shared = a[near], b[near], least[near], shared[near]
             # All rows of a node in one component: the smallest and the largest label are the same.
@@ -166,6 +171,8 @@ class GrayTree:
             n = len(a)
             done = even[:n] & even[n:] & (name[:n] == name[n:])
             whole = ~done & (least + (BITS - np.bitwise_count(shared)).astype(np.int64) <= most)
+            if accept:
+                whole[:] = False  # every pair has to be asked for
             if whole.any():
                 for x, y in zip(a[whole].tolist(), b[whole].tolist(), strict=True):
                     rows = np.r_[low[x] : high[x], low[y] : high[y]]
@@ -193,13 +200,28 @@ class GrayTree:
         return label
 
 
-def group_links(key: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (fingerprint, the component's first fingerprint) among rows that share a key."""
+def group_links(
+    key: np.ndarray, fp: np.ndarray, most: int, node: np.ndarray | None = None, wide: np.ndarray | None = None, most_wide: int = 0
+) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, the component's first node) among rows that share a key; nodes are the fingerprints if not given.
+
+    With ``wide`` fingerprints (rows x words) a link needs at most ``most_wide`` differing bits of these, too.
+    """
+    node = fp if node is None else node
     order = np.lexsort((gray_rank(fp), key))
-    key, fp = key[order], fp[order]
-    label = GrayTree(key, fp).links(most) if len(fp) else np.zeros(0, dtype=np.int64)
+    key, fp, node = key[order], fp[order], node[order]
+    accept = None
+    if wide is not None:
+        wide = wide[order]
+
+        def accept(a, b):
+            steps = [slice(i, i + 32_768) for i in range(0, len(a), 32_768)]
+            apart = [np.bitwise_count(wide[a[s]] ^ wide[b[s]]).sum(axis=1, dtype=np.int64) for s in steps]
+            return np.concatenate([np.zeros(0, dtype=np.int64), *apart]) <= most_wide
+
+    label = GrayTree(key, fp).links(most, accept) if len(fp) else np.zeros(0, dtype=np.int64)
     linked = np.flatnonzero(label != np.arange(len(label)))
-    return fp[linked], fp[label[linked]]
+    return node[linked], node[label[linked]]
 
 
 def blocks(free: list[int], parts: int) -> list[list[int]]:
@@ -213,41 +235,115 @@ def _mask(bits: list[int]) -> int:
     return value - (1 << BITS) if value >> (BITS - 1) else value
 
 
-def similar_links(distinct: DataFrame, most: int = 3, group_rows: int = 8192) -> DataFrame:
-    """Links (a, b) between fingerprints of ``distinct`` (column fp): their components are those of all
-    pairs at ``most`` differing bits or fewer. Every link is such a chain; none of the pairs is missing."""
+#: How often groups are dealt on by blocks of bits: at most (most + 1) ** LEVELS rows a fingerprint.
+LEVELS = 2
+
+
+def _gray_order(fp: Column) -> Column:
+    """The place of a fingerprint in Gray order, as a long (its upper half counts below its lower one)."""
+    for s in (1, 2, 4, 8, 16, 32):
+        fp = fp.bitwiseXOR(F.shiftrightunsigned(fp, s))
+    return fp
+
+
+def _grouped_links(rows: DataFrame, keys: list[str], most: int, most_wide: int | None, chunk: int | None = None) -> DataFrame:
+    """Links among rows that share the keys; partitions hold whole groups, sorted. With ``chunk``, groups are cut
+    into runs of that many rows, of which each begins with the last one's last row."""
     import pyarrow as pa
 
-    def run(batches):
-        held: list[tuple[np.ndarray, ...]] = []
+    def arrays(batch):
+        out = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "fp")]
+        if most_wide is not None:
+            out.append(np.frombuffer(b"".join(batch.column("wide").to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1))
+        return tuple(out)
 
-        def found(rows, whole):
-            path, value, fp = (np.concatenate(x) for x in zip(*rows, strict=True))
-            new = np.r_[True, (path[1:] != path[:-1]) | (value[1:] != value[:-1])]
-            cut = len(fp) if whole else int(np.flatnonzero(new)[-1])  # the last group may go on
-            a, b = group_links(np.cumsum(new)[:cut], fp[:cut].view(np.uint64), most) if cut else (fp[:0], fp[:0])
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(x.view(np.int64), pa.int64()) for x in (a, b)], names=["a", "b"]
-            )
-            return out, [(path[cut:], value[cut:], fp[cut:])]
+    def found(key, node, fp, *wide):
+        group = np.cumsum(np.r_[True, key[1:] != key[:-1]])
+        if chunk:
+            at = np.arange(len(group))
+            inside = at - np.maximum.accumulate(np.where(np.r_[True, group[1:] != group[:-1]], at, 0))
+            again = np.flatnonzero((inside % chunk == 0) & (inside > 0))  # a row that opens a run also ends the one before
+            place = np.sort(np.r_[at, again], kind="stable")
+            first = np.r_[True, place[1:] != place[:-1]]
+            group = np.cumsum(np.r_[True, (group[place][1:] != group[place][:-1]) | ~first[1:]])
+            node, fp, wide = node[place], fp[place], [w[place] for w in wide]
+        a, b = group_links(group, fp.view(np.uint64), most, node, wide[0] if wide else None, most_wide or 0)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b)], names=["a", "b"])
 
+    def run(batches):
+        held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             if batch.num_rows:
-                held.append(tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("path", "value", "fp")))
+                held.append(arrays(batch))
             if sum(len(x[0]) for x in held) > 65_536:
-                out, held = found(held, False)
-                yield out
+                whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+                new = np.flatnonzero(np.r_[True, whole[0][1:] != whole[0][:-1]])
+                cut = int(new[-1])  # the last group may go on
+                if not cut and chunk:
+                    cut = len(whole[0]) - 1
+                if cut:
+                    yield found(*(x[:cut] for x in whole))
+                    back = int(bool(chunk) and cut > new[-1])
+                    held = [tuple(x[cut - back :] for x in whole)]
+                else:
+                    held = [tuple(whole)]
         if held:
-            yield found(held, True)[0]
+            yield found(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    carried = ["key", "node", "fp", *(["wide"] if most_wide is not None else [])]
+    keyed = rows.withColumn("key", F.xxhash64(*keys))  # two groups of one key are but one larger group
+    if chunk:
+        keyed = keyed.withColumn("at", _gray_order(F.col("fp")))
+        dealt = keyed.repartitionByRange("key", "at").sortWithinPartitions("key", "at")
+    else:
+        dealt = keyed.repartition("key").sortWithinPartitions("key")
+    return dealt.select(*carried).mapInArrow(run, "a long, b long")
 
-    spark = distinct.sparkSession
+
+def _crowded_links(rows: DataFrame, most: int, group_rows: int, most_wide: int | None) -> DataFrame:
+    """Links among groups (path, value) beyond ``group_rows`` rows, which dealing by bits no longer parts.
+
+    Runs of neighbours in Gray order link first. Then the rows outside their group's largest component
+    ("strays") meet all rows of the group, in tiles of bounded size; two rows of one component need not meet.
+    Work grows with the rows and with the strays times the rows, so a crowd of linked copies costs little.
+    """
+    rows = stash(rows, "crowded")
+    first = stash(_grouped_links(rows, ["path", "value"], most, most_wide, group_rows), "crowded-links")
+    stars = stash(components(first), "crowded-stars").withColumnRenamed("root", "own")
+    rooted = rows.join(stars, "node", "left").withColumn("own", F.coalesce("own", "node"))
+    rooted = stash(rooted.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(64))), "crowded-rooted")
+    sizes = rooted.groupBy("path", "value", "own").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("path", "value").agg(F.max_by("own", F.struct("n", "own")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
+    tiles = lambda n: F.ceil(n / F.lit(float(group_rows))).cast("int")
+    main = main.where("n > most").select(
+        "path", "value", "main", tiles(F.col("n")).alias("row_tiles"), tiles(F.col("n") - F.col("most")).alias("stray_tiles")
+    )
+    main = stash(main, "crowded-main")
+    if main.isEmpty():
+        return first
+    rooted = spread_lookup(rooted, main, ["path", "value"], "salt").where("main is not null")
+    place = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "node"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    as_rows = rooted.withColumn("i", place(1, F.col("row_tiles"))).withColumn("j", every("stray_tiles"))
+    strays = rooted.where("own <> main").withColumn("j", place(2, F.col("stray_tiles"))).withColumn("i", every("row_tiles"))
+    names = [*rows.columns, "i", "j"]
+    # A stray that meets itself in its own tile is one row too many, no more.
+    both = as_rows.select(*names).unionByName(strays.select(*names))
+    return first.unionByName(_grouped_links(both, ["path", "value", "i", "j"], most, most_wide))
+
+
+def similar_links(distinct: DataFrame, most: int = 3, group_rows: int = 8192, most_wide: int | None = None) -> DataFrame:
+    """Links (a, b) between the nodes of ``distinct`` (columns node, fp): their components are those of all
+    pairs at ``most`` differing bits or fewer. Every link is such a chain; none of the pairs is missing.
+    With ``most_wide``, the column ``wide`` has to be that close as well."""
+    carried = ["node", "fp", *(["wide"] if most_wide is not None else [])]
     paths = {0: list(range(BITS))}  # each path of blocks leaves these bits free
-    rows = distinct.select(F.lit(0).alias("path"), F.lit(0).cast("long").alias("value"), "fp")
+    rows = distinct.select(F.lit(0).alias("path"), F.lit(0).cast("long").alias("value"), *carried)
     links, next_path = None, 1
-    while True:
+    for level in range(1, LEVELS + 1):
         dealt, deeper = [], {}
         for path, free in paths.items():
-            for i, own in enumerate(blocks(free, most + 1)):
+            for own in blocks(free, most + 1):
                 deeper[next_path] = [b for b in free if b not in own]
                 dealt.append((path, next_path, _mask(own)))
                 next_path += 1
@@ -265,46 +361,43 @@ def similar_links(distinct: DataFrame, most: int = 3, group_rows: int = 8192) ->
         rows = rows.withColumn("send", F.explode(sends[F.col("path")])).select(
             F.col("send.to").alias("path"),
             F.col("value").bitwiseOR(F.col("fp").bitwiseAND(F.col("send.mask"))).alias("value"),
-            "fp",
+            *carried,
         )
         sizes = stash(rows.groupBy("path", "value").count().where(F.col("count") > group_rows), "large-groups")
-        last = sizes.isEmpty() or min(map(len, deeper.values())) <= max(1, group_rows.bit_length() - 1)
-        small = rows if last else rows.join(sizes, ["path", "value"], "left_anti")
-        found = (
-            small.repartition("path", "value")
-            .sortWithinPartitions("path", "value")
-            .mapInArrow(run, "a long, b long")
-        )
+        none = sizes.isEmpty()
+        found = _grouped_links(rows if none else rows.join(sizes, ["path", "value"], "left_anti"), ["path", "value"], most, most_wide)
         links = found if links is None else links.unionByName(found)
-        if last:
+        if none:
             return links
         rows = rows.join(sizes.select("path", "value"), ["path", "value"], "left_semi")
         used = {r.path for r in sizes.select("path").distinct().collect()}  # at most the number of paths
         paths = {p: f for p, f in deeper.items() if p in used}
+    return links.unionByName(_crowded_links(rows, most, group_rows, most_wide))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, salts: int = 64) -> DataFrame:
     """node, root (the smallest node of its component) for every node of the links a, b.
 
-    Large-star and small-star rounds on stashed tables until no link changes. A node with many links
-    is aggregated before the exchange; Spark splits its rows in the join that follows.
+    Large-star and small-star rounds on stashed tables until no link changes. A node with many links is
+    aggregated before the exchange, and what it learns goes back to its links by (node, salt).
     """
+    salt = F.pmod(F.xxhash64("v"), F.lit(salts)).alias("salt")
     edges = stash(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links"
     )
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).select("u", "v", salt)
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = spread_lookup(both, least, ["u"], "salt").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.where("u <> v").distinct().select("u", "v", salt)
         # small-star: all smaller neighbours, and the node itself, to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        small = spread_lookup(large, low, ["u"], "salt")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         after = stash(small.where("u <> v").distinct(), "links")
         # Done when every node has one link and no node is both a root and a member: a set of stars.
         state = after.groupBy("u").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-        chained = after.join(after.select(F.col("v").alias("u")), "u", "left_semi").isEmpty()
+        chained = after.join(after.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
         forget(edges)
         edges = after
         if state <= 1 and chained:
@@ -312,6 +405,16 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def component_names(distinct: DataFrame, links: DataFrame, salts: int = 64) -> DataFrame:
+    """node, component_id of the nodes of ``distinct`` (node, least: its smallest identifier) under the links."""
+    stars = stash(components(links), "stars")
+    rows = distinct.select("node", "least").join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = stash(rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts))), "rooted")
+    smallest = rows.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = spread_lookup(rows, smallest, ["root"], "salt").select("node", "component_id")
+    return named
+
+
 def near_duplicates(
     docs: DataFrame,
     words: int = 3,
@@ -329,27 +432,142 @@ def near_duplicates(
     space and only A-Z are lower-cased. An empty table gives an empty result; other columns are not read.
     """
     rows = stash(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    distinct = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    stars = stash(components(similar_links(distinct.select("fp"), most, group_rows)), "stars")
-    member = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
-    linked = distinct.join(member.withColumnRenamed("node", "fp"), "fp")
-    smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = linked.join(smallest, "root").select("fp", "component_id")
-    alone = distinct.join(member.select(F.col("node").alias("fp")), "fp", "left_anti")
-    named = named.unionByName(alone.select("fp", F.col("least").alias("component_id")))
+    distinct = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.col("fp")), "distinct-fingerprints")
+    named = component_names(distinct, similar_links(distinct.select("node", "fp"), most, group_rows)).withColumnRenamed("node", "fp")
     return spread_lookup(rows, named, ["fp"], "part").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp"
     )
 
 
+#: Words of 64 bits in a wide fingerprint.
+WIDE = 32
+_MIX = np.random.default_rng(21).integers(0, 2**64, size=(2, WIDE + 2), dtype=np.uint64)
+_TIMES = _MIX[0] | np.uint64(1)
+
+
+def spread_bits(h: np.ndarray, first: int, count: int) -> np.ndarray:
+    """rows x ``count`` independent 64-bit hashes of each hash, the ones from number ``first`` on."""
+    x = (h[:, None] ^ _MIX[1, first : first + count]) * _TIMES[first : first + count]
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58_476D_1CE4_E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def majority(hashes: np.ndarray, first: int, count: int) -> np.ndarray:
+    """``count`` words of a fingerprint of distinct hashes: a bit is 1 if it is set in over half of the spread hashes.
+
+    Bits are summed in planes: 255 rows become 8 words of binary digits by carry-save addition, so a row
+    costs a few word operations a word rather than 64 additions.
+    """
+    total = np.zeros((count, 64), dtype=np.int64)
+    for s in range(0, len(hashes), 8192):
+        rows = spread_bits(hashes[s : s + 8192], first, count)
+        weight = 1
+        while len(rows):
+            carried = []
+            while len(rows) > 2:
+                n = len(rows) // 3
+                a, b, c, rest = rows[:n], rows[n : 2 * n], rows[2 * n : 3 * n], rows[3 * n :]
+                half = a ^ b
+                carried.append((a & b) | (half & c))
+                rows = np.concatenate([half ^ c, rest])
+            for row in rows:
+                total += weight * np.unpackbits(row.astype(">u8").view(np.uint8).reshape(count, 8), axis=1).astype(np.int64)
+            rows = np.concatenate(carried) if carried else rows[:0]
+            weight *= 2
+    return np.packbits(total * 2 > len(hashes), axis=1).view(">u8").ravel().astype(np.uint64)
+
+
+def wide_distance(least: float) -> int:
+    """Differing bits of wide fingerprints at a Jaccard similarity of ``least``, for sets of equal size.
+
+    Two such sets meet at the cosine 2J / (1 + J); a bit differs with the probability of angle / pi.
+    """
+    return int(WIDE * BITS * np.arccos(2 * least / (1 + least)) / np.pi)
+
+
+def text_fingerprints(data: bytes, words: int) -> tuple[int, int, bytes]:
+    """Two 64-bit fingerprints of a text's distinct words and the wide one of its distinct shingles."""
+    out = []
+    for n, first, count in ((1, 0, 2), (words, 2, WIDE)):
+        found = [np.unique(h) for h in shingle_hashes(data, n)]
+        found = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.uint64)
+        out.append(majority(found, first, count))
+    return int(out[0][0]), int(out[0][1]), out[1].tobytes()
+
+
+def wide_fingerprints(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, part (input partition), fp and fp2 (of distinct words), wide (of distinct shingles), node (their hash)."""
+    import pyarrow as pa
+
+    text_batches(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            found = [text_fingerprints(x.as_buffer().to_pybytes(), words) for x in batch.column("text")]
+            fps = [pa.array(np.array([f[i] for f in found], dtype=np.uint64).view(np.int64), pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("part"), *fps, pa.array([f[2] for f in found], pa.binary())],
+                names=["doc_id", "part", "fp", "fp2", "wide"],
+            )
+
+    narrow = docs.select(
+        F.col(id_col).alias("doc_id"), F.spark_partition_id().alias("part"), F.encode(text_or_empty(text_col), "UTF-8").alias("text")
+    )
+    kind = narrow.schema["doc_id"].dataType.simpleString()
+    rows = narrow.mapInArrow(run, f"doc_id {kind}, part int, fp long, fp2 long, wide binary")
+    return rows.withColumn("node", F.xxhash64("fp", "fp2", "wide"))
+
+
+def similar_documents(
+    docs: DataFrame,
+    words: int = 5,
+    least: float = 0.8,
+    margin: float = 0.02,
+    most: int = 6,
+    group_rows: int = 4096,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """One row per document: doc_id, component_id, the smallest identifier that links reach.
+
+    Documents link if their fingerprints tell a Jaccard similarity of ``least`` or more on the sets of their
+    ``words``-word shingles. Wide fingerprints of 2,048 bits tell it with a standard error of about 0.015;
+    ``margin`` is taken off so that it costs few links. Documents meet by the Gray-order index of two
+    64-bit fingerprints of their distinct words, at ``most`` differing bits of either: a light edit touches
+    ``words`` shingles but one or two words, so these lie close where those of the shingles don't.
+
+    The index runs twice: on 64-bit fingerprints alone, which finds the documents that have a neighbour,
+    and with the wide fingerprints of these. Words are cut at ASCII white space and only A-Z are
+    lower-cased; a text of fewer words is one shingle; texts without words (null ones, too) are alike.
+    Null identifiers pass through and name no component that has another. Texts of the same sets are
+    one entry of the index. An empty table gives an empty result; other columns are not read.
+    """
+    rows = stash(wide_fingerprints(docs, words, id_col, text_col), "wide-fingerprints")
+    distinct = rows.groupBy("node").agg(
+        F.min("doc_id").alias("least"), *(F.min(c).alias(c) for c in ("fp", "fp2")), F.min("wide").alias("wide")
+    )
+    distinct = stash(distinct, "distinct-fingerprints")
+    either = ["fp", "fp2"]
+    near = [similar_links(distinct.select("node", F.col(c).alias("fp")), most, group_rows) for c in either]
+    seen = near[0].unionByName(near[1])
+    seen = stash(seen.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-nodes")
+    held = stash(distinct.join(seen, "node", "left_semi"), "near-fingerprints")
+    limit = wide_distance(least - margin)
+    links = [similar_links(held.select("node", F.col(c).alias("fp"), "wide"), most, group_rows, limit) for c in either]
+    named = component_names(distinct, links[0].unionByName(links[1]))
+    forget(held)
+    return spread_lookup(rows.select("doc_id", "part", "node"), named, ["node"], "part").select("doc_id", "component_id")
+
+
 def keep_named(docs: DataFrame, ruled: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without those whose component has a smaller identifier; own columns.
 
     ``ruled`` is a stashed table of doc_id and component_id.
     Of a component one row stays: the one whose identifier is the component's. A row without identifier
     stays only if its component has no identifier at all. Rows that repeat a staying identifier stay once
-    for each different text. Only narrow rows of dropped identifiers meet the texts: Spark
-    broadcasts them if they measure small enough, and else joins by identifier, which has no hot key.
+    for each different text. Only narrow rows of dropped identifiers meet the texts: they are broadcast up
+    to a measured size, and else merged by identifier, which has no hot key.
     """
     name = F.col("doc_id").alias("_gone")
     # An identifier stays if one of its rows is the component's.
@@ -358,7 +576,7 @@ def keep_named(docs: DataFrame, ruled: DataFrame, id_col: str = "doc_id", text_c
     gone = ruled.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(name).distinct()
     gone = gone.join(stay.select(F.col("doc_id").alias("_stays")), F.col("_gone").eqNullSafe(F.col("_stays")), "left_anti")
     match = F.col(id_col).eqNullSafe(F.col("_gone"))
-    kept = docs.join(gone, match, "left_anti")
+    kept = docs.join(small_side(gone, "gone"), match, "left_anti")
     if again.isEmpty():
         return kept
     one = kept.join(again, match, "left_semi").withColumn("_text", text_or_empty(text_col))
@@ -367,13 +585,8 @@ def keep_named(docs: DataFrame, ruled: DataFrame, id_col: str = "doc_id", text_c
 
 
 def drop_near_duplicates(
-    docs: DataFrame,
-    words: int = 3,
-    most: int = 3,
-    group_rows: int = 8192,
-    id_col: str = "doc_id",
-    text_col: str = "text",
+    docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **settings
 ) -> DataFrame:
-    """The rows of ``docs`` that keep_named leaves by the components of near_duplicates."""
-    ruled = stash(near_duplicates(docs, words, most, group_rows, id_col, text_col), "components")
+    """The rows of ``docs`` that keep_named leaves by the components of similar_documents."""
+    ruled = stash(similar_documents(docs, words, least, id_col=id_col, text_col=text_col, **settings), "components")
     return keep_named(docs, ruled, id_col, text_col)

@@ -8,7 +8,7 @@ import tiktoken
 import corpus_pipeline
 from loomtext.llm.shared import SPACES, stash, table
 
-from .test_simhash import plain_components, plain_fingerprint
+from .test_similar import pairs_of
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -30,9 +30,9 @@ def test_stages(spark):
         best[key] = min(best.get(key, (1, 0)), (-len(t), i))
     assert sorted(i for _, i in best.values()) == sorted(r.doc_id for r in after.collect())
     before, after = seen["near"]
-    ids = sorted(before)
-    roots = plain_components(ids, [plain_fingerprint(before[i]) for i in ids])
-    assert sorted(set(roots)) == sorted(r.doc_id for r in after.collect())
+    rows, left = sorted(before.items()), {r.doc_id for r in after.collect()}
+    assert not [p for p in pairs_of(rows, 0.84) if rows[p[0]][0] in left and rows[p[1]][0] in left]
+    assert set(before) - left <= {rows[i][0] for i, _ in pairs_of(rows, 0.74)}
     before, after = seen["mixing"]
     assert 0 < after.count() < len(before)
     before, after = seen["encoding"]
