@@ -1,15 +1,16 @@
 """Operator 1, exact deduplication: a tree-merge of sorted digest runs.
 
-Every input partition is a rank and makes one run: its digests in order, each with its best document
-and a count (the sorted partial aggregation below an exchange). In each round the ranks that share a
-parent hand their runs over, and the parent merges up to ``fan_in`` of them (the sorted final
-aggregation), keeping the best identifier of every digest. Binomial rounds of width ``fan_in`` go on
-until one rank holds every digest; its run is itself spread over the tasks by digest, so no task holds
-it all. A digest that a third of all rows share is one entry a run, at every level. Winners then go
-back down to the ranks by (rank, digest) and to the rows, again without gathering a digest's rows.
+Every input partition is a rank and makes one run: its digests in order, each with its best document and
+a count. Then ranks exchange runs in binomial rounds: in round r the ranks whose bit r is set send their
+run to the rank 2^r below, which merges the two sorted runs (a sort-merge join on the digest, one row a
+digest on either side) and keeps the better identifier of every digest that both hold. After as many
+rounds as the number of ranks has bits, rank 0 holds every digest. A run is spread over the tasks by
+digest, so no task holds it all, and it may spill; a digest that a third of all rows share is one entry a
+run, at every level. With ``ways`` above two a round merges that many runs, the sent ones one after the other.
+Winners then go back down to the ranks by (rank, digest) and to the rows, without gathering a digest's rows.
 
 Verified: an entry merges with another only if SHA-256, an independent 64-bit hash and the normalised
-length all agree; the three together are the sort key of the runs.
+length all agree; the three together are the sort key of the runs. Every round is a stored table.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACES, spread_lookup, stash, text_or_empty
+from .shared import SPACES, forget, small_side, spread_lookup, stash, text_or_empty
 
 KEY = ["digest", "check", "n_norm"]
 
@@ -43,22 +44,42 @@ def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def merge_runs(rows: DataFrame, fan_in: int) -> DataFrame:
-    """All digests with their best document and count, merged in rounds of ``fan_in`` ranks."""
-    width = (rows.agg(F.max("rank")).first()[0] or 0) + 1
+def first_runs(rows: DataFrame) -> DataFrame:
+    """Every rank's own run: one entry a digest, its best document and how many rows have it."""
     best = F.struct(
         (-F.col("n_points")).alias("less_points"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_uid"
     )
-    runs = rows.select("rank", *KEY, best.alias("best"), F.lit(1).cast("long").alias("n"))
-    while True:
-        runs = runs.withColumn("rank", F.expr(f"rank div {fan_in}").cast("int"))
-        runs = runs.groupBy("rank", *KEY).agg(F.min("best").alias("best"), F.sum("n").alias("n"))
-        width = -(-width // fan_in)
-        if width == 1:
-            return runs.drop("rank")
+    return rows.select("rank", *KEY, best.alias("best")).groupBy("rank", *KEY).agg(F.min("best").alias("best"), F.count("*").alias("n"))
+
+
+def merge_round(runs: DataFrame, stride: int, ways: int = 2) -> DataFrame:
+    """Ranks at the multiples of ``stride * ways`` take the runs of the ``ways - 1`` ranks above, ``stride`` apart."""
+    place = F.expr(f"(rank div {stride}) % {ways}")
+    merged = runs.where(place == 0)
+    for i in range(1, ways):
+        sent = runs.where(place == i).select(
+            (F.col("rank") - i * stride).alias("rank"), *KEY, F.col("best").alias("sent_best"), F.col("n").alias("sent_n")
+        )
+        both = merged.hint("merge").join(sent.hint("merge"), ["rank", *KEY], "full")
+        n = F.coalesce("n", F.lit(0)) + F.coalesce("sent_n", F.lit(0))
+        merged = both.select("rank", *KEY, F.least("best", "sent_best").alias("best"), n.alias("n"))  # least() skips nulls
+    return merged
+
+
+def merge_runs(rows: DataFrame, ways: int = 2) -> DataFrame:
+    """All digests with their best document and count, merged round by round into rank 0."""
+    if ways < 2:
+        raise ValueError("a round merges two runs at least")
+    width = (rows.agg(F.max("rank")).first()[0] or 0) + 1
+    runs, stride = stash(first_runs(rows), "runs"), 1
+    while stride < width:
+        merged = stash(merge_round(runs, stride, ways), "runs")
+        forget(runs)
+        runs, stride = merged, stride * ways
+    return runs.drop("rank")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 64) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ways: int = 2) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, n_points, row_uid.
 
     Texts are equal when identical without the characters of SPACES. Of equal texts the one with the
@@ -68,7 +89,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     identifier and the text are not looked at.
     """
     rows = stash(digest_rows(docs, id_col, text_col), "digests")
-    groups = merge_runs(rows, fan_in).where("n > 1").select(*KEY, "best", F.col("n").alias("group_size"))
+    groups = merge_runs(rows, ways).where("n > 1").select(*KEY, "best", F.col("n").alias("group_size"))
     known = F.col("group_size").isNotNull()
     return spread_lookup(rows, groups, KEY, "rank").select(
         "doc_id",
@@ -81,36 +102,28 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 64) -> DataFrame:
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ways: int = 2) -> DataFrame:
     """The rows of ``docs`` that exact_dedup keeps, with their own columns.
 
-    Only narrow rows of dropped documents meet the texts; Spark broadcasts them if they measure small
-    enough and otherwise joins by (identifier, digest, length), which has no hot key.
+    Only identifiers of dropped documents meet the texts: they are broadcast up to a measured size, and
+    else merged by identifier. Identifiers of which some rows stay and others go (repeated ones) are
+    told apart by digest and length; of rows that these don't tell apart either, one stays.
     """
-    ruled = stash(exact_dedup(docs, id_col, text_col, fan_in), "ruled")
+    ruled = stash(exact_dedup(docs, id_col, text_col, ways), "ruled")
+    stay = ruled.where("kept").select(F.col("doc_id").alias("_stays")).distinct()
+    gone = ruled.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    same = F.col("_gone").eqNullSafe(F.col("_stays"))
+    mixed = stash(gone.join(stay, same, "left_semi"), "mixed")
+    match = F.col(id_col).eqNullSafe(F.col("_gone"))
+    kept = docs.join(small_side(gone.join(stay, same, "left_anti"), "gone"), match, "left_anti")
+    if mixed.isEmpty():
+        return kept
     text = text_or_empty(text_col)
-    marks = docs.select(
-        *docs.columns,
-        F.col(id_col).alias("_id"),
-        F.length(text).cast("long").alias("_points"),
-        F.sha2(F.translate(text, SPACES, ""), 256).alias("_sha"),
-    )
-    on = lambda x: (
-        F.col("_id").eqNullSafe(x["_gone_id"]) & (F.col("_points") == x["_gone_points"]) & (F.col("_sha") == x["_gone_sha"])
-    )
-    name = lambda x: x.select(
-        F.col("doc_id").alias("_gone_id"), F.col("n_points").alias("_gone_points"), F.col("text_sha256").alias("_gone_sha")
+    marks = kept.join(mixed, match, "left_semi").select(
+        *kept.columns, F.length(text).cast("long").alias("_points"), F.sha2(F.translate(text, SPACES, ""), 256).alias("_sha")
     )
-    keepers = ruled.where("kept")
-    # Rows that repeat identifier, digest and length of a kept row can't be told apart by those; one of each is taken.
-    again = ruled.where("not kept").join(
-        keepers.where("group_size > 1").select("text_sha256", "doc_id", "n_points"), ["text_sha256", "n_points"], "left_semi"
-    ).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    again = stash(name(again).distinct(), "again")
-    gone = name(ruled.where("not kept")).distinct()
-    gone = gone.join(again, gone["_gone_sha"].eqNullSafe(again["_gone_sha"]) & gone["_gone_id"].eqNullSafe(again["_gone_id"]) & (gone["_gone_points"] == again["_gone_points"]), "left_anti")
-    kept = marks.join(gone, on(gone), "left_anti")
-    if again.isEmpty():
-        return kept.select(*docs.columns)
-    one = marks.join(again, on(again), "left_semi").dropDuplicates(["_id", "_points", "_sha"])
-    return kept.join(again, on(again), "left_anti").unionByName(one).select(*docs.columns)
+    of_mixed = ruled.where("kept").join(mixed, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_semi")
+    right = of_mixed.select(F.col("doc_id").alias("_stays"), F.col("n_points").alias("_right_points"), F.col("text_sha256").alias("_right_sha")).distinct()
+    on = F.col(id_col).eqNullSafe(F.col("_stays")) & (F.col("_points") == F.col("_right_points")) & (F.col("_sha") == F.col("_right_sha"))
+    one = marks.join(right, on, "left_semi").dropDuplicates([id_col, "_points", "_sha"])
+    return kept.join(mixed, match, "left_anti").unionByName(one.select(*docs.columns))
