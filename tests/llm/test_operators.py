@@ -32,7 +32,7 @@ ODD = [(1, None), (2, ""), (3, " \t\n"), (None, "a b"), (4, "ab"), (4, "ab"), (5
 
 
 def test_exact_dedup(spark):
-    got = exact_dedup(frame(spark, ODD).repartition(5), fan_in=2).collect()
+    got = exact_dedup(frame(spark, ODD).repartition(5)).collect()
     assert len(got) == len(ODD)
     by = {}
     for r in got:
@@ -45,6 +45,24 @@ def test_exact_dedup(spark):
     assert exact_dedup(frame(spark, ODD).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("parts,ways,rounds", [(1, 2, 0), (4, 2, 2), (6, 2, 3), (7, 3, 2)])
+def test_binomial_rounds_equal_brute_force(spark, monkeypatch, parts, ways, rounds):
+    from loomtext.llm import exact_dedup as E
+
+    strides = []
+    plain_round = E.merge_round
+    monkeypatch.setattr(E, "merge_round", lambda runs, stride, w: (strides.append(stride), plain_round(runs, stride, w))[1])
+    random.seed(parts)
+    rows = [(i, random.choice(["hot", " hot", "h ot  ", f"text {i % 5}", f"own{i}"])) for i in range(80)]
+    df = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string").repartition(parts)
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup(df, ways=ways).collect()}
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(t.replace(" ", ""), []).append((-len(t), i))
+    want = {i: (min(g)[1], len(g), i == min(g)[1]) for g in groups.values() for _, i in g}
+    assert got == want and strides == [ways**r for r in range(rounds)]
+
+
 def test_drop_exact_duplicates_keeps_one_of_repeated_rows(spark):
     rows = [(1, "x"), (1, "x"), (2, "x"), (3, "y"), (None, "z"), (None, "z")]
     got = drop_exact_duplicates(frame(spark, rows))
@@ -65,7 +83,8 @@ def test_top_k_against_brute_force(spark):
     x[7] = x[9]
     rows = [(i, [float(v) for v in x[i]]) for i in range(400)] + [(1000, None), (1001, [float("nan")] * 12), (1002, [None] * 12), (1003, [float("inf")] * 12)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in top_k(df.repartition(3), every=50, block=3).collect()]
+    df = df.withColumns({"rank": F.lit(1), "score": F.lit("s"), "x": F.lit(0)})  # clashing names
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in top_k(df.repartition(3), every=50, block=3, sample=64).collect()]
     q = np.floor(1024 * x.astype(np.float64)).astype(np.int64)
     want = []
     for i in range(0, 400, 50):
@@ -75,6 +94,30 @@ def test_top_k_against_brute_force(spark):
     assert top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_bounds_prune_level_by_level(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(8, 32))
+    x = centres[rng.integers(0, 8, 1500)] + 0.15 * rng.normal(size=(1500, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    left = {r.level: r.pairs for r in top_k(df, every=100, sample=300, survival=True).collect()}
+    assert left[0] == 15 * 1499 and sorted(left) == [0, 1, 2, 3]
+    assert left[1] >= left[2] >= left[3] and left[3] < 0.2 * left[0]
+
+
+def test_rotation_keeps_products_and_bounds_hold():
+    from loomtext.llm import topk as K
+
+    rng = np.random.default_rng(5)
+    for width in (1, 2, 3, 7, 64):
+        x = rng.normal(size=(60, width)) * rng.uniform(0.1, 5, width)
+        turn = K.fitted_rotation(x)
+        assert np.allclose(turn @ turn.T, np.eye(width))
+        y = x @ turn
+        for parts in K.resolutions(width):
+            s = K.segment_statistics(y, parts)
+            assert (s @ s.T + 1e-6 >= x @ x.T).all()
+
+
 def test_top_k_of_few_and_huge_vectors(spark):
     df = spark.createDataFrame([(0, [1e6, 2.0]), (1, [2e6]), (1, [2e6]), (2, [])], "vec_id long, embedding array<double>")
     got = {(r.rank, r.vec_id, r.score) for r in top_k(df, k=3).collect()}
