@@ -1,16 +1,19 @@
 """Operator 3, personal data: fixed base rules and bootstrapped contextual extraction.
 
 One pass over the texts finds the base spans (the seeds) and, outside them, candidates: spans of digits
-and separators that have a kind's form, among them those that a base rule swallowed and dropped. Seeds
+and separators that have a kind's form, among them those that a base rule swallowed and dropped. a kind's form, among them those that a base rule swallowed and dropped. Seeds
 and candidates induce lexical patterns: their shape with the characters on either side, the word before
 and the word after. Spark scores the graph of patterns and instances (distinct values) in rounds: a
 pattern's confidence is the mean confidence of its instances, lessened if few seeds support it; seeds
 count 1, candidates that fail their kind's check 0 (for cards each weighs as the numbers that pass the
-check digit by chance), other candidates their best pattern's confidence.
-Candidates whose shape pattern ends with a high confidence and enough seeds are spans, too, and so are those
-after or before a word whose pattern does. By words alone, wide candidates are taken as well: numbers at an end
-of a run of digits without a base rule's form (phones without +, cards with other separators), and addresses
-that write @ or dots as words. They weigh a quarter in a pattern's mean.
+check digit by chance), other candidates their best pattern's confidence. A candidate that a confident
+pattern holds becomes a seed of the next round, so its other patterns gain support and lead to further
+candidates: a word finds numbers of a new shape, the shape finds them beside other words.
+
+After the last round a candidate is a span if one of its patterns is confident and has enough seeds, or if
+several nearly are. Wide candidates take part: numbers at an end of a run of digits without a base rule's
+form (phones without +, cards with other separators), and addresses that write @ or dots as words. They
+weigh a quarter in a pattern's mean, for no check tells them from other numbers.
 
 Texts are read once. Patterns reach occurrences through a salted lookup, so a pattern that a third of
 all occurrences have meets no single task.
@@ -26,7 +29,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import spread_lookup, stash, text_or_empty
+from .shared import small_side, spread_lookup, stash, text_or_empty
 from .tokenizer_files import text_batches
 
 KINDS = ("email", "ip", "card", "phone")
@@ -39,6 +42,7 @@ NOT_DIGITS = re.compile(r"[^0-9]+")
 #: Runs in which candidates lie: digits with up to three separators between them.
 RUN = re.compile(r"\+?[0-9](?:[\x20().-]{0,3}[0-9])+")
 DIGITS = re.compile(r"[0-9]+")
+NEXT_WORD = re.compile(r"\s*(\S{0,65})")
 #: Addresses with @ or dots written out; possessive and tied to a word's start, so that long words cost linear time.
 SPELLED = re.compile(
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\x20?[\[({<]\x20?(?:@|at|AT)\x20?[\])}>]\x20?|\x20(?:@|at|AT)\x20)"
@@ -51,6 +55,12 @@ FIND = "array<struct<kind:int,start:int,stop:int,value:string,role:int,shape:str
 SEED, OPEN, WIDE, FAILED = 3, 2, 1, 0
 #: A wide candidate's weight in a pattern's mean.
 WIDE_WEIGHT = 0.25
+#: Characters of a neighbouring word at most; a longer run of characters is no word and counts as LONG.
+WORD_CHARS, LONG = 64, "<long>"
+#: Patterns that tell nothing: no word, or none that is one.
+NO_WORD = ("before:", "after:", f"before:{LONG}", f"after:{LONG}")
+#: Several patterns accept together if they are this sure, each alone that sure.
+TOGETHER, ALONE = 0.95, 0.6
 
 
 def luhn(digits: str) -> bool:
@@ -184,13 +194,30 @@ def side(c: str) -> str:
 
 def shape_of(kind: int, value: str) -> str:
     if kind == 0:
-        return re.sub(r"[A-Za-z0-9]+", "a", value.split("@")[0])[:24] + "@"
+        return re.sub(r"[A-Za-z0-9]+", "a", value.split("@")[0]) + "@"
     return "9.9.9.9" if kind == 1 else DIGITS.sub(lambda m: f"{len(m.group())}d", value)
 
 
+def word_before(text: str, at: int) -> str:
+    """The word that ends last before a place, white space between them skipped."""
+    while at > 0 and text[at - 1].isspace():
+        at -= 1
+    start = at
+    while start > 0 and not text[start - 1].isspace():
+        start -= 1
+        if at - start > WORD_CHARS:
+            return LONG
+    return DIGITS.sub("9", text[start:at].lower())
+
+
+def word_after(text: str, at: int) -> str:
+    """The word that begins first after a place, white space between them skipped."""
+    found = NEXT_WORD.match(text, at).group(1)
+    return LONG if len(found) > WORD_CHARS else DIGITS.sub("9", found.lower())
+
+
 def occurrence(text: str, kind: int, start: int, end: int, role: int) -> dict:
     value = text[start:end]
-    left, right = text[max(0, start - 40) : start].split(), text[end : end + 40].split()
     return {
         "kind": kind,
         "start": start,
@@ -198,8 +225,8 @@ def occurrence(text: str, kind: int, start: int, end: int, role: int) -> dict:
         "value": value.lower() if kind == 0 else NOT_DIGITS.sub(".", value).strip(".") if kind == 1 else NOT_DIGITS.sub("", value),
         "role": role,
         "shape": f"{side(text[start - 1 : start])}{shape_of(kind, value)}{side(text[end : end + 1])}",
-        "before": DIGITS.sub("9", left[-1].lower()) if left else "",
-        "after": DIGITS.sub("9", right[0].lower()) if right else "",
+        "before": word_before(text, start),
+        "after": word_after(text, end),
     }
 
 
@@ -217,15 +244,23 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def pattern_scores(edges: DataFrame, rounds: int) -> DataFrame:
-    """kind, pattern, confidence, n_seeds after ``rounds`` rounds over the edges (kind, instance, pattern, role, salt)."""
+def pattern_scores(edges: DataFrame, rounds: int, min_confidence: float = 0.8, min_seeds: int = 3) -> DataFrame:
+    """kind, pattern, confidence, n_seeds after ``rounds`` rounds over the edges (kind, instance, pattern, role, salt).
+
+    Seeds are the instances of the role and, from the second round on, those that a pattern with
+    ``min_confidence`` and ``min_seeds`` held in the round before.
+    """
+    if rounds < 1:
+        raise ValueError("rounds has to be 1 at least")
     role = F.col("role")
     fixed = F.when(role == SEED, 1.0).when(role == FAILED, 0.0)
     weight = F.when((role == FAILED) & (F.col("kind") == KINDS.index("card")), BY_CHANCE).when(role == WIDE, WIDE_WEIGHT).otherwise(1.0)
-    scored = edges.withColumn("r", F.coalesce(fixed, F.lit(0.0)))
+    scored = edges.withColumn("r", F.coalesce(fixed, F.lit(0.0))).withColumn("found", F.lit(False))
     for turn in range(rounds):
+        gained = F.sum(F.when((role == WIDE) & ~F.col("found"), F.col("r") * WIDE_WEIGHT).otherwise(F.col("r")))
+        weighed = F.when(F.col("found"), 1.0).otherwise(weight)
         patterns = scored.groupBy("kind", "pattern").agg(
-            (F.sum(F.when(role == WIDE, F.col("r") * WIDE_WEIGHT).otherwise(F.col("r"))) / F.sum(weight)).alias("mean"), F.sum((role == SEED).cast("long")).alias("n_seeds")
+            (gained / F.sum(weighed)).alias("mean"), F.sum(((role == SEED) | F.col("found")).cast("long")).alias("n_seeds")
         )
         patterns = stash(
             patterns.select("kind", "pattern", "n_seeds", (F.col("mean") * F.col("n_seeds") / (F.col("n_seeds") + 1)).alias("confidence")),
@@ -233,11 +268,12 @@ def pattern_scores(edges: DataFrame, rounds: int) -> DataFrame:
         )
         if turn == rounds - 1:
             return patterns
-        known = spread_lookup(edges, patterns, ["kind", "pattern"], "salt")
-        best = known.groupBy("kind", "instance").agg(F.max("confidence").alias("best"))
-        scored = known.select("kind", "instance", "pattern", "role").join(best, ["kind", "instance"])
-        scored = scored.withColumn("r", F.coalesce(fixed, F.col("best"), F.lit(0.0)))
-    raise ValueError("rounds has to be 1 at least")
+        known = spread_lookup(edges, patterns.hint("merge"), ["kind", "pattern"], "salt")
+        sure = (F.col("confidence") >= min_confidence) & (F.col("n_seeds") >= min_seeds) & ~F.col("pattern").isin(*NO_WORD)
+        best = known.groupBy("kind", "instance").agg(F.max("confidence").alias("best"), F.max(sure).alias("sure"))
+        scored = known.select("kind", "instance", "pattern", "role").join(best.hint("merge"), ["kind", "instance"])
+        scored = scored.withColumn("found", role.isin(OPEN, WIDE) & F.col("sure"))
+        scored = scored.withColumn("r", F.when(F.col("found"), 1.0).otherwise(F.coalesce(fixed, F.col("best"), F.lit(0.0))))
 
 
 def find_personal_data(
@@ -305,17 +341,16 @@ def find_personal_data(
         .withColumn("salt", F.pmod("instance", F.lit(salts)))
     )
     edges = stash(edges, "pattern-edges")
-    trusted = (
-        pattern_scores(edges, rounds)
-        .where(~F.col("pattern").isin("before:", "after:") & (F.col("confidence") >= min_confidence) & (F.col("n_seeds") >= min_seeds))
-        .select("kind", "pattern", "confidence")
-    )
-    # A wide candidate has no base form, so its shape says nothing: only the words beside it count.
-    usable = F.when(F.col("role") == OPEN, patterns).otherwise(F.slice(patterns, 2, 2))
+    scores = pattern_scores(edges, rounds, min_confidence, min_seeds)
+    told = scores.where(~F.col("pattern").isin(*NO_WORD) & (F.col("confidence") >= ALONE) & (F.col("n_seeds") >= min_seeds))
     open_finds = finds.where(F.col("role").isin(OPEN, WIDE)).select(
-        "row_uid", "kind", "start", "stop", F.explode(usable).alias("pattern"), F.pmod("row_uid", F.lit(salts)).alias("salt")
+        "row_uid", "kind", "start", "stop", F.explode(patterns).alias("pattern"), F.pmod("row_uid", F.lit(salts)).alias("salt")
     )
-    accepted = spread_lookup(open_finds, trusted, ["kind", "pattern"], "salt").where("confidence is not null")
+    told = small_side(told.select("kind", "pattern", "confidence"), "told-patterns")
+    sure = spread_lookup(open_finds, told, ["kind", "pattern"], "salt").where("confidence is not null")
+    doubt = F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))))
+    accepted = sure.groupBy("row_uid", "kind", "start", "stop").agg(F.max("confidence").alias("best"), (1 - doubt).alias("together"))
+    accepted = accepted.where((F.col("best") >= min_confidence) | (F.col("together") >= TOGETHER))
     # Leftmost, then longest, without overlaps: a fold over the few accepted spans of one document.
     names = F.array(*map(F.lit, KINDS))
     added = accepted.groupBy("row_uid").agg(
@@ -343,7 +378,7 @@ def find_personal_data(
         ),
     )
     both = F.array_join(F.transform(F.array_sort(F.concat(base, told)), lambda x: x["told"]), ",")
-    return rows.join(added, "row_uid", "left").select(
+    return rows.drop("finds").join(added.hint("merge"), "row_uid", "left").select(
         "doc_id",
         *(f"n_{k}" for k in KINDS),
         "base_sha256",
