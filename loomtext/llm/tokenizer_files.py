@@ -13,7 +13,9 @@ def vocabulary(name: str) -> str:
 
 
 def text_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Lets Arrow batches hold at most ``rows`` rows in this session: texts are long, workers are small."""
+    """Lets Arrow batches hold at most ``rows`` rows in this session: texts are long, workers are small.
+
+    Spark bounds a batch's bytes as well, by spark.sql.execution.arrow.maxBytesPerBatch."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     held = int(spark.conf.get(key, "10000"))
     if held <= 0 or held > rows:

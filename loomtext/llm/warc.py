@@ -1,19 +1,19 @@
 """Operator 4, WARC in seekable Zstandard bundles.
 
-A bundle is a row of independent Zstandard frames and a footer: a skippable frame with the public seek
-table (compressed and decompressed size of each frame, then the number of frames, a descriptor and the
-magic number). Records are grouped into frames of about ``frame_bytes`` and frames into bundles of
-about ``bundle_bytes``; every record has an index row with its frame and its offset inside the
-decompressed frame, so one record needs the footer and one frame only.
-
-Bundles are kept as tables in a folder: ``frames`` (one row a frame or footer, in order; the rows of a
-bundle, one after the other, are the file) and ``index``. Spark's writer commits them task by task, so a
-lost executor leaves nothing behind, and any store that Spark knows will do. bundle_file() joins one
-bundle's bytes.
-
-Payloads are equal if SHA-256 and length agree. Hashing is a narrow pass before the write: equal
-payloads are counted by hash after a partial aggregation, and the html joins on (identifier, hash),
-so a payload that a third of all pages share is never gathered.
+A bundle is a seekable Zstandard file: independent frames and a footer, a skippable frame with the public
+seek table (compressed and decompressed size of each frame, then the number of frames, a descriptor and
+the magic number). Records are grouped into frames of about ``frame_bytes`` and frames into bundles of
+about ``bundle_bytes``; the index has for every record its frame and its offset inside the decompressed
+frame. Reading goes through both: the footer tells where a frame lies, the index where the record begins
+in it, so a record costs the footer and one frame.
+
+A folder of bundles is a table with a row a bundle: its name, the bytes of its file and the index entries
+of its records. Spark's writer commits it task by task, so a lost executor leaves nothing behind, and any
+store that Spark knows will do. bundle_file() gives one bundle's bytes, bundle_index() the index.
+
+Payloads are equal if SHA-256 and length agree. Pages are numbered in a stored table, hashed in a narrow
+pass and grouped by hash after a partial aggregation; what groups learn goes back to pages by their
+number, so a payload that a third of all pages share is never gathered.
 """
 
 from __future__ import annotations
@@ -27,44 +27,46 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path, spread_lookup, stash, text_or_empty
+from .shared import new_path, small_side, spread_lookup, stash, text_or_empty
 from .tokenizer_files import text_batches
 
 #: Fixed values of the seekable Zstandard format: skippable frame magic, footer magic.
 SKIPPABLE, FOOTER = 0x184D2A5E, 0x8F92EAB1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-FRAMES = "bundle string, seq long, is_footer boolean, stored binary, n_raw long"
-INDEX = "record_id string, bundle string, frame long, frame_offset long, n_record long"
+BUNDLES = "bundle string, data binary, records array<struct<record_id:string,frame:long,frame_offset:long,n_record:long>>"
 
 
 def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(number: int | None) -> str:
-    return f"<urn:page:{'none' if number is None else number}>"
+def record_id(page: int | None, number: int) -> str:
+    """Unique in an archive: the page's identifier may repeat or be absent, its number doesn't."""
+    return f"<urn:page:{'none' if page is None else page}:{number}>"
 
 
-def page_of(record: str | None) -> int | None:
-    value = (record or "<urn:page:none>")[10:-1]
+def page_of(record: str) -> int | None:
+    value = record[1:-1].split(":")[2]
     return None if value == "none" else int(value)
 
 
-def warc_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    """A WARC/1.1 record. A revisit holds the HTTP headers alone; they tell the full payload's length."""
+def warc_record(own: str, url: str | None, payload: bytes, refers_to: str | None) -> bytes:
+    """A WARC/1.1 record, a revisit if it refers to another. A revisit holds the HTTP headers alone; they tell
+    the full payload's length."""
+    revisit = refers_to is not None
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {record_id(page_id)}",
+        f"WARC-Record-ID: {own}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         "WARC-Target-URI: " + (url or "").replace("\r", "%0D").replace("\n", "%0A"),
         f"WARC-Payload-Digest: sha1:{payload_digest(payload)}",
         "Content-Type: application/http; msgtype=response",
     ]
     if revisit:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {refers_to}"]
     lines.append(f"Content-Length: {len(block)}")
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -88,47 +90,55 @@ def seek_table(sizes: list[tuple[int, int]]) -> bytes:
 
 
 def read_seek_table(data: bytes) -> list[tuple[int, int, int]]:
-    """(offset, compressed, decompressed) of each frame, from a bundle's bytes or its last bytes."""
-    n, descriptor, magic = struct.unpack("<IBI", data[-9:])
-    if magic != FOOTER:
+    """(offset, compressed, decompressed) of each frame, from a bundle's bytes; a footer that does not fit them is an error."""
+    if len(data) < 17:
         raise ValueError("no seek table")
+    n, descriptor, magic = struct.unpack("<IBI", data[-9:])
     width = 12 if descriptor & 0x80 else 8
-    at, out = len(data) - 9 - n * width, []
-    place = 0
+    start = len(data) - 9 - n * width - 8
+    if magic != FOOTER or start < 0 or struct.unpack_from("<II", data, start) != (SKIPPABLE, n * width + 9):
+        raise ValueError("no seek table")
+    out, place = [], 0
     for i in range(n):
-        packed, raw = struct.unpack_from("<II", data, at + i * width)
+        packed, raw = struct.unpack_from("<II", data, start + 8 + i * width)
         out.append((place, packed, raw))
         place += packed
+    if place != start:
+        raise ValueError("the seek table does not cover the frames")
     return out
 
 
-def pack(records: Iterator[tuple[str, bytes]], name: str, frame_bytes: int, bundle_bytes: int, level: int = 3) -> Iterator[tuple]:
-    """('frame', ...) rows as FRAMES has them and ('index', ...) rows as INDEX has them, bundle by bundle."""
+def pack(records: Iterator[tuple[str, bytes]], name: str, frame_bytes: int, bundle_bytes: int, level: int = 3) -> Iterator[tuple[str, bytes, list]]:
+    """(name, file, index entries) of bundle after bundle."""
     packer = zstandard.ZstdCompressor(level=level)
-    number, sizes, frame, held, stored = 0, [], [], 0, 0
+    number, sizes, frame, held, stored, index = 0, [], [], 0, [], []
 
     def close_frame():
-        nonlocal frame, held, stored
+        nonlocal frame, held
         raw = b"".join(frame)
         data = packer.compress(raw)
         sizes.append((len(data), len(raw)))
-        stored += len(data)
+        stored.append(data)
         frame, held = [], 0
-        return ("frame", f"{name}-{number:05d}", len(sizes) - 1, False, data, len(raw))
+
+    def bundle():
+        nonlocal number, sizes, stored, index
+        out = f"{name}-{number:05d}", b"".join([*stored, seek_table(sizes)]), index
+        number, sizes, stored, index = number + 1, [], [], []
+        return out
 
     for key, data in records:
-        yield ("index", key, f"{name}-{number:05d}", len(sizes), held, len(data))
+        index.append({"record_id": key, "frame": len(sizes), "frame_offset": held, "n_record": len(data)})
         frame.append(data)
         held += len(data)
         if held >= frame_bytes:
-            yield close_frame()
-            if stored >= bundle_bytes:
-                yield ("frame", f"{name}-{number:05d}", len(sizes), True, seek_table(sizes), 0)
-                number, sizes, stored = number + 1, [], 0
+            close_frame()
+            if sum(map(len, stored)) >= bundle_bytes:
+                yield bundle()
     if frame:
-        yield close_frame()
+        close_frame()
     if sizes:
-        yield ("frame", f"{name}-{number:05d}", len(sizes), True, seek_table(sizes), 0)
+        yield bundle()
 
 
 def write_bundles(
@@ -136,7 +146,7 @@ def write_bundles(
     path: str,
     min_revisit_bytes: int = 0,
     frame_bytes: int = 256 << 10,
-    bundle_bytes: int = 64 << 20,
+    bundle_bytes: int = 4 << 20,
     id_col: str = "page_id",
     url_col: str = "url",
     text_col: str = "html",
@@ -146,157 +156,134 @@ def write_bundles(
     Of records with equal payloads of at least ``min_revisit_bytes`` the one with the largest identifier
     is the response and the others are revisits that refer to it; smaller payloads are all responses.
     A null payload counts as empty and a null address as an empty one. A null identifier is smaller than
-    any other. Rows that repeat the largest identifier and its payload are all responses. An empty table
-    gives bundles without records. Columns other than the three are not read.
+    any other. Rows that repeat the largest identifier and its payload are all responses, and revisits
+    refer to the first of them. An empty table gives no bundles. Columns other than the three are not read.
     """
+    import pyarrow as pa
+
     spark = pages.sparkSession
     text_batches(spark, 500)
-    text = text_or_empty(text_col)
     rows = pages.select(
-        F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), text.alias("html")
-    )
-    marks = rows.select(
-        "page_id",
-        F.unhex(F.sha2("html", 256)).alias("hash"),
-        F.octet_length("html").alias("n"),
+        F.col(id_col).cast("long").alias("page_id"),
+        F.col(url_col).cast("string").alias("url"),
+        text_or_empty(text_col).alias("html"),
+        F.monotonically_increasing_id().alias("number"),
         F.spark_partition_id().alias("part"),
     )
-    marks = stash(marks, "payloads")
-    groups = (
-        marks.where(F.col("n") >= min_revisit_bytes)
-        .groupBy("hash", "n")
-        .agg(F.max("page_id").alias("holder"), F.count("*").alias("size"))
-        .where("size > 1")
-        .drop("size")
-    )
-    later = (
-        spread_lookup(marks, groups.withColumn("known", F.lit(True)), ["hash", "n"], "part")
-        .where("known and not page_id <=> holder")
-        .select(F.coalesce("page_id", F.lit(-1)).alias("key"), F.col("page_id").isNull().alias("no_id"), "hash", "holder")
-        .distinct()
-    )
-    rows = (
-        rows.withColumns(
-            {
-                "key": F.coalesce("page_id", F.lit(-1)),
-                "no_id": F.col("page_id").isNull(),
-                "hash": F.unhex(F.sha2("html", 256)),
-            }
-        )
-        .join(later.withColumn("revisit", F.lit(True)), ["key", "no_id", "hash"], "left")
-        .select("page_id", "url", F.encode("html", "UTF-8").alias("payload"), F.coalesce("revisit", F.lit(False)).alias("revisit"), "holder")
-    )
+    rows = stash(rows.withColumns({"hash": F.unhex(F.sha2("html", 256)), "n": F.octet_length("html")}), "pages")
+    marks = rows.drop("url", "html")
+    holder = F.max(F.struct("page_id", (-F.col("number")).alias("less"))).alias("holder")
+    groups = marks.where(F.col("n") >= min_revisit_bytes).groupBy("hash", "n").agg(holder, F.count("*").alias("size"))
+    groups = groups.where("size > 1").select("hash", "n", F.col("holder.page_id").alias("holder"), (-F.col("holder.less")).alias("first"))
+    later = spread_lookup(marks, groups, ["hash", "n"], "part").where("first is not null and not page_id <=> holder")
+    later = small_side(later.select("number", "holder", "first"), "revisits")
+    rows = rows.select("page_id", "url", "number", F.encode("html", "UTF-8").alias("payload")).join(later, "number", "left")
 
     def run(batches):
-        import pyarrow as pa
         from pyspark import TaskContext
 
         def records():
             for batch in batches:
-                columns = [batch.column(c) for c in ("page_id", "url", "payload", "revisit", "holder")]
+                columns = [batch.column(c) for c in ("page_id", "url", "payload", "number", "holder", "first")]
                 for i in range(batch.num_rows):
-                    page, url, payload, revisit, holder = (c[i].as_py() for c in columns)
-                    yield record_id(page), warc_record(page, url, payload, holder, revisit)
+                    page, url, payload, number, holder, first = (c[i].as_py() for c in columns)
+                    own = record_id(page, number)
+                    yield own, warc_record(own, url, payload, None if first is None else record_id(holder, first))
 
-        kinds = {"frame": [], "index": []}
         context = TaskContext.get()
         name = f"{context.stageId():06d}-{context.partitionId():06d}"
-        size = 0
-
-        def flush():
-            frames, index = kinds["frame"], kinds["index"]
-            columns = [
-                [*(x[0] for x in frames), *(x[1] for x in index)],
-                [*(x[1] for x in frames), *(x[2] for x in index)],
-                [*(x[2] for x in frames), *(None for _ in index)],
-                [*(x[3] for x in frames), *(None for _ in index)],
-                [*(x[4] for x in frames), *(None for _ in index)],
-                [*(None for _ in frames), *(x[0] for x in index)],
-                [*(None for _ in frames), *(x[3] for x in index)],
-                [*(None for _ in frames), *(x[4] for x in index)],
-            ]
-            types = [pa.string(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-            arrays = [pa.array(c, type=t) for c, t in zip(columns, types, strict=True)]
-            kinds["frame"], kinds["index"] = [], []
-            return pa.RecordBatch.from_arrays(arrays, names=MIXED_NAMES)
-
-        for kind, *row in pack(records(), name, frame_bytes, bundle_bytes):
-            kinds[kind].append(row)
-            size += len(row[3]) if kind == "frame" else 100
-            if size > 8 << 20:
-                yield flush()
-                size = 0
-        if kinds["frame"] or kinds["index"]:
-            yield flush()
-
-    mixed = rows.mapInArrow(run, MIXED).withColumn("part", F.when(F.col("record_id").isNull(), "frames").otherwise("index"))
-    mixed.write.partitionBy("part").parquet(path)
-
-
-MIXED = "bundle string, seq long, is_footer boolean, stored binary, n_raw long, record_id string, frame_offset long, n_record long"
-MIXED_NAMES = [x.split(" ")[0] for x in MIXED.split(", ")]
+        kind = pa.list_(pa.struct([("record_id", pa.string()), ("frame", pa.int64()), ("frame_offset", pa.int64()), ("n_record", pa.int64())]))
+        for bundle, data, index in pack(records(), name, frame_bytes, bundle_bytes):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([bundle]), pa.array([data], pa.binary()), pa.array([index], kind)], names=["bundle", "data", "records"]
+            )
+
+    # Bundles are compressed already.
+    rows.mapInArrow(run, BUNDLES).write.option("compression", "none").parquet(path)
 
 
 def bundle_rows(spark: SparkSession, path: str) -> DataFrame:
-    """The frames and footers, as FRAMES has them."""
-    rows = spark.read.schema(MIXED + ", part string").parquet(path).where("part = 'frames'")
-    return rows.select("bundle", "seq", "is_footer", "stored", "n_raw")
+    """The bundles, as BUNDLES has them."""
+    return spark.read.schema(BUNDLES).parquet(path)
 
 
 def bundle_index(spark: SparkSession, path: str) -> DataFrame:
-    """One row a record, as INDEX has it."""
-    rows = spark.read.schema(MIXED + ", part string").parquet(path).where("part = 'index'")
-    return rows.select("record_id", "bundle", F.col("seq").alias("frame"), "frame_offset", "n_record")
+    """One row a record: record_id, bundle, frame, frame_offset, n_record."""
+    return bundle_rows(spark, path).select("bundle", F.explode("records").alias("r")).select("r.record_id", "bundle", "r.frame", "r.frame_offset", "r.n_record")
 
 
 def bundle_file(spark: SparkSession, path: str, bundle: str) -> bytes:
-    """One bundle as the bytes of a seekable Zstandard file (its size is bounded by bundle_bytes)."""
-    rows = bundle_rows(spark, path).where(F.col("bundle") == bundle).select("seq", "stored").collect()
-    return b"".join(bytes(r.stored) for r in sorted(rows, key=lambda r: r.seq))
+    """One bundle as the bytes of a seekable Zstandard file (its size is bounded by bundle_bytes and a frame)."""
+    return bytes(bundle_rows(spark, path).where(F.col("bundle") == bundle).select("data").first().data)
+
+
+class Bundle:
+    """Random access to one bundle file; the last frame that was unpacked is held."""
+
+    def __init__(self, data: bytes):
+        self.data, self.table, self.held = memoryview(data), read_seek_table(data), (-1, b"")
+        self.unpacker = zstandard.ZstdDecompressor()
+
+    def frame(self, number: int) -> bytes:
+        if self.held[0] != number:
+            place, packed, raw = self.table[number]
+            unpacked = self.unpacker.decompress(self.data[place : place + packed], max_output_size=max(1, raw))
+            if len(unpacked) != raw:
+                raise ValueError(f"frame {number} has another length than the seek table tells")
+            self.held = number, unpacked
+        return self.held[1]
+
+    def record(self, frame: int, frame_offset: int) -> tuple[dict[str, str], bytes, int]:
+        """Headers, block and length of the record at an offset of a frame."""
+        headers, block, end = parse_record(self.frame(frame), frame_offset)
+        return headers, block, end - frame_offset
 
 
 def read_record(bundle: bytes, frame: int, frame_offset: int) -> tuple[dict[str, str], bytes]:
     """One record of a bundle file: the footer gives the frame's place, and only that frame is decompressed."""
-    place, packed, raw = read_seek_table(bundle)[frame]
-    data = zstandard.ZstdDecompressor().decompress(bundle[place : place + packed], max_output_size=max(1, raw))
-    return parse_record(data, frame_offset)[:2]
+    return Bundle(bundle).record(frame, frame_offset)[:2]
 
 
 def read_bundles(spark: SparkSession, path: str) -> DataFrame:
     """One row a record, from the archives alone: page_id, url, payload_bytes, payload_digest, record_type,
-    refers_to and payload (null for revisits). A response's length and digest are those of its block."""
+    refers_to and payload (null for revisits). A response's length and digest are those of its block.
+
+    Every record is fetched by its index entry through its bundle's seek table; a footer, an entry or a
+    record that don't agree are an error."""
+    import pyarrow as pa
+
     text_batches(spark, 500)
+    types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
+
+    def row(bundle: Bundle, entry: dict) -> tuple:
+        headers, block, size = bundle.record(entry["frame"], entry["frame_offset"])
+        if headers["WARC-Record-ID"] != entry["record_id"] or size != entry["n_record"]:
+            raise ValueError(f"the index does not fit the record {headers['WARC-Record-ID']}")
+        kind, start = headers["WARC-Type"], block.index(b"\r\n\r\n") + 4
+        if kind == "response":
+            payload = block[start:]
+            n, digest, refers = len(payload), payload_digest(payload), None
+        else:
+            told = [x for x in block[:start].decode().split("\r\n") if x.startswith("Content-Length: ")]
+            n, digest, refers, payload = int(told[0][16:]), headers["WARC-Payload-Digest"][5:], page_of(headers["WARC-Refers-To"]), None
+        return page_of(entry["record_id"]), headers["WARC-Target-URI"], n, digest, kind, refers, payload
 
     def run(batches):
-        import pyarrow as pa
-
-        unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
-            for stored, raw in zip(batch.column("stored"), batch.column("n_raw").to_pylist(), strict=True):
-                data, at, rows = unpacker.decompress(stored.as_py(), max_output_size=max(1, raw)), 0, []
-                while at < len(data):
-                    headers, block, at = parse_record(data, at)
-                    kind, start = headers["WARC-Type"], block.index(b"\r\n\r\n") + 4
-                    payload = block[start:] if kind == "response" else None
-                    if payload is None:
-                        told = [x for x in block[:start].decode().split("\r\n") if x.startswith("Content-Length: ")]
-                        n, digest = int(told[0][16:]), headers["WARC-Payload-Digest"][5:]
-                    else:
-                        n, digest = len(payload), payload_digest(payload)
-                    refers = page_of(headers["WARC-Refers-To"]) if kind == "revisit" else None
-                    rows.append((page_of(headers["WARC-Record-ID"]), headers["WARC-Target-URI"], n, digest, kind, refers, payload))
-                columns = zip(*rows, strict=True)
-                types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, type=t) for c, t in zip(columns, types, strict=True)],
-                    names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"],
-                )
-
-    frames = bundle_rows(spark, path).where("not is_footer").select("stored", "n_raw")
-    return frames.mapInArrow(
-        run,
-        "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary",
-    )
+            for data, records in zip(batch.column("data"), batch.column("records"), strict=True):
+                bundle, held, size = Bundle(data.as_py()), [], 0
+                entries = records.as_py()
+                for i, entry in enumerate(entries):
+                    held.append(row(bundle, entry))
+                    size += len(held[-1][-1] or b"")
+                    if size > 8 << 20 or i == len(entries) - 1:
+                        columns = zip(*held, strict=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=names)
+                        held, size = [], 0
+
+    kind = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+    return bundle_rows(spark, path).select("data", "records").mapInArrow(run, kind)
 
 
 def archive_round_trip(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
