@@ -1,20 +1,23 @@
 """Operator 10, byte-level BPE encoding and decoding with the tokenizers library over Arrow batches.
 
 The rank file becomes a ``tokenizers`` model: bytes map to printable characters, every split of a token
-into two tokens is a merge (in rank order), and whole pre-tokens that are tokens stay so. Encoding runs
-the library's model on each new match of the pattern, and goes over the batch's distinct segments (a run of non-space characters with the one white-space character
-before it, or the rest of a run of white space; no pre-token crosses these), whose ids a bounded
-dictionary keeps. Decoding maps ids to characters, reverses the byte table and joins bytes before any
-UTF-8 reading, so characters that are split over tokens come back whole.
+into two tokens is a merge (in rank order), and whole pre-tokens that are tokens stay so. For every batch
+the distinct segments (a run of non-space characters with the one white-space character before it, or the
+rest of a run of white space; no pre-token crosses these) are matched against the pattern, and all matches
+that are new go through the library in one call. A character stands for one byte there, so the library's
+offsets are byte offsets: they have to cover the match, and tell the tokens that end inside a character.
+Bounded dictionaries keep what was found. Decoding maps ids to characters, reverses the byte table and
+joins bytes before any UTF-8 reading, so characters that are split over tokens come back whole.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import re
+from collections.abc import Iterable
 from functools import lru_cache
-from itertools import accumulate
 
 import regex
 from pyspark.sql import DataFrame
@@ -33,36 +36,55 @@ HELD_SEGMENTS = 250_000
 
 class ByteCodec:
     def __init__(self, path: str, pattern: str):
-        from tokenizers import models
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has its own core
+        from tokenizers import Tokenizer, models
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        letters = self.letters = byte_characters()
-        spell = lambda token: "".join(letters[b] for b in token)
+        letters = byte_characters()
+        self.letters = {i: c for i, c in enumerate(letters)}  # str.translate's table of the bytes as Latin-1 reads them
+        spell = lambda token: token.decode("latin-1").translate(self.letters)
         merges = [
             (spell(token[:i]), spell(token[i:]))
             for token in sorted(ranks, key=ranks.get)
             for i in range(1, len(token))
             if token[:i] in ranks and token[i:] in ranks
         ]
-        self.model = models.BPE(vocab={spell(t): r for t, r in ranks.items()}, merges=merges, ignore_merges=True)
+        self.library = Tokenizer(models.BPE(vocab={spell(t): r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
         byte_of = {c: b for b, c in enumerate(letters)}
         self.bytes_of = {r: bytes(byte_of[c] for c in spell(t)) for t, r in ranks.items()}
         self.pattern = regex.compile(pattern)
-        self.pieces: dict[str, list[int]] = {}
-        self.held: dict[str, tuple[str, bytes, int]] = {}
-
-    def encode_piece(self, piece: str) -> list[int]:
-        """Ids of one match of the pattern, by the library's BPE over the characters that stand for its bytes."""
-        return [x.id for x in self.model.tokenize("".join(map(self.letters.__getitem__, piece.encode())))]
+        self.pieces: dict[str, tuple[list[int], list[int]]] = {}
+        self.held: dict[str, tuple[str, bytes, int, int]] = {}
+
+    def learn_pieces(self, pieces: Iterable[str]) -> None:
+        """Ids and byte ends of new matches of the pattern, by one call of the library."""
+        new = [p for p in dict.fromkeys(pieces) if p not in self.pieces]
+        data = [p.encode() for p in new]
+        found = self.library.encode_batch([d.decode("latin-1").translate(self.letters) for d in data], add_special_tokens=False)
+        for piece, own, x in zip(new, data, found, strict=True):
+            ends = [end for _, end in x.offsets]
+            if not ends or ends[-1] != len(own):
+                raise ValueError("the vocabulary does not cover all bytes")
+            self.pieces[piece] = x.ids, ends
+
+    def encode_all(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
+        """Ids of each text and where each token ends in the matches' UTF-8 bytes."""
+        matches = [self.pattern.findall(t) for t in texts]
+        self.learn_pieces(p for found in matches for p in found)
+        out = []
+        for found in matches:
+            ids, ends, at = [], [], 0
+            for p in found:
+                own, places = self.pieces[p]
+                ids += own
+                ends += [at + e for e in places]
+                at = ends[-1]
+            out.append((ids, ends))
+        return out
 
     def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        for piece in self.pattern.findall(text):
-            if (found := self.pieces.get(piece)) is None:
-                found = self.pieces[piece] = self.encode_piece(piece)
-            ids += found
-        return ids
+        return self.encode_all([text])[0][0]
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -71,10 +93,6 @@ class ByteCodec:
         """Text of any ids; bytes that are no UTF-8 (a character cut off at either end) become U+FFFD."""
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
-    def byte_ends(self, ids: list[int]) -> list[int]:
-        """Where each token ends in the text's UTF-8 bytes; such an end may lie inside a character."""
-        return list(accumulate(len(self.bytes_of[i]) for i in ids))
-
     def trim(self) -> None:
         """Keeps the dictionaries bounded."""
         if len(self.held) > HELD_SEGMENTS:
@@ -82,28 +100,28 @@ class ByteCodec:
         if len(self.pieces) > HELD_SEGMENTS:
             self.pieces = {}
 
-    def segment(self, text: str) -> tuple[str, bytes, int]:
-        ids = self.encode(text)
-        self.held[text] = found = (",".join(map(str, ids)), self.decode_bytes(ids), len(ids))
-        return found
+    def learn_segments(self, segments: list[str]) -> None:
+        for segment, (ids, ends) in zip(segments, self.encode_all(segments), strict=True):
+            data = self.decode_bytes(ids)
+            split = sum(e < len(data) and data[e] & 0xC0 == 0x80 for e in ends) if len(data) > len(segment) else 0
+            self.held[segment] = ",".join(map(str, ids)), data, len(ids), split
 
-    def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """Number of ids, SHA-256 of the decimal ids, SHA-256 of the decoded bytes, for each text."""
-        out = []
-        for text in texts:
-            self.trim()
-            held = self.held
-            found = [held.get(x) or self.segment(x) for x in SEGMENT.findall(text)]
+    def digests(self, texts: list[str]) -> list[tuple[int, str, str, int]]:
+        """Number of ids, SHA-256 of the decimal ids, SHA-256 of the decoded bytes, tokens that end inside a character."""
+        self.trim()
+        held, out = self.held, []
+        parts = [SEGMENT.findall(t) for t in texts]
+        new = list({x for found in parts for x in found if x not in held})
+        for i in range(0, len(new), 20_000):
+            self.learn_segments(new[i : i + 20_000])
+        for found in parts:
+            told = [held[x] for x in found]
             ids, data = hashlib.sha256(), hashlib.sha256()
-            ids.update(",".join([x[0] for x in found]).encode())
-            data.update(b"".join([x[1] for x in found]))
-            out.append((sum([x[2] for x in found]), ids.hexdigest(), data.hexdigest()))
+            ids.update(",".join([x[0] for x in told]).encode())
+            data.update(b"".join([x[1] for x in told]))
+            out.append((sum([x[2] for x in told]), ids.hexdigest(), data.hexdigest(), sum([x[3] for x in told])))
         return out
 
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        self.trim()
-        return [self.encode(x) for x in texts]
-
 
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> ByteCodec:
@@ -124,7 +142,7 @@ def round_trip(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256.
+    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256, n_split (tokens that end inside a character).
 
     A null text counts as empty: no ids, so the digests are those of no bytes. Identifiers, null and
     repeated ones too, pass through. Strings of special tokens are ordinary text. Texts are processed
@@ -140,15 +158,15 @@ def round_trip(
             rows = []
             for group in by_size(batch.column("text").to_pylist(), 2_000_000):
                 rows += codec(path, pattern).digests(group)
-            n, ids, data = zip(*rows, strict=True) if rows else ((), (), ())
+            n, ids, data, split = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(data, pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(data, pa.string()), pa.array(split, pa.int64())],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_split"],
             )
 
     narrow = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return narrow.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_split long")
 
 
 def encode(
@@ -166,10 +184,11 @@ def encode(
 
     def run(batches):
         for batch in batches:
-            ids = []
+            found = []
             for group in by_size(batch.column("text").to_pylist(), 2_000_000):
-                ids += codec(path, pattern).ids(group)
-            ends = [codec(path, pattern).byte_ends(x) for x in ids]
+                codec(path, pattern).trim()
+                found += codec(path, pattern).encode_all(group)
+            ids, ends = [x[0] for x in found], [x[1] for x in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int64()))],
                 names=["doc_id", "ids", "byte_ends"],

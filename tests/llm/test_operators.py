@@ -177,10 +177,12 @@ def test_byte_bpe(spark):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     codec = ByteCodec(path, public_tokenizers.PATTERN)
-    for text, (n, ids, data) in zip(texts, codec.digests(texts), strict=True):
+    for text, (n, ids, data, split) in zip(texts, codec.digests(texts), strict=True):
         want = library.encode_ordinary(text)
         assert n == len(want) and codec.encode(text) == want and codec.decode(want) == text
         assert ids == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest() and data == hashlib.sha256(text.encode()).hexdigest()
+        ends = np.cumsum([len(codec.bytes_of[i]) for i in want]).tolist()
+        assert codec.encode_all([text])[0][1] == ends and split == sum(e not in np.cumsum([len(c.encode()) for c in text]) for e in ends)
     assert "�" in codec.decode(codec.encode("日")[:-1] or [codec.encode("é🙂")[-1]]) or len(codec.encode("日")) == 1
     df = frame(spark, [(1, "日本 x"), (2, None)])
     assert {r.doc_id: bytes(r.decoded) for r in decode(encode(df)).collect()} == {1: "日本 x".encode(), 2: b""}
