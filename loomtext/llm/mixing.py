@@ -163,7 +163,12 @@ def mix_sources(
 def sample_mixed(
     docs: DataFrame, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None, **settings
 ) -> DataFrame:
-    """The rows of ``docs`` that mix_sources samples, with their own columns."""
+    """The rows of ``docs`` that mix_sources samples, with their own columns.
+
+    Nulls, repeated identifiers, documents without words and empty tables count as there; a draw that
+    equals the chance is not sampled. Rows that repeat an identifier in different cells share the draw,
+    but each is held against its own cell's chance.
+    """
     rates = mixing_rates(docs, text_col=text_col, topic=topic, **settings)
     rates = rates.select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), F.round("probability", 6).alias("_p"))
     dealt = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -40,8 +40,7 @@ EXTRAS = 6
 
 def shape(word: str) -> str:
     """Aa9-like outline: runs of lower-case letters, capitals and digits fold, punctuation stays."""
-    outline = DIGITS.sub("9", UPPER.sub("A", LOWER.sub("a", word)))
-    return outline[:12]
+    return DIGITS.sub("9", UPPER.sub("A", LOWER.sub("a", word)))
 
 
 class Tokens:
@@ -293,7 +292,11 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
 
 
 def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score at least ``least``, with their own columns and in one narrow pass."""
+    """The rows of ``docs`` that score at least ``least``, with their own columns and in one narrow pass.
+
+    Only the text counts: null and empty texts score alike, rows that repeat an identifier or a text are
+    judged one by one, a score of exactly ``least`` stays, and an empty table gives an empty result.
+    """
     text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import text_or_empty
+from .shared import stash, text_or_empty
 
 #: Fixed values. A long run of key-like characters with a digit.
 RUN = r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_.-]*[0-9])[A-Za-z0-9+/_.-]{16,}={0,2}"
@@ -60,14 +60,16 @@ TEST_PATH = r"(?i)(^|[/_.-])(tests?|spec|examples?|fixtures?|mocks?|docs?|sample
 KNOWN_PREFIX = r"^(AKIA|ASIA|ghp_|gho_|ghs_|glpat-|xox[abpr]-|sk_live_|sk-|AIza|eyJ|ya29\.|SG\.|npm_)"
 FEATURES = (
     "f_length f_digits f_upper f_lower f_other f_distinct f_transitions f_hex f_prefix f_dictionary f_vowels f_slashes "
-    "f_path f_secret_word f_harmless_word f_assigned f_quoted f_word_before f_symbols"
+    "f_path f_secret_word f_harmless_word f_assigned f_quoted f_word_before f_symbols f_case_turns f_digit_turns f_pairs f_same"
 ).split()
+#: The most frequent pairs of letters in European prose.
+PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur".split()
 #: Labelled findings that the default rule makes.
 EXAMPLES = 6000
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
-    """doc_id, ordinal (from 1, in the text's order), candidate, before, after, path."""
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", near: int = NEAR) -> DataFrame:
+    """doc_id, ordinal (from 1, in the text's order), candidate, before, after (``near`` characters each), path."""
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col in docs.columns else F.lit("")
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"), path.alias("path"))
     found = rows.withColumn("found", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).where(F.size("found") > 0)
@@ -81,8 +83,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         zipped,
         lambda x: F.struct(
             x["candidate"].alias("candidate"),
-            F.right(x["before"], F.lit(NEAR)).alias("before"),
-            F.left(x["after"], F.lit(NEAR)).alias("after"),
+            F.right(x["before"], F.lit(near)).alias("before"),
+            F.left(x["after"], F.lit(near)).alias("after"),
         ),
     )
     return found.select("doc_id", "path", F.posexplode(sides)).select(
@@ -117,6 +119,17 @@ def with_features(found: DataFrame) -> DataFrame:
         "f_assigned": flag(F.col("before").rlike(r"[=:]\s*[\"'`]?$")),
         "f_quoted": flag(F.col("before").rlike("[\"'`]$") & F.col("after").rlike("^[\"'`]")),
         "f_word_before": flag(F.col("before").rlike(r"[A-Za-z]\s+$")),
+        # Transitions: between cases, between letters and digits, along frequent pairs of letters, and from a character to itself.
+        "f_case_turns": F.size(F.regexp_extract_all(c, F.lit("(?<=[a-z])[A-Z]|(?<=[A-Z])[a-z]"), F.lit(0))) / n,
+        "f_digit_turns": F.size(F.regexp_extract_all(c, F.lit("(?<=[A-Za-z])[0-9]|(?<=[0-9])[A-Za-z]"), F.lit(0))) / n,
+        "f_pairs": F.coalesce(
+            F.try_divide(
+                F.size(F.regexp_extract_all(letters, F.lit("(?=(" + "|".join(PAIRS) + "))"), F.lit(1))).cast("double"),
+                (F.length(letters) - 1).cast("double"),
+            ),
+            F.lit(0.0),
+        ),
+        "f_same": F.size(F.regexp_extract_all(c, F.lit(r"(.)(?=\1)"), F.lit(1))) / n,
         "f_symbols": F.length(F.regexp_replace(c, "[A-Za-z0-9+/_.=-]+", "")) / n,
     }
     return found.withColumns(values)
@@ -150,6 +163,10 @@ def example_findings(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
         (F.concat(pick("o", DICTIONARY + OUTSIDE), digits(1), b64(3)), F.concat(lead, sure, sign), plain, clean, 1),
         (F.concat(b64(3), pick("m1", ["@", "!", "#", "$"]), b64(5, "n"), pick("m2", ["!", "%", "&", "*"]), b64(3, "e")), F.concat(lead, sure, sign), plain, clean, 1),
         (F.regexp_replace(b64(20, "l"), "[0-9]", "k"), F.concat(lead, sure, sign), plain, clean, 1),
+        (
+            F.concat(F.left(word, F.lit(3)), pick("m1", ["@", "!", "#", "$"]), F.left(other, F.lit(4)), pick("m3", [" ", "_", "&", "%"]), hexes(2), pick("m2", ["!", "#", "&", "*"]), digits(1)),
+            F.concat(lead, pick("s3", ["pwd", "password", "passwd", "passphrase: secret"]), F.lit(': "')), F.lit('"'), clean, 1,
+        ),
         (pick("v", ["required", "optional", "string", "undefined", "enabled", "disabled", "missing", "changeme", "invalid", "expired"]), F.concat(lead, sure, sign), plain, clean, 0),
         (F.concat(word, F.lit("."), other), F.concat(lead, sure, sign), plain, clean, 0),
         (F.concat(word, F.initcap(other), F.lit("(") , pick("w4", OUTSIDE)), F.concat(lead, sure, sign), plain, clean, 0),
@@ -206,7 +223,8 @@ def scan_secrets(
     without the path column paths count as empty. Texts are read whole. An empty table gives an empty
     result.
     """
-    model = fit_forest(example_findings(docs.sparkSession) if findings is None else findings)
+    # Made findings are stored first: their rule and the features are too much for one generated method.
+    model = fit_forest(stash(example_findings(docs.sparkSession), "findings") if findings is None else findings)
     rows = with_features(candidates(docs, id_col, text_col, path_col))
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
     rows = model.transform(rows.select("doc_id", "ordinal", "candidate", "features"))
@@ -221,7 +239,11 @@ def scan_secrets(
 
 
 def redact(docs: DataFrame, secrets: DataFrame, mask: str = "[secret]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the kept candidates of ``secrets`` (scan_secrets' rows) masked in the text."""
+    """The rows of ``docs`` with the kept candidates of ``secrets`` (scan_secrets' rows) masked in the text.
+
+    A candidate is masked wherever it is one in the rows of its identifier; rows that repeat an identifier,
+    a null one too, share their secrets. Null texts stay null, and rows without secrets as they are.
+    """
     kept = secrets.where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("candidate").alias("_gone"))
     found = F.regexp_extract_all(F.col(text_col), F.lit(CANDIDATE), F.lit(0))
     parts = F.zip_with(
@@ -229,6 +251,6 @@ def redact(docs: DataFrame, secrets: DataFrame, mask: str = "[secret]", id_col:
         F.transform(found, lambda x: F.when(F.array_contains("_gone", x), F.lit(mask)).otherwise(x)),
         lambda gap, x: F.concat(gap, F.coalesce(x, F.lit(""))),
     )
-    rows = docs.join(kept, docs[id_col] == kept["_id"], "left")
+    rows = docs.join(kept, docs[id_col].eqNullSafe(kept["_id"]), "left")
     masked = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(parts, ""))
     return rows.withColumn(text_col, masked).select(*docs.columns)
