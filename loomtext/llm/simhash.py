@@ -142,61 +142,64 @@ class GrayTree:
         label = np.arange(len(self.levels[0][0]))
         top = len(self.levels) - 1
         every = np.arange(len(self.levels[top][0]))
-        work = [(top, every, every)]
+        work = [(top, every, every, False)]  # pairs of nodes of a level, and whether they are known to be near
         while work:
-            level, a, b = work.pop()
-            if len(a) > STEP:
-                work += [(level, a[i : i + STEP], b[i : i + STEP]) for i in range(0, len(a), STEP)][::-1]
+            level, a, b, known = work.pop()
+            size = STEP // (FAN * FAN) if known else STEP
+            if len(a) > size:
+                work += [(level, a[i : i + size], b[i : i + size], known) for i in range(0, len(a), size)][::-1]
                 continue
-            value, mask, low, high = self.levels[level]
-            shared = mask[a] & mask[b]
-            least = np.bitwise_count((value[a] ^ value[b]) & shared).astype(np.int64)
-            near = least <= most
-            if level == 0:
-                near &= label[a] != label[b] if accept else a != b
-                a, b = a[near], b[near]
-                if accept:
-                    good = accept(a, b)
-                    a, b = a[good], b[good]
-                label = unite(label, a, b)
+            if not known:
+                value, mask, _, _ = self.levels[level]
+                shared = mask[a] & mask[b]
+                least = np.bitwise_count((value[a] ^ value[b]) & shared).astype(np.int64)
+                near = least <= most
+                if level == 0:
+                    near &= label[a] != label[b] if accept else a != b
+                    a, b = a[near], b[near]
+                    if accept:
+                        good = accept(a, b)
+                        a, b = a[good], b[good]
+                    label = unite(label, a, b)
+                    continue
+                a, b, least, shared = a[near], b[near], least[near], shared[near]
+                # ``accept`` wants to be asked for every pair; else near nodes may be near as a whole.
+                whole = np.zeros(len(a), dtype=bool) if accept else least + (BITS - np.bitwise_count(shared)).astype(np.int64) <= most
+                label = self.unite_nodes(level, label, a[whole], b[whole])
+                if len(a) > whole.sum():
+                    work.append((level, a[~whole], b[~whole], True))
                 continue
-            a, b, least, shared = a[near], b[near], least[near], shared[near]
-            # All rows of a node in one component: the smallest and the largest label are the same.
-            used, back = np.unique(np.r_[a, b], return_inverse=True)
-            ends = np.c_[low[used], high[used]].ravel()
-            ends = ends[:-1] if ends[-1] == len(label) else ends
-            least_label = np.minimum.reduceat(label, ends)[::2]
-            most_label = np.maximum.reduceat(label, ends)[::2]
-            even, name = (least_label == most_label)[back], least_label[back]
-            n = len(a)
-            done = even[:n] & even[n:] & (name[:n] == name[n:])
-            whole = ~done & (least + (BITS - np.bitwise_count(shared)).astype(np.int64) <= most)
-            if accept:
-                whole[:] = False  # every pair has to be asked for
-            if whole.any():
-                for x, y in zip(a[whole].tolist(), b[whole].tolist(), strict=True):
-                    rows = np.r_[low[x] : high[x], low[y] : high[y]]
-                    label = unite(label, rows[:1].repeat(len(rows)), rows)
-            rest = ~done & ~whole
+            rest = ~self.settled(level, label, a, b)
             a, b = a[rest], b[rest]
             if not len(a):
                 continue
             first, last_kid = self.kids[level - 1]
             na, nb = (last_kid - first)[a], (last_kid - first)[b]
-            # The pairs' products are cut so that one step expands a bounded number of them.
-            cost = np.cumsum(na * nb)
-            for s in range(0, int(cost[-1]), STEP * 4):
-                pick = np.flatnonzero((cost > s) & (cost <= s + STEP * 4))
-                if not len(pick):
-                    continue
-                p, q, n, m = a[pick], b[pick], na[pick], nb[pick]
-                size = n * m
-                pair = np.repeat(np.arange(len(pick)), size)
-                k = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                x = first[p][pair] + k // m[pair]
-                y = first[q][pair] + k % m[pair]
-                ordered = (p != q)[pair] | (x <= y)
-                work.append((level - 1, x[ordered], y[ordered]))
+            size = na * nb
+            pair = np.repeat(np.arange(len(a)), size)
+            k = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            x = first[a][pair] + k // nb[pair]
+            y = first[b][pair] + k % nb[pair]
+            ordered = (a != b)[pair] | (x <= y)
+            work.append((level - 1, x[ordered], y[ordered], False))
+        return label
+
+    def settled(self, level: int, label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Pairs of nodes whose rows are all in one component: the smallest and the largest label are the same."""
+        _, _, low, high = self.levels[level]
+        used, back = np.unique(np.r_[a, b], return_inverse=True)
+        ends = np.c_[low[used], high[used]].ravel()
+        ends = ends[:-1] if len(ends) and ends[-1] == len(label) else ends
+        least = np.minimum.reduceat(label, ends)[::2]
+        even, name = (least == np.maximum.reduceat(label, ends)[::2])[back], least[back]
+        n = len(a)
+        return even[:n] & even[n:] & (name[:n] == name[n:])
+
+    def unite_nodes(self, level: int, label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        _, _, low, high = self.levels[level]
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            rows = np.r_[low[x] : high[x], low[y] : high[y]]
+            label = unite(label, rows[:1].repeat(len(rows)), rows)
         return label
 
 
