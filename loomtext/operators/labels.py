@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import keep
 
 
 def label_support(items: DataFrame) -> DataFrame:
@@ -88,12 +89,25 @@ def rarest_label(items: DataFrame, key: str = "handle") -> DataFrame:
     return exploded.join(label_support(items), "label").groupBy(key).agg(F.min_by("label", F.struct("support", "label")).alias("stratum"))
 
 
+#: Ranges of hashes that a stratum is cut into.
+RANGES = 1024
+
+
 def _ordered(items: DataFrame, seed: int, key: str) -> DataFrame:
-    """place in (0, 1) of each item in its stratum, by hash."""
+    """place in (0, 1) of each item in its stratum, by hash.
+
+    A stratum's hashes are cut into RANGES; counts of the ranges give each its first place, and rows are
+    numbered inside their range alone, so a stratum with a third of all items is many tasks' work.
+    """
     strata = rarest_label(items, key).withColumn("h", T.portable_hash(str(seed), F.col(key)))
-    w = Window.partitionBy("stratum")
-    place = (F.row_number().over(w.orderBy("h", key)) - 0.5) / F.count("*").over(w)
-    return strata.select(key, "stratum", place.alias("place"))
+    strata = strata.withColumn("range", F.shiftright("h", 38).cast("int"))  # the hash has 48 bits
+    sizes = strata.groupBy("stratum", "range").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("stratum")  # RANGES rows a stratum
+    below = F.coalesce(F.sum("n").over(w.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("stratum", "range", below.alias("below"), F.sum("n").over(w).alias("total"))
+    own = F.row_number().over(Window.partitionBy("stratum", "range").orderBy("h", key))
+    placed = strata.withColumn("own", own).join(sizes, ["stratum", "range"])
+    return placed.select(key, "stratum", ((F.col("below") + F.col("own") - 0.5) / F.col("total")).alias("place"))
 
 
 def stratified_sample(items: DataFrame, n: int | None, seed: int = 42, key: str = "handle") -> DataFrame:
@@ -143,7 +157,7 @@ def split_items(
             unit_key = group_column
     best = None
     for tried in range(seed, seed + max_tries):
-        assigned = _assign(units, shares, tried, unit_key)
+        assigned = keep(_assign(units, shares, tried, unit_key), "split")  # read by the count of labels and by the result
         whole = items.join(assigned, unit_key)
         missing = coverage(whole, tuple(shares)).where("not present_in_all_splits").count()
         if best is None or missing < best[0]:

@@ -18,10 +18,6 @@ MARKERS = {
     "fr": ("le", "la", "les", "des", "une", "recherche", "avec"),
 }
 
-#: A detector turns a text column into struct(language, score).
-Detector = Callable[[Column], Column]
-
-
 def heuristic(text: Column, min_chars: int = 12) -> Column:
     """The language with most distinct markers (ties in MARKERS' order) and its share of all; else und."""
     padded = F.concat(F.lit(" "), T.collapse_spaces(F.lower(F.coalesce(text, F.lit("")))), F.lit(" "))
@@ -44,13 +40,40 @@ def heuristic(text: Column, min_chars: int = 12) -> Column:
     return F.get(F.transform(F.transform(F.array(padded), hits), choice), F.lit(0))
 
 
-def _library(classify: Callable[[str], tuple[str, float | None]]) -> Detector:
-    @F.pandas_udf("language string, score double")
-    def detect(texts: pd.Series) -> pd.DataFrame:
-        found = [classify(t) if t and t.strip() else ("und", None) for t in texts]
-        return pd.DataFrame(found, columns=["language", "score"])
+DETECTION = "struct<language:string,score:double>"
+
+
+class Detector:
+    """Turns a text column into struct(language, score); ``each`` does so for an array of texts, inside its row."""
+
+    def __init__(self, one: Callable[[Column], Column]):
+        self.one = one
+
+    def __call__(self, text: Column) -> Column:
+        return self.one(text)
+
+    def each(self, texts: Column) -> Column:
+        return F.transform(texts, self.one)
+
+
+class LibraryDetector(Detector):
+    """A library's classifier, (language, score) of a text, in Arrow batches; Spark allows no UDF inside a lambda."""
+
+    def __init__(self, classify: Callable[[str], tuple[str, float | None]]):
+        def told(text: str | None) -> dict:
+            language, score = classify(text) if text and text.strip() else ("und", None)
+            return {"language": language, "score": score}
+
+        @F.pandas_udf(DETECTION)
+        def detect(texts: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame([told(t) for t in texts], columns=["language", "score"])
 
-    return detect
+        @F.pandas_udf(f"array<{DETECTION}>")
+        def detect_each(rows: pd.Series) -> pd.Series:
+            return pd.Series([None if row is None else [told(t) for t in row] for row in rows], dtype=object)
+
+        super().__init__(detect)
+        self.each = detect_each
 
 
 def _langid() -> Detector:
@@ -64,7 +87,7 @@ def _langid() -> Detector:
         language, score = held[0].classify(text)
         return language or "und", float(score)
 
-    return _library(classify)
+    return LibraryDetector(classify)
 
 
 def _langdetect() -> Detector:
@@ -77,7 +100,7 @@ def _langdetect() -> Detector:
             return "und", None
         return (found[0].lang, float(found[0].prob)) if found else ("und", None)
 
-    return _library(classify)
+    return LibraryDetector(classify)
 
 
 def _lingua() -> Detector:
@@ -93,13 +116,13 @@ def _lingua() -> Detector:
             return "und", None
         return found.iso_code_639_1.name.lower(), float(held[0].compute_language_confidence(text, found))
 
-    return _library(classify)
+    return LibraryDetector(classify)
 
 
 def create_detector(backend: str = "heuristic", min_chars: int = 12) -> Detector:
     """heuristic, or a library's (langid, langdetect, lingua), which has to be installed."""
     if backend == "heuristic":
-        return lambda text: heuristic(text, min_chars)
+        return Detector(lambda text: heuristic(text, min_chars))
     makers = {"langid": _langid, "langdetect": _langdetect, "lingua": _lingua}
     if backend not in makers:
         raise ValueError(f"unknown language backend: {backend}")
@@ -118,28 +141,40 @@ def slices(text: Column, width: int) -> Column:
     return F.transform(starts, lambda i: F.substring(text, i + 1, F.lit(width)))
 
 
+def vote(found: Column) -> Column:
+    """The language of most of an array's detections (not und before und, then the first seen) and its mean score."""
+    languages = F.array_distinct(F.transform(found, lambda d: d["language"]))
+
+    def ballot(language: Column, at: Column) -> Column:
+        own = F.filter(found, lambda d: d["language"].eqNullSafe(language))
+        scores = F.filter(F.transform(own, lambda d: d["score"]), lambda x: x.isNotNull())
+        mean = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x, lambda a: F.try_divide(a, F.size(scores).cast("double")))
+        return F.struct(
+            F.size(own).alias("n"), (language != "und").cast("int").alias("known"), (-at).alias("before"), language.alias("language"), mean.alias("score")
+        )
+
+    return F.array_max(F.transform(languages, ballot))
+
+
 def detect_distributed(texts: DataFrame, detector: Detector, text: str = "text", width: int = 4000, count: int = 5) -> DataFrame:
-    """Adds language and score. Long texts vote by windows: most votes, not und, first seen; mean score of the winner's."""
+    """Adds language and score. Long texts vote by windows, inside their row: no text is copied or moved."""
     long = (F.length(text) > width) & F.lit(count > 1)
     pieces = F.when(long, F.transform(window_starts(F.length(text), width, count), lambda s: F.substring(F.col(text), s + 1, F.lit(width)))).otherwise(F.array(text))
-    rows = texts.withColumn("_id", F.monotonically_increasing_id()).select("*", F.posexplode(pieces).alias("_at", "_piece"))
-    rows = rows.withColumn("_d", detector(F.col("_piece")))
-    votes = rows.groupBy("_id", F.col("_d.language").alias("language")).agg(
-        F.count("*").alias("n"), F.min("_at").alias("first"), F.avg("_d.score").alias("score"), F.first(F.struct(*texts.columns)).alias("_row")
-    )
-    order = F.struct(F.col("n"), (F.col("language") != "und").cast("int"), -F.col("first"))
-    best = votes.groupBy("_id").agg(F.max_by(F.struct("language", "score", "_row"), order).alias("b"))
-    return best.select(*[F.col(f"b._row.`{c}`").alias(c) for c in texts.columns], F.col("b.language"), F.col("b.score"))
+    seen = texts.withColumn("_seen", detector.each(pieces))
+    # An array of one names the vote's result, so that it is counted once.
+    seen = seen.withColumn("_vote", F.get(F.transform(F.array("_seen"), vote), F.lit(0)))
+    return seen.select(*texts.columns, F.col("_vote.language").alias("language"), F.col("_vote.score").alias("score"))
 
 
 def aggregate_languages(units: DataFrame, key: str = "handle", min_share: float = 0.20) -> DataFrame:
-    """Per item from units (key, text, language, score): detected_language, language_score, language_set.
+    """Per item from units (key, pos, chars or text, language, score): detected_language, language_score, language_set.
 
     Languages with at least ``min_share`` of the characters outside und are significant; several make
     mul, else the language with most characters counts (und included; ties prefer others, then the first).
     """
+    chars = F.col("chars") if "chars" in units.columns else F.length("text")
     per = units.groupBy(key, "language").agg(
-        F.sum(F.length("text")).alias("chars"), F.avg("score").alias("score"), F.min("pos").alias("first")
+        F.sum(chars).alias("chars"), F.avg("score").alias("score"), F.min("pos").alias("first")
     )
     item = Window.partitionBy(key)
     known = F.sum(F.when(F.col("language") != "und", F.col("chars")).otherwise(0)).over(item)
@@ -161,11 +196,12 @@ def aggregate_languages(units: DataFrame, key: str = "handle", min_share: float
 
 def override_by_windows(aggregate: DataFrame, units: DataFrame, detector: Detector, key: str = "handle", width: int = 12_000, min_share: float = 0.20) -> DataFrame:
     """Language sets anew from slices of ``width``; several make mul, and mul stays mul."""
-    pieces = units.select(key, "pos", F.posexplode(slices(F.col("text"), width)).alias("at", "text"))
-    pieces = pieces.withColumn("d", detector(F.col("text"))).select(
-        key, F.struct("pos", "at").alias("pos"), "text", F.col("d.language").alias("language"), F.col("d.score").alias("score")
+    own = slices(F.col("text"), width)
+    told = units.select(key, "pos", detector.each(own).alias("found"), F.transform(own, F.length).alias("sizes"))
+    told = told.select(key, "pos", F.posexplode(F.arrays_zip("found", "sizes")).alias("at", "x"))  # texts stay where they are
+    pieces = told.select(
+        key, (F.col("pos") * 1_000_000 + F.col("at")).alias("pos"), F.col("x.sizes").alias("chars"), F.col("x.found.language").alias("language"), F.col("x.found.score").alias("score")
     )
-    pieces = pieces.withColumn("pos", F.col("pos.pos") * 1_000_000 + F.col("pos.at"))
     seen = aggregate_languages(pieces, key, min_share).select(key, F.col("language_set").alias("window_set"))
     joined = aggregate.join(seen, key, "left")
     new = F.coalesce("window_set", F.array().cast("array<string>"))
@@ -177,7 +213,7 @@ def override_by_windows(aggregate: DataFrame, units: DataFrame, detector: Detect
 def detect_keywords(text: Column, detector: Detector, min_chars: int = 20) -> Column:
     short = F.length(F.trim(F.coalesce(text, F.lit("")))) < min_chars
     none = F.struct(F.lit("und").alias("language"), F.lit(None).cast("double").alias("score"))
-    return F.when(short, none).otherwise(detector(text))
+    return F.coalesce(F.when(short, none), detector(F.when(~short, text)))
 
 
 def agreement(rows: DataFrame, by: tuple[str, ...] = ("field",)) -> DataFrame:
@@ -242,6 +278,50 @@ def per_language(rows: DataFrame, truth: str = "truth", guess: str = "guess") ->
     return counts.select("language", precision.alias("precision"), recall.alias("recall"), f1.alias("f1"), "support")
 
 
+def averages(table: DataFrame) -> DataFrame:
+    """The rows accuracy, macro avg and weighted avg under a table of per_language; accuracy stands in every column.
+
+    Its recall, weighted by support, is the share of right guesses."""
+    names = ("precision", "recall", "f1")
+    support = F.sum("support").alias("support")
+    weigh = lambda c: F.coalesce(F.try_divide(F.sum(F.col(c) * F.col("support")), F.sum("support").cast("double")), F.lit(0.0)).alias(c)
+    macro = table.agg(*[F.avg(c).alias(c) for c in names], support).withColumn("language", F.lit("macro avg"))
+    weighted = table.agg(*[weigh(c) for c in names], support).withColumn("language", F.lit("weighted avg"))
+    accuracy = weighted.select(*[F.col("recall").alias(c) for c in names], "support", F.lit("accuracy").alias("language"))
+    out = table.select("language", *names, "support")
+    for part in (accuracy, macro, weighted):
+        out = out.unionByName(part)
+    return out
+
+
+def segment_audit(items: DataFrame, truth: DataFrame, key: str = "handle") -> DataFrame:
+    """One row a segment of ``abstract_segments``: place, hash, length, declared and detected language, score and truth."""
+    names = ("abstract_segments", "abstract_segment_declared_languages", "abstract_segment_languages", "abstract_segment_language_scores")
+    told = [F.col(c) if c in items.columns else F.array().cast("array<string>") for c in names]
+    rows = items.select(key, F.posexplode(F.arrays_zip(*[c.alias(f"c{i}") for i, c in enumerate(told)])).alias("segment_index", "x"))
+    rows = rows.where(F.col("x.c0").isNotNull()).select(
+        F.col(key).alias("handle"),
+        "segment_index",
+        F.col("x.c0").alias("text"),
+        F.length("x.c0").alias("characters"),
+        F.coalesce("x.c1", F.lit("und")).alias("declared_language"),
+        F.coalesce("x.c2", F.lit("und")).alias("detected_language"),
+        F.col("x.c3").cast("double").alias("detection_score"),
+    )
+    rows = attach_ground_truth(rows, truth)
+    return rows.select(
+        "handle", "segment_index", "text_hash", "characters", "declared_language", "detected_language", "detection_score",
+        F.col("truth").alias("ground_truth_language"), F.col("truth_source").alias("ground_truth_source"),
+    )
+
+
+def truth_lists(audit: DataFrame) -> DataFrame:
+    """handle and the true language of each of its segments in order, null where none is known."""
+    listed = F.array_sort(F.collect_list(F.struct("segment_index", "ground_truth_language")))
+    per = audit.groupBy("handle").agg(listed.alias("t"))
+    return per.select("handle", F.transform("t", lambda x: x["ground_truth_language"]).alias("abstract_segment_ground_truth_languages"))
+
+
 def accuracy_summary(rows: DataFrame, truth: str = "truth", guess: str = "guess") -> DataFrame:
     good = F.sum((F.col(truth) == F.col(guess)).cast("long"))
     return rows.agg(F.count("*").alias("n"), good.alias("correct"), F.try_divide(good.cast("double"), F.count("*").cast("double")).alias("accuracy"))

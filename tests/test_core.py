@@ -232,3 +232,51 @@ def test_stream(spark, tmp_path):
         q = ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"))
         q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_library_detectors_in_rows_and_windows(spark):
+    """A pandas UDF may not stand in a lambda: arrays of texts go to the worker as they are."""
+    from loomtext.operators import language
+
+    fake = language.LibraryDetector(lambda t: ("es" if "el" in t else "en", 0.5 if "el" in t else 0.25))
+    df = spark.createDataFrame([(1, ["el a", " ", "of b"], "el " * 40 + "xx" * 200), (2, None, "of"), (3, [], None)], "k int, parts array<string>, text string")
+    got = {r.k: r for r in df.withColumn("d", fake.each(F.col("parts"))).collect()}
+    assert [(d.language, d.score) for d in got[1].d] == [("es", 0.5), ("und", None), ("en", 0.25)] and got[2].d is None and got[3].d == []
+    seen = {r.k: (r.language, r.score) for r in language.detect_distributed(df, fake, width=100, count=5).collect()}
+    assert seen == {1: ("en", 0.25), 2: ("en", 0.25), 3: ("und", None)}
+    native = language.create_detector()
+    assert {r.k: r.language for r in language.detect_distributed(df, native, width=100).collect()}[3] == "und"
+    key = df.select("k", language.detect_keywords(F.col("text"), fake, 5).alias("d")).collect()
+    assert [r.d.language for r in key] == ["es", "und", "und"]
+
+
+def test_audit_and_averages(spark):
+    from loomtext.operators import language
+
+    items = spark.createDataFrame([("1/1", ["uno", "dos"], ["es", "en"], [0.5, 0.75])], "handle string, abstract_segments array<string>, abstract_segment_languages array<string>, abstract_segment_language_scores array<double>")
+    raw = spark.createDataFrame([("1/1", "uno", "es", "es", "es"), ("1/1", "dos", "es", "", "x")], "h string, t string, f string, c string, o string")
+    audit = language.segment_audit(items, language.ground_truth(raw, "h", "t", "f", "c", "o"))
+    assert len(audit.columns) == 9
+    assert [(r.segment_index, r.ground_truth_language, r.ground_truth_source) for r in audit.orderBy("segment_index").collect()] == [(0, "es", "human_langid_agreement"), (1, "es", "manual_audit")]
+    assert language.truth_lists(audit).first()[1] == ["es", "es"]
+    table = language.per_language(audit, "ground_truth_language", "detected_language")
+    rows = {r.language: r for r in language.averages(table).collect()}
+    assert rows["accuracy"].f1 == 0.5 and rows["macro avg"].recall == 0.25 and rows["weighted avg"].precision == 1.0 and rows["macro avg"].support == 2
+
+
+def test_config_leaves_and_rules(tmp_path):
+    assert config.layered({"a": {"b": 1, "c": {}}}, {"a": {"b": {"d": 2}}, "e": {}}) == {"a": {"c": {}, "b": {"d": 2}}, "e": {}}
+    assert config.layered({"a": {"b": 1}}, {"a": {}}) == {"a": {"b": 1}} and config.layered({"a": {"b": 1}}, {"a": 3}) == {"a": 3}
+    assert len(config.complaints({})) == 7
+    (tmp_path / "a.yaml").write_text("experiment: {name: x}\ndata: {target_columns: [t]}\nsplit: {}\nfeatures: {}\nrepresentations: {}\nclassifiers: {}\n_own: 1\n")
+    args = config.arguments(["--config", str(tmp_path / "a.yaml"), "--output", "o"])
+    found = config.from_arguments(args)
+    assert found["experiment"] == {"name": "x", "output_dir": "o"} and "_own" not in config.dump(found)
+
+
+def test_open_runs_are_found_by_name(tmp_path):
+    a, b = sinks.run_folder(tmp_path, "x"), sinks.run_folder(tmp_path, "x")
+    c = sinks.run_folder(tmp_path, "x_y")
+    assert len({a, b, c}) == 3 and sinks.run_folder(tmp_path, "x", resume=True) == max(a, b)
+    sinks.mark(max(a, b), sinks.DONE)
+    assert sinks.run_folder(tmp_path, "x", resume=True) == min(a, b)
