@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 from collections.abc import Sequence
 from functools import lru_cache
@@ -219,12 +220,27 @@ def repair_mojibake(text: Column) -> Column:
     return F.when(odd & ~F.contains(again, F.lit("�")), again).otherwise(text)
 
 
-#: What a publishable text must not hold.
+def canonical_labels(exported: Sequence[str], canonical: Sequence[str]) -> list[str]:
+    """The canonical labels, if the exported ones are these, or these with every character beyond ASCII lost.
+
+    Exported labels may be UTF-8 that was read as Latin-1; number and order have to agree."""
+
+    def forms(label: str) -> set[str]:
+        lost = re.sub(r"[^\x00-\x7f]", "\ufffd", label)
+        return {label, lost, label.encode().decode("latin-1")}
+
+    odd = [i for i, (got, want) in enumerate(zip(exported, canonical, strict=False)) if got not in forms(want)]
+    if odd or len(exported) != len(canonical):
+        raise ValueError(f"{len(exported)} labels for {len(canonical)}, those at {odd} are others")
+    return list(canonical)
+
+
+#: Patterns of what a publishable text must not hold, this engine's own choice.
 PRIVATE_PATTERNS = {
-    "home_path": "(?:/home/|/Users/|[A-Z]:\\\\Users\\\\)[A-Za-z0-9._-]+",
-    "drive_path": "/content/drive/|MyDrive/",
-    "access_token": "(?:ghp_|hf_|sk-)[A-Za-z0-9]{16,}",
-    "email": "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z]{2,}",
+    "home_path": r"(?i)(?:[a-z]:[\\/]+users[\\/]+|/users/|/home/)[^\s\"'<>]+",
+    "drive_path": r"(?i)(?:/content/drive/|[\\/]mydrive[\\/]|[\\/]mi unidad[\\/])",
+    "access_token": r"\b(?:gh[opsur]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{30,}|hf_[A-Za-z0-9]{25,}|sk-[A-Za-z0-9]{20,})\b",
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}",
 }
 
 

@@ -146,19 +146,117 @@ def encode_texts(texts: DataFrame, encoder: Encoder, text: str = "text", batch:
     return distinct.select("text_hash", run("text").alias("vector"))
 
 
-def encode_cached(texts: DataFrame, encoder: Encoder, cache_path: str, text: str = "text") -> DataFrame:
-    """Vectors of all texts; only those without a row in the cache are encoded, and they are appended to it."""
+#: How texts reach an encoder: in overlapping chunks, or whole, so that the encoder cuts them itself.
+CHUNKED, TRUNCATED = "full_document", "legacy_truncated"
+
+
+def encode_cached(texts: DataFrame, encoder: Encoder, cache_path: str, text: str = "text", model: str = "", setting: str = "") -> DataFrame:
+    """Vectors of all texts; only those without a row in the cache are encoded, and they are appended to it.
+
+    A cached vector belongs to a text, a model and the model's setting (its mode and chunk length, say).
+    """
     spark = texts.sparkSession
+    own = (F.col("model") == model) & (F.col("setting") == setting)
     try:
-        cache = spark.read.parquet(cache_path)
+        cache = spark.read.parquet(cache_path).where(own)
     except Exception as e:  # no cache yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
         cache = None
     wanted = texts.withColumn("text_hash", F.sha2(text, 256))
     missing = wanted if cache is None else wanted.join(cache.select("text_hash"), "text_hash", "left_anti")
-    encode_texts(missing, encoder, text).write.mode("append").option("compression", "zstd").parquet(cache_path)
-    return wanted.join(spark.read.parquet(cache_path), "text_hash")
+    made = encode_texts(missing, encoder, text).withColumns({"model": F.lit(model), "setting": F.lit(setting)})
+    made.write.mode("append").option("compression", "zstd").parquet(cache_path)
+    held = spark.read.parquet(cache_path).where(own).dropDuplicates(["text_hash"]).select("text_hash", "vector")
+    return wanted.join(held, "text_hash")
+
+
+def text_chunks(units: DataFrame, mode: str = CHUNKED, length: int = 128, overlap: int = 0) -> DataFrame:
+    """Adds chunk_idx and chunk: overlapping runs of a unit's words, or the unit as it is if it is to be truncated."""
+    if mode == TRUNCATED:
+        return units.withColumns({"chunk_idx": F.lit(0), "chunk": F.col("text")})
+    if mode != CHUNKED:
+        raise ValueError(f"unknown embedding mode: {mode}")
+    chunks = F.transform(chunk_tokens(F.split("text", " "), length, overlap), lambda words: F.array_join(words, " "))
+    return units.select("*", F.posexplode(chunks).alias("chunk_idx", "chunk"))
+
+
+def encode_items(
+    units: DataFrame,
+    items: DataFrame,
+    encoder: Encoder,
+    width: int,
+    mode: str = CHUNKED,
+    length: int = 128,
+    overlap: int = 0,
+    cache_path: str | None = None,
+    model: str = "",
+    key: str = "handle",
+) -> DataFrame:
+    """key, vector: chunks pooled to units by their mean, units to items by weight; items without units are zero.
+
+    Blank units take no part. Weights are those of ``units`` (key, unit_idx, text, weight).
+    """
+    chunks = text_chunks(units.where(F.trim("text") != ""), mode, length, overlap).select(key, "unit_idx", "weight", F.col("chunk").alias("text"))
+    if cache_path:
+        rows = encode_cached(chunks, encoder, cache_path, model=model, setting=f"{mode}:{length}:{overlap}")
+    else:
+        rows = chunks.withColumn("text_hash", F.sha2("text", 256)).join(encode_texts(chunks, encoder), "text_hash")
+    per_unit = pool(rows, [key, "unit_idx", "weight"])
+    pooled = pool(per_unit, [key], "weighted_mean", weight="weight")
+    return items.select(key).join(pooled, key, "left").select(key, F.coalesce("vector", F.array_repeat(F.lit(0.0), width)).alias("vector"))
+
+
+def embedding_coverage(units: DataFrame, items: DataFrame, mode: str = CHUNKED, length: int = 128, overlap: int = 0, key: str = "handle") -> DataFrame:
+    """Per split: documents, documents without units, text units, chunks, their mean and maximum a unit."""
+    chunks = text_chunks(units.where(F.trim("text") != ""), mode, length, overlap).groupBy(key, "unit_idx").agg(F.count("*").alias("n"))
+    per = chunks.groupBy(key).agg(F.count("*").alias("units"), F.sum("n").alias("chunks"), F.max("n").alias("most"))
+    whole = items.select(key, "split").join(per, key, "left")
+    return whole.groupBy(F.col("split").alias("partition")).agg(
+        F.count("*").alias("documents"),
+        F.sum(F.col("units").isNull().cast("long")).alias("documents_without_units"),
+        F.coalesce(F.sum("units"), F.lit(0)).alias("text_units"),
+        F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks"),
+        F.try_divide(F.sum("chunks").cast("double"), F.sum("units").cast("double")).alias("chunks_per_unit"),
+        F.max("most").alias("most_chunks"),
+    )
+
+
+#: A model's forward pass: token arrays to a matrix of logits, one row a chunk and one column a label.
+Forward = Callable[[list[np.ndarray]], np.ndarray]
+
+
+def infer_logits(chunks: DataFrame, forward: Forward, labels: Sequence[str], key: str = "handle", batch: int = 64) -> DataFrame:
+    """key, label, logit, weight of every chunk (key, tokens, weight) by a fine-tuned model, in batches inside the tasks."""
+    names = list(labels)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for i in range(0, len(part), batch):
+                own = part.iloc[i : i + batch]
+                logits = np.asarray(forward(list(own["tokens"])), dtype=float)
+                yield pd.DataFrame(
+                    {
+                        key: np.repeat(own[key].to_numpy(), len(names)),
+                        "label": np.tile(names, len(own)),
+                        "logit": logits.ravel(),
+                        "weight": np.repeat(own["weight"].to_numpy(dtype=float), len(names)),
+                    }
+                )
+
+    kind = chunks.schema[key].dataType.simpleString()
+    return chunks.select(key, "tokens", "weight").mapInPandas(run, f"{key} {kind}, label string, logit double, weight double")
+
+
+def evaluate_finetuned(units: DataFrame, truth: DataFrame, forward: Forward, labels: Sequence[str], thresholds, length: int, maximum: int, key: str = "handle") -> DataFrame:
+    """key, label, score, y, pred of test items: weighted chunks, their logits, scores by item, thresholds.
+
+    ``units`` has key, unit_idx, ids and weight; ``truth`` key, label and y.
+    """
+    from . import scores
+
+    logits = infer_logits(chunk_weights(units, length, maximum, key), forward, labels, key)
+    return scores.apply_thresholds(aggregate_logits(logits, key, "weight").join(truth, [key, "label"]), thresholds)
 
 
 def encode_segmented(units: DataFrame, vectors: DataFrame, items: DataFrame, width: int, key: str = "handle") -> DataFrame:

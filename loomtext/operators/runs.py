@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import csv
+import json
+import threading
+import time
 from collections.abc import Sequence
+from dataclasses import dataclass
+from pathlib import Path
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.config import leaves
+
 
 def seed_aggregate(runs: DataFrame, by: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """Mean, sample deviation, least and largest of each metric over the runs of a group."""
@@ -117,3 +126,98 @@ def selection_roles(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per configuration with its roles joined by a semicolon."""
     roles = F.array_join(F.array_sort(F.collect_set("role")), ";")
     return rows.groupBy(*keys).agg(roles.alias("selection_roles"))
+
+
+@dataclass(frozen=True)
+class RunNeeds:
+    """What a finished run has to hold, and what it may not: paths below its folder."""
+
+    files: Sequence[str]
+    absent: Sequence[str] = ()
+
+
+def require_run(folder: str | Path, needs: RunNeeds, seed: int) -> dict[str, Any]:
+    """A run's context (context.json), if its files are there, none is that may not be, and all its seeds are ``seed``.
+
+    Seeds are told by the context and by the column seed of the metrics tables among the files.
+    """
+    base = Path(folder)
+    lacking = sorted(f for f in needs.files if not (base / f).exists())
+    if lacking:
+        raise FileNotFoundError(f"the run of seed {seed} lacks {lacking}")
+    found = sorted(f for f in needs.absent if (base / f).exists())
+    if found:
+        raise ValueError(f"the run of seed {seed} goes too far: {found}")
+    context = json.loads((base / "context.json").read_text(encoding="utf-8"))
+    told = {int(context["seed"])}
+    for f in needs.files:
+        if f.endswith(".csv"):
+            with (base / f).open(encoding="utf-8", newline="") as rows:
+                told |= {int(r["seed"]) for r in csv.DictReader(rows) if r.get("seed")}
+    if told != {seed}:
+        raise ValueError(f"the run of seed {seed} tells the seeds {sorted(told)}")
+    return context
+
+
+#: Keys that the runs of one comparison share, and parts of their settings that may differ.
+SHARED_KEYS = ("split_fingerprint", "dataset_fingerprint", "split_sizes", "labels", "commit", "source_digest")
+OWN_SETTINGS = ("experiment.seed", "experiment.output_dir", "data.prepared_parquet", "data.split_manifest", "data.labels_json")
+
+
+def context_differences(contexts: Sequence[dict[str, Any]], settings: Sequence[dict[str, Any]] = (), own: Sequence[str] = OWN_SETTINGS) -> list[str]:
+    """What differs between runs that have to be comparable: shared keys, and settings outside ``own``."""
+    out = [k for k in SHARED_KEYS if len({json.dumps(c.get(k), sort_keys=True) for c in contexts}) > 1]
+    flat = [{".".join(p): json.dumps(v, sort_keys=True) for p, v in leaves(s)} for s in settings]
+    for path in sorted({p for f in flat for p in f}):
+        if path not in own and len({f.get(path) for f in flat}) > 1:
+            out.append(f"settings.{path}")
+    return out
+
+
+def validate_shared_context(contexts: Sequence[dict[str, Any]], settings: Sequence[dict[str, Any]] = ()) -> None:
+    found = context_differences(contexts, settings)
+    if found:
+        raise ValueError(f"runs disagree on {found}")
+
+
+class Heartbeat:
+    """Writes a session's seconds to a file at once, at intervals while it lasts, and at its end.
+
+    The file keeps one row a session, so time up to the last beat counts even if the driver is lost; sessions
+    that were running when another began were interrupted.
+    """
+
+    def __init__(self, path: str | Path, stage: str, seconds: float = 60.0):
+        self.path, self.seconds, self.began = Path(path), seconds, time.time()
+        self.session = f"{stage}-{self.began:.6f}"
+        self.stopped, self.lock = threading.Event(), threading.Lock()
+        held = self.read()
+        for row in held:
+            if row["state"] == "running":
+                row["state"] = "interrupted"
+        self.rows = held
+        self.beat("running")
+        self.thread = threading.Thread(target=self._run, name="heartbeat", daemon=True)
+        self.thread.start()
+
+    def read(self) -> list[dict[str, Any]]:
+        return json.loads(self.path.read_text(encoding="utf-8")) if self.path.exists() else []
+
+    def beat(self, state: str) -> float:
+        """The seconds of all sessions."""
+        with self.lock:
+            own = {"session": self.session, "state": state, "seconds": time.time() - self.began}
+            rows = [*(r for r in self.rows if r["session"] != self.session), own]
+            fresh = self.path.with_suffix(".new")
+            fresh.write_text(json.dumps(rows), encoding="utf-8")
+            fresh.replace(self.path)
+            return sum(r["seconds"] for r in rows)
+
+    def _run(self) -> None:
+        while not self.stopped.wait(self.seconds):
+            self.beat("running")
+
+    def stop(self, state: str = "done") -> float:
+        self.stopped.set()
+        self.thread.join()
+        return self.beat(state)

@@ -252,12 +252,9 @@ def text_unit_statistics(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(
-    """SELECT doc_id, array_to_string(list_filter(['home_path', 'drive_path', 'access_token', 'email'], lambda k: CASE k
-      WHEN 'home_path' THEN regexp_matches(text, '(?:/home/|/Users/|[A-Z]:\\\\Users\\\\)[A-Za-z0-9._-]+')
-      WHEN 'drive_path' THEN regexp_matches(text, '/content/drive/|MyDrive/')
-      WHEN 'access_token' THEN regexp_matches(text, '(?:ghp_|hf_|sk-)[A-Za-z0-9]{16,}')
-      ELSE regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z]{2,}') END), ',') AS findings FROM documents"""
-)
+_PRIVATE = " ".join(f"WHEN '{name}' THEN regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}')" for name, p in T.PRIVATE_PATTERNS.items())
+
+
+@query(f"SELECT doc_id, array_to_string(list_filter({list(T.PRIVATE_PATTERNS)}, lambda k: CASE k {_PRIVATE} END), ',') AS findings FROM documents")
 def private_content(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.array_join(T.private_findings(F.col("text")), ",").alias("findings"))
