@@ -32,7 +32,7 @@ from .tokenizer_files import text_batches
 #: Queries that are broadcast together at most.
 BLOCK = 8192
 #: Pairs that are bounded together.
-PAIRS = 2_000_000
+PAIRS = 1_000_000
 #: Rows of the samples that fit the rotation and the first floors.
 SAMPLE = 4096
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
@@ -169,8 +169,8 @@ class Best:
             rows, near = rows[wanted], near[:, wanted]
         query, at = np.nonzero(near)
         row = rows[at]
-        for s in range(0, len(query), 500_000):
-            part = slice(s, s + 500_000)
+        for s in range(0, len(query), 100_000):
+            part = slice(s, s + 100_000)
             self.offer(query[part], ids[row[part]], products(self.q[query[part]], c[row[part]]))
 
 
