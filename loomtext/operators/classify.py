@@ -134,6 +134,15 @@ def family_winners(results: DataFrame, metric: str = "f1_macro") -> DataFrame:
     return own.groupBy("family").agg(F.min_by(F.struct(*results.columns), order).alias("r")).select("r.*", "family")
 
 
+def selected_models(results: DataFrame, metric: str = "f1_macro") -> DataFrame:
+    """Each family's best experiment; the best of all is the confirmatory one. Columns of the results, family,
+    confirmatory and selection_roles (joined by ;)."""
+    best = leaderboard(results, metric).where("place = 1").select(*KEY, F.lit(True).alias("confirmatory"))
+    rows = family_winners(results, metric).join(best, list(KEY), "left").withColumn("confirmatory", F.coalesce("confirmatory", F.lit(False)))
+    roles = F.when(F.col("confirmatory"), "family_secondary;global_confirmatory").otherwise("family_secondary")
+    return rows.select(*results.columns, "family", "confirmatory", roles.alias("selection_roles"))
+
+
 def pending(expected: DataFrame, completed: DataFrame) -> DataFrame:
     """Experiments without a result."""
     return expected.join(completed, list(KEY), "left_anti")

@@ -64,6 +64,7 @@ def metadata_rows(
             (T.declared_language([cell(c) for c in languages]) if languages else F.lit("und")).alias("fulltext_declared_language"),
             (T.combine_cells([cell(c) for c in keywords], uri=True) if keywords else F.lit("")).alias("keywords"),
             full.alias("fulltext"),
+            (F.length(F.coalesce(cell("fulltext"), F.lit(""))).cast("long") if "fulltext" in metadata.columns else F.lit(0).cast("long")).alias("fulltext_characters"),
             (T.parse_labels([cell(c) for c in targets]) if targets else none).alias("labels"),
         )
         .select("*", F.col("parts.segments").alias("segments"), F.col("parts.markers").alias("abstract_missing_markers"))
@@ -74,7 +75,7 @@ def metadata_rows(
 def roll_up_items(rows: DataFrame, max_fulltext_chars: int = 100_000) -> DataFrame:
     """One row per handle from metadata_rows: rows without handle or labels go, the others merge in row order."""
     ordered = F.array_sort(
-        F.collect_list(F.struct("row_no", "segments", "keywords", "fulltext", "fulltext_declared_language", "labels"))
+        F.collect_list(F.struct("row_no", "segments", "keywords", "fulltext", "fulltext_declared_language", "labels", "fulltext_characters"))
     )
     grouped = (
         rows.where(F.col("handle").isNotNull() & (F.size("labels") > 0))
@@ -86,6 +87,9 @@ def roll_up_items(rows: DataFrame, max_fulltext_chars: int = 100_000) -> DataFra
     texts = F.filter(each("fulltext"), lambda x: x != "")
     languages = F.array_distinct(each("fulltext_declared_language"))
     units = F.array_distinct(F.filter(each("fulltext"), lambda x: F.trim(x) != ""))
+    # Characters before any cut, with the two line ends between texts.
+    long = F.filter(each("fulltext_characters"), lambda n: n > 0)
+    characters = F.aggregate(long, F.lit(0).cast("long"), lambda a, n: a + n) + F.greatest(F.size(long) - 1, F.lit(0)) * 2
     return (
         grouped.withColumns({"records": records})
         .select(
@@ -98,6 +102,7 @@ def roll_up_items(rows: DataFrame, max_fulltext_chars: int = 100_000) -> DataFra
             F.when(F.size(languages) == 1, F.get(languages, F.lit(0))).otherwise("mul").alias("fulltext_declared_language"),
             F.array_join(F.array_distinct(F.filter(each("keywords"), lambda x: x != "")), " ").alias("keywords"),
             F.substring(F.array_join(texts, "\n\n"), 1, max_fulltext_chars).alias("fulltext"),
+            characters.alias("fulltext_source_characters"),
             units.alias("fulltext_documents"),
             F.when(F.size(units) > 0, F.array(F.lit("inline:0"))).otherwise(F.array().cast("array<string>")).alias("fulltext_source_ids"),
             F.array_sort(F.array_distinct(F.flatten(each("labels")))).alias("labels"),
@@ -222,3 +227,34 @@ def duplicate_members(items: DataFrame, key: str = "handle") -> DataFrame:
     """One row per item of a content group of several: content_group, n and the item's key."""
     groups = duplicate_groups(items, key).select("content_group", "n")
     return items.select("content_group", key).join(groups, "content_group")
+
+
+def fulltext_coverage(items: DataFrame) -> DataFrame:
+    """Documents, their characters before and after the budget, the percentage that is represented, and how many were cut.
+
+    Reads fulltext, and fulltext_source_characters and fulltext_truncated where they are there.
+    """
+    kept = F.length(F.coalesce("fulltext", F.lit(""))).cast("long")
+    source = F.col("fulltext_source_characters") if "fulltext_source_characters" in items.columns else kept
+    cut = F.col("fulltext_truncated") if "fulltext_truncated" in items.columns else source > kept
+    return items.agg(
+        F.count("*").alias("documents"),
+        F.sum(source).alias("source_characters"),
+        F.sum(kept).alias("represented_characters"),
+        F.try_divide(F.lit(100.0) * F.sum(kept), F.sum(source)).alias("represented_percentage"),
+        F.sum(cut.cast("long")).alias("truncated"),
+    )
+
+
+def text_unit_statistics(items: DataFrame) -> DataFrame:
+    """Items, abstract segments and full-text files, and items without or with several of them (array columns)."""
+    a, f = (F.coalesce(F.size(c), F.lit(0)) for c in ("abstract_segments", "fulltext_documents"))
+    n = lambda c: F.sum(c.cast("long"))
+    return items.agg(
+        F.count("*").alias("n_items"),
+        n(a).alias("n_abstract_segments"),
+        n(f).alias("n_fulltext_files"),
+        n(a <= 0).alias("items_without_abstract"),
+        n(a > 1).alias("items_with_multiple_abstracts"),
+        n(f > 1).alias("items_with_multiple_fulltexts"),
+    )

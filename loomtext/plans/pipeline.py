@@ -2,35 +2,52 @@
 
 from __future__ import annotations
 
+import json
 import time
+from functools import reduce
 from pathlib import Path
 from typing import Any
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import classify, dense, items, labels, language, runs, scores, vectorize
 from ..sources import readers, sinks
+from ..sources.scratch import scratch_dir
 
 RESULT = "preprocessing string, feature_set string, representation string, classifier string, f1_macro double, f1_micro double, score_kind string, split_fingerprint string"
+#: Stages that end before the test items are looked at.
+DENSE_STAGES = ("sbert", "labse")
 
 
 class Run:
-    """One run folder and its stages. Tables go to Parquet, reports to CSV; a restart goes on where tables end."""
-
-    def __init__(self, spark: SparkSession, config: dict[str, Any], resume: bool = False):
-        self.spark, self.config = spark, config
-        self.seed = int(config["experiment"].get("seed", 42))
-        self.folder = sinks.run_folder(config["experiment"].get("output_dir", "outputs"), config["experiment"]["name"], resume)
+    """One run folder and its stages. Tables go to Parquet, reports to CSV; a restart goes on where tables end.
+
+    The folder holds markers, settings and small JSON files of the driver. Tables and reports lie in it, too,
+    on a local session; on a cluster they go to ``experiment.table_dir``, or else to the folder that
+    spark.checkpoint.dir names, so that all executors reach them.
+    """
+
+    def __init__(self, spark: SparkSession, config: dict[str, Any], resume: bool = False, encoders: dict[str, dense.Encoder] | None = None):
+        self.spark, self.config, self.encoders = spark, config, encoders or {}
+        own = config["experiment"]
+        self.seed = int(own.get("seed", 42))
+        self.folder = sinks.run_folder(own.get("output_dir", "outputs"), own["name"], resume)
+        shared = own.get("table_dir")
+        if not shared and not spark.sparkContext.master.startswith("local"):
+            shared = f"{scratch_dir(spark)}/runs"
+        self.base = f"{shared.rstrip('/')}/{self.folder.name}" if shared else f"file://{self.folder.resolve()}"
         self.timings: list[tuple[str, float]] = []
         sinks.write_json({k: v for k, v in config.items() if not k.startswith("_")}, self.folder / "config.json")
         sinks.write_json(sinks.environment(), self.folder / "environment.json")
+        self.log = sinks.run_log(self.folder / "run.log")
 
     def path(self, name: str) -> str:
-        return f"file://{self.folder.resolve()}/{name}"
+        return f"{self.base}/{name}"
 
     def table(self, name: str) -> DataFrame | None:
-        return self.spark.read.parquet(self.path(name)) if (self.folder / name / "_SUCCESS").exists() else None
+        return self.spark.read.parquet(self.path(name)) if sinks.exists(self.spark, self.path(f"{name}/_SUCCESS")) else None
 
     def keep(self, name: str, build) -> DataFrame:
         """The table of that name, built and written if it isn't there yet."""
@@ -82,7 +99,7 @@ class Run:
                         units, detect, width=int(settings.get("segment_chars", 4000)), count=int(settings.get("fulltext_segments", 5))
                     )
                 else:
-                    seen = units.withColumn("d", detect(F.col("text"))).select("*", F.col("d.language").alias("language"), F.col("d.score").alias("score"))
+                    seen = units.withColumn("d", detect(F.col("text"))).select("handle", "pos", F.length("text").alias("chars"), "d.language", "d.score")
                 found = language.aggregate_languages(seen, "handle", share)
                 if field == "fulltext":
                     found = language.override_by_windows(found, units, detect, "handle", width, share)
@@ -90,13 +107,21 @@ class Run:
                 out = out.join(found, "handle", "left").withColumn(f"{field}_detected_language", F.coalesce(f"{field}_detected_language", F.lit("und")))
             pieces = F.flatten(F.transform("fulltext_documents", lambda d: language.slices(d, width)))
             key = language.detect_keywords(F.col("keywords"), detect, int(settings.get("keyword_min_chars", 20)))
-            return out.withColumns(
+            out = out.withColumn("fulltext_preprocessing_segments", pieces).withColumns(
                 {
-                    "abstract_segment_languages": F.transform("abstract_segments", lambda t: detect(t)["language"]),
-                    "fulltext_preprocessing_segments": pieces,
+                    "_abstract": detect.each(F.col("abstract_segments")),
+                    "_fulltext": detect.each(F.col("fulltext_preprocessing_segments")),
                     "keywords_detected_language": key["language"],
                 }
-            ).withColumn("fulltext_preprocessing_segment_languages", F.transform("fulltext_preprocessing_segments", lambda t: detect(t)["language"]))
+            )
+            named = lambda c, field: F.transform(c, lambda d: d[field])
+            return out.withColumns(
+                {
+                    "abstract_segment_languages": named("_abstract", "language"),
+                    "abstract_segment_language_scores": named("_abstract", "score"),
+                    "fulltext_preprocessing_segment_languages": named("_fulltext", "language"),
+                }
+            ).drop("_abstract", "_fulltext")
 
         return self.keep("items_with_languages", build)
 
@@ -108,7 +133,14 @@ class Run:
             "split_manifest",
             lambda: labels.split_items(source, shares, self.seed, int(s.get("max_tries", 20)), group_column="content_group")[0].select("handle", "split"),
         )
-        return labels.restore_split(source, manifest)
+        frozen = labels.restore_split(source, manifest)
+        context = {"seed": self.seed, "split_fingerprint": labels.split_fingerprint(frozen), "split_sizes": {r.split: r.n for r in labels.split_sizes(frozen).collect()}}
+        place = self.folder / "context.json"
+        if place.exists():  # a resumed run has to go on with the split that it began with
+            runs.validate_shared_context([json.loads(place.read_text(encoding="utf-8")), context])
+        else:
+            sinks.write_json(context, place)
+        return frozen
 
     def reports(self, prepared: DataFrame) -> None:
         for name, df in (
@@ -119,30 +151,88 @@ class Run:
             ("label_coverage_by_split", labels.coverage(prepared)),
             ("exact_content_duplicate_groups", items.duplicate_groups(prepared)),
             ("language_by_subject", labels.labels_by_language(prepared, "abstract_detected_language")),
+            ("fulltext_coverage", items.fulltext_coverage(prepared)),
+            ("text_unit_statistics", items.text_unit_statistics(prepared)),
             *((f"{f}_language_distribution", language.distribution(prepared, f"{f}_detected_language")) for f in ("abstract", "fulltext", "keywords")),
         ):
             self.report(name, df)
-
-    def candidates(self) -> list[tuple[str, str, str, str]]:
-        """The sparse grid of the configuration."""
+        told = [
+            prepared.select(F.lit(f).alias("field"), F.col(f"{f}_declared_language").alias("declared"), F.col(f"{f}_detected_language").alias("detected"))
+            for f in ("abstract", "fulltext")
+            if f"{f}_declared_language" in prepared.columns
+        ]
+        both = reduce(DataFrame.unionByName, told)
+        self.report("language_agreement", language.agreement(both))
+        self.report("language_agreement_summary", language.agreement_summary(both))
+        self.ground_truth(prepared)
+
+    def ground_truth(self, prepared: DataFrame) -> None:
+        """Reports against audited abstract segments, if the settings name their table."""
+        settings = self.config.get("language", {})
+        place = settings.get("abstract_ground_truth_csv")
+        if not place:
+            return
+        columns = settings.get("abstract_ground_truth_columns", ["handle", "text", "final", "catalogued", "other"])
+        build = lambda raw: language.ground_truth(raw, *columns)
+        cache = settings.get("abstract_ground_truth_cache")
+        truth = readers.signed_cache(self.spark, place, cache, build) if cache else build(readers.read_metadata(self.spark, place))
+        audit = self.keep("abstract_language_audit", lambda: language.segment_audit(prepared, truth))
+        self.report("abstract_language_ground_truth_conflicts", language.ground_truth_conflicts(truth))
+        known = audit.where("ground_truth_language is not null")
+        names = ("ground_truth_language", "detected_language")
+        self.report("abstract_language_ground_truth_summary", language.accuracy_summary(known, *names))
+        self.report("abstract_language_ground_truth_per_language", language.averages(language.per_language(known, *names)))
+        self.report("abstract_language_ground_truth_confusion", language.confusion(known, *names))
+
+    def candidates(self, kinds: tuple[str, ...] | None = None) -> list[tuple[str, str, str, str]]:
+        """The grid of the configuration, sparse and dense, or that of some representations only."""
         c = self.config
         modes = c.get("preprocessing", {}).get("modes") or [c.get("preprocessing", {}).get("mode", "raw")]
-        enabled = [r for r in c["representations"].get("enabled", []) if r in classify.SPARSE]
-        return [(m, f, r, k) for m in modes for f in c["features"].get("sets", list(dense.FEATURE_SETS)) for r in enabled for k in c["classifiers"].get("enabled", ["logreg"])]
-
-    def fit(self, prepared: DataFrame, key: tuple[str, str, str, str], held: str) -> tuple[DataFrame, str]:
-        """Scores of the calibration items and those of ``held`` (handle, label, score, y, split), and their kind."""
-        mode, feature_set, representation, name = key
+        enabled = [r for r in c["representations"].get("enabled", []) if kinds is None or r in kinds]
+        out = []
+        for r in enabled:
+            own = modes if r in classify.SPARSE else ["transformer"]
+            out += [(m, f, r, k) for m in own for f in c["features"].get("sets", list(dense.FEATURE_SETS)) for k in c["classifiers"].get("enabled", ["logreg"])]
+        return out
+
+    def counts(self, prepared: DataFrame, mode: str, feature_set: str) -> DataFrame:
+        """Term counts of a text form, made once for all representations and classifiers."""
         c = self.config["representations"]
         texts = dense.feature_text(prepared, feature_set, mode)
+        build = lambda: vectorize.term_counts(texts, ngrams=tuple(c.get("ngram_range", (1, 2))), lowercase=bool(c.get("lowercase", True)))
+        return self.keep(f"counts/{mode}-{feature_set.replace('+', '_')}", build)
+
+    def sparse_vectors(self, prepared: DataFrame, mode: str, feature_set: str, representation: str) -> DataFrame:
+        c = self.config["representations"]
         train = prepared.where("split = 'train'").select("handle")
-        counts = vectorize.term_counts(texts, ngrams=tuple(c.get("ngram_range", (1, 2))), lowercase=bool(c.get("lowercase", True)))
+        counts = self.counts(prepared, mode, feature_set)
         b = c.get("bm25", {})
         model = vectorize.fit(
             representation, counts.join(train, "handle", "left_semi"), train.count(), c.get("max_features", 100_000), c.get("min_df", 1), c.get("max_df", 1.0),
             float(b.get("k1", 1.5)), float(b.get("b", 0.75)),
         )
-        vectors = vectorize.indexed_vectors(model.transform(counts), model)
+        return vectorize.indexed_vectors(model.transform(counts), model)
+
+    def dense_vectors(self, prepared: DataFrame, feature_set: str, name: str) -> DataFrame:
+        """Items' vectors by an encoder given to the run; its coverage of the splits is reported."""
+        if name not in self.encoders:
+            raise ValueError(f"the run was given no encoder for {name}")
+        c = self.config["representations"].get(name, {})
+        settings = {"mode": c.get("embedding_mode", dense.CHUNKED), "length": int(c.get("max_length", 128)), "overlap": int(c.get("overlap", 0))}
+        units = dense.weighted_units(prepared, feature_set, self.config["features"].get("field_weights"))
+        told = dense.embedding_coverage(units, prepared, **settings).withColumns({"feature_set": F.lit(feature_set), "representation": F.lit(name)})
+        self.report(f"embedding_coverage_{name}_{settings['mode']}_{feature_set.replace('+', '_')}", told)
+        width = len(self.encoders[name]([""])[0])
+        cache = self.path(f"vectors/{name}")
+        found = dense.encode_items(units, prepared, self.encoders[name], width, cache_path=cache, model=name, **settings)
+        return found.select("handle", array_to_vector("vector").alias("features"))
+
+    def fit(self, prepared: DataFrame, key: tuple[str, str, str, str], held: str) -> tuple[DataFrame, str]:
+        """Scores of the calibration items and those of ``held`` (handle, label, score, y, split), and their kind."""
+        mode, feature_set, representation, name = key
+        sparse = representation in classify.SPARSE
+        vectors = self.sparse_vectors(prepared, mode, feature_set, representation) if sparse else self.dense_vectors(prepared, feature_set, representation)
+        train = prepared.where("split = 'train'").select("handle")
         truth = labels.indicator(prepared)
         fitted = classify.fit_one_vs_rest(vectors.join(train, "handle", "left_semi"), truth.join(train, "handle", "left_semi"), name)
         rest = prepared.where(F.col("split").isin("calibration", held)).select("handle", "split")
@@ -154,57 +244,128 @@ class Run:
         t = self.config.get("thresholds", {})
         return scores.calibrate(part, kind, t.get("mode", "default"), int(t.get("minimum_label_support", 20)))
 
-    def sparse(self, prepared: DataFrame) -> DataFrame:
-        """Validation results of all candidates; each is appended when done, and done ones are skipped."""
+    def grid(self, prepared: DataFrame, kinds: tuple[str, ...] | None) -> DataFrame:
+        """Validation results of the candidates; each is appended when done, and done ones are skipped."""
         fingerprint = labels.split_fingerprint(prepared)
-        path = self.path("validation_results")
-        names = list(classify.KEY)
-        for key in self.candidates():
-            done = self.spark.read.schema(RESULT).parquet(path) if (self.folder / "validation_results").exists() else self.spark.createDataFrame([], RESULT)
-            if not runs.bound_to(done, fingerprint).where(F.struct(*names) == F.struct(*map(F.lit, key))).isEmpty():
+        path, names = self.path("validation_results"), list(classify.KEY)
+        empty = self.spark.createDataFrame([], RESULT)
+        done = lambda: self.spark.read.schema(RESULT).parquet(path) if sinks.exists(self.spark, path) else empty
+        for key in self.candidates(kinds):
+            if not runs.bound_to(done(), fingerprint).where(F.struct(*names) == F.struct(*map(F.lit, key))).isEmpty():
                 continue
+            began = time.time()
             rows, kind = self.fit(prepared, key, "validation")
             measured = scores.multilabel_metrics(scores.apply_thresholds(rows.where("split = 'validation'"), self.threshold(rows, kind, "validation")))
             m = measured.first()
             row = (*key, float(m.f1_macro), float(m.f1_micro), kind, fingerprint)
             self.spark.createDataFrame([row], RESULT).coalesce(1).write.mode("append").parquet(path)
-        return self.spark.read.schema(RESULT).parquet(path)
+            self.timings.append(("|".join(key), time.time() - began))
+        return done()
+
+    def test_rows(self, prepared: DataFrame, key: tuple[str, str, str, str]) -> tuple[DataFrame, Any]:
+        """Test predictions of a configuration, fitted on training items alone and kept, and its thresholds."""
+        name = "test_predictions/" + "-".join(part.replace("+", "_") for part in key)
+        place = self.folder / f"thresholds_{'-'.join(part.replace('+', '_') for part in key)}.json"
+        found = self.table(name)
+        if found is None or not place.exists():
+            rows, kind = self.fit(prepared, key, "test")
+            tuned = self.threshold(rows, kind, "test")
+            told = {r.label: r.threshold for r in tuned.collect()} if isinstance(tuned, DataFrame) else {"": float(tuned)}  # one row a label
+            sinks.write_json(told, place)
+            found = self.keep(name, lambda: scores.apply_thresholds(rows.where("split = 'test'"), tuned))
+        return found, json.loads(place.read_text(encoding="utf-8"))
 
     def finalize(self, prepared: DataFrame, results: DataFrame) -> DataFrame:
-        """The validation winner on test items, with its reports."""
+        """The validation winner on test items, then each family's best one beside it, with their reports."""
         expected = self.spark.createDataFrame(self.candidates(), ", ".join(f"{c} string" for c in classify.KEY))
         runs.require_complete(expected, results, classify.KEY)
         board = classify.leaderboard(results)
         self.report("results_validation", board.orderBy("place"))
-        best = board.where("place = 1").first()
-        key = tuple(best[c] for c in classify.KEY)
-        rows, kind = self.fit(prepared, key, "test")
-        tuned = self.threshold(rows, kind, "test")
-        test = self.keep("test_predictions", lambda: scores.apply_thresholds(rows.where("split = 'test'"), tuned))
+        chosen = classify.selected_models(results)
+        self.report("selected_test_models_frozen", chosen)
+        sinks.mark(self.folder, sinks.VALIDATED)
+        models = chosen.orderBy(F.desc("confirmatory"), "family").collect()  # one row a family
+        key = tuple(models[0][c] for c in classify.KEY)
+        test, tuned = self.test_rows(prepared, key)
+        sinks.write_json(tuned, self.folder / "thresholds.json")
         metrics = scores.multilabel_metrics(test)
         table = scores.performance_ranking(scores.per_label(test))
-        self.report("results_test", metrics)
-        self.report("per_label_test", table.orderBy("rank"))
-        self.report("label_substitution_errors", scores.substitution_errors(test))
-        self.report("bootstrap_ci", scores.bootstrap_intervals(test, int(self.config.get("metrics", {}).get("bootstrap_resamples", 1000)), seed=self.seed))
+        own = self.config.get("metrics", {})
+        fields = ("abstract", "fulltext")
+        told = [
+            scores.by_language(
+                test.join(prepared.select("handle", F.col(f"{f}_detected_language").alias("language")), "handle"), int(own.get("language_min_support", 30))
+            ).withColumn("field", F.lit(f))
+            for f in fields
+        ]
+        for name, df in (
+            ("results_test", metrics),
+            ("per_label_test", table.orderBy("rank")),
+            ("multilabel_confusion_matrices", scores.confusion_matrices(test)),
+            ("label_substitution_errors", scores.substitution_errors(test)),
+            ("support_correlations", scores.correlations(table)),
+            ("language_performance", told[0].unionByName(told[1])),
+            ("bootstrap_ci", scores.bootstrap_intervals(test, int(own.get("bootstrap_resamples", 1000)), seed=self.seed)),
+        ):
+            self.report(name, df)
+        sinks.write_json(scores.correlation_p_values(scores.correlations(table)), self.folder / "correlation_p_values.json")
         sinks.write_parquet(scores.predictions(test), self.path("predictions_test"))
-        Path(self.folder, "evaluation.md").write_text(sinks.evaluation_report(metrics, table), encoding="utf-8")
+        sinks.mark(self.folder, sinks.TESTED)
+        families = self.compare(prepared, models, test)
+        Path(self.folder, "evaluation.md").write_text(sinks.evaluation_report(metrics, table, families), encoding="utf-8")
         return metrics
 
+    def compare(self, prepared: DataFrame, models: list, winner: DataFrame) -> DataFrame:
+        """Each selected model on the test items: metrics, labels, predictions, and the paired difference to the winner."""
+        own = self.config.get("metrics", {})
+        parts: dict[str, list[DataFrame]] = {"rows": [], "labels": [], "predictions": [], "paired": []}
+        for m in models:
+            named = lambda df, m=m: df.withColumns({"family": F.lit(m.family), "selection_roles": F.lit(m.selection_roles)})
+            key = tuple(m[c] for c in classify.KEY)
+            test = winner if m.confirmatory else self.test_rows(prepared, key)[0]
+            about = {c: F.lit(m[c]) for c in classify.KEY} | {f"validation_{c}": F.lit(m[c]) for c in ("f1_macro", "f1_micro")}
+            parts["rows"].append(named(scores.multilabel_metrics(test)).withColumns(about))
+            parts["labels"].append(named(scores.per_label(test)))
+            parts["predictions"].append(named(scores.predictions(test)))
+            if not m.confirmatory:
+                parts["paired"].append(named(scores.paired_bootstrap(winner, test, int(own.get("comparative_bootstrap_resamples", 1000)), seed=self.seed)))
+        whole = {name: reduce(DataFrame.unionByName, dfs) for name, dfs in parts.items() if dfs}
+        comparative = self.keep("results_test_comparative", lambda: whole["rows"])
+        comparative = comparative.orderBy(F.desc("f1_macro"), *classify.KEY)
+        self.report("results_test_comparative", comparative)
+        self.report("per_label_test_comparative", whole["labels"])
+        if "paired" in whole:
+            self.report("paired_bootstrap_vs_global", whole["paired"])
+        sinks.write_parquet(whole["predictions"], self.path("predictions_test_comparative"))
+        return comparative.select("selection_roles", "family", "representation", "classifier", "validation_f1_macro", "f1_macro", "f1_micro")
+
     def run(self, stage: str = "all") -> DataFrame:
-        """prepare stops after the reports, sparse after the grid; finalize and all go to the test results."""
+        """prepare stops after the reports; sparse, sbert and labse after their part of the grid; finalize needs
+        the whole grid and goes to the test results; all does everything."""
+        if stage not in ("prepare", "sparse", *DENSE_STAGES, "finalize", "all"):
+            raise ValueError(f"unknown stage: {stage}")
+        beat = runs.Heartbeat(self.folder / "timing_sessions.json", stage, float(self.config["experiment"].get("heartbeat_seconds", 60)))
+        try:
+            out = self.stages(stage)
+        except BaseException:
+            beat.stop("failed")
+            raise
+        self.timings.append(("total", beat.stop()))
+        self.report("timing", self.spark.createDataFrame(self.timings, "stage string, seconds double"))
+        if stage in ("finalize", "all"):
+            sinks.mark(self.folder, sinks.DONE)
+        return out
+
+    def stages(self, stage: str) -> DataFrame:
         prepared = self.splits()
         if stage in ("prepare", "all"):
             self.reports(prepared)
         if stage == "prepare":
             return prepared
-        results = self.sparse(prepared)
-        if stage == "sparse":
-            return results
-        metrics = self.finalize(prepared, results)
-        self.report("timing", self.spark.createDataFrame([(n, s) for n, s in self.timings] or [("none", 0.0)], "stage string, seconds double"))
-        sinks.mark(self.folder, "_SUCCESS")
-        return metrics
+        if stage == "finalize":
+            return self.finalize(prepared, self.grid(prepared, ()))
+        results = self.grid(prepared, {"sparse": classify.SPARSE, "all": None}.get(stage, (stage,)))
+        return self.finalize(prepared, results) if stage == "all" else results
 
 
 def main(argv: list[str] | None = None) -> None:

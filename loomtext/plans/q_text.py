@@ -209,15 +209,9 @@ def content_duplicate_members(spark: SparkSession, sf: str) -> DataFrame:
     FROM documents"""
 )
 def fulltext_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    n = F.length("text")
-    kept = F.least(n, F.lit(4000))
-    return table(spark, sf, "documents").agg(
-        F.count("*").alias("documents"),
-        F.sum(n).alias("source_characters"),
-        F.sum(kept).alias("represented_characters"),
-        F.try_divide(F.lit(100.0) * F.sum(kept), F.sum(n)).alias("represented_percentage"),
-        F.sum((n > 4000).cast("long")).alias("truncated"),
-    )
+    text = F.col("text")
+    d = table(spark, sf, "documents").select(F.length(text).cast("long").alias("fulltext_source_characters"), F.left(text, F.lit(4000)).alias("fulltext"))
+    return items.fulltext_coverage(d)
 
 
 @query(
@@ -239,17 +233,10 @@ def text_statistics(spark: SparkSession, sf: str) -> DataFrame:
       sum((a > 1)::INT)::BIGINT AS items_with_multiple_abstracts, sum((f > 1)::INT)::BIGINT AS items_with_multiple_fulltexts FROM c"""
 )
 def text_unit_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    user = (F.col("role") == "user").cast("long")
-    per = table(spark, sf, "conversations").groupBy("conv_id").agg(F.sum(user).alias("a"), F.sum(1 - user).alias("f"))
-    n = lambda c: F.sum(c.cast("long"))
-    return per.agg(
-        F.count("*").alias("n_items"),
-        F.sum("a").alias("n_abstract_segments"),
-        F.sum("f").alias("n_fulltext_files"),
-        n(F.col("a") == 0).alias("items_without_abstract"),
-        n(F.col("a") > 1).alias("items_with_multiple_abstracts"),
-        n(F.col("f") > 1).alias("items_with_multiple_fulltexts"),
-    )
+    own = lambda c: F.collect_list(F.when(c, F.lit(1)))
+    user = F.col("role") == "user"
+    per = table(spark, sf, "conversations").groupBy("conv_id").agg(own(user).alias("abstract_segments"), own(~user).alias("fulltext_documents"))
+    return items.text_unit_statistics(per)
 
 
 _PRIVATE = " ".join(f"WHEN '{name}' THEN regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}')" for name, p in T.PRIVATE_PATTERNS.items())
