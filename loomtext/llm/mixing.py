@@ -6,6 +6,10 @@ language and topic; a fixed number of rounds. A cell's rate is its raked weight
 taken with probability min(1, scale * rate), where the scale makes the expected tokens meet the budget,
 by a hash of the identifier: the same documents on every run.
 
+Topics are learned from the corpus, unless a column gives them: its keywords are the words that most
+documents hold, of those that at most a share of them does, and a document's topic is the keyword that it
+holds most often.
+
 Cells are made by partial aggregation and are the only thing that rounds touch. Each round's cells are
 written to the shared folder, which cuts the lineage. Rates go back to documents by cell and salt, so a
 source with a third of all rows is dealt out.
@@ -20,16 +24,45 @@ from .shared import forget, stash, text_or_empty
 
 DIMENSIONS = ("source", "lang", "topic")
 SALTS = 16
-#: Fixed values of the default topic rule: what a text holds, in order.
-TOPICS = (("legal", "Licensed under"), ("legal", "rights reserved"), ("table", " | "), ("contact", "@"))
+#: Number of topics, and the largest share of documents that may hold a topic's keyword.
+N_TOPICS, MOST_SHARE = 12, 0.3
+#: Words that may become keywords: four letters or more.
+KEYWORD = "[a-z]{4,}"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+OTHER = "other"
+#: Default powers of the shares that are the targets.
+POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 
 
-def topic_of(text: Column) -> Column:
-    value = None
-    for name, mark in TOPICS:
-        value = F.when(F.contains(text, F.lit(mark)), name) if value is None else value.when(F.contains(text, F.lit(mark)), name)
-    return value.otherwise("prose")
+def topic_words(text: Column) -> Column:
+    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(KEYWORD), F.lit(0))
+
+
+def topic_keywords(docs: DataFrame, text_col: str = "text", n: int = N_TOPICS, most_share: float = MOST_SHARE) -> list[str]:
+    """The words that most documents hold, of those that a share of ``most_share`` of them holds at most; the rarest
+    first. Words are counted over all documents, once each, by partial sums; ties go by word."""
+    total = docs.count()
+    held = docs.select(F.explode(F.array_distinct(topic_words(text_or_empty(text_col)))).alias("word")).groupBy("word").count()
+    found = held.where(F.col("count") <= most_share * total).orderBy(F.desc("count"), "word").limit(n).collect()
+    return [r.word for r in sorted(found, key=lambda r: (r["count"], r.word))]
+
+
+def topic_of(text: Column, keywords: list[str]) -> Column:
+    """The keyword that a text holds most often (ties: the first of the list); OTHER without any."""
+    if not keywords:
+        return F.lit(OTHER)
+    own = F.array(F.filter(topic_words(text), lambda w: w.isin(*keywords)))  # an array of one names the step's result
+
+    def ballot(words: Column, place: int, keyword: str) -> Column:
+        n = F.size(F.filter(words, lambda w: w == F.lit(keyword)))
+        return F.struct(n.alias("n"), F.lit(-place).alias("before"), F.lit(keyword).alias("word"))
+
+    def ballots(words: Column) -> Column:
+        return F.array_max(F.array(*[ballot(words, i, k) for i, k in enumerate(keywords)]))
+
+    best = F.get(F.transform(own, ballots), F.lit(0))
+    return F.when(best["n"] > 0, best["word"]).otherwise(OTHER)
 
 
 def word_count(text: Column) -> Column:
@@ -37,10 +70,20 @@ def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, SPACE_RUN), lambda x: x != "")).cast("long")
 
 
-def dimension_columns(docs: DataFrame, text_col: str, topic: Column | None) -> dict[str, Column]:
-    text = text_or_empty(text_col)
+def dimension_columns(docs: DataFrame, topic: Column) -> dict[str, Column]:
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("")
-    return {"source": named("source"), "lang": named("lang"), "topic": topic_of(text) if topic is None else topic}
+    return {"source": named("source"), "lang": named("lang"), "topic": topic}
+
+
+def narrow_rows(docs: DataFrame, id_col: str, text_col: str, topic: Column) -> DataFrame:
+    """doc_id, DIMENSIONS, n_tokens and salt, stored: texts are read once for cells and documents."""
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"),
+        *(c.alias(k) for k, c in dimension_columns(docs, topic).items()),
+        word_count(text_or_empty(text_col)).alias("n_tokens"),
+        salt_of(id_col).alias("salt"),
+    )
+    return stash(rows, "mixing-rows")
 
 
 def hash_share(seed: int, column: Column) -> Column:
@@ -94,24 +137,19 @@ def calibrated_scale(cells: DataFrame, budget: float) -> float:
 
 
 def mixing_rates(
-    docs: DataFrame,
+    rows: DataFrame,
     targets: dict[str, DataFrame] | None = None,
     powers: dict[str, float] | None = None,
     rounds: int = 6,
     keep: float = 0.5,
-    text_col: str = "text",
-    topic: Column | None = None,
 ) -> DataFrame:
-    """One row per cell: source, lang, topic, tokens, weight, rate (weight a token), probability.
+    """One row per cell of ``rows`` (narrow_rows'): source, lang, topic, tokens, weight, rate (weight a token), probability.
 
-    The targets' default is each value's share of tokens to a power (0.5 for sources, 0.7 for languages,
-    1 for topics). ``keep`` is the share of all tokens that the sample holds in expectation.
+    The targets' default is each value's share of tokens to a power (POWERS). ``keep`` is the share of all
+    tokens that the sample holds in expectation.
     """
-    powers = {"source": 0.5, "lang": 0.7, "topic": 1.0} | (powers or {})
-    rows = docs.select(
-        *(c.alias(k) for k, c in dimension_columns(docs, text_col, topic).items()), word_count(text_or_empty(text_col)).alias("n")
-    )
-    cells = stash(rows.groupBy(*DIMENSIONS).agg(F.sum("n").alias("tokens")), "cells")
+    powers = POWERS | (powers or {})
+    cells = stash(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "cells")
     goals = {d: (targets or {}).get(d) for d in DIMENSIONS}
     goals = {d: target_shares(cells, d, powers[d]) if g is None else g for d, g in goals.items()}
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
@@ -143,13 +181,9 @@ def mix_sources(
     repeat an identifier share its draw; a null identifier draws like an empty one. A cell without words
     is never sampled. An empty table gives an empty result. Settings are those of mixing_rates.
     """
-    rates = mixing_rates(docs, text_col=text_col, topic=topic, **settings)
-    narrow = docs.select(
-        F.col(id_col).alias("doc_id"),
-        *(c.alias(k) for k, c in dimension_columns(docs, text_col, topic).items()),
-        word_count(text_or_empty(text_col)).alias("n_tokens"),
-        salt_of(id_col).alias("salt"),
-    )
+    topic = topic_of(text_or_empty(text_col), topic_keywords(docs, text_col)) if topic is None else topic
+    narrow = narrow_rows(docs, id_col, text_col, topic)
+    rates = mixing_rates(narrow, **settings)
     return with_rates(narrow, rates).select(
         "doc_id",
         *DIMENSIONS,
@@ -169,10 +203,11 @@ def sample_mixed(
     equals the chance is not sampled. Rows that repeat an identifier in different cells share the draw,
     but each is held against its own cell's chance.
     """
-    rates = mixing_rates(docs, text_col=text_col, topic=topic, **settings)
+    topic = topic_of(text_or_empty(text_col), topic_keywords(docs, text_col)) if topic is None else topic
+    rates = mixing_rates(narrow_rows(docs, id_col, text_col, topic), **settings)
     rates = rates.select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), F.round("probability", 6).alias("_p"))
     dealt = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    marked = docs.withColumns({f"_{k}": c for k, c in dimension_columns(docs, text_col, topic).items()})
+    marked = docs.withColumns({f"_{k}": c for k, c in dimension_columns(docs, topic).items()})
     marked = marked.withColumn("_salt", salt_of(id_col))
     kept = marked.join(dealt, [*(f"_{d}" for d in DIMENSIONS), "_salt"]).where(hash_share(seed, F.col(id_col)) < F.col("_p"))
     return kept.select(*docs.columns)

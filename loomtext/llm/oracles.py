@@ -50,7 +50,9 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 
 def mixing(rounds: int = 6, keep: float = 0.5, seed: int = 42) -> str:
     """Raking unrolled round by round; the scale comes from sums over the cells in order of their rate."""
-    powers = {"source": 0.5, "lang": 0.7, "topic": 1.0}
+    from .mixing import KEYWORD, LOWER, MOST_SHARE, N_TOPICS, OTHER, UPPER
+    from .mixing import POWERS as powers
+
     steps = [
         f"""g_{d} AS (SELECT {d}, pow(sum(tokens)::DOUBLE, {p}) / sum(pow(sum(tokens)::DOUBLE, {p})) OVER () AS target
              FROM cells GROUP BY {d} HAVING sum(tokens) > 0)"""
@@ -69,13 +71,16 @@ def mixing(rounds: int = 6, keep: float = 0.5, seed: int = 42) -> str:
             )
             last = name
     return f"""
-WITH d AS (
-  SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
-         CASE WHEN contains(coalesce(text, ''), 'Licensed under') OR contains(coalesce(text, ''), 'rights reserved') THEN 'legal'
-              WHEN contains(coalesce(text, ''), ' | ') THEN 'table'
-              WHEN contains(coalesce(text, ''), '@') THEN 'contact' ELSE 'prose' END AS topic,
+WITH t AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
+         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{KEYWORD}') AS words,
          len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS n_tokens
   FROM documents),
+df AS (SELECT word, count(*) AS df FROM (SELECT unnest(list_distinct(words)) AS word FROM t) GROUP BY word),
+tw AS (SELECT word, df FROM df WHERE df <= {MOST_SHARE}::DOUBLE * (SELECT count(*) FROM documents) ORDER BY df DESC, word LIMIT {N_TOPICS}),
+tc AS (SELECT rid, word, df, count(*) AS n FROM (SELECT rid, unnest(words) AS word FROM t) JOIN tw USING (word) GROUP BY ALL),
+tt AS (SELECT rid, word AS topic FROM tc QUALIFY row_number() OVER (PARTITION BY rid ORDER BY n DESC, df, word) = 1),
+d AS MATERIALIZED (SELECT t.doc_id, source, lang, coalesce(topic, '{OTHER}') AS topic, n_tokens FROM t LEFT JOIN tt USING (rid)),
 cells AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY ALL),
 {", ".join(steps)},
 r AS (SELECT source, lang, topic, tokens, coalesce(weight / nullif(tokens::DOUBLE, 0), 0) AS rate FROM {last}),
