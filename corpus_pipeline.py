@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each stage's rows as
 Parquet to the shared folder and reads them again as the next one's documents. All but the last return
-the columns of documents.
+the columns of documents, extra ones too. A null text counts as empty everywhere, texts are read whole,
+and an empty table gives an empty result; what else may be odd is told stage by stage.
 """
 
 from __future__ import annotations
@@ -18,27 +19,37 @@ from loomtext.llm.simhash import drop_near_duplicates
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on their own labelled rows, doesn't reject."""
+    """Documents that the classifier, fitted on their own labelled rows, doesn't reject.
+
+    Rows are judged one by one by their text, repeated ones and those without identifier as well; a score of
+    exactly one half stays. Empty texts share a score. Without labels all score alike.
+    """
     return keep_good(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of equal texts."""
+    """One document of every group of equal texts: the longest original, then the smallest identifier (null is the
+    largest). Of rows that repeat identifier and text one stays. Empty texts are equal to each other."""
     return drop_exact_duplicates(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest identifier, of every component of texts at Jaccard similarity 0.8 on five-word shingles."""
+    """One document, that of the smallest identifier, of every component of texts at a similarity of 0.8 on five-word
+    shingles, as their fingerprints tell it. A row without identifier stays only if its component has none; rows
+    that repeat a staying identifier stay once for each text. Texts without words are alike."""
     return drop_near_duplicates(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Half of the tokens, sampled towards the target shares of sources, languages and topics."""
+    """Half of the tokens, sampled towards the target shares of sources, languages and topics. Null sources and
+    languages are a value of their own; rows that repeat an identifier share its draw, and a draw that equals
+    the chance is not taken; a document of a cell without words never is."""
     return sample_mixed(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document the number of its ids and the digests of ids and of decoded bytes."""
+    """Per document the number of its ids and the digests of ids and of decoded bytes; identifiers, null and repeated
+    ones too, pass through, and an empty text has no ids."""
     return round_trip(docs)
 
 
