@@ -29,8 +29,10 @@ MISSING_MARKERS = (
 )
 #: Declared languages that say nothing.
 NO_LANGUAGE = ("", "nan", "none", "other", "und")
-#: Java's Unicode white space, and the four separators that it leaves out.
-SPACE = "(?U)[\\s\\x1c-\\x1f]+"
+#: Unicode's white space beside the plain space, and the four separators that it leaves out, as a class.
+_ODD_SPACE = r"\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space that isn't a single plain space already, so that common text has nothing to be replaced.
+SPACE = f"[{_ODD_SPACE}][ {_ODD_SPACE}]*| [ {_ODD_SPACE}]+"
 WORD = "(?U)\\b\\w+\\b"
 #: Handles: digits, a slash, digits, wherever they come first.
 HANDLE = "(?:/handle/|hdl\\.handle\\.net/)?([0-9]{1,6}/[0-9]+)"
@@ -66,7 +68,7 @@ def normalize_spaces(text: Column, nfkc: bool = False) -> Column:
 def normalize_text(text: Column, nfkc: bool = False) -> Column:
     """As normalize_spaces, with NUL as white space."""
     value = F.coalesce(text.cast("string"), F.lit(""))
-    return collapse_spaces(F.translate(compatible(value) if nfkc else value, "\0", " "))
+    return collapse_spaces(F.replace(compatible(value) if nfkc else value, F.lit("\0"), F.lit(" ")))
 
 
 def fold(text: Column) -> Column:
@@ -210,7 +212,7 @@ def fingerprint(text: Column, nfkc: bool = False) -> Column:
 def token_count(text: Column) -> Column:
     """Words between white space; none in a blank text."""
     value = collapse_spaces(text)
-    return F.when(value == "", 0).otherwise(F.size(F.split(value, " "))).cast("long")
+    return F.when(value == "", 0).otherwise(F.length(value) - F.length(F.replace(value, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
 def repair_mojibake(text: Column) -> Column:

@@ -77,7 +77,12 @@ class Run:
             whole, found = readers.prepare_fulltext(self.spark, data, items.roll_up_items(rows, limit))
             chosen = self.config.get("labels", {})
             kept, _ = labels.select_labels(whole, chosen.get("top_k"), int(chosen.get("min_support", 1)))
-            sampled = labels.stratified_sample(kept, self.config.get("sampling", {}).get("target_n"), self.seed)
+            cohort = self.config.get("sampling", {}).get("cohort_manifest")
+            if cohort:  # a frozen cohort takes the sample's place
+                frozen = readers.read_metadata(self.spark, cohort).withColumn("pos", F.col("pos").cast("long"))
+                sampled = labels.restore_cohort(kept, frozen)
+            else:
+                sampled = labels.stratified_sample(kept, self.config.get("sampling", {}).get("target_n"), self.seed)
             return items.content_groups(readers.attach_fulltext(self.spark, data, sampled, found))
 
         self.report("target_schema_report", items.target_schema_report(metadata, targets))

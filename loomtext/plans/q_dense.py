@@ -104,6 +104,30 @@ def logits_aggregate(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("handle", "label", F.round("mean", 6).alias("mean"), F.round("weighted", 6).alias("weighted"))
 
 
+@query(
+    """WITH o AS (SELECT o_orderkey AS handle, list_transform(range(o_orderkey % 7), lambda i: (i * i)::INT) AS ids FROM orders),
+    c AS (SELECT handle, i AS chunk_idx, ids[(i * 3 + 1)::INT:(i * 3 + 3)::INT] AS part FROM o, unnest(range(greatest(1, (len(ids) + 2) // 3))) t(i))
+    SELECT handle, chunk_idx::INT AS chunk_idx, '101,' || array_to_string(list_concat(part, [102]), ',') AS tokens FROM c"""
+)
+def special_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks with the model's first and last token."""
+    n = (F.col("o_orderkey") % 7).cast("int")
+    ids = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: i * i)).otherwise(F.array().cast("array<int>"))
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("handle"), F.posexplode(dense.chunk_tokens(ids, 3)).alias("chunk_idx", "part"))
+    whole = dense.add_special_tokens(F.col("part"), 101, 102)
+    return o.select("handle", "chunk_idx", F.array_join(whole.cast("array<string>"), ",").alias("tokens"))
+
+
+@query(
+    """WITH t AS (SELECT user_id AS seed, event_type AS model, round(max(value), 3) AS hi, round(min(value), 3) AS lo FROM events GROUP BY ALL)
+    SELECT seed, model, unnest(['a', 'b']) AS label, unnest([lo, hi]) AS threshold FROM t"""
+)
+def threshold_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Arrays of thresholds as rows by label."""
+    e = table(spark, sf, "events").groupBy(F.col("user_id").alias("seed"), F.col("event_type").alias("model"))
+    return runs.threshold_rows(e.agg(F.array(F.round(F.min("value"), 3), F.round(F.max("value"), 3)).alias("thresholds")), ["a", "b"])
+
+
 @query()
 def encode_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Units encoded by the hashing encoder and pooled to items by weight."""

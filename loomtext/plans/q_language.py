@@ -195,3 +195,20 @@ def gt_attach(spark: SparkSession, sf: str) -> DataFrame:
     k = (F.col("doc_id") % 120 + 1).cast("string")
     segments = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("10915/"), k).alias("handle"), F.concat(F.lit("segment "), k).alias("text"))
     return language.attach_ground_truth(segments, _ground_truth(spark, sf)).select("doc_id", "truth")
+
+
+@query(
+    """WITH p AS (SELECT lang AS t, CASE WHEN doc_id % 5 = 0 THEN 'en' ELSE lang END AS g FROM documents),
+    l AS (SELECT unnest(list_distinct([t, g])) AS language, t, g FROM p),
+    c AS (SELECT language, sum((t = language AND g = language)::INT) AS tp, sum((g = language)::INT) AS k, sum((t = language)::INT)::BIGINT AS support FROM l GROUP BY language),
+    r AS (SELECT language, coalesce(tp::DOUBLE / nullif(k, 0), 0) AS precision, coalesce(tp::DOUBLE / nullif(support, 0), 0) AS recall, coalesce(2.0::DOUBLE * tp / nullif(k + support, 0), 0) AS f1, support FROM c),
+    w AS (SELECT sum(precision * support) / sum(support) AS p, sum(recall * support) / sum(support) AS r, sum(f1 * support) / sum(support) AS f, sum(support)::BIGINT AS s FROM r),
+    a AS (SELECT * FROM r UNION ALL SELECT 'accuracy', r, r, r, s FROM w UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support)::BIGINT FROM r
+      UNION ALL SELECT 'weighted avg', p, r, f, s FROM w)
+    SELECT language, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM a"""
+)
+def language_report(spark: SparkSession, sf: str) -> DataFrame:
+    guess = F.when(F.col("doc_id") % 5 == 0, "en").otherwise(F.col("lang"))
+    d = table(spark, sf, "documents").select(F.col("lang").alias("truth"), guess.alias("guess"))
+    found = language.averages(language.per_language(d))
+    return found.select("language", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support")

@@ -195,3 +195,17 @@ def support_correlations(spark: SparkSession, sf: str) -> DataFrame:
 )
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     return S.predictions(_pred(spark, sf)).select("handle", "true_labels", "predicted_labels")
+
+
+@query(
+    f"""WITH {ORDER_ITEMS}, {scores_sql()}, p AS (SELECT label, seed, y, (score >= 0.4::DOUBLE + 0.1::DOUBLE * seed)::INT AS pred FROM scores, (SELECT unnest([1, 2, 3]) AS seed)),
+    l AS (SELECT label, seed, {_CELLS} FROM p GROUP BY ALL), f AS (SELECT label, {_F1} AS f1 FROM l)
+    SELECT 'm' AS model, label, count(*) AS n_runs, round(avg(f1), 6) AS f1_mean, round(stddev_samp(f1), 6) AS f1_sd, round(min(f1), 6) AS f1_min, round(max(f1), 6) AS f1_max FROM f GROUP BY label"""
+)
+def per_label_over_seeds(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import runs
+
+    rows = hash_scores(spark, sf).withColumn("seed", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    rows = rows.withColumns({"model": F.lit("m"), "pred": (F.col("score") >= 0.4 + F.lit(0.1) * F.col("seed")).cast("int")})
+    found = runs.per_label_over_seeds(rows)
+    return found.select("model", "label", "n_runs", *[F.round(c, 6).alias(c) for c in ("f1_mean", "f1_sd", "f1_min", "f1_max")])

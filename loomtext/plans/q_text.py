@@ -80,6 +80,19 @@ def handle_parse(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", T.parse_handle(cell).alias("handle"), T.parse_handle(F.col("source")).alias("none"))
 
 
+@query("SELECT doc_id, trim(split_part(source || ' ::http://x::' || lang, '::', 1)) AS label FROM documents")
+def uri_strip(spark: SparkSession, sf: str) -> DataFrame:
+    cell = F.concat("source", F.lit(" ::http://x::"), "lang")
+    return table(spark, sf, "documents").select("doc_id", T.strip_uri(cell).alias("label"))
+
+
+@query(f"SELECT doc_id, sha256('KEYWORDS: ' || source || chr(10) || 'FULLTEXT: ' || {NORM}) AS text_sha256 FROM documents")
+def transformer_text(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("handle"), F.col("source").alias("keywords"), F.col("text").alias("fulltext"))
+    rows = dense.transformer_text(d, "keywords+fulltext")
+    return rows.select(F.col("handle").alias("doc_id"), F.sha2("text", 256).alias("text_sha256"))
+
+
 _MARKED = "CASE WHEN doc_id % 5 = 0 THEN ' No  Posee. ' WHEN doc_id % 5 = 1 THEN 'NOT AVAILABLE;' ELSE lang END"
 
 

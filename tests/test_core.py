@@ -280,3 +280,58 @@ def test_open_runs_are_found_by_name(tmp_path):
     assert len({a, b, c}) == 3 and sinks.run_folder(tmp_path, "x", resume=True) == max(a, b)
     sinks.mark(max(a, b), sinks.DONE)
     assert sinks.run_folder(tmp_path, "x", resume=True) == min(a, b)
+
+
+def test_manifest_cohort_and_prepared(spark, tmp_path):
+    from loomtext.operators import labels
+
+    (tmp_path / "files").mkdir()
+    (tmp_path / "files" / "a.txt").write_bytes(b"x\r\ny\r\n")
+    (tmp_path / "files" / "b.bin").write_bytes(b"x\r\n")
+    import hashlib
+
+    got = {r.path.rsplit("/", 1)[1]: (r.bytes, r.sha256) for r in sinks.manifest(spark, f"file://{tmp_path}/files").collect()}
+    assert got == {"a.txt": (4, hashlib.sha256(b"x\ny\n").hexdigest()), "b.bin": (3, hashlib.sha256(b"x\r\n").hexdigest())}
+    items = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "handle string, v int")
+    order = spark.createDataFrame([("c", 0), ("a", 1)], "handle string, pos int")
+    assert [r.handle for r in labels.restore_cohort(items, order).collect()] == ["c", "a"]
+    with pytest.raises(ValueError):
+        labels.restore_cohort(items, spark.createDataFrame([("z", 0)], "handle string, pos int"))
+    path = str(tmp_path / "prepared")
+    assert readers.prepared_dataset(spark, path, order) is None
+    items.write.parquet(path)
+    assert [r.v for r in readers.prepared_dataset(spark, path, order).collect()] == [3, 1]
+    assert readers.prepared_dataset(spark, path, spark.createDataFrame([("z", 0)], "handle string, pos int")) is None
+    assert sinks.without_text(items.withColumn("fulltext", F.lit("x"))).columns == ["handle", "v"]
+    meta = spark.createDataFrame([("http://x/handle/10915/7", "n")], "u string, w string")
+    assert readers.handles_of(meta, ["w", "u"]).first().handle == "10915/7"
+
+
+def test_store_texts_are_downloaded_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    class Failing(FakeStore):
+        def download(self, file_id):
+            calls.add(1)
+            if file_id == "2":
+                raise OSError("gone")
+            return b"one text"
+
+    mapped = spark.createDataFrame([("1/1", "1"), ("1/2", "2"), (None, "3")], "handle string, txt_path string")
+    handles = mapped.select("handle")
+    from unittest import mock
+
+    with mock.patch.object(readers.time, "sleep"):
+        for want in (4, 7):  # three tries for the failing one, again on the next run; the other only once
+            got = {r.handle: r.fulltext for r in readers.read_store_texts(mapped, handles, Failing(), 100, str(tmp_path / "c")).collect()}
+            assert got == {"1/1": "one text"} and calls.value == want
+
+
+def test_canonical_labels():
+    from loomtext.functions.text import canonical_labels
+
+    want = ["Educación", "Historia"]
+    assert canonical_labels(["Educaci�n", "Historia"], want) == want == canonical_labels(["EducaciÃ³n", "Historia"], want)
+    for bad in (["Educacion", "Historia"], ["Educación"], ["Historia", "Educación"]):
+        with pytest.raises(ValueError):
+            canonical_labels(bad, want)
