@@ -378,3 +378,21 @@ def predictions(rows: DataFrame, key: str = "handle") -> DataFrame:
         F.to_json(F.transform("r", lambda x: x["label"])).alias("ranked_labels"),
         F.to_json(F.transform("r", lambda x: x["score"])).alias("ranked_scores"),
     )
+
+
+def chart_tables(rows: DataFrame, items: DataFrame) -> dict[str, DataFrame]:
+    """What the charts of a run show, one table a chart, ready to be drawn: (key, label, y, pred, score) rows of the
+    test items and the items with their labels."""
+    from .labels import label_matrix
+
+    table = performance_ranking(per_label(rows))
+    metrics = multilabel_metrics(rows)
+    return {
+        "label_cooccurrence_heatmap": label_matrix(items),
+        "support_vs_f1": table.select("label", "support", "f1"),
+        "per_label_f1": table.select("rank", "label", "f1"),
+        "label_error_counts": table.select("label", "fp", "fn"),
+        "true_vs_predicted_support": table.select("label", "support", "predicted_support"),
+        "per_label_confusion_matrices": table.select("label", "tn", "fp", "fn", "tp"),
+        "test_metrics_overview": metrics.drop("n_items").unpivot([], [c for c in metrics.columns if c != "n_items"], "metric", "value"),
+    }

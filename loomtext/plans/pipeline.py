@@ -313,6 +313,8 @@ class Run:
             ("bootstrap_ci", scores.bootstrap_intervals(test, int(own.get("bootstrap_resamples", 1000)), seed=self.seed)),
         ):
             self.report(name, df)
+        for name, df in scores.chart_tables(test, prepared).items():
+            self.report(f"charts/{name}", df)
         sinks.write_json(scores.correlation_p_values(scores.correlations(table)), self.folder / "correlation_p_values.json")
         sinks.write_parquet(scores.predictions(test), self.path("predictions_test"))
         sinks.mark(self.folder, sinks.TESTED)

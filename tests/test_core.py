@@ -335,3 +335,19 @@ def test_canonical_labels():
     for bad in (["Educacion", "Historia"], ["Educación"], ["Historia", "Educación"]):
         with pytest.raises(ValueError):
             canonical_labels(bad, want)
+
+
+def test_equal_files_make_equal_packages(tmp_path):
+    import os
+    import zipfile
+
+    digests = []
+    for name, order in (("a", ("x.csv", "sub/y.md")), ("b", ("sub/y.md", "x.csv"))):
+        for f in order:
+            place = tmp_path / name / f
+            place.parent.mkdir(parents=True, exist_ok=True)
+            place.write_text(f)
+            os.utime(place, (len(digests), 10**9 + len(digests)))
+        digests.append(sinks.write_package(tmp_path / name, tmp_path / name / "out" / "report.zip"))
+    assert digests[0] == digests[1] == sinks.write_package(tmp_path / "a", tmp_path / "a" / "out" / "report.zip")
+    assert zipfile.ZipFile(tmp_path / "a" / "out" / "report.zip").namelist() == ["report/sub/y.md", "report/x.csv"]

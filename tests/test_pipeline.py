@@ -58,6 +58,7 @@ def test_run_and_resume(spark, tmp_path):
         "embedding_coverage_sbert_full_document_abstract_fulltext timing"
     ).split()
     assert all(report(n).count() > 0 for n in names)
+    assert len(list((run.folder / "reports" / "charts").iterdir())) == 7 and report("charts/test_metrics_overview").count() == 12
     families = report("results_test_comparative").collect()
     assert {r.family for r in families} == {"bm25", "sbert_frozen"} and sum("global" in r.selection_roles for r in families) == 1
     assert [float(r.f1_macro) for r in families] == sorted((float(r.f1_macro) for r in families), reverse=True)
