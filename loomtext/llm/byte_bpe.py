@@ -31,7 +31,7 @@ from .tokenizer_files import byte_characters, text_batches, vocabulary
 WHITE = "\t-\r \x85\xa0  -     　"
 SEGMENT = re.compile(f"[{WHITE}]+(?![^{WHITE}])|[{WHITE}]?[^{WHITE}]+")
 #: Segments whose ids one worker holds at a time.
-HELD_SEGMENTS = 250_000
+HELD_SEGMENTS = 150_000
 
 
 class ByteCodec:
@@ -105,6 +105,7 @@ class ByteCodec:
             data = self.decode_bytes(ids)
             split = sum(e < len(data) and data[e] & 0xC0 == 0x80 for e in ends) if len(data) > len(segment) else 0
             self.held[segment] = ",".join(map(str, ids)), data, len(ids), split
+        self.pieces = {}  # segments hold what is needed from here on
 
     def digests(self, texts: list[str]) -> list[tuple[int, str, str, int]]:
         """Number of ids, SHA-256 of the decimal ids, SHA-256 of the decoded bytes, tokens that end inside a character."""

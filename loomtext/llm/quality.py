@@ -19,7 +19,7 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +32,7 @@ LEXICAL, SHAPES, WIDTH = 16_384, 1_024, 64
 REACH = 2
 #: Labelled documents that a fit uses at most, and tasks that gather context vectors.
 MAX_FIT_ROWS, FIT_TASKS = 12_000, 8
-HELD_WORDS = 400_000
+HELD_WORDS = 200_000
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 LOWER, UPPER, DIGITS = re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), re.compile("[A-ZÀ-ÖØ-Þ]+"), re.compile(r"\d+")
 EXTRAS = 6
@@ -222,8 +222,6 @@ def fit_quality(
 ) -> QualityModel:
     """Fits word vectors and network on a bounded sample of labelled texts. Without any labelled text the
     model scores every text alike."""
-    import pyarrow as pa
-
     spark = docs.sparkSession
     text_batches(spark)
     sample = labelled_sample(docs, labels, max_fit_rows, id_col, text_col, label_col)
@@ -274,8 +272,6 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
     Identifiers, null (never held out) and repeated ones too, pass through. An empty table gives an empty
     result; other columns are not read.
     """
-    import pyarrow as pa
-
     text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
@@ -300,8 +296,8 @@ def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text", leas
     text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.scores(texts.tolist()))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(shared.value.scores(texts.to_pylist()), pa.float64())
 
     return docs.where(score(text_or_empty(text_col)) >= least)

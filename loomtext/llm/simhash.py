@@ -30,8 +30,8 @@ from .tokenizer_files import text_batches
 BITS = 64
 #: Children of a node of the tree.
 FAN = 16
-#: Node pairs that are expanded together.
-STEP = 400_000
+#: Node pairs that are looked at together, and rows of groups that a worker holds together.
+STEP, HELD_ROWS = 100_000, 16_384
 ALL = np.uint64(0xFFFF_FFFF_FFFF_FFFF)
 
 
@@ -218,7 +218,7 @@ def group_links(
         wide = wide[order]
 
         def accept(a, b):
-            steps = [slice(i, i + 32_768) for i in range(0, len(a), 32_768)]
+            steps = [slice(i, i + 8192) for i in range(0, len(a), 8192)]
             apart = [np.bitwise_count(wide[a[s]] ^ wide[b[s]]).sum(axis=1, dtype=np.int64) for s in steps]
             return np.concatenate([np.zeros(0, dtype=np.int64), *apart]) <= most_wide
 
@@ -278,7 +278,7 @@ def _grouped_links(rows: DataFrame, keys: list[str], most: int, most_wide: int |
         for batch in batches:
             if batch.num_rows:
                 held.append(arrays(batch))
-            if sum(len(x[0]) for x in held) > 65_536:
+            if sum(len(x[0]) for x in held) > HELD_ROWS:
                 whole = [np.concatenate(x) for x in zip(*held, strict=True)]
                 new = np.flatnonzero(np.r_[True, whole[0][1:] != whole[0][:-1]])
                 cut = int(new[-1])  # the last group may go on
