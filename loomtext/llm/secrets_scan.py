@@ -24,8 +24,9 @@ RUN = r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_.-]*[0-9])[A-Za-z0-9+/_.-]{16,}={0,2}"
 NAME = r"(?i:secret|token|passw|pwd|api[_-]?key|access[_-]?key|auth|credential|private|bearer|client[_-]?key)[A-Za-z0-9_-]{0,12}[\"'`]?"
 SIGN = r"\s{0,2}(?::=|=>|[=:])\s{0,2}"
 #: A value of six or more of any characters, in quotes or up to white space; closing marks at its end are not of it.
+#: The cheap look back for a sign comes before the one for the whole name, which most words then never reach.
 QUOTED = "|".join(rf"(?<={q})(?<={NAME}(?:{SIGN}|\s{{1,2}}){q})[^{q}\n]{{6,}}(?={q})" for q in "\"'`")
-ASSIGNED = rf"(?<=[=:>\s])(?<={NAME}{SIGN})[^\s\"'`,;<>=][^\s\"'`,;<>]{{4,}}(?<![.)\]}}])"
+ASSIGNED = rf"(?<=[=:>]\s{{0,2}})(?<={NAME}{SIGN})[^\s\"'`,;<>=][^\s\"'`,;<>]{{4,}}(?<![.)\]}}])"
 CANDIDATE = f"{QUOTED}|{ASSIGNED}|{RUN}"
 #: Characters of text that are looked at on either side of a candidate.
 NEAR = 48
