@@ -33,7 +33,8 @@ NO_LANGUAGE = ("", "nan", "none", "other", "und")
 _ODD_SPACE = r"\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: White space that isn't a single plain space already, so that common text has nothing to be replaced.
 SPACE = f"[{_ODD_SPACE}][ {_ODD_SPACE}]*| [ {_ODD_SPACE}]+"
-WORD = "(?U)\\b\\w+\\b"
+#: Words as runs of word characters; those of ASCII are told first, without a look at Unicode's properties.
+WORD = "(?U)[0-9A-Z_a-z\\w]+"
 #: Handles: digits, a slash, digits, wherever they come first.
 HANDLE = "(?:/handle/|hdl\\.handle\\.net/)?([0-9]{1,6}/[0-9]+)"
 #: Spark's stop-word lists by ISO 639-1 code.

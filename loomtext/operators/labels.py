@@ -155,6 +155,7 @@ def split_items(
         if sizes > 1:
             units = items.select(group_column, F.explode("labels").alias("l")).distinct().groupBy(group_column).agg(F.collect_set("l").alias("labels"))
             unit_key = group_column
+    units = keep(units.select(unit_key, "labels"), "units")  # narrow, and read several times a try
     best = None
     for tried in range(seed, seed + max_tries):
         assigned = keep(_assign(units, shares, tried, unit_key), "split")  # read by the count of labels and by the result

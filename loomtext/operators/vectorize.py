@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..sources.scratch import keep
 
 #: Words of two characters or more.
-TERM = "(?U)\\b\\w\\w+\\b"
+TERM = "(?U)[0-9A-Z_a-z\\w]{2,}"
 #: Bytes of a vocabulary that is broadcast at most; a larger one is joined by merging.
 BROADCAST_BYTES = 64 << 20
 

@@ -351,3 +351,64 @@ def test_equal_files_make_equal_packages(tmp_path):
         digests.append(sinks.write_package(tmp_path / name, tmp_path / name / "out" / "report.zip"))
     assert digests[0] == digests[1] == sinks.write_package(tmp_path / "a", tmp_path / "a" / "out" / "report.zip")
     assert zipfile.ZipFile(tmp_path / "a" / "out" / "report.zip").namelist() == ["report/sub/y.md", "report/x.csv"]
+
+
+def test_hot_strata_and_labels_equal_plain_versions(spark):
+    """One label holds most items: places and average precision come from ranges, and equal a plain count."""
+    import hashlib
+
+    from loomtext.operators import labels, scores
+
+    rows = [(f"h{i}", ["hot"] if i % 3 else ["hot", f"r{i % 2}"]) for i in range(600)]
+    items = spark.createDataFrame(rows, "handle string, labels array<string>")
+    got = {r.handle: (r.stratum, r.place) for r in labels._ordered(items, 42, "handle").collect()}
+    support = {}
+    for _, ls in rows:
+        for x in ls:
+            support[x] = support.get(x, 0) + 1
+    strata = {}
+    for h, ls in rows:
+        strata.setdefault(min((support[x], x) for x in ls)[1], []).append((int(hashlib.sha256(f"42|{h}".encode()).hexdigest()[:12], 16), h))
+    want = {h: (s, (i + 0.5) / len(hs)) for s, hs in strata.items() for i, (_, h) in enumerate(sorted(hs))}
+    assert got.keys() == want.keys() and all(got[h][0] == want[h][0] and abs(got[h][1] - want[h][1]) < 1e-12 for h in want)
+
+    table = [("hot", (i * 7919 % 4001) / 100.0, int(i * 31 % 7 == 0)) for i in range(6000)] + [("cold", 1.0, 1), ("cold", 1.0, 0), ("none", 0.5, 0)]
+    df = spark.createDataFrame(table, "label string, score double, y int")
+    found = {r.label: r.average_precision for r in scores.average_precision(df).collect()}
+
+    def plain(own):
+        total, seen, tp, out = sum(y for _, y in own), 0, 0, 0.0
+        for s in sorted({s for s, _ in own}, reverse=True):
+            ys = [y for t, y in own if t == s]
+            seen, tp = seen + len(ys), tp + sum(ys)
+            out += sum(ys) * tp / seen
+        return out / total
+
+    assert found.keys() == {"hot", "cold"}
+    for name in found:
+        assert found[name] == pytest.approx(plain([(s, y) for x, s, y in table if x == name]))
+
+
+def test_bootstrap_sums_equal_a_plain_count(spark):
+    import hashlib
+    import math
+
+    import numpy as np
+
+    from loomtext.operators import scores
+
+    rng = np.random.default_rng(3)
+    rows = [(f"i{i}", x, int(rng.random() < 0.4), int(rng.random() < 0.5)) for i in range(90) for x in ("a", "b", "c")]
+    df = spark.createDataFrame(rows, "handle string, label string, y int, pred int").repartition(3)
+    got = {(r.replicate, r.label): (r.tp, r.fp, r.fn) for r in scores._replicate_counts(df, 20, 42, "handle", "s").collect()}
+    steps = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(7)])
+    want = {}
+    for h, x, y, p in rows:
+        for r in range(20):
+            u = int(hashlib.sha256(f"42|s|{h}|{r // 16}".encode()).hexdigest()[4 * (r % 16) : 4 * (r % 16) + 4], 16) / 65536
+            w = int((u >= steps).sum())
+            c = want.setdefault((r, x), [0, 0, 0])
+            c[0] += w * (y and p)
+            c[1] += w * (p and not y)
+            c[2] += w * (y and not p)
+    assert got == {k: tuple(map(int, v)) for k, v in want.items()}
