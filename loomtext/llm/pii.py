@@ -29,7 +29,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_side, spread_lookup, stash, text_or_empty
+from .shared import forget, small_side, spread_lookup, stash, text_or_empty
 from .tokenizer_files import text_batches
 
 KINDS = ("email", "ip", "card", "phone")
@@ -255,7 +255,7 @@ def pattern_scores(edges: DataFrame, rounds: int, min_confidence: float = 0.8, m
     role = F.col("role")
     fixed = F.when(role == SEED, 1.0).when(role == FAILED, 0.0)
     weight = F.when((role == FAILED) & (F.col("kind") == KINDS.index("card")), BY_CHANCE).when(role == WIDE, WIDE_WEIGHT).otherwise(1.0)
-    scored = edges.withColumn("r", F.coalesce(fixed, F.lit(0.0))).withColumn("found", F.lit(False))
+    scored, before = edges.withColumn("r", F.coalesce(fixed, F.lit(0.0))).withColumn("found", F.lit(False)), None
     for turn in range(rounds):
         gained = F.sum(F.when((role == WIDE) & ~F.col("found"), F.col("r") * WIDE_WEIGHT).otherwise(F.col("r")))
         weighed = F.when(F.col("found"), 1.0).otherwise(weight)
@@ -266,6 +266,9 @@ def pattern_scores(edges: DataFrame, rounds: int, min_confidence: float = 0.8, m
             patterns.select("kind", "pattern", "n_seeds", (F.col("mean") * F.col("n_seeds") / (F.col("n_seeds") + 1)).alias("confidence")),
             "patterns",
         )
+        if before is not None:
+            forget(before)
+        before = patterns
         if turn == rounds - 1:
             return patterns
         known = spread_lookup(edges, patterns.hint("merge"), ["kind", "pattern"], "salt")
@@ -347,6 +350,8 @@ def find_personal_data(
         "row_uid", "kind", "start", "stop", F.explode(patterns).alias("pattern"), F.pmod("row_uid", F.lit(salts)).alias("salt")
     )
     told = small_side(told.select("kind", "pattern", "confidence"), "told-patterns")
+    forget(edges)
+    forget(scores)
     sure = spread_lookup(open_finds, told, ["kind", "pattern"], "salt").where("confidence is not null")
     doubt = F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))))
     accepted = sure.groupBy("row_uid", "kind", "start", "stop").agg(F.max("confidence").alias("best"), (1 - doubt).alias("together"))

@@ -556,6 +556,7 @@ def similar_documents(
     seen = near[0].unionByName(near[1])
     seen = stash(seen.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-nodes")
     held = stash(distinct.join(seen, "node", "left_semi"), "near-fingerprints")
+    forget(seen)
     limit = wide_distance(least - margin)
     links = [similar_links(held.select("node", F.col(c).alias("fp"), "wide"), most, group_rows, limit) for c in either]
     named = component_names(distinct, links[0].unionByName(links[1]))
