@@ -96,6 +96,12 @@ class Run:
         share = float(settings.get("multilingual_min_character_share", 0.2))
 
         def build() -> DataFrame:
+            held = self.config["data"].get("prepared_parquet")
+            if held:  # a table of an earlier run serves if it has all items
+                asked = source.select("handle").withColumn("pos", F.monotonically_increasing_id())
+                found = readers.prepared_dataset(self.spark, held, asked)
+                if found is not None:
+                    return found
             out = source
             for field, column in (("abstract", "abstract_segments"), ("fulltext", "fulltext_documents")):
                 units = source.select("handle", F.posexplode(column).alias("pos", "text")).where(F.trim("text") != "")
@@ -170,6 +176,7 @@ class Run:
         self.report("language_agreement", language.agreement(both))
         self.report("language_agreement_summary", language.agreement_summary(both))
         self.ground_truth(prepared)
+        self.keep("items_without_text", lambda: sinks.without_text(prepared))
 
     def ground_truth(self, prepared: DataFrame) -> None:
         """Reports against audited abstract segments, if the settings name their table."""
@@ -360,6 +367,8 @@ class Run:
         self.timings.append(("total", beat.stop()))
         self.report("timing", self.spark.createDataFrame(self.timings, "stage string, seconds double"))
         if stage in ("finalize", "all"):
+            files = sinks.manifest(self.spark, self.path("reports")).where(F.col("path").endswith(".csv"))
+            sinks.write_csv(files, self.path("reports_manifest"))
             sinks.mark(self.folder, sinks.DONE)
         return out
 

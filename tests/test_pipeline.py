@@ -67,6 +67,13 @@ def test_run_and_resume(spark, tmp_path):
     sessions = json.loads((run.folder / "timing_sessions.json").read_text())
     assert [s["state"] for s in sessions] == ["done", "failed", "done", "done"]
     assert json.loads((run.folder / "thresholds.json").read_text())
+    assert "abstract" not in spark.read.parquet(f"file://{run.folder}/items_without_text").columns
+    listed = spark.read.option("header", True).csv(f"file://{run.folder}/reports_manifest")
+    assert listed.count() > 30 and listed.where("length(sha256) <> 64").count() == 0
+    # Another run takes the prepared items over.
+    config["data"]["prepared_parquet"] = f"file://{run.folder}/items_with_languages"
+    other = Run(spark, config)
+    assert other.folder != run.folder and other.with_languages().count() == 120
 
 
 def test_heartbeat_counts_interrupted_sessions(tmp_path):
