@@ -30,8 +30,12 @@ from .tokenizer_files import byte_characters, text_batches, vocabulary
 #: White space as the pattern's \s has it (Unicode White_Space).
 WHITE = "\t-\r \x85\xa0  -     　"
 SEGMENT = re.compile(f"[{WHITE}]+(?![^{WHITE}])|[{WHITE}]?[^{WHITE}]+")
-#: Segments whose ids one worker holds at a time.
-HELD_SEGMENTS = 150_000
+#: Segments and matches whose ids one worker holds at a time.
+HELD_SEGMENTS, HELD_PIECES = 250_000, 60_000
+
+
+#: Of a match or a segment: its ids as text, the bytes that they decode to, their number, tokens that end inside a character.
+Told = tuple[str, bytes, int, int]
 
 
 class ByteCodec:
@@ -53,30 +57,54 @@ class ByteCodec:
         self.library = Tokenizer(models.BPE(vocab={spell(t): r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
         byte_of = {c: b for b, c in enumerate(letters)}
         self.bytes_of = {r: bytes(byte_of[c] for c in spell(t)) for t, r in ranks.items()}
+        self.told_of = {r: (str(r), t, 1, 0) for r, t in self.bytes_of.items()}
         self.pattern = regex.compile(pattern)
-        self.pieces: dict[str, tuple[list[int], list[int]]] = {}
-        self.held: dict[str, tuple[str, bytes, int, int]] = {}
+        self.space = letters[0x20]
+        self.pieces: dict[str, Told] = {}
+        self.held: dict[str, Told] = {}
+
+    def spelled(self, piece: str) -> str:
+        """The characters that stand for the piece's bytes, one each."""
+        if piece.isascii() and piece.isprintable():
+            return piece.replace(" ", self.space)
+        return piece.encode().decode("latin-1").translate(self.letters)
+
+    def run_library(self, pieces: list[str]) -> list:
+        return self.library.encode_batch(list(map(self.spelled, pieces)), add_special_tokens=False)
+
+    def ends(self, piece: str, encoded) -> list[int]:
+        """Where each token ends in the piece's bytes, by the library's offsets, which have to cover them."""
+        out = [end for _, end in encoded.offsets]
+        if not out or out[-1] != len(piece.encode()):
+            raise ValueError("the vocabulary does not cover all bytes")
+        return out
 
     def learn_pieces(self, pieces: Iterable[str]) -> None:
-        """Ids and byte ends of new matches of the pattern, by one call of the library."""
+        """What is told of new matches of the pattern, by one call of the library."""
         new = [p for p in dict.fromkeys(pieces) if p not in self.pieces]
-        data = [p.encode() for p in new]
-        found = self.library.encode_batch([d.decode("latin-1").translate(self.letters) for d in data], add_special_tokens=False)
-        for piece, own, x in zip(new, data, found, strict=True):
-            ends = [end for _, end in x.offsets]
-            if not ends or ends[-1] != len(own):
+        for piece, x in zip(new, self.run_library(new), strict=True):
+            ids = x.ids
+            if len(ids) == 1:
+                told = self.told_of[ids[0]]
+            else:
+                data = self.decode_bytes(ids)
+                # Characters of ASCII are one byte each, so no token ends inside one.
+                split = 0 if len(data) == len(piece) else sum(e < len(data) and data[e] & 0xC0 == 0x80 for e in self.ends(piece, x))
+                told = ",".join(map(str, ids)), data, len(ids), split
+            if len(told[1]) != len(piece) and told[1] != piece.encode():
                 raise ValueError("the vocabulary does not cover all bytes")
-            self.pieces[piece] = x.ids, ends
+            self.pieces[piece] = told
 
     def encode_all(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
         """Ids of each text and where each token ends in the matches' UTF-8 bytes."""
         matches = [self.pattern.findall(t) for t in texts]
-        self.learn_pieces(p for found in matches for p in found)
+        distinct = list({p for found in matches for p in found})
+        known = {p: (x.ids, self.ends(p, x)) for p, x in zip(distinct, self.run_library(distinct), strict=True)}
         out = []
         for found in matches:
             ids, ends, at = [], [], 0
             for p in found:
-                own, places = self.pieces[p]
+                own, places = known[p]
                 ids += own
                 ends += [at + e for e in places]
                 at = ends[-1]
@@ -97,15 +125,19 @@ class ByteCodec:
         """Keeps the dictionaries bounded."""
         if len(self.held) > HELD_SEGMENTS:
             self.held = {}
-        if len(self.pieces) > HELD_SEGMENTS:
+        if len(self.pieces) > HELD_PIECES:
             self.pieces = {}
 
     def learn_segments(self, segments: list[str]) -> None:
-        for segment, (ids, ends) in zip(segments, self.encode_all(segments), strict=True):
-            data = self.decode_bytes(ids)
-            split = sum(e < len(data) and data[e] & 0xC0 == 0x80 for e in ends) if len(data) > len(segment) else 0
-            self.held[segment] = ",".join(map(str, ids)), data, len(ids), split
-        self.pieces = {}  # segments hold what is needed from here on
+        matches = [self.pattern.findall(x) for x in segments]
+        self.learn_pieces(p for found in matches for p in found)
+        pieces, held = self.pieces, self.held
+        for segment, found in zip(segments, matches, strict=True):
+            if len(found) == 1:
+                held[segment] = pieces[found[0]]
+            else:
+                texts, data, n, split = zip(*map(pieces.__getitem__, found), strict=True) if found else ((), (), (), ())
+                held[segment] = ",".join(texts), b"".join(data), sum(n), sum(split)
 
     def digests(self, texts: list[str]) -> list[tuple[int, str, str, int]]:
         """Number of ids, SHA-256 of the decimal ids, SHA-256 of the decoded bytes, tokens that end inside a character."""
@@ -117,9 +149,8 @@ class ByteCodec:
             self.learn_segments(new[i : i + 20_000])
         for found in parts:
             told = [held[x] for x in found]
-            ids, data = hashlib.sha256(), hashlib.sha256()
-            ids.update(",".join([x[0] for x in told]).encode())
-            data.update(b"".join([x[1] for x in told]))
+            ids = hashlib.sha256(",".join([x[0] for x in told if x[0]]).encode())
+            data = hashlib.sha256(b"".join([x[1] for x in told]))
             out.append((sum([x[2] for x in told]), ids.hexdigest(), data.hexdigest(), sum([x[3] for x in told])))
         return out
 
@@ -187,7 +218,6 @@ def encode(
         for batch in batches:
             found = []
             for group in by_size(batch.column("text").to_pylist(), 2_000_000):
-                codec(path, pattern).trim()
                 found += codec(path, pattern).encode_all(group)
             ids, ends = [x[0] for x in found], [x[1] for x in found]
             yield pa.RecordBatch.from_arrays(
