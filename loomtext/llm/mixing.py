@@ -28,7 +28,6 @@ SALTS = 16
 N_TOPICS, MOST_SHARE = 12, 0.3
 #: Words that may become keywords: four letters or more.
 KEYWORD = "[a-z]{4,}"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 OTHER = "other"
 #: Default powers of the shares that are the targets.
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.7}
@@ -36,7 +35,7 @@ SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 
 
 def topic_words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(KEYWORD), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(KEYWORD), F.lit(0))
 
 
 def topic_keywords(docs: DataFrame, text_col: str = "text", n: int = N_TOPICS, most_share: float = MOST_SHARE) -> list[str]:
@@ -52,7 +51,9 @@ def topic_of(text: Column, keywords: list[str]) -> Column:
     """The keyword that a text holds most often (ties: the first of the list); OTHER without any."""
     if not keywords:
         return F.lit(OTHER)
-    own = F.array(F.filter(topic_words(text), lambda w: w.isin(*keywords)))  # an array of one names the step's result
+    # Whole words alone; the look back for a word's start comes first and ends most tries. An array of one names the result.
+    rule = f"(?<![a-z])(?:{'|'.join(keywords)})(?![a-z])"
+    own = F.array(F.regexp_extract_all(F.lower(text), F.lit(rule), F.lit(0)))
 
     def ballot(words: Column, place: int, keyword: str) -> Column:
         n = F.size(F.filter(words, lambda w: w == F.lit(keyword)))

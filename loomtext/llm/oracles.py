@@ -50,7 +50,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 
 def mixing(rounds: int = 6, keep: float = 0.5, seed: int = 42) -> str:
     """Raking unrolled round by round; the scale comes from sums over the cells in order of their rate."""
-    from .mixing import KEYWORD, LOWER, MOST_SHARE, N_TOPICS, OTHER, UPPER
+    from .mixing import KEYWORD, MOST_SHARE, N_TOPICS, OTHER
     from .mixing import POWERS as powers
 
     steps = [
@@ -73,7 +73,7 @@ def mixing(rounds: int = 6, keep: float = 0.5, seed: int = 42) -> str:
     return f"""
 WITH t AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
-         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{KEYWORD}') AS words,
+         regexp_extract_all(lower(coalesce(text, '')), '{KEYWORD}') AS words,
          len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS n_tokens
   FROM documents),
 df AS (SELECT word, count(*) AS df FROM (SELECT unnest(list_distinct(words)) AS word FROM t) GROUP BY word),
