@@ -58,48 +58,50 @@ class ByteCodec:
         byte_of = {c: b for b, c in enumerate(letters)}
         self.bytes_of = {r: bytes(byte_of[c] for c in spell(t)) for t, r in ranks.items()}
         self.told_of = {r: (str(r), t, 1, 0) for r, t in self.bytes_of.items()}
+        self.inner = frozenset(r for r, t in self.bytes_of.items() if t[0] & 0xC0 == 0x80)
         self.pattern = regex.compile(pattern)
         self.space = letters[0x20]
         self.pieces: dict[str, Told] = {}
         self.held: dict[str, Told] = {}
 
-    def spelled(self, piece: str) -> str:
-        """The characters that stand for the piece's bytes, one each."""
-        if piece.isascii() and piece.isprintable():
-            return piece.replace(" ", self.space)
-        return piece.encode().decode("latin-1").translate(self.letters)
-
-    def run_library(self, pieces: list[str]) -> list:
-        return self.library.encode_batch(list(map(self.spelled, pieces)), add_special_tokens=False)
+    def run_library(self, pieces: list[str], data: list[bytes]) -> list:
+        """The library's encodings of the pieces, spelled by the characters that stand for their bytes."""
+        letters, space = self.letters, self.space
+        spelled = [
+            p.replace(" ", space) if p.isascii() and p.isprintable() else d.decode("latin-1").translate(letters) for p, d in zip(pieces, data, strict=True)
+        ]
+        return self.library.encode_batch(spelled, add_special_tokens=False)
 
-    def ends(self, piece: str, encoded) -> list[int]:
+    def ends(self, data: bytes, encoded) -> list[int]:
         """Where each token ends in the piece's bytes, by the library's offsets, which have to cover them."""
         out = [end for _, end in encoded.offsets]
-        if not out or out[-1] != len(piece.encode()):
+        if not out or out[-1] != len(data):
             raise ValueError("the vocabulary does not cover all bytes")
         return out
 
     def learn_pieces(self, pieces: Iterable[str]) -> None:
         """What is told of new matches of the pattern, by one call of the library."""
-        new = [p for p in dict.fromkeys(pieces) if p not in self.pieces]
-        for piece, x in zip(new, self.run_library(new), strict=True):
+        held, told_of, inner, bytes_of = self.pieces, self.told_of, self.inner, self.bytes_of
+        new = [p for p in dict.fromkeys(pieces) if p not in held]
+        raw = [p.encode() for p in new]
+        for piece, own, x in zip(new, raw, self.run_library(new, raw), strict=True):
             ids = x.ids
             if len(ids) == 1:
-                told = self.told_of[ids[0]]
+                told = told_of[ids[0]]
             else:
-                data = self.decode_bytes(ids)
-                # Characters of ASCII are one byte each, so no token ends inside one.
-                split = 0 if len(data) == len(piece) else sum(e < len(data) and data[e] & 0xC0 == 0x80 for e in self.ends(piece, x))
-                told = ",".join(map(str, ids)), data, len(ids), split
-            if len(told[1]) != len(piece) and told[1] != piece.encode():
+                # A token that begins with the rest of a character follows one that ends inside it.
+                split = 0 if inner.isdisjoint(ids) else sum(e < len(own) and own[e] & 0xC0 == 0x80 for e in self.ends(own, x))
+                told = ",".join(map(str, ids)), b"".join([bytes_of[i] for i in ids]), len(ids), split
+            if told[1] != own:
                 raise ValueError("the vocabulary does not cover all bytes")
-            self.pieces[piece] = told
+            held[piece] = told
 
     def encode_all(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
         """Ids of each text and where each token ends in the matches' UTF-8 bytes."""
         matches = [self.pattern.findall(t) for t in texts]
         distinct = list({p for found in matches for p in found})
-        known = {p: (x.ids, self.ends(p, x)) for p, x in zip(distinct, self.run_library(distinct), strict=True)}
+        raw = [p.encode() for p in distinct]
+        known = {p: (x.ids, self.ends(d, x)) for p, d, x in zip(distinct, raw, self.run_library(distinct, raw), strict=True)}
         out = []
         for found in matches:
             ids, ends, at = [], [], 0
