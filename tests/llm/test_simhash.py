@@ -76,3 +76,51 @@ def test_tree_on_dense_and_sparse_groups():
     want = plain_components(ids, ids)
     have = [joined.get(x, x) for x in ids]
     assert len(set(zip(want, have, strict=True))) == len(set(want)) == len(set(have))
+
+
+def test_components_with_a_hub_equal_union_find(spark):
+    """A node with a third of all links, chains and a cycle: the smallest node of each component is found."""
+    rng = np.random.default_rng(9)
+    links = [(5000, i) for i in range(1000, 1400)] + [(i, i + 1) for i in range(200, 260)] + [(1, 2), (2, 3), (3, 1), (7, 7)]
+    links += [(int(a), int(b)) for a, b in rng.integers(2000, 2600, (500, 2))]
+    parent = {}
+
+    def root(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    df = spark.createDataFrame(links, "a long, b long")
+    got = {r.node: r.root for r in simhash.components(df, salts=8).collect()}
+    assert got == {x: root(x) for x in parent if root(x) != x}
+    assert simhash.components(df.limit(0)).count() == 0
+
+
+def test_crowds_of_close_fingerprints_lose_no_link(spark):
+    """Two crowds that dealing by bits can't part, and strays near one of them."""
+    rng = np.random.default_rng(10)
+    one, two = (int(x) for x in rng.integers(0, 2**64, 2, dtype=np.uint64))
+    flip = lambda x, n: x ^ sum(1 << int(b) for b in rng.choice(64, n, replace=False))
+    fps = {flip(one, int(rng.integers(0, 3))) for _ in range(120)} | {flip(two, int(rng.integers(0, 6))) for _ in range(150)}
+    ids = sorted(fps)
+    df = spark.createDataFrame([(x - 2**64 if x >> 63 else x,) for x in ids], "fp long").selectExpr("fp as node", "fp")
+    for most in (3, 6):
+        links = simhash.similar_links(df, most, group_rows=16).collect()
+        near = lambda x: x % 2**64
+        assert all((near(r.a) ^ near(r.b)).bit_count() <= 64 for r in links)
+        name = {x: x for x in ids}
+
+        def top(x, name=name):
+            while name[x] != x:
+                x = name[x]
+            return x
+
+        for r in links:
+            a, b = top(near(r.a)), top(near(r.b))
+            name[max(a, b)] = min(a, b)
+        assert [top(x) for x in ids] == plain_components(ids, ids, most)
