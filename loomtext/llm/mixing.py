@@ -26,62 +26,66 @@ DIMENSIONS = ("source", "lang", "topic")
 SALTS = 16
 #: Number of topics, and the largest share of documents that may hold a topic's keyword.
 N_TOPICS, MOST_SHARE = 12, 0.3
-#: Words that may become keywords: four letters or more.
-KEYWORD = "[a-z]{4,}"
+#: Words that may become keywords: four letters or more, and nothing else.
+KEYWORD = "^[a-z]{4,}$"
 OTHER = "other"
+#: The column that holds a text's words for a moment.
+WORDS = "_words"
 #: Default powers of the shares that are the targets.
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 
 
-def topic_words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(KEYWORD), F.lit(0))
+def words_of(text: Column) -> Column:
+    """Lower-cased words between the characters of SPACES; an empty one at an end where the text has a space there."""
+    return F.split(F.lower(text), SPACE_RUN)
+
+
+def word_count(words: Column) -> Column:
+    """How many words words_of found: only its first and its last may be empty."""
+    first, last = F.get(words, F.lit(0)) == "", (F.size(words) > 1) & (F.element_at(words, -1) == "")
+    return (F.size(words) - first.cast("int") - last.cast("int")).cast("long")
 
 
 def topic_keywords(docs: DataFrame, text_col: str = "text", n: int = N_TOPICS, most_share: float = MOST_SHARE) -> list[str]:
     """The words that most documents hold, of those that a share of ``most_share`` of them holds at most; the rarest
     first. Words are counted over all documents, once each, by partial sums; ties go by word."""
     total = docs.count()
-    held = docs.select(F.explode(F.array_distinct(topic_words(text_or_empty(text_col)))).alias("word")).groupBy("word").count()
+    words = docs.select(F.explode(F.array_distinct(words_of(text_or_empty(text_col)))).alias("word"))
+    held = words.where(F.col("word").rlike(KEYWORD)).groupBy("word").count()
     found = held.where(F.col("count") <= most_share * total).orderBy(F.desc("count"), "word").limit(n).collect()
     return [r.word for r in sorted(found, key=lambda r: (r["count"], r.word))]
 
 
-def topic_of(text: Column, keywords: list[str]) -> Column:
-    """The keyword that a text holds most often (ties: the first of the list); OTHER without any."""
+def topic_of(words: Column, keywords: list[str]) -> Column:
+    """The keyword that a text's words (words_of's) have most often (ties: the first of the list); OTHER without any."""
     if not keywords:
         return F.lit(OTHER)
-    # Whole words alone; the look back for a word's start comes first and ends most tries. An array of one names the result.
-    rule = f"(?<![a-z])(?:{'|'.join(keywords)})(?![a-z])"
-    own = F.array(F.regexp_extract_all(F.lower(text), F.lit(rule), F.lit(0)))
+    own = F.array(F.filter(words, lambda w: w.isin(*keywords)))  # an array of one names the step's result
 
-    def ballot(words: Column, place: int, keyword: str) -> Column:
-        n = F.size(F.filter(words, lambda w: w == F.lit(keyword)))
+    def ballot(found: Column, place: int, keyword: str) -> Column:
+        n = F.size(F.filter(found, lambda w: w == F.lit(keyword)))
         return F.struct(n.alias("n"), F.lit(-place).alias("before"), F.lit(keyword).alias("word"))
 
-    def ballots(words: Column) -> Column:
-        return F.array_max(F.array(*[ballot(words, i, k) for i, k in enumerate(keywords)]))
+    def ballots(found: Column) -> Column:
+        return F.array_max(F.array(*[ballot(found, i, k) for i, k in enumerate(keywords)]))
 
     best = F.get(F.transform(own, ballots), F.lit(0))
     return F.when(best["n"] > 0, best["word"]).otherwise(OTHER)
 
 
-def word_count(text: Column) -> Column:
-    """Words between the characters of SPACES, by the number of places where a word begins."""
-    return F.size(F.filter(F.split(text, SPACE_RUN), lambda x: x != "")).cast("long")
-
-
 def dimension_columns(docs: DataFrame, topic: Column) -> dict[str, Column]:
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("")
     return {"source": named("source"), "lang": named("lang"), "topic": topic}
 
 
 def narrow_rows(docs: DataFrame, id_col: str, text_col: str, topic: Column) -> DataFrame:
-    """doc_id, DIMENSIONS, n_tokens and salt, stored: texts are read once for cells and documents."""
-    rows = docs.select(
+    """doc_id, DIMENSIONS, n_tokens and salt, stored: texts are read once for cells and documents. The topic may
+    use the column WORDS."""
+    rows = docs.withColumn(WORDS, words_of(text_or_empty(text_col))).select(
         F.col(id_col).alias("doc_id"),
         *(c.alias(k) for k, c in dimension_columns(docs, topic).items()),
-        word_count(text_or_empty(text_col)).alias("n_tokens"),
+        word_count(F.col(WORDS)).alias("n_tokens"),
         salt_of(id_col).alias("salt"),
     )
     return stash(rows, "mixing-rows")
@@ -182,7 +186,7 @@ def mix_sources(
     repeat an identifier share its draw; a null identifier draws like an empty one. A cell without words
     is never sampled. An empty table gives an empty result. Settings are those of mixing_rates.
     """
-    topic = topic_of(text_or_empty(text_col), topic_keywords(docs, text_col)) if topic is None else topic
+    topic = topic_of(F.col(WORDS), topic_keywords(docs, text_col)) if topic is None else topic
     narrow = narrow_rows(docs, id_col, text_col, topic)
     rates = mixing_rates(narrow, **settings)
     return with_rates(narrow, rates).select(
@@ -204,11 +208,11 @@ def sample_mixed(
     equals the chance is not sampled. Rows that repeat an identifier in different cells share the draw,
     but each is held against its own cell's chance.
     """
-    topic = topic_of(text_or_empty(text_col), topic_keywords(docs, text_col)) if topic is None else topic
+    topic = topic_of(F.col(WORDS), topic_keywords(docs, text_col)) if topic is None else topic
     rates = mixing_rates(narrow_rows(docs, id_col, text_col, topic), **settings)
     rates = rates.select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), F.round("probability", 6).alias("_p"))
     dealt = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    marked = docs.withColumns({f"_{k}": c for k, c in dimension_columns(docs, topic).items()})
+    marked = docs.withColumn(WORDS, words_of(text_or_empty(text_col))).withColumns({f"_{k}": c for k, c in dimension_columns(docs, topic).items()})
     marked = marked.withColumn("_salt", salt_of(id_col))
     kept = marked.join(dealt, [*(f"_{d}" for d in DIMENSIONS), "_salt"]).where(hash_share(seed, F.col(id_col)) < F.col("_p"))
     return kept.select(*docs.columns)

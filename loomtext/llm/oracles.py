@@ -73,10 +73,9 @@ def mixing(rounds: int = 6, keep: float = 0.5, seed: int = 42) -> str:
     return f"""
 WITH t AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
-         regexp_extract_all(lower(coalesce(text, '')), '{KEYWORD}') AS words,
-         len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS n_tokens
+         list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words, len(words) AS n_tokens
   FROM documents),
-df AS (SELECT word, count(*) AS df FROM (SELECT unnest(list_distinct(words)) AS word FROM t) GROUP BY word),
+df AS (SELECT word, count(*) AS df FROM (SELECT unnest(list_distinct(words)) AS word FROM t) WHERE regexp_matches(word, '{KEYWORD}') GROUP BY word),
 tw AS (SELECT word, df FROM df WHERE df <= {MOST_SHARE}::DOUBLE * (SELECT count(*) FROM documents) ORDER BY df DESC, word LIMIT {N_TOPICS}),
 tc AS (SELECT rid, word, df, count(*) AS n FROM (SELECT rid, unnest(words) AS word FROM t) JOIN tw USING (word) GROUP BY ALL),
 tt AS (SELECT rid, word AS topic FROM tc QUALIFY row_number() OVER (PARTITION BY rid ORDER BY n DESC, df, word) = 1),

@@ -89,12 +89,12 @@ def test_topics_are_the_corpus_own_words(spark):
     words = mixing.topic_keywords(df, n=2)
     held = {}
     for t in texts:
-        for w in set(re.findall("[a-z]{4,}", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))):
+        for w in {w for w in (t or "").lower().split() if re.fullmatch("[a-z]{4,}", w)}:
             held[w] = held.get(w, 0) + 1
     best = sorted((-n, w) for w, n in held.items() if n <= 0.3 * len(texts))[:2]
     assert words == [w for _, w in sorted((-n, w) for n, w in best)]
     assert words == ["river", "market"]
-    got = {r.doc_id: r.topic for r in mixing.mix_sources(df, topic=mixing.topic_of(F.coalesce("text", F.lit("")), words)).collect()}
+    got = {r.doc_id: r.topic for r in mixing.mix_sources(df, topic=mixing.topic_of(mixing.words_of(F.coalesce("text", F.lit(""))), words)).collect()}
     assert got[0] == "river" and got[4] == "market" and got[9] == "other" and got[11] == "other" and got[13] == "river"
 
 
