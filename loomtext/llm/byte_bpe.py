@@ -57,7 +57,8 @@ class ByteCodec:
         self.library = Tokenizer(models.BPE(vocab={spell(t): r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
         byte_of = {c: b for b, c in enumerate(letters)}
         self.bytes_of = {r: bytes(byte_of[c] for c in spell(t)) for t, r in ranks.items()}
-        self.told_of = {r: (str(r), t, 1, 0) for r, t in self.bytes_of.items()}
+        self.text_of = {r: str(r) for r in self.bytes_of}
+        self.told_of = {r: (self.text_of[r], t, 1, 0) for r, t in self.bytes_of.items()}
         self.inner = frozenset(r for r, t in self.bytes_of.items() if t[0] & 0xC0 == 0x80)
         self.pattern = regex.compile(pattern)
         self.space = letters[0x20]
@@ -81,7 +82,7 @@ class ByteCodec:
 
     def learn_pieces(self, pieces: Iterable[str]) -> None:
         """What is told of new matches of the pattern, by one call of the library."""
-        held, told_of, inner, bytes_of = self.pieces, self.told_of, self.inner, self.bytes_of
+        held, told_of, inner, bytes_of, text_of = self.pieces, self.told_of, self.inner, self.bytes_of, self.text_of
         new = [p for p in dict.fromkeys(pieces) if p not in held]
         raw = [p.encode() for p in new]
         for piece, own, x in zip(new, raw, self.run_library(new, raw), strict=True):
@@ -91,7 +92,7 @@ class ByteCodec:
             else:
                 # A token that begins with the rest of a character follows one that ends inside it.
                 split = 0 if inner.isdisjoint(ids) else sum(e < len(own) and own[e] & 0xC0 == 0x80 for e in self.ends(own, x))
-                told = ",".join(map(str, ids)), b"".join([bytes_of[i] for i in ids]), len(ids), split
+                told = ",".join([text_of[i] for i in ids]), b"".join([bytes_of[i] for i in ids]), len(ids), split
             if told[1] != own:
                 raise ValueError("the vocabulary does not cover all bytes")
             held[piece] = told
@@ -146,14 +147,13 @@ class ByteCodec:
         self.trim()
         held, out = self.held, []
         parts = [SEGMENT.findall(t) for t in texts]
-        new = list({x for found in parts for x in found if x not in held})
+        new = list(set().union(*parts).difference(held))
         for i in range(0, len(new), 20_000):
             self.learn_segments(new[i : i + 20_000])
         for found in parts:
-            told = [held[x] for x in found]
-            ids = hashlib.sha256(",".join([x[0] for x in told if x[0]]).encode())
-            data = hashlib.sha256(b"".join([x[1] for x in told]))
-            out.append((sum([x[2] for x in told]), ids.hexdigest(), data.hexdigest(), sum([x[3] for x in told])))
+            texts, data, n, split = zip(*map(held.__getitem__, found), strict=True) if found else ((), (), (), ())
+            ids = hashlib.sha256(",".join(filter(None, texts)).encode())
+            out.append((sum(n), ids.hexdigest(), hashlib.sha256(b"".join(data)).hexdigest(), sum(split)))
         return out
 
 
