@@ -173,10 +173,40 @@ def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("metric", *[F.round(c, 6).alias(c) for c in ("estimate", "ci_lower", "ci_upper")])
 
 
-@query()
+def _draws_sql(stream: str) -> str:
+    """Replicate differences of both metrics under the multiplicities of a stream."""
+    h = f"sha256('42|{stream}|' || handle || '|' || i)"
+    cells = lambda p: f"sum(w * y * {p}) AS tp_{p}, sum(w * (1 - y) * {p}) AS fp_{p}, sum(w * y * (1 - {p})) AS fn_{p}"
+    f1 = lambda p: f"coalesce(2.0::DOUBLE * tp_{p} / nullif(2 * tp_{p} + fp_{p} + fn_{p}, 0), 0)"
+    micro = lambda p: f"coalesce(2.0::DOUBLE * sum(tp_{p}) / nullif(sum(2 * tp_{p} + fp_{p} + fn_{p}), 0), 0)"
+    labels = "(SELECT count(DISTINCT label) FROM il)"
+    return f"""h_{stream} AS (SELECT handle, i, {h} AS h FROM items, (SELECT unnest(range(63)) AS i)),
+    u_{stream} AS (SELECT handle, i * 16 + j AS r, ('0x' || substr(h, (1 + 4 * j)::INT, 4))::INT / 65536.0::DOUBLE AS u FROM h_{stream}, (SELECT unnest(range(16)) AS j)),
+    w_{stream} AS (SELECT handle, r, len(list_filter({_STEPS}, lambda s: u >= s)) AS w FROM u_{stream} WHERE r < 1000 AND u >= {float(S.POISSON_STEPS[0])}),
+    c_{stream} AS (SELECT r, label, {cells("a")}, {cells("b")} FROM q JOIN w_{stream} USING (handle) WHERE y = 1 OR a = 1 OR b = 1 GROUP BY ALL),
+    d_{stream} AS (SELECT r, (sum({f1("b")}) - sum({f1("a")})) / {labels} AS f1_macro, {micro("b")} - {micro("a")} AS f1_micro FROM c_{stream} GROUP BY r)"""
+
+
+def _paired_sql(metric: str) -> str:
+    q = lambda x: f"round((SELECT quantile_cont({metric}, {x}) FROM d_{metric}), 6)"
+    share = f"(SELECT avg(({metric} > 0)::INT) FROM d_{metric})"
+    return f"""SELECT '{metric}' AS metric, round({metric}, 6) AS difference_candidate_minus_global, {q(0.025)} AS ci_lower, {q(0.975)} AS ci_upper,
+      round({share}, 6) AS probability_candidate_better FROM e"""
+
+
+@query(
+    f"""WITH {ORDER_ITEMS}, {scores_sql()}, q AS (SELECT handle, label, y, (score >= 0.7::DOUBLE)::INT AS a, (score >= 0.55::DOUBLE)::INT AS b FROM scores),
+    {_draws_sql("f1_macro")}, {_draws_sql("f1_micro")},
+    l AS (SELECT label, sum(y * a) AS tp_a, sum((1 - y) * a) AS fp_a, sum(y * (1 - a)) AS fn_a, sum(y * b) AS tp_b, sum((1 - y) * b) AS fp_b, sum(y * (1 - b)) AS fn_b FROM q GROUP BY label),
+    e AS (SELECT avg(coalesce(2.0::DOUBLE * tp_b / nullif(2 * tp_b + fp_b + fn_b, 0), 0)) - avg(coalesce(2.0::DOUBLE * tp_a / nullif(2 * tp_a + fp_a + fn_a, 0), 0)) AS f1_macro,
+      2.0::DOUBLE * sum(tp_b) / sum(2 * tp_b + fp_b + fn_b) - 2.0::DOUBLE * sum(tp_a) / sum(2 * tp_a + fp_a + fn_a) AS f1_micro FROM l)
+    {_paired_sql("f1_macro")} UNION ALL {_paired_sql("f1_micro")}"""
+)
 def paired_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     rows = hash_scores(spark, sf)
-    return S.paired_bootstrap(S.apply_thresholds(rows, 0.7), S.apply_thresholds(rows, 0.55))
+    found = S.paired_bootstrap(S.apply_thresholds(rows, 0.7), S.apply_thresholds(rows, 0.55))
+    names = ("difference_candidate_minus_global", "ci_lower", "ci_upper", "probability_candidate_better")
+    return found.select("metric", *[F.round(c, 6).alias(c) for c in names])
 
 
 @query(
