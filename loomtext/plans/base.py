@@ -30,8 +30,16 @@ def oracle_sql() -> dict[str, str]:
     return {name: sql if isinstance(sql, str) else sql() for name, sql in ORACLE_SQL.items()}
 
 
+#: Bytes of a table that is worth dealing out at least, and those of one split of files, beyond which it has splits enough.
+DEALT_FROM, ONE_SPLIT = 1 << 20, 128 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder. One that fits a single split of files is dealt out to all cores (a file with one row
+    group is one task's work otherwise); larger ones are left as their files are."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(spark.sparkContext.defaultParallelism) if DEALT_FROM <= size <= ONE_SPLIT else df
 
 
 def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
