@@ -65,13 +65,12 @@ class ByteCodec:
         self.pieces: dict[str, Told] = {}
         self.held: dict[str, Told] = {}
 
-    def run_library(self, pieces: list[str], data: list[bytes]) -> list:
-        """The library's encodings of the pieces, spelled by the characters that stand for their bytes."""
+    def spelled(self, pieces: list[str], data: list[bytes]) -> list[str]:
+        """The characters that stand for the pieces' bytes, one each."""
         letters, space = self.letters, self.space
-        spelled = [
+        return [
             p.replace(" ", space) if p.isascii() and p.isprintable() else d.decode("latin-1").translate(letters) for p, d in zip(pieces, data, strict=True)
         ]
-        return self.library.encode_batch(spelled, add_special_tokens=False)
 
     def ends(self, data: bytes, encoded) -> list[int]:
         """Where each token ends in the piece's bytes, by the library's offsets, which have to cover them."""
@@ -81,18 +80,25 @@ class ByteCodec:
         return out
 
     def learn_pieces(self, pieces: Iterable[str]) -> None:
-        """What is told of new matches of the pattern, by one call of the library."""
+        """What is told of new matches of the pattern, by one call of the library.
+
+        A token that begins with the rest of a character follows one that ends inside it; the library is asked
+        for offsets, which cost as much again, for the matches that have such tokens alone.
+        """
         held, told_of, inner, bytes_of, text_of = self.pieces, self.told_of, self.inner, self.bytes_of, self.text_of
         new = [p for p in dict.fromkeys(pieces) if p not in held]
         raw = [p.encode() for p in new]
-        for piece, own, x in zip(new, raw, self.run_library(new, raw), strict=True):
-            ids = x.ids
+        spelled = self.spelled(new, raw)
+        found = [x.ids for x in self.library.encode_batch_fast(spelled, add_special_tokens=False)]
+        odd = [i for i, ids in enumerate(found) if not inner.isdisjoint(ids)]
+        split = dict.fromkeys(odd, 0)
+        for i, x in zip(odd, self.library.encode_batch([spelled[i] for i in odd], add_special_tokens=False), strict=True):
+            split[i] = sum(e < len(raw[i]) and raw[i][e] & 0xC0 == 0x80 for e in self.ends(raw[i], x))
+        for i, (piece, own, ids) in enumerate(zip(new, raw, found, strict=True)):
             if len(ids) == 1:
                 told = told_of[ids[0]]
             else:
-                # A token that begins with the rest of a character follows one that ends inside it.
-                split = 0 if inner.isdisjoint(ids) else sum(e < len(own) and own[e] & 0xC0 == 0x80 for e in self.ends(own, x))
-                told = ",".join([text_of[i] for i in ids]), b"".join([bytes_of[i] for i in ids]), len(ids), split
+                told = ",".join([text_of[k] for k in ids]), b"".join([bytes_of[k] for k in ids]), len(ids), split.get(i, 0)
             if told[1] != own:
                 raise ValueError("the vocabulary does not cover all bytes")
             held[piece] = told
@@ -102,7 +108,8 @@ class ByteCodec:
         matches = [self.pattern.findall(t) for t in texts]
         distinct = list({p for found in matches for p in found})
         raw = [p.encode() for p in distinct]
-        known = {p: (x.ids, self.ends(d, x)) for p, d, x in zip(distinct, raw, self.run_library(distinct, raw), strict=True)}
+        encoded = self.library.encode_batch(self.spelled(distinct, raw), add_special_tokens=False)
+        known = {p: (x.ids, self.ends(d, x)) for p, d, x in zip(distinct, raw, encoded, strict=True)}
         out = []
         for found in matches:
             ids, ends, at = [], [], 0
