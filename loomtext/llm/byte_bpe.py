@@ -31,11 +31,11 @@ from .tokenizer_files import byte_characters, text_batches, vocabulary
 WHITE = "\t-\r \x85\xa0  -     　"
 SEGMENT = re.compile(f"[{WHITE}]+(?![^{WHITE}])|[{WHITE}]?[^{WHITE}]+")
 #: Segments and matches whose ids one worker holds at a time.
-HELD_SEGMENTS, HELD_PIECES = 250_000, 60_000
+HELD_SEGMENTS, HELD_PIECES = 300_000, 60_000
 
 
 #: Of a match or a segment: its ids as text, the bytes that they decode to, their number, tokens that end inside a character.
-Told = tuple[str, bytes, int, int]
+Told = tuple
 
 
 class ByteCodec:
@@ -79,29 +79,26 @@ class ByteCodec:
             raise ValueError("the vocabulary does not cover all bytes")
         return out
 
-    def learn_pieces(self, pieces: Iterable[str]) -> None:
-        """What is told of new matches of the pattern, by one call of the library.
+    def told(self, pieces: list[str]) -> list[Told]:
+        """What is told of matches of the pattern, by one call of the library.
 
         A token that begins with the rest of a character follows one that ends inside it; the library is asked
         for offsets, which cost as much again, for the matches that have such tokens alone.
         """
-        held, told_of, inner, bytes_of, text_of = self.pieces, self.told_of, self.inner, self.bytes_of, self.text_of
-        new = [p for p in dict.fromkeys(pieces) if p not in held]
-        raw = [p.encode() for p in new]
-        spelled = self.spelled(new, raw)
+        told_of, inner, bytes_of, text_of = self.told_of, self.inner, self.bytes_of, self.text_of
+        raw = [p.encode() for p in pieces]
+        spelled = self.spelled(pieces, raw)
         found = [x.ids for x in self.library.encode_batch_fast(spelled, add_special_tokens=False)]
         odd = [i for i, ids in enumerate(found) if not inner.isdisjoint(ids)]
-        split = dict.fromkeys(odd, 0)
+        out = [
+            told_of[ids[0]] if len(ids) == 1 else (",".join([text_of[k] for k in ids]), b"".join([bytes_of[k] for k in ids]), len(ids), 0) for ids in found
+        ]
         for i, x in zip(odd, self.library.encode_batch([spelled[i] for i in odd], add_special_tokens=False), strict=True):
-            split[i] = sum(e < len(raw[i]) and raw[i][e] & 0xC0 == 0x80 for e in self.ends(raw[i], x))
-        for i, (piece, own, ids) in enumerate(zip(new, raw, found, strict=True)):
-            if len(ids) == 1:
-                told = told_of[ids[0]]
-            else:
-                told = ",".join([text_of[k] for k in ids]), b"".join([bytes_of[k] for k in ids]), len(ids), split.get(i, 0)
-            if told[1] != own:
-                raise ValueError("the vocabulary does not cover all bytes")
-            held[piece] = told
+            split = sum(e < len(raw[i]) and raw[i][e] & 0xC0 == 0x80 for e in self.ends(raw[i], x))
+            out[i] = (*out[i][:3], split)
+        if [x[1] for x in out] != raw:
+            raise ValueError("the vocabulary does not cover all bytes")
+        return out
 
     def encode_all(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
         """Ids of each text and where each token ends in the matches' UTF-8 bytes."""
@@ -139,15 +136,25 @@ class ByteCodec:
             self.pieces = {}
 
     def learn_segments(self, segments: list[str]) -> None:
+        """Holds what is told of new segments. One that is a single match stands for this match as well; others are
+        marked by a fifth value, and their matches are held on their own."""
         matches = [self.pattern.findall(x) for x in segments]
-        self.learn_pieces(p for found in matches for p in found)
-        pieces, held = self.pieces, self.held
+        pieces, held, known, new = self.pieces, self.held, {}, []
+        for p in {p for found in matches for p in found}:
+            told = pieces.get(p) or held.get(p)
+            if told and len(told) == 4:
+                known[p] = told
+            else:
+                new.append(p)
+        known.update(zip(new, self.told(new), strict=True))
         for segment, found in zip(segments, matches, strict=True):
-            if len(found) == 1:
-                held[segment] = pieces[found[0]]
+            if len(found) == 1 and found[0] == segment:
+                held[segment] = known[segment]
             else:
-                texts, data, n, split = zip(*map(pieces.__getitem__, found), strict=True) if found else ((), (), (), ())
-                held[segment] = ",".join(texts), b"".join(data), sum(n), sum(split)
+                own = [known[p] for p in found]
+                pieces.update(zip(found, own, strict=True))
+                texts, data, n, split = zip(*own, strict=True) if own else ((), (), (), ())
+                held[segment] = ",".join(texts), b"".join(data), sum(n), sum(split), True
 
     def digests(self, texts: list[str]) -> list[tuple[int, str, str, int]]:
         """Number of ids, SHA-256 of the decimal ids, SHA-256 of the decoded bytes, tokens that end inside a character."""
@@ -158,7 +165,8 @@ class ByteCodec:
         for i in range(0, len(new), 20_000):
             self.learn_segments(new[i : i + 20_000])
         for found in parts:
-            texts, data, n, split = zip(*map(held.__getitem__, found), strict=True) if found else ((), (), (), ())
+            # Stops at the fourth value, where the shortest end; documents of marked segments alone have a fifth.
+            texts, data, n, split = tuple(zip(*map(held.__getitem__, found), strict=False))[:4] if found else ((), (), (), ())
             ids = hashlib.sha256(",".join(filter(None, texts)).encode())
             out.append((sum(n), ids.hexdigest(), hashlib.sha256(b"".join(data)).hexdigest(), sum(split)))
         return out
