@@ -162,8 +162,8 @@ class ByteCodec:
         held, out = self.held, []
         parts = [SEGMENT.findall(t) for t in texts]
         new = list(set().union(*parts).difference(held))
-        for i in range(0, len(new), 20_000):
-            self.learn_segments(new[i : i + 20_000])
+        for i in range(0, len(new), 5_000):
+            self.learn_segments(new[i : i + 5_000])
         for found in parts:
             # Stops at the fourth value, where the shortest end; documents of marked segments alone have a fifth.
             texts, data, n, split = tuple(zip(*map(held.__getitem__, found), strict=False))[:4] if found else ((), (), (), ())
