@@ -16,6 +16,7 @@ from .shared import table
 from .simhash import near_duplicates
 from .token_counts import token_counts
 from .topk import top_k
+from .url_filter import filter_urls
 from .warc import archive_round_trip
 
 
@@ -68,6 +69,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "probability")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_topk": op2_topk,
@@ -79,6 +84,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_byte_bpe": op10_byte_bpe,
+    "op13_url_filter": op13_url_filter,
 }
 ORACLE_SQL = {
     "op1_exact_dedup": oracles.EXACT_DEDUP,
