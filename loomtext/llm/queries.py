@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import oracles
 from .byte_bpe import round_trip
+from .conversations import damaged, repair_conversations
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
 from .pii import find_personal_data
@@ -69,6 +70,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damaged(table(spark, sf_dir, "conversations")))
+
+
 def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "probability")
 
@@ -84,6 +89,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_byte_bpe": op10_byte_bpe,
+    "op12_conversations": op12_conversations,
     "op13_url_filter": op13_url_filter,
 }
 ORACLE_SQL = {
