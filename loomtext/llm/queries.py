@@ -9,6 +9,7 @@ from . import oracles
 from .byte_bpe import round_trip
 from .conversations import damaged, repair_conversations
 from .exact_dedup import exact_dedup
+from .hard_negatives import mine_hard_negatives, shifted_labels
 from .mixing import mix_sources
 from .pii import find_personal_data
 from .quality import fit_quality, score_quality
@@ -70,6 +71,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_hard_negatives(shifted_labels(table(spark, sf_dir, "embeddings")))
+
+
 def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(damaged(table(spark, sf_dir, "conversations")))
 
@@ -89,6 +94,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_conversations": op12_conversations,
     "op13_url_filter": op13_url_filter,
 }
@@ -97,4 +103,5 @@ ORACLE_SQL = {
     "op2_topk": oracles.TOP_K,
     "op4_warc": oracles.WARC,
     "op7_mixing": oracles.mixing(),
+    "op11_hard_negatives": oracles.HARD_NEGATIVES,
 }
