@@ -1,16 +1,15 @@
-"""One binary classifier per label with pyspark.ml, convergence rows, grids and leaderboards."""
+"""One binary classifier per label, all fitted in the same passes; convergence rows, grids and leaderboards."""
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from itertools import product
 
-from pyspark.ml.classification import LinearSVC, LogisticRegression
-from pyspark.ml.functions import vector_to_array
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import linear
 from .dense import FEATURE_SETS
 
 MODES = ("raw", "normalized", "language_stopwords")
@@ -18,89 +17,67 @@ SPARSE = ("bow", "tfidf", "bm25")
 CLASSIFIERS = ("logreg", "linear_svc", "sgd")
 
 
-def create_classifier(name: str, n: int, c: float = 1.0, tol: float = 1e-4, weight: str | None = None, max_iter: int = 100):
-    """logreg, linear_svc (and linear_svc_* names) or sgd. C * sum(loss) becomes regParam = 1 / (C n) on the mean loss.
-    Features are standardised: without it the line search fails on terms that nearly every document has.
+@dataclass
+class Classifier:
+    """A kind of linear model and its settings: C weighs the losses of logreg and linear_svc, alpha the penalty of sgd."""
 
-    sgd is a logistic regression with few iterations; Spark's LinearSVC has the plain hinge loss.
-    """
-    common = {"regParam": 1.0 / (c * max(1, n)), "standardization": True, "tol": tol}
-    if weight:
-        common["weightCol"] = weight
-    if name == "logreg":
-        return LogisticRegression(maxIter=max_iter, **common)
-    if name == "sgd":
-        return LogisticRegression(maxIter=min(15, max_iter), **common | {"tol": 1e-3})
-    if name == "linear_svc" or name.startswith("linear_svc_"):
-        return LinearSVC(maxIter=max_iter, **common)
-    raise ValueError(f"unknown classifier: {name}")
+    name: str
+    c: float
+    alpha: float
+    tol: float
+    max_iter: int
 
+    @property
+    def kind(self) -> str:
+        return "linear_svc" if self.name.startswith("linear_svc") else self.name
 
-@dataclass
-class LabelModel:
-    label: str
-    model: object | None
-    constant: float
-    iterations: int
-    max_iterations: int
+    def fit(self, data: linear.Data) -> linear.Fit:
+        if self.kind == "sgd":
+            return linear.descend(data, self.alpha, self.tol, self.max_iter)
+        return linear.minimise(data, self.kind, self.c, self.tol, self.max_iter)
+
+
+def create_classifier(name: str, c: float = 1.0, tol: float | None = None, max_iter: int = 3000, alpha: float = 1e-4) -> Classifier:
+    """logreg, linear_svc (and linear_svc_* names, with settings of their own) or sgd; the tolerance is 1e-3 for sgd, else 1e-4."""
+    if name not in CLASSIFIERS and not name.startswith("linear_svc_"):
+        raise ValueError(f"unknown classifier: {name}")
+    return Classifier(name, c, alpha, tol if tol is not None else 1e-3 if name == "sgd" else 1e-4, max_iter)
 
 
 @dataclass
 class OneVsRest:
-    """Fitted binary models by label; a label of one class only gets a constant score."""
+    """Weights labels x (features + 1) with the labels' names; a label of one class only has a constant score."""
 
     name: str
-    models: list[LabelModel]
+    labels: list[str]
+    fit: linear.Fit
+    max_iter: int
 
     @property
     def score_kind(self) -> str:
         return "decision_scores" if self.name.startswith("linear_svc") else "probabilities"
 
     def scores(self, features: DataFrame, key: str = "handle") -> DataFrame:
-        """key, label, score for every label: one pass that adds a column a label, then unpivots."""
-        wide, columns = features, []
-        for i, m in enumerate(self.models):
-            if m.model is None:
-                wide = wide.withColumn(f"s{i}", F.lit(m.constant))
-            elif self.score_kind == "probabilities":
-                wide = m.model.setPredictionCol("").setRawPredictionCol("").setProbabilityCol(f"p{i}").transform(wide)
-                wide = wide.withColumn(f"s{i}", vector_to_array(f"p{i}")[1]).drop(f"p{i}")
-            else:
-                wide = m.model.setPredictionCol("").setRawPredictionCol(f"p{i}").transform(wide)
-                wide = wide.withColumn(f"s{i}", vector_to_array(f"p{i}")[1]).drop(f"p{i}")
-            columns.append(F.struct(F.lit(m.label).alias("label"), F.col(f"s{i}").alias("score")))
-        return wide.select(key, F.explode(F.array(*columns)).alias("x")).select(key, "x.label", "x.score")
+        """key, label, score for every label, in one pass."""
+        return linear.score_rows(features, self.fit.weights, self.labels, self.score_kind == "probabilities", key)
 
     def convergence(self, spark) -> DataFrame:
-        rows = [(m.label, m.iterations, m.max_iterations, m.iterations < m.max_iterations) for m in self.models]
+        rows = [(label, int(i), self.max_iter, bool(c)) for label, i, c in zip(self.labels, self.fit.iterations, self.fit.converged, strict=True)]
         return spark.createDataFrame(rows, "label string, iterations int, max_iterations int, converged boolean")
 
 
-def fit_one_vs_rest(features: DataFrame, indicator: DataFrame, name: str = "logreg", key: str = "handle", parallelism: int = 4, **settings) -> OneVsRest:
-    """One model a label from (key, features) and (key, label, y); labels are fitted side by side on one stored table."""
-    counts = {r.label: (r.pos, r.n) for r in indicator.groupBy("label").agg(F.sum("y").alias("pos"), F.count("*").alias("n")).collect()}  # labels are few
-    wide = indicator.groupBy(key).pivot("label", sorted(counts)).agg(F.max("y"))
-    names = {label: f"y{i}" for i, label in enumerate(sorted(counts))}
-    wide = wide.select(key, *[F.coalesce(F.col(f"`{label}`"), F.lit(0)).cast("double").alias(c) for label, c in names.items()])
-    table = features.select(key, "features", *([settings["weight"]] if settings.get("weight") else [])).join(wide, key).persist()
-    try:
-        table.count()  # stored once, before the fits share it
-
-        def one(label: str) -> LabelModel:
-            pos, n = counts[label]
-            limit = create_classifier(name, n, **settings).getMaxIter()
-            if pos in (0, n):
-                constant = float(pos > 0) if not name.startswith("linear_svc") else (1.0 if pos else -1.0)
-                return LabelModel(label, None, constant, 0, limit)
-            fitted = create_classifier(name, n, **settings).setLabelCol(names[label]).fit(table)
-            summary = fitted.summary
-            summary = summary() if callable(summary) else summary
-            return LabelModel(label, fitted, 0.0, int(summary.totalIterations), limit)
-
-        with ThreadPoolExecutor(parallelism) as workers:
-            return OneVsRest(name, list(workers.map(one, sorted(counts))))
-    finally:
-        table.unpersist()
+def fit_one_vs_rest(features: DataFrame, indicator: DataFrame, name: str = "logreg", key: str = "handle", weight: str | None = None, **settings) -> OneVsRest:
+    """One model a label from (key, features) and (key, label, y); see linear.FEATURES and create_classifier.
+
+    The rows are stored as blocks once and read once an iteration, whatever the number of labels."""
+    classifier = create_classifier(name, **settings)
+    data = linear.training_data(features, indicator, key, weight)
+    found = classifier.fit(data)
+    one_class = (data.positives == 0) | (data.positives == data.n)
+    constant = np.where(data.positives > 0, 1.0, -1.0) * (1.0 if classifier.kind == "linear_svc" else 1000.0)  # a probability of 0 or 1
+    found.weights[one_class, :-1], found.weights[one_class, -1] = 0.0, constant[one_class]
+    found.iterations[one_class], found.converged[one_class] = 0, True
+    return OneVsRest(name, data.labels, found, classifier.max_iter)
 
 
 def grid(dense: tuple[str, ...] = ("sbert", "labse")) -> list[tuple[str, str, str, str]]:

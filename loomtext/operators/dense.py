@@ -299,6 +299,12 @@ def early_stopping(epochs: DataFrame, delta: float, patience: int, run: str = "r
     return per.select(run, F.explode(fold).alias("x")).select(run, "x.*").withColumn("stop", F.col("waited") >= patience)
 
 
+def dense_features(vector: Column) -> Column:
+    """A vector as features for classifiers: size, null indices, values."""
+    values = vector.cast("array<double>")
+    return F.struct(F.size(values).alias("size"), F.lit(None).cast("array<int>").alias("indices"), values.alias("values"))
+
+
 def positive_weights(indicator: DataFrame) -> DataFrame:
     """label, pos_weight = negatives / max(positives, 1) of the training items."""
     pos = F.sum("y")

@@ -120,18 +120,9 @@ def indexed_vectors(weights: DataFrame, model: SparseModel, key: str = "handle")
     small = model.n_bytes is not None and model.n_bytes <= BROADCAST_BYTES
     rows = weights.join(F.broadcast(ids) if small else ids, "term")
     rows = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("id", "weight"))).alias("v"))
-    # The stored form of a sparse vector, read back as the vector type.
-    stored = F.struct(
-        F.lit(0).alias("type"),
+    v = F.struct(
         F.lit(ids.count()).cast("int").alias("size"),
         F.transform("v", lambda x: x["id"]).alias("indices"),
         F.transform("v", lambda x: x["weight"]).alias("values"),
     )
-    return rows.select(key, F.from_json(F.to_json(F.struct(stored.alias("features"))), _vector_schema())["features"].alias("features"))
-
-
-def _vector_schema():
-    from pyspark.ml.linalg import VectorUDT
-    from pyspark.sql.types import StructField, StructType
-
-    return StructType([StructField("features", VectorUDT())])
+    return rows.select(key, v.alias("features"))

@@ -8,7 +8,6 @@ from functools import reduce
 from pathlib import Path
 from typing import Any
 
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +20,11 @@ RESULT = "preprocessing string, feature_set string, representation string, class
 DENSE_STAGES = ("sbert", "labse")
 
 
+def file_name(key: tuple[str, ...]) -> str:
+    """An experiment's key as a file name."""
+    return "-".join(part.replace("+", "_") for part in key)
+
+
 class Run:
     """One run folder and its stages. Tables go to Parquet, reports to CSV; a restart goes on where tables end.
 
@@ -237,7 +241,12 @@ class Run:
         width = len(self.encoders[name]([""])[0])
         cache = self.path(f"vectors/{name}")
         found = dense.encode_items(units, prepared, self.encoders[name], width, cache_path=cache, model=name, **settings)
-        return found.select("handle", array_to_vector("vector").alias("features"))
+        return found.select("handle", dense.dense_features(F.col("vector")).alias("features"))
+
+    def settings_of(self, name: str) -> dict[str, Any]:
+        """A classifier's own settings (C, tol, max_iter, alpha) from the configuration."""
+        own = self.config["classifiers"].get("params", {}).get(name, {})
+        return {k.lower(): own[k] for k in ("C", "tol", "max_iter", "alpha") if k in own}
 
     def fit(self, prepared: DataFrame, key: tuple[str, str, str, str], held: str) -> tuple[DataFrame, str]:
         """Scores of the calibration items and those of ``held`` (handle, label, score, y, split), and their kind."""
@@ -246,7 +255,9 @@ class Run:
         vectors = self.sparse_vectors(prepared, mode, feature_set, representation) if sparse else self.dense_vectors(prepared, feature_set, representation)
         train = prepared.where("split = 'train'").select("handle")
         truth = labels.indicator(prepared)
-        fitted = classify.fit_one_vs_rest(vectors.join(train, "handle", "left_semi"), truth.join(train, "handle", "left_semi"), name)
+        fitted = classify.fit_one_vs_rest(vectors.join(train, "handle", "left_semi"), truth.join(train, "handle", "left_semi"), name, **self.settings_of(name))
+        told = fitted.convergence(self.spark).withColumns({c: F.lit(v) for c, v in zip(classify.KEY, key, strict=True)})
+        self.keep("convergence/" + file_name(key), lambda: told)
         rest = prepared.where(F.col("split").isin("calibration", held)).select("handle", "split")
         return fitted.scores(vectors.join(rest.select("handle"), "handle", "left_semi")).join(truth, ["handle", "label"]).join(rest, "handle"), fitted.score_kind
 
@@ -276,8 +287,8 @@ class Run:
 
     def test_rows(self, prepared: DataFrame, key: tuple[str, str, str, str]) -> tuple[DataFrame, Any]:
         """Test predictions of a configuration, fitted on training items alone and kept, and its thresholds."""
-        name = "test_predictions/" + "-".join(part.replace("+", "_") for part in key)
-        place = self.folder / f"thresholds_{'-'.join(part.replace('+', '_') for part in key)}.json"
+        name = "test_predictions/" + file_name(key)
+        place = self.folder / f"thresholds_{file_name(key)}.json"
         found = self.table(name)
         if found is None or not place.exists():
             rows, kind = self.fit(prepared, key, "test")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -143,7 +142,7 @@ def encode_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, sf, "embeddings")
-    features = e.select(F.col("vec_id").alias("handle"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    features = e.select(F.col("vec_id").alias("handle"), dense.dense_features(F.col("embedding")).alias("features"))
     items = e.select(F.col("vec_id").alias("handle"), F.array(F.concat(F.lit("c"), F.col("label").cast("string"))).alias("labels"))
     return features, labels.indicator(items)
 

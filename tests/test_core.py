@@ -161,7 +161,7 @@ def test_grid_and_families(spark):
     df = spark.createDataFrame([("raw", "bm25"), ("transformer", "sbert:x"), ("transformer_finetuned", "labse_finetuned")], "preprocessing string, representation string")
     assert [r.f for r in df.select(classify.family().alias("f")).collect()] == ["bm25", "sbert_frozen", "labse_finetuned"]
     with pytest.raises(ValueError):
-        classify.create_classifier("tree", 1)
+        classify.create_classifier("tree")
 
 
 def test_config(tmp_path):

@@ -57,5 +57,5 @@ def test_replicates_and_iterations_are_the_operators_own(spark, monkeypatch):
                 given = e.args[0]
                 own = inspect.signature(classify.create_classifier).parameters["max_iter"].default
                 asked.append(given.get("replicates") or given.get("settings", {}).get("max_iter", own))
-    assert asked == [1000, 1000, 100, 100]
+    assert asked == [1000, 1000, 3000, 3000]
     assert '"bootstrap_resamples", 1000' in inspect.getsource(pipeline)
