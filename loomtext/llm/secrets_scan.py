@@ -10,13 +10,15 @@ no row is shuffled.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import stash, text_or_empty
+from .shared import one_column, own_columns, stash, text_or_empty
 
 #: Fixed values. A long run of key-like characters with a digit.
 RUN = r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_.-]*[0-9])[A-Za-z0-9+/_.-]{16,}={0,2}"
@@ -138,7 +140,7 @@ def with_features(found: DataFrame) -> DataFrame:
 
 def example_findings(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
     """Labelled findings by rule: candidate, before, after, path, label (1 secret). The same on every call."""
-    rows = spark.range(0, n, 1, 4)
+    rows = spark.range(0, n, 1, 1)
     h = lambda salt: F.sha2(F.concat_ws("|", F.lit(salt), F.col("id").cast("string")), 512)
     pick = lambda salt, choices: F.element_at(
         F.array(*map(F.lit, choices)), (F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(len(choices))) + 1).cast("int")
@@ -190,15 +192,14 @@ def example_findings(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
         (F.concat(F.lit("your-"), word, F.lit("-key-example-"), digits(2)), F.concat(lead, sure, sign), F.lit('"'), tests, 0),
         (F.concat(F.lit("/"), word, F.lit("/"), other, F.lit("/20"), digits(2), F.lit("/"), digits(6)), F.concat(lead, F.lit("http:/")), plain, tests, 0),
     ]
-    rows = rows.withColumn("kind", (F.col("id") % len(kinds)).cast("int"))
-    made = {}
-    for at, name in enumerate(("candidate", "before", "after", "path", "label")):
-        value = None
-        for k, kind in enumerate(kinds):
-            x = kind[at] if isinstance(kind[at], Column) else F.lit(kind[at])
-            value = F.when(F.col("kind") == k, x) if value is None else value.when(F.col("kind") == k, x)
-        made[name] = value
-    return rows.withColumns(made).select("candidate", "before", "after", "path", "label")
+    # Few kinds a plan: a generated method has room for them.
+    made, names, few = [], ("candidate", "before", "after", "path", "label"), 7
+    for start in range(0, len(kinds), few):
+        at = F.col("id") % len(kinds) - start
+        part = rows.where(at.between(0, few - 1))
+        some = [[x if isinstance(x, Column) else F.lit(x) for x in column] for column in zip(*kinds[start : start + few], strict=True)]
+        made.append(part.select(*[reduce(lambda v, k: v.when(at == k, c[k]), range(1, len(c)), F.when(at == 0, c[0])).alias(n) for n, c in zip(names, some, strict=True)]))  # noqa: B023
+    return reduce(DataFrame.unionByName, made)
 
 
 def fit_forest(findings: DataFrame, trees: int = 30, depth: int = 9, seed: int = 5) -> RandomForestClassificationModel:
@@ -216,17 +217,20 @@ def scan_secrets(
     id_col: str = "doc_id",
     text_col: str = "text",
     path_col: str | None = "source",
+    near: int = NEAR,
+    model: RandomForestClassificationModel | None = None,
 ) -> DataFrame:
     """One row per candidate: doc_id, ordinal, candidate, n_chars, probability, kept (probability >= ``least``).
 
-    ``findings`` are labelled findings (see fit_forest); without them those of a rule are used. A text
+    ``findings`` are labelled findings (see fit_forest); without them those of a rule are used. ``model`` is a forest that
+    was fitted before, and ``near`` how many characters on either side of a candidate count as its neighbours. A text
     that is null or has no candidate gives no row. Identifiers, null and repeated ones too, pass through;
     without the path column paths count as empty. Texts are read whole. An empty table gives an empty
     result.
     """
     # Made findings are stored first: their rule and the features are too much for one generated method.
-    model = fit_forest(stash(example_findings(docs.sparkSession), "findings") if findings is None else findings)
-    rows = with_features(candidates(docs, id_col, text_col, path_col))
+    model = model or fit_forest(stash(example_findings(docs.sparkSession), "findings") if findings is None else findings)
+    rows = with_features(candidates(docs, id_col, text_col, path_col, near))
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
     rows = model.transform(rows.select("doc_id", "ordinal", "candidate", "features"))
     return rows.select(
@@ -245,13 +249,15 @@ def redact(docs: DataFrame, secrets: DataFrame, mask: str = "[secret]", id_col:
     A candidate is masked wherever it is one in the rows of its identifier; rows that repeat an identifier,
     a null one too, share their secrets. Null texts stay null, and rows without secrets as they are.
     """
-    kept = secrets.where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("candidate").alias("_gone"))
-    found = F.regexp_extract_all(F.col(text_col), F.lit(CANDIDATE), F.lit(0))
+    kept = secrets.where("kept").groupBy(F.col("doc_id").alias("own_id")).agg(F.collect_set("candidate").alias("gone"))
+    rows = one_column(docs)  # no column of the caller's can clash with one of ours
+    text = F.col("row")[text_col]
+    found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
     parts = F.zip_with(
-        F.split(text_col, CANDIDATE, -1),
-        F.transform(found, lambda x: F.when(F.array_contains("_gone", x), F.lit(mask)).otherwise(x)),
+        F.split(text, CANDIDATE, -1),
+        F.transform(found, lambda x: F.when(F.array_contains("gone", x), F.lit(mask)).otherwise(x)),
         lambda gap, x: F.concat(gap, F.coalesce(x, F.lit(""))),
     )
-    rows = docs.join(kept, docs[id_col].eqNullSafe(kept["_id"]), "left")
-    masked = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(parts, ""))
-    return rows.withColumn(text_col, masked).select(*docs.columns)
+    masked = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(parts, ""))
+    rows = rows.join(kept, F.col("row")[id_col].eqNullSafe(F.col("own_id")), "left")
+    return own_columns(rows.withColumn("row", F.col("row").withField(f"`{text_col}`", masked)), docs)
