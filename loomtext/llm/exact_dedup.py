@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACES, forget, small_side, spread_lookup, stash, text_or_empty
+from .shared import SPACES, forget, one_column, own_columns, small_side, spread_lookup, stash, text_or_empty
 
 KEY = ["digest", "check", "n_norm"]
 
@@ -110,20 +110,21 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     told apart by digest and length; of rows that these don't tell apart either, one stays.
     """
     ruled = stash(exact_dedup(docs, id_col, text_col, ways), "ruled")
-    stay = ruled.where("kept").select(F.col("doc_id").alias("_stays")).distinct()
-    gone = ruled.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    same = F.col("_gone").eqNullSafe(F.col("_stays"))
+    stay = ruled.where("kept").select(F.col("doc_id").alias("stays")).distinct()
+    gone = ruled.where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    same = F.col("gone").eqNullSafe(F.col("stays"))
     mixed = stash(gone.join(stay, same, "left_semi"), "mixed")
-    match = F.col(id_col).eqNullSafe(F.col("_gone"))
-    kept = docs.join(small_side(gone.join(stay, same, "left_anti"), "gone"), match, "left_anti")
+    rows = one_column(docs)  # no column of the caller's can clash with one of ours
+    own_id, text = F.col("row")[id_col], F.coalesce(F.col("row")[text_col].cast("string"), F.lit(""))
+    match = own_id.eqNullSafe(F.col("gone"))
+    kept = rows.join(small_side(gone.join(stay, same, "left_anti"), "gone"), match, "left_anti")
     if mixed.isEmpty():
-        return kept
-    text = text_or_empty(text_col)
+        return own_columns(kept, docs)
     marks = kept.join(mixed, match, "left_semi").select(
-        *kept.columns, F.length(text).cast("long").alias("_points"), F.sha2(F.translate(text, SPACES, ""), 256).alias("_sha")
+        "row", own_id.alias("own_id"), F.length(text).cast("long").alias("points"), F.sha2(F.translate(text, SPACES, ""), 256).alias("sha")
     )
-    of_mixed = ruled.where("kept").join(mixed, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_semi")
-    right = of_mixed.select(F.col("doc_id").alias("_stays"), F.col("n_points").alias("_right_points"), F.col("text_sha256").alias("_right_sha")).distinct()
-    on = F.col(id_col).eqNullSafe(F.col("_stays")) & (F.col("_points") == F.col("_right_points")) & (F.col("_sha") == F.col("_right_sha"))
-    one = marks.join(right, on, "left_semi").dropDuplicates([id_col, "_points", "_sha"])
-    return kept.join(mixed, match, "left_anti").unionByName(one.select(*docs.columns))
+    of_mixed = ruled.where("kept").join(mixed, F.col("doc_id").eqNullSafe(F.col("gone")), "left_semi")
+    right = of_mixed.select(F.col("doc_id").alias("stays"), F.col("n_points").alias("right_points"), F.col("text_sha256").alias("right_sha")).distinct()
+    on = F.col("own_id").eqNullSafe(F.col("stays")) & (F.col("points") == F.col("right_points")) & (F.col("sha") == F.col("right_sha"))
+    one = marks.join(right, on, "left_semi").dropDuplicates(["own_id", "points", "sha"])
+    return own_columns(kept.join(mixed, match, "left_anti").unionByName(one.select("row")), docs)

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import forget, stash, text_or_empty
+from .shared import forget, fresh, own_columns, stash, text_or_empty
 
 DIMENSIONS = ("source", "lang", "topic")
 SALTS = 16
@@ -210,9 +210,10 @@ def sample_mixed(
     """
     topic = topic_of(F.col(WORDS), topic_keywords(docs, text_col)) if topic is None else topic
     rates = mixing_rates(narrow_rows(docs, id_col, text_col, topic), **settings)
-    rates = rates.select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), F.round("probability", 6).alias("_p"))
-    dealt = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    marked = docs.withColumn(WORDS, words_of(text_or_empty(text_col))).withColumns({f"_{k}": c for k, c in dimension_columns(docs, topic).items()})
-    marked = marked.withColumn("_salt", salt_of(id_col))
-    kept = marked.join(dealt, [*(f"_{d}" for d in DIMENSIONS), "_salt"]).where(hash_share(seed, F.col(id_col)) < F.col("_p"))
-    return kept.select(*docs.columns)
+    rates = rates.select(*DIMENSIONS, F.round("probability", 6).alias("chance"))
+    dealt = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    row = fresh(docs, "row")  # no column of the caller's can clash with one of ours
+    whole = docs.select("*", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row)).withColumn(WORDS, words_of(text_or_empty(text_col)))
+    marked = whole.select(F.col(row).alias("row"), *(c.alias(k) for k, c in dimension_columns(docs, topic).items()), salt_of(id_col).alias("salt"))
+    kept = marked.join(dealt, [*DIMENSIONS, "salt"]).where(hash_share(seed, F.col("row")[id_col]) < F.col("chance"))
+    return own_columns(kept, docs)

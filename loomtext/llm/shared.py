@@ -66,6 +66,24 @@ def small_side(df: DataFrame, label: str, most: int = BROADCAST_BYTES) -> DataFr
     return F.broadcast(held) if size <= most else held.hint("merge")
 
 
+def one_column(df: DataFrame) -> DataFrame:
+    """The rows as one struct column ``row``, so that a caller's columns can't clash with ours."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores until no column of ``df`` has it, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def own_columns(rows: DataFrame, df: DataFrame) -> DataFrame:
+    """The columns of ``df`` out of ``row``."""
+    return rows.select(*[F.col("row")[c].alias(c) for c in df.columns])
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

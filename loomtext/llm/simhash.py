@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import forget, pieces, small_side, spread_lookup, stash, text_or_empty
+from .shared import forget, one_column, own_columns, pieces, small_side, spread_lookup, stash, text_or_empty
 from .tokenizer_files import text_batches
 
 BITS = 64
@@ -115,6 +115,24 @@ def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+def joining(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of the pairs, one after the other, those that join two components: pairs x 2."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while x in up:
+            x = up[x]
+        return x
+
+    kept = []
+    for i, (x, y) in enumerate(zip(label[a].tolist(), label[b].tolist(), strict=True)):
+        x, y = root(x), root(y)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            kept.append(i)
+    return np.c_[a[kept], b[kept]]
+
+
 class GrayTree:
     """The trees of several groups together; rows are sorted by group and Gray rank."""
 
@@ -137,9 +155,11 @@ class GrayTree:
             group = group[first]
         self.kids = [(s, np.r_[s[1:], n]) for s, n in zip(starts, [len(x[0]) for x in self.levels[:-1]], strict=True)]
 
-    def links(self, most: int, accept: Callable | None = None) -> np.ndarray:
-        """Labels of the components at ``most`` differing bits or fewer; ``accept`` (rows a, rows b) may refuse links."""
-        label = np.arange(len(self.levels[0][0]))
+    def links(self, most: int, accept: Callable | None = None, label: np.ndarray | None = None, pairs: list | None = None) -> np.ndarray:
+        """Labels of the components at ``most`` differing bits or fewer; ``accept`` (rows a, rows b) may refuse links.
+
+        ``label`` are components that are known before; ``pairs`` takes in the accepted pairs that join two of them."""
+        label = np.arange(len(self.levels[0][0])) if label is None else label
         top = len(self.levels) - 1
         every = np.arange(len(self.levels[top][0]))
         work = [(top, every, every, False)]  # pairs of nodes of a level, and whether they are known to be near
@@ -160,6 +180,8 @@ class GrayTree:
                     if accept:
                         good = accept(a, b)
                         a, b = a[good], b[good]
+                        if pairs is not None:
+                            pairs.append(joining(label, a, b))
                     label = unite(label, a, b)
                     continue
                 a, b, least, shared = a[near], b[near], least[near], shared[near]
@@ -203,30 +225,43 @@ class GrayTree:
         return label
 
 
-def group_links(
-    key: np.ndarray, fp: np.ndarray, most: int, node: np.ndarray | None = None, wide: np.ndarray | None = None, most_wide: int = 0
-) -> tuple[np.ndarray, np.ndarray]:
-    """Links (node, the component's first node) among rows that share a key; nodes are the fingerprints if not given.
-
-    With ``wide`` fingerprints (rows x words) a link needs at most ``most_wide`` differing bits of these, too.
-    """
+def group_links(key: np.ndarray, fp: np.ndarray, most: int, node: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, the component's first node) among rows that share a key; nodes are the fingerprints if not given."""
     node = fp if node is None else node
     order = np.lexsort((gray_rank(fp), key))
     key, fp, node = key[order], fp[order], node[order]
-    accept = None
-    if wide is not None:
-        wide = wide[order]
-
-        def accept(a, b):
-            steps = [slice(i, i + 8192) for i in range(0, len(a), 8192)]
-            apart = [np.bitwise_count(wide[a[s]] ^ wide[b[s]]).sum(axis=1, dtype=np.int64) for s in steps]
-            return np.concatenate([np.zeros(0, dtype=np.int64), *apart]) <= most_wide
-
-    label = GrayTree(key, fp).links(most, accept) if len(fp) else np.zeros(0, dtype=np.int64)
+    label = GrayTree(key, fp).links(most) if len(fp) else np.zeros(0, dtype=np.int64)
     linked = np.flatnonzero(label != np.arange(len(label)))
     return node[linked], node[label[linked]]
 
 
+def group_pairs(key: np.ndarray, fp: np.ndarray, most: int, node: np.ndarray, comp: np.ndarray, no: list, wide: np.ndarray, most_wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes that share a key, at ``most`` differing bits and ``most_wide`` wide ones, which join components.
+
+    ``comp`` are the components so far; pairs of a node with one of its ``no`` (a list of nodes) aren't asked for."""
+    none = np.zeros(0, dtype=np.int64)
+    if not len(fp):
+        return none, none
+    order = np.lexsort((gray_rank(fp), key))
+    key, fp, node, comp, wide = key[order], fp[order], node[order], comp[order], wide[order]
+    no = {i: frozenset(no[j]) for i, j in enumerate(order.tolist()) if no[j] is not None and len(no[j])}
+    _, first, back = np.unique(comp, return_index=True, return_inverse=True)
+    steps = lambda a: [slice(i, i + 8192) for i in range(0, len(a), 8192)]
+
+    def accept(a, b):
+        apart = [np.bitwise_count(wide[a[s]] ^ wide[b[s]]).sum(axis=1, dtype=np.int64) for s in steps(a)]
+        near = np.concatenate([none, *apart]) <= most_wide
+        if no:
+            for i in np.flatnonzero(near).tolist():
+                near[i] = int(node[b[i]]) not in no.get(int(a[i]), ())
+        return near
+
+    pairs: list[np.ndarray] = []
+    GrayTree(key, fp).links(most, accept, first[back], pairs)
+    found = np.concatenate([np.zeros((0, 2), dtype=np.int64), *pairs])
+    return node[found[:, 0]], node[found[:, 1]]
+
+
 def blocks(free: list[int], parts: int) -> list[list[int]]:
     """The bit positions ``free`` in ``parts`` runs of about equal length."""
     cut = [len(free) * i // parts for i in range(parts + 1)]
@@ -257,10 +292,13 @@ def _grouped_links(rows: DataFrame, keys: list[str], most: int, most_wide: int |
     def arrays(batch):
         out = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "fp")]
         if most_wide is not None:
-            out.append(np.frombuffer(b"".join(batch.column("wide").to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1))
+            no = np.empty(batch.num_rows, dtype=object)
+            no[:] = batch.column("no").to_pylist()
+            wide = np.frombuffer(b"".join(batch.column("wide").to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1)
+            out += [batch.column("comp").to_numpy(zero_copy_only=False), no, wide]
         return tuple(out)
 
-    def found(key, node, fp, *wide):
+    def found(key, node, fp, *more):
         group = np.cumsum(np.r_[True, key[1:] != key[:-1]])
         if chunk:
             at = np.arange(len(group))
@@ -269,8 +307,11 @@ def _grouped_links(rows: DataFrame, keys: list[str], most: int, most_wide: int |
             place = np.sort(np.r_[at, again], kind="stable")
             first = np.r_[True, place[1:] != place[:-1]]
             group = np.cumsum(np.r_[True, (group[place][1:] != group[place][:-1]) | ~first[1:]])
-            node, fp, wide = node[place], fp[place], [w[place] for w in wide]
-        a, b = group_links(group, fp.view(np.uint64), most, node, wide[0] if wide else None, most_wide or 0)
+            node, fp, more = node[place], fp[place], [x[place] for x in more]
+        if more:
+            a, b = group_pairs(group, fp.view(np.uint64), most, node, *more, most_wide)
+        else:
+            a, b = group_links(group, fp.view(np.uint64), most, node)
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b)], names=["a", "b"])
 
     def run(batches):
@@ -293,7 +334,7 @@ def _grouped_links(rows: DataFrame, keys: list[str], most: int, most_wide: int |
         if held:
             yield found(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    carried = ["key", "node", "fp", *(["wide"] if most_wide is not None else [])]
+    carried = ["key", "node", "fp", *(["comp", "no", "wide"] if most_wide is not None else [])]
     keyed = rows.withColumn("key", F.xxhash64(*keys))  # two groups of one key are but one larger group
     if chunk:
         keyed = keyed.withColumn("at", _gray_order(F.col("fp")))
@@ -312,7 +353,8 @@ def _crowded_links(rows: DataFrame, most: int, group_rows: int, most_wide: int |
     """
     rows = stash(rows, "crowded")
     first = stash(_grouped_links(rows, ["path", "value"], most, most_wide, group_rows), "crowded-links")
-    stars = stash(components(first), "crowded-stars").withColumnRenamed("root", "own")
+    known = rows.select(F.col("node").alias("a"), F.col("comp").alias("b")).distinct() if most_wide is not None else first.limit(0)
+    stars = stash(components(first.unionByName(known)), "crowded-stars").withColumnRenamed("root", "own")
     rooted = rows.join(stars, "node", "left").withColumn("own", F.coalesce("own", "node"))
     rooted = stash(rooted.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(64))), "crowded-rooted")
     sizes = rooted.groupBy("path", "value", "own").agg(F.count("*").alias("n"))
@@ -338,8 +380,9 @@ def _crowded_links(rows: DataFrame, most: int, group_rows: int, most_wide: int |
 def similar_links(distinct: DataFrame, most: int = 3, group_rows: int = 8192, most_wide: int | None = None) -> DataFrame:
     """Links (a, b) between the nodes of ``distinct`` (columns node, fp): their components are those of all
     pairs at ``most`` differing bits or fewer. Every link is such a chain; none of the pairs is missing.
-    With ``most_wide``, the column ``wide`` has to be that close as well."""
-    carried = ["node", "fp", *(["wide"] if most_wide is not None else [])]
+    With ``most_wide``, the column ``wide`` has to be that close as well, and pairs that join components come instead:
+    ``comp`` are those so far, and the nodes in the list ``no`` are left out as a node's partners."""
+    carried = ["node", "fp", *(["comp", "no", "wide"] if most_wide is not None else [])]
     paths = {0: list(range(BITS))}  # each path of blocks leaves these bits free
     rows = distinct.select(F.lit(0).alias("path"), F.lit(0).cast("long").alias("value"), *carried)
     links, next_path = None, 1
@@ -500,7 +543,7 @@ def text_fingerprints(data: bytes, words: int) -> tuple[int, int, bytes]:
 
 
 def wide_fingerprints(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, part (input partition), fp and fp2 (of distinct words), wide (of distinct shingles), node (their hash)."""
+    """doc_id, part (input partition), said (the text's hash), fp and fp2 (of distinct words), wide (of distinct shingles), node (their hash)."""
     import pyarrow as pa
 
     text_batches(docs.sparkSession)
@@ -510,23 +553,65 @@ def wide_fingerprints(docs: DataFrame, words: int, id_col: str, text_col: str) -
             found = [text_fingerprints(x.as_buffer().to_pybytes(), words) for x in batch.column("text")]
             fps = [pa.array(np.array([f[i] for f in found], dtype=np.uint64).view(np.int64), pa.int64()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("part"), *fps, pa.array([f[2] for f in found], pa.binary())],
-                names=["doc_id", "part", "fp", "fp2", "wide"],
+                [*(batch.column(c) for c in ("doc_id", "part", "said")), *fps, pa.array([f[2] for f in found], pa.binary())],
+                names=["doc_id", "part", "said", "fp", "fp2", "wide"],
             )
 
-    narrow = docs.select(
-        F.col(id_col).alias("doc_id"), F.spark_partition_id().alias("part"), F.encode(text_or_empty(text_col), "UTF-8").alias("text")
-    )
+    narrow = _texts(docs, text_col, F.col(id_col).alias("doc_id"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    rows = narrow.mapInArrow(run, f"doc_id {kind}, part int, fp long, fp2 long, wide binary")
+    rows = narrow.mapInArrow(run, f"doc_id {kind}, part int, said binary, fp long, fp2 long, wide binary")
     return rows.withColumn("node", F.xxhash64("fp", "fp2", "wide"))
 
 
+def _texts(docs: DataFrame, text_col: str, *more: Column) -> DataFrame:
+    text = text_or_empty(text_col)
+    said = F.unhex(F.sha2(text, 256)).alias("said")
+    return docs.select(*more, F.spark_partition_id().alias("part"), said, F.encode(text, "UTF-8").alias("text"))
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int, text_col: str) -> DataFrame:
+    """node, shingles (sorted distinct hashes of 64 bits) of the nodes in ``wanted`` (node, said): whole texts, read once more.
+
+    Texts that are wanted stay where they are if the list of their hashes is small, and else meet it by (part, hash)."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            sets = []
+            for x in batch.column("text"):
+                found = [np.unique(h) for h in shingle_hashes(x.as_buffer().to_pybytes(), words)]
+                sets.append((np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.uint64)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    texts = _texts(docs, text_col)
+    pairs = texts.select("part", "said").groupBy("part", "said").agg(F.lit(1).alias("one")).drop("one").join(wanted, "said")
+    met = texts.join(small_side(pairs, "wanted-texts"), ["part", "said"])
+    return met.select("node", "text").mapInArrow(run, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+
+def alike_pairs(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """a, b, alike: whether the exact Jaccard similarity of both nodes' sets is ``least`` or more."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            told = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                told.append(both >= least * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(told, pa.bool_())], names=["a", "b", "alike"])
+
+    rows = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    rows = rows.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    return rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, alike boolean")
+
+
 def similar_documents(
     docs: DataFrame,
     words: int = 5,
     least: float = 0.8,
-    margin: float = 0.02,
+    margin: float = 0.04,
     most: int = 6,
     group_rows: int = 4096,
     id_col: str = "doc_id",
@@ -534,21 +619,25 @@ def similar_documents(
 ) -> DataFrame:
     """One row per document: doc_id, component_id, the smallest identifier that links reach.
 
-    Documents link if their fingerprints tell a Jaccard similarity of ``least`` or more on the sets of their
-    ``words``-word shingles. Wide fingerprints of 2,048 bits tell it with a standard error of about 0.015;
-    ``margin`` is taken off so that it costs few links. Documents meet by the Gray-order index of two
-    64-bit fingerprints of their distinct words, at ``most`` differing bits of either: a light edit touches
-    ``words`` shingles but one or two words, so these lie close where those of the shingles don't.
-
-    The index runs twice: on 64-bit fingerprints alone, which finds the documents that have a neighbour,
-    and with the wide fingerprints of these. Words are cut at ASCII white space and only A-Z are
-    lower-cased; a text of fewer words is one shingle; texts without words (null ones, too) are alike.
-    Null identifiers pass through and name no component that has another. Texts of the same sets are
-    one entry of the index. An empty table gives an empty result; other columns are not read.
+    Documents link if the exact Jaccard similarity of the sets of their ``words``-word shingles is ``least`` or more and
+    they meet as candidates. Candidates meet by the Gray-order index of two 64-bit fingerprints of their distinct words,
+    at ``most`` differing bits of either: a light edit touches ``words`` shingles but one or two words, so these lie close
+    where those of the shingles don't. Of these, wide fingerprints of 2,048 bits tell the similarity with a standard
+    error of about 0.015, and pairs that they put more than ``margin`` below ``least`` are left out.
+
+    The index runs on 64-bit fingerprints alone first, which finds the documents that have a neighbour. Then it runs in
+    rounds with the wide fingerprints of these: each gives pairs that join components, one at most for every node of a group,
+    which are verified by the sets of both texts; true ones join, false ones are not asked for again, and rounds go
+    on among the components of the last one's pairs until there is no pair left.
+
+    Words are cut at ASCII white space and only A-Z are lower-cased; a text of fewer words is one shingle; texts
+    without words (null ones, too) are alike. Null identifiers pass through and name no component that has
+    another. Texts of the same sets are one entry of the index. An empty table gives an empty result; other
+    columns are not read.
     """
     rows = stash(wide_fingerprints(docs, words, id_col, text_col), "wide-fingerprints")
     distinct = rows.groupBy("node").agg(
-        F.min("doc_id").alias("least"), *(F.min(c).alias(c) for c in ("fp", "fp2")), F.min("wide").alias("wide")
+        F.min("doc_id").alias("least"), *(F.min(c).alias(c) for c in ("fp", "fp2", "wide", "said"))
     )
     distinct = stash(distinct, "distinct-fingerprints")
     either = ["fp", "fp2"]
@@ -557,15 +646,36 @@ def similar_documents(
     seen = stash(seen.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-nodes")
     held = stash(distinct.join(seen, "node", "left_semi"), "near-fingerprints")
     forget(seen)
-    limit = wide_distance(least - margin)
-    links = [similar_links(held.select("node", F.col(c).alias("fp"), "wide"), most, group_rows, limit) for c in either]
-    named = component_names(distinct, links[0].unionByName(links[1]))
-    forget(held)
+    sets = stash(shingle_sets(docs, held.select("node", "said"), words, text_col), "shingle-sets")
+    held = held.select("node", "fp", "fp2", "wide", F.col("node").alias("comp"), F.array().cast("array<long>").alias("no"))
+    limit, joined = wide_distance(least - margin), None
+    while True:
+        found = [similar_links(held.select("node", F.col(c).alias("fp"), "comp", "no", "wide"), most, group_rows, limit) for c in either]
+        found = found[0].unionByName(found[1]).where("a <> b")
+        pairs = stash(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
+        if pairs.isEmpty():
+            break
+        judged = stash(alike_pairs(pairs, sets, least), "judged-pairs")
+        good = judged.where("alike").select("a", "b")
+        joined = good if joined is None else joined.unionByName(good)
+        stars = stash(components(joined), "near-stars")
+        bad = judged.where("not alike")
+        bad = bad.select(F.col("a").alias("node"), F.col("b").alias("x")).unionByName(bad.select(F.col("b").alias("node"), F.col("a").alias("x")))
+        bad = bad.groupBy("node").agg(F.collect_list("x").alias("more"))  # partners of one round
+        # A pair that another one hid joins components of this round's pairs: all their nodes are asked again.
+        touched = held.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("comp").distinct()
+        left = held.join(small_side(touched, "touched"), "comp", "left_semi")
+        left = left.drop("comp").join(stars, "node", "left").join(bad, "node", "left")
+        no = F.concat("no", F.coalesce("more", F.array().cast("array<long>"))).alias("no")
+        held = stash(left.select("node", "fp", "fp2", "wide", F.coalesce("root", "node").alias("comp"), no), "near-fingerprints")
+    none = distinct.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    named = component_names(distinct, none if joined is None else joined)
+    forget(sets)
     return spread_lookup(rows.select("doc_id", "part", "node"), named, ["node"], "part").select("doc_id", "component_id")
 
 
 def keep_named(docs: DataFrame, ruled: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without those whose component has a smaller identifier; own columns.
+    """The rows of ``docs`` without those whose component has a smaller identifier; own columns, whatever their names.
 
     ``ruled`` is a stashed table of doc_id and component_id.
     Of a component one row stays: the one whose identifier is the component's. A row without identifier
@@ -573,19 +683,20 @@ def keep_named(docs: DataFrame, ruled: DataFrame, id_col: str = "doc_id", text_c
     for each different text. Only narrow rows of dropped identifiers meet the texts: they are broadcast up
     to a measured size, and else merged by identifier, which has no hot key.
     """
-    name = F.col("doc_id").alias("_gone")
+    name = F.col("doc_id").alias("gone")
     # An identifier stays if one of its rows is the component's.
     stay = ruled.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count()
     again = stash(stay.where("count > 1").select(name), "repeated")
     gone = ruled.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(name).distinct()
-    gone = gone.join(stay.select(F.col("doc_id").alias("_stays")), F.col("_gone").eqNullSafe(F.col("_stays")), "left_anti")
-    match = F.col(id_col).eqNullSafe(F.col("_gone"))
-    kept = docs.join(small_side(gone, "gone"), match, "left_anti")
+    gone = gone.join(stay.select(F.col("doc_id").alias("stays")), F.col("gone").eqNullSafe(F.col("stays")), "left_anti")
+    rows = one_column(docs)  # no column of the caller's can clash with one of ours
+    match = F.col("row")[id_col].eqNullSafe(F.col("gone"))
+    kept = rows.join(small_side(gone, "gone"), match, "left_anti")
     if again.isEmpty():
-        return kept
-    one = kept.join(again, match, "left_semi").withColumn("_text", text_or_empty(text_col))
-    one = one.dropDuplicates([id_col, "_text"]).select(*docs.columns)
-    return kept.join(again, match, "left_anti").unionByName(one)
+        return own_columns(kept, docs)
+    one = kept.join(again, match, "left_semi").withColumns({"own_id": F.col("row")[id_col], "own_text": F.coalesce(F.col("row")[text_col].cast("string"), F.lit(""))})
+    one = one.dropDuplicates(["own_id", "own_text"]).select("row")
+    return own_columns(kept.join(again, match, "left_anti").unionByName(one), docs)
 
 
 def drop_near_duplicates(
