@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 import unicodedata
 from collections.abc import Sequence
 from functools import lru_cache
@@ -269,3 +270,8 @@ def portable_hash(*parts: Column | str) -> Column:
 def unit_hash(*parts: Column | str) -> Column:
     """portable_hash as a number in [0, 1)."""
     return portable_hash(*parts).cast("double") / F.lit(float(1 << 48))
+
+
+def new_name() -> str:
+    """A name that nothing else has."""
+    return uuid.uuid4().hex

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import time
 from functools import reduce
 from pathlib import Path
@@ -51,7 +50,7 @@ class Run:
         return f"{self.base}/{name}"
 
     def table(self, name: str) -> DataFrame | None:
-        return self.spark.read.parquet(self.path(name)) if sinks.exists(self.spark, self.path(f"{name}/_SUCCESS")) else None
+        return sinks.read_parquet(self.spark, self.path(name))
 
     def keep(self, name: str, build) -> DataFrame:
         """The table of that name, built and written if it isn't there yet."""
@@ -140,21 +139,25 @@ class Run:
 
         return self.keep("items_with_languages", build)
 
+    def shares(self) -> dict[str, float]:
+        s = self.config["split"]
+        return labels.split_shares(float(s.get("validation_size", 0.15)), float(s.get("test_size", 0.15)), float(s.get("calibration_size", 0.0)))
+
     def splits(self) -> DataFrame:
         source = self.with_languages()
-        s = self.config["split"]
-        shares = labels.split_shares(float(s.get("validation_size", 0.15)), float(s.get("test_size", 0.15)), float(s.get("calibration_size", 0.0)))
+        s, shares = self.config["split"], self.shares()
         manifest = self.keep(
             "split_manifest",
             lambda: labels.split_items(source, shares, self.seed, int(s.get("max_tries", 20)), group_column="content_group")[0].select("handle", "split"),
         )
         frozen = labels.restore_split(source, manifest)
         context = {"seed": self.seed, "split_fingerprint": labels.split_fingerprint(frozen), "split_sizes": {r.split: r.n for r in labels.split_sizes(frozen).collect()}}
-        place = self.folder / "context.json"
-        if place.exists():  # a resumed run has to go on with the split that it began with
-            runs.validate_shared_context([json.loads(place.read_text(encoding="utf-8")), context])
+        before = sinks.read_state(self.spark, self.path("state/context"))
+        if before is not None:  # a resumed run has to go on with the split that it began with
+            runs.validate_shared_context([before, context])
         else:
-            sinks.write_json(context, place)
+            sinks.write_state(self.spark, self.path("state/context"), context)
+        sinks.write_json(before or context, self.folder / "context.json")
         return frozen
 
     def reports(self, prepared: DataFrame) -> None:
@@ -163,7 +166,7 @@ class Run:
             ("label_statistics", labels.label_support(prepared).orderBy(F.desc("support"), "label")),
             ("label_pair_statistics", labels.label_pairs(prepared)),
             ("text_statistics", labels.text_statistics(prepared, ["abstract", "keywords", "fulltext"])),
-            ("label_coverage_by_split", labels.coverage(prepared)),
+            ("label_coverage_by_split", labels.coverage(prepared, tuple(self.shares()))),
             ("exact_content_duplicate_groups", items.duplicate_groups(prepared)),
             ("language_by_subject", labels.labels_by_language(prepared, "abstract_detected_language")),
             ("fulltext_coverage", items.fulltext_coverage(prepared)),
@@ -288,15 +291,16 @@ class Run:
     def test_rows(self, prepared: DataFrame, key: tuple[str, str, str, str]) -> tuple[DataFrame, Any]:
         """Test predictions of a configuration, fitted on training items alone and kept, and its thresholds."""
         name = "test_predictions/" + file_name(key)
-        place = self.folder / f"thresholds_{file_name(key)}.json"
-        found = self.table(name)
-        if found is None or not place.exists():
+        place = self.path(f"state/thresholds/{file_name(key)}")  # beside the tables: another driver goes on with them
+        found, told = self.table(name), sinks.read_state(self.spark, place)
+        if found is None or told is None:
             rows, kind = self.fit(prepared, key, "test")
             tuned = self.threshold(rows, kind, "test")
             told = {r.label: r.threshold for r in tuned.collect()} if isinstance(tuned, DataFrame) else {"": float(tuned)}  # one row a label
-            sinks.write_json(told, place)
+            sinks.write_state(self.spark, place, told)
             found = self.keep(name, lambda: scores.apply_thresholds(rows.where("split = 'test'"), tuned))
-        return found, json.loads(place.read_text(encoding="utf-8"))
+        sinks.write_json(told, self.folder / f"thresholds_{file_name(key)}.json")
+        return found, told
 
     def finalize(self, prepared: DataFrame, results: DataFrame) -> DataFrame:
         """The validation winner on test items, then each family's best one beside it, with their reports."""
