@@ -72,7 +72,10 @@ def fit_one_vs_rest(features: DataFrame, indicator: DataFrame, name: str = "logr
     The rows are stored as blocks once and read once an iteration, whatever the number of labels."""
     classifier = create_classifier(name, **settings)
     data = linear.training_data(features, indicator, key, weight)
-    found = classifier.fit(data)
+    try:
+        found = classifier.fit(data)
+    finally:
+        data.close()
     one_class = (data.positives == 0) | (data.positives == data.n)
     constant = np.where(data.positives > 0, 1.0, -1.0) * (1.0 if classifier.kind == "linear_svc" else 1000.0)  # a probability of 0 or 1
     found.weights[one_class, :-1], found.weights[one_class, -1] = 0.0, constant[one_class]

@@ -23,8 +23,8 @@ from ..sources.scratch import keep
 
 #: Rows and stored values of a block at most (one row at least).
 BLOCK_ROWS, BLOCK_VALUES = 4096, 1 << 20
-#: Products of values and labels that are held together.
-PRODUCTS = 1 << 21
+#: Rows that are scored together.
+SCORED = 512
 #: Partial results that are added up by one task, the numbers in a piece of one, and those that come to the driver at a
 #: time (or one result, if that is larger).
 FAN, PIECE, DRIVER = 32, 1 << 17, 1 << 23
@@ -50,22 +50,14 @@ class Block:
         """Rows x labels, for weights labels x (features + 1), the bias last."""
         if self.x is not None:
             return self.x @ w[:, :-1].T + w[:, -1]
-        out = np.zeros((len(self), len(w)))
-        mine = np.ascontiguousarray(w[:, self.columns].T)
-        for a, b in self.spans(len(w)):
-            some = np.flatnonzero(np.diff(self.start[a : b + 1])) + a  # rows with values
-            if len(some):
-                s, e = self.start[a], self.start[b]
-                out[some] = np.add.reduceat(mine[self.at[s:e]] * self.values[s:e, None], self.start[some] - s, axis=0)
-        return out + w[:, -1]
-
-    def spans(self, labels: int) -> Iterator[tuple[int, int]]:
-        """Stretches of rows whose values times labels are few."""
-        a, most = 0, max(1, PRODUCTS // max(1, labels))
-        while a < len(self):
-            b = max(a + 1, int(np.searchsorted(self.start, self.start[a] + most, side="right")) - 1)
-            yield a, b
-            a = b
+        row, out = self.row(), np.empty((len(self), len(w)))
+        for k in range(len(w)):
+            out[:, k] = np.bincount(row, weights=self.values * w[k, self.columns][self.at], minlength=len(self)) + w[k, -1]
+        return out
+
+    def row(self) -> np.ndarray:
+        """The row of every stored value."""
+        return np.repeat(np.arange(len(self)), np.diff(self.start))
 
     def add_gradient(self, into: np.ndarray, r: np.ndarray) -> None:
         """Adds r.T @ rows to labels x (features + 1)."""
@@ -73,7 +65,7 @@ class Block:
         if self.x is not None:
             into[:, :-1] += r.T @ self.x
             return
-        row = np.repeat(np.arange(len(self)), np.diff(self.start))
+        row = self.row()
         for k in range(r.shape[1]):
             into[k, self.columns] += np.bincount(self.at, weights=self.values * r[row, k], minlength=len(self.columns))
 
@@ -133,6 +125,9 @@ class Data:
     n: int
     positives: np.ndarray
 
+    def close(self) -> None:
+        self.blocks.unpersist()
+
 
 def training_data(features: DataFrame, truth: DataFrame, key: str = "handle", weight: str | None = None) -> Data:
     """Blocks of (key, features) with the labels of (key, label, y); items without a row in either are left out.
@@ -162,7 +157,8 @@ def training_data(features: DataFrame, truth: DataFrame, key: str = "handle", we
         if held:
             yield pa.RecordBatch.from_pylist([_rows_to_block(held, width, n_labels)], schema=schema)
 
-    blocks = keep(rows.drop("size").mapInArrow(run, BLOCKS), "training-blocks")
+    # Stored, and held by the executors as far as they have room: every pass reads them.
+    blocks = keep(rows.drop("size").mapInArrow(run, BLOCKS), "training-blocks").persist()
     counts = {r.label: r.pos for r in truth.where("y = 1").join(features.select(key), key).groupBy("label").agg(F.count("*").alias("pos")).collect()}
     n = blocks.agg(F.sum("n")).first()[0] or 0
     return Data(blocks, names, width, n, np.array([counts.get(x, 0) for x in names], dtype=np.float64))
@@ -222,9 +218,10 @@ def tree_sum(data: DataFrame, f: Callable[[Iterator[dict]], np.ndarray], size: i
         dealt = parts.withColumn("task", (F.col("task") / fan).cast("int")).repartition("piece", "task").sortWithinPartitions("piece", "task")
         parts = dealt.mapInArrow(_to_arrow(_added, SUMS), SUMS)
     out = np.zeros(size)
-    for r in parts.collect():  # DRIVER numbers, or one result
-        v = np.frombuffer(bytes(r.data), dtype="<f8")
-        out[r.piece * PIECE : r.piece * PIECE + len(v)] += v
+    held = parts.select("piece", "data").toArrow()  # DRIVER numbers, or one result
+    for piece, v in zip(held.column("piece").to_pylist(), held.column("data")):
+        v = np.frombuffer(v.as_buffer(), dtype="<f8")
+        out[piece * PIECE : piece * PIECE + len(v)] += v
     return out
 
 
@@ -263,6 +260,25 @@ def losses_and_gradients(data: Data, w: np.ndarray, which: np.ndarray, loss: str
     return out[:, -1], out[:, :-1]
 
 
+def column_squares(data: Data) -> np.ndarray:
+    """Sums of the features' squares over all rows, the bias last. One pass."""
+    width = data.width
+
+    def run(rows):
+        total, seen = np.zeros(width + 1), False
+        for row in rows:
+            b, seen = _block(row, len(labels)), True
+            if b.x is not None:
+                total[:-1] += (np.square(b.x) * b.weight[:, None]).sum(axis=0)
+            else:
+                total[b.columns] += np.bincount(b.at, weights=np.square(b.values) * b.weight[b.row()], minlength=len(b.columns))
+            total[-1] += b.weight.sum()
+        return total if seen else None
+
+    labels = data.labels
+    return tree_sum(data.blocks, run, width + 1)
+
+
 @dataclass
 class Fit:
     """Weights labels x (features + 1), the bias last; iterations and whether each label met its tolerance; passes over the rows."""
@@ -286,8 +302,10 @@ def minimise(data: Data, loss: str, c: float = 1.0, tol: float = 1e-4, max_iter:
         f, g = losses_and_gradients(data, w, which, loss)
         return c * f + 0.5 * np.square(w).sum(axis=1), c * g + w
 
+    # Features differ much in scale: the first guess of the curvature is its diagonal where all scores are zero.
+    first = 1 / (1 + c * (0.25 if loss == "logreg" else 2.0) * column_squares(data))
     f, g = value(w, everyone)
-    passes = 1
+    passes = 2
     rare = np.maximum(1, np.minimum(data.positives, data.n - data.positives)) / max(1, data.n)
     enough = tol * rare * np.linalg.norm(g, axis=1)
     steps, iterations = [], np.zeros(n_labels, dtype=np.int64)  # pairs of steps and changes of gradients, oldest first
@@ -299,11 +317,10 @@ def minimise(data: Data, loss: str, c: float = 1.0, tol: float = 1e-4, max_iter:
             a = rho * np.einsum("ij,ij->i", s, direction)
             direction -= a[:, None] * y
             alphas.append(a)
+        direction *= first
         if steps:
             s, y, rho = steps[-1]
-            direction *= np.where(rho > 0, np.divide(1, rho * np.square(y).sum(axis=1), where=rho > 0, out=np.ones(n_labels)), 1)[:, None]
-        else:
-            direction /= np.maximum(1, np.linalg.norm(g, axis=1))[:, None]
+            direction *= np.divide(1, rho * (np.square(y) * first).sum(axis=1), where=rho > 0, out=np.ones(n_labels))[:, None]
         for (s, y, rho), a in zip(steps, reversed(alphas)):
             direction += (a - rho * np.einsum("ij,ij->i", y, direction))[:, None] * s
         direction = -direction
@@ -405,10 +422,8 @@ def score_rows(features: DataFrame, weights: np.ndarray, labels: list[str], prob
         w = shared.value
         for batch in batches if labels else ():
             rows = list(zip(*(batch.column(c).to_pylist() for c in ("indices", "values"))))
-            step = max(1, PRODUCTS // max(1, w.size if any(i is None for i, _ in rows) else 1))
-            step = min(len(rows) or 1, max(64, min(BLOCK_ROWS, step)))
-            for s in range(0, len(rows), step):
-                part = rows[s : s + step]
+            for s in range(0, len(rows), SCORED):
+                part = rows[s : s + SCORED]
                 b = _block(_rows_to_block([(i, v, [], 1.0) for i, v in part], w.shape[1] - 1, 1), 1)
                 z = b.scores(w).ravel()
                 z = 1 / (1 + np.exp(-np.clip(z, -700, 700))) if probabilities else z
