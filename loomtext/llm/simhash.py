@@ -115,9 +115,11 @@ def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def joining(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of the pairs, one after the other, those that join two components: pairs x 2."""
+def joining(label: np.ndarray, a: np.ndarray, b: np.ndarray, more: int = 0) -> np.ndarray:
+    """Of the pairs, one after the other, those that join two components, and those of rows with fewer than ``more``
+    pairs: pairs x 2."""
     up: dict[int, int] = {}
+    held: dict[int, int] = {}
 
     def root(x: int) -> int:
         while x in up:
@@ -125,10 +127,12 @@ def joining(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return x
 
     kept = []
-    for i, (x, y) in enumerate(zip(label[a].tolist(), label[b].tolist(), strict=True)):
+    for i, (x, y, p, q) in enumerate(zip(label[a].tolist(), label[b].tolist(), a.tolist(), b.tolist(), strict=True)):
         x, y = root(x), root(y)
-        if x != y:
-            up[max(x, y)] = min(x, y)
+        if x != y or max(held.get(p, 0), held.get(q, 0)) < more:
+            if x != y:
+                up[max(x, y)] = min(x, y)
+            held[p], held[q] = held.get(p, 0) + 1, held.get(q, 0) + 1
             kept.append(i)
     return np.c_[a[kept], b[kept]]
 
@@ -155,10 +159,11 @@ class GrayTree:
             group = group[first]
         self.kids = [(s, np.r_[s[1:], n]) for s, n in zip(starts, [len(x[0]) for x in self.levels[:-1]], strict=True)]
 
-    def links(self, most: int, accept: Callable | None = None, label: np.ndarray | None = None, pairs: list | None = None) -> np.ndarray:
+    def links(self, most: int, accept: Callable | None = None, label: np.ndarray | None = None, pairs: list | None = None, more: int = 0) -> np.ndarray:
         """Labels of the components at ``most`` differing bits or fewer; ``accept`` (rows a, rows b) may refuse links.
 
-        ``label`` are components that are known before; ``pairs`` takes in the accepted pairs that join two of them."""
+        ``label`` are components that are known before; ``pairs`` takes in the accepted pairs that
+        join two of them, and of those found together with them up to ``more`` a row."""
         label = np.arange(len(self.levels[0][0])) if label is None else label
         top = len(self.levels) - 1
         every = np.arange(len(self.levels[top][0]))
@@ -181,7 +186,7 @@ class GrayTree:
                         good = accept(a, b)
                         a, b = a[good], b[good]
                         if pairs is not None:
-                            pairs.append(joining(label, a, b))
+                            pairs.append(joining(label, a, b, more))
                     label = unite(label, a, b)
                     continue
                 a, b, least, shared = a[near], b[near], least[near], shared[near]
@@ -235,7 +240,7 @@ def group_links(key: np.ndarray, fp: np.ndarray, most: int, node: np.ndarray | N
     return node[linked], node[label[linked]]
 
 
-def group_pairs(key: np.ndarray, fp: np.ndarray, most: int, node: np.ndarray, comp: np.ndarray, no: list, wide: np.ndarray, most_wide: int) -> tuple[np.ndarray, np.ndarray]:
+def group_pairs(key: np.ndarray, fp: np.ndarray, most: int, node: np.ndarray, comp: np.ndarray, no: list, wide: np.ndarray, most_wide: int, more: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of nodes that share a key, at ``most`` differing bits and ``most_wide`` wide ones, which join components.
 
     ``comp`` are the components so far; pairs of a node with one of its ``no`` (a list of nodes) aren't asked for."""
@@ -257,7 +262,7 @@ def group_pairs(key: np.ndarray, fp: np.ndarray, most: int, node: np.ndarray, co
         return near
 
     pairs: list[np.ndarray] = []
-    GrayTree(key, fp).links(most, accept, first[back], pairs)
+    GrayTree(key, fp).links(most, accept, first[back], pairs, more)
     found = np.concatenate([np.zeros((0, 2), dtype=np.int64), *pairs])
     return node[found[:, 0]], node[found[:, 1]]
 
@@ -284,7 +289,7 @@ def _gray_order(fp: Column) -> Column:
     return fp
 
 
-def _grouped_links(rows: DataFrame, keys: list[str], most: int, most_wide: int | None, chunk: int | None = None) -> DataFrame:
+def _grouped_links(rows: DataFrame, keys: list[str], most: int, most_wide: int | None, chunk: int | None = None, extra: int = 0) -> DataFrame:
     """Links among rows that share the keys; partitions hold whole groups, sorted. With ``chunk``, groups are cut
     into runs of that many rows, of which each begins with the last one's last row."""
     import pyarrow as pa
@@ -309,7 +314,7 @@ def _grouped_links(rows: DataFrame, keys: list[str], most: int, most_wide: int |
             group = np.cumsum(np.r_[True, (group[place][1:] != group[place][:-1]) | ~first[1:]])
             node, fp, more = node[place], fp[place], [x[place] for x in more]
         if more:
-            a, b = group_pairs(group, fp.view(np.uint64), most, node, *more, most_wide)
+            a, b = group_pairs(group, fp.view(np.uint64), most, node, *more, most_wide, extra)
         else:
             a, b = group_links(group, fp.view(np.uint64), most, node)
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b)], names=["a", "b"])
@@ -344,7 +349,7 @@ def _grouped_links(rows: DataFrame, keys: list[str], most: int, most_wide: int |
     return dealt.select(*carried).mapInArrow(run, "a long, b long")
 
 
-def _crowded_links(rows: DataFrame, most: int, group_rows: int, most_wide: int | None) -> DataFrame:
+def _crowded_links(rows: DataFrame, most: int, group_rows: int, most_wide: int | None, extra: int = 0) -> DataFrame:
     """Links among groups (path, value) beyond ``group_rows`` rows, which dealing by bits no longer parts.
 
     Runs of neighbours in Gray order link first. Then the rows outside their group's largest component
@@ -352,7 +357,7 @@ def _crowded_links(rows: DataFrame, most: int, group_rows: int, most_wide: int |
     Work grows with the rows and with the strays times the rows, so a crowd of linked copies costs little.
     """
     rows = stash(rows, "crowded")
-    first = stash(_grouped_links(rows, ["path", "value"], most, most_wide, group_rows), "crowded-links")
+    first = stash(_grouped_links(rows, ["path", "value"], most, most_wide, group_rows, extra), "crowded-links")
     known = rows.select(F.col("node").alias("a"), F.col("comp").alias("b")).distinct() if most_wide is not None else first.limit(0)
     stars = stash(components(first.unionByName(known)), "crowded-stars").withColumnRenamed("root", "own")
     rooted = rows.join(stars, "node", "left").withColumn("own", F.coalesce("own", "node"))
@@ -374,14 +379,15 @@ def _crowded_links(rows: DataFrame, most: int, group_rows: int, most_wide: int |
     names = [*rows.columns, "i", "j"]
     # A stray that meets itself in its own tile is one row too many, no more.
     both = as_rows.select(*names).unionByName(strays.select(*names))
-    return first.unionByName(_grouped_links(both, ["path", "value", "i", "j"], most, most_wide))
+    return first.unionByName(_grouped_links(both, ["path", "value", "i", "j"], most, most_wide, extra=extra))
 
 
-def similar_links(distinct: DataFrame, most: int = 3, group_rows: int = 8192, most_wide: int | None = None) -> DataFrame:
+def similar_links(distinct: DataFrame, most: int = 3, group_rows: int = 8192, most_wide: int | None = None, extra: int = 0) -> DataFrame:
     """Links (a, b) between the nodes of ``distinct`` (columns node, fp): their components are those of all
     pairs at ``most`` differing bits or fewer. Every link is such a chain; none of the pairs is missing.
     With ``most_wide``, the column ``wide`` has to be that close as well, and pairs that join components come instead:
-    ``comp`` are those so far, and the nodes in the list ``no`` are left out as a node's partners."""
+    ``comp`` are those so far, and the nodes in the list ``no`` are left out as a node's partners. ``extra`` is how many pairs
+    a node may give beyond these, so that what is left comes to its end in fewer rounds."""
     carried = ["node", "fp", *(["comp", "no", "wide"] if most_wide is not None else [])]
     paths = {0: list(range(BITS))}  # each path of blocks leaves these bits free
     rows = distinct.select(F.lit(0).alias("path"), F.lit(0).cast("long").alias("value"), *carried)
@@ -411,14 +417,14 @@ def similar_links(distinct: DataFrame, most: int = 3, group_rows: int = 8192, mo
         )
         sizes = stash(rows.groupBy("path", "value").count().where(F.col("count") > group_rows), "large-groups")
         none = sizes.isEmpty()
-        found = _grouped_links(rows if none else rows.join(sizes, ["path", "value"], "left_anti"), ["path", "value"], most, most_wide)
+        found = _grouped_links(rows if none else rows.join(sizes, ["path", "value"], "left_anti"), ["path", "value"], most, most_wide, extra=extra)
         links = found if links is None else links.unionByName(found)
         if none:
             return links
         rows = rows.join(sizes.select("path", "value"), ["path", "value"], "left_semi")
         used = {r.path for r in sizes.select("path").distinct().collect()}  # at most the number of paths
         paths = {p: f for p, f in deeper.items() if p in used}
-    return links.unionByName(_crowded_links(rows, most, group_rows, most_wide))
+    return links.unionByName(_crowded_links(rows, most, group_rows, most_wide, extra))
 
 
 def components(links: DataFrame, salts: int = 64) -> DataFrame:
@@ -648,9 +654,10 @@ def similar_documents(
     forget(seen)
     sets = stash(shingle_sets(docs, held.select("node", "said"), words, text_col), "shingle-sets")
     held = held.select("node", "fp", "fp2", "wide", F.col("node").alias("comp"), F.array().cast("array<long>").alias("no"))
-    limit, joined = wide_distance(least - margin), None
+    limit, joined, extra = wide_distance(least - margin), None, 0
     while True:
-        found = [similar_links(held.select("node", F.col(c).alias("fp"), "comp", "no", "wide"), most, group_rows, limit) for c in either]
+        found = [similar_links(held.select("node", F.col(c).alias("fp"), "comp", "no", "wide"), most, group_rows, limit, extra) for c in either]
+        extra = 4 * extra or 2  # most nodes are settled by the first rounds; the rest give more pairs each time
         found = found[0].unionByName(found[1]).where("a <> b")
         pairs = stash(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
         if pairs.isEmpty():
