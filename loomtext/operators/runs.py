@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.config import leaves
+from .percentiles import exact_percentiles
 
 
 def seed_aggregate(runs: DataFrame, by: Sequence[str], metrics: Sequence[str]) -> DataFrame:
@@ -70,7 +71,13 @@ def exposure(documents: DataFrame) -> DataFrame:
     share = lambda a, b: F.try_divide(F.lit(100.0) * F.sum(a), F.sum(b))
     fraction = F.coalesce(F.try_divide(F.col("observed").cast("double"), F.col("source").cast("double")), F.lit(0.0))
     n = lambda c: F.sum(c.cast("long"))
-    return documents.rollup("split").agg(
+    kind = documents.schema["split"].dataType.simpleString()
+    of_split = exact_percentiles(documents.withColumn("fraction", fraction), "fraction", [0.5], "split")
+    of_all = exact_percentiles(documents.withColumn("fraction", fraction), "fraction", [0.5])
+    medians = [(g, 0, q[0]) for g, q in of_split.items()] + [(None, 1, q[0]) for q in of_all.values()]
+    medians = documents.sparkSession.createDataFrame(medians, f"s {kind}, whole int, document_fraction_median double")
+    found = documents.rollup("split").agg(
+        F.grouping("split").cast("int").alias("total"),
         F.count("*").alias("n_documents"),
         F.sum("original").alias("original_characters"),
         F.sum("source").alias("capped_characters"),
@@ -84,12 +91,13 @@ def exposure(documents: DataFrame) -> DataFrame:
         F.percentile("chunks", F.lit(0.95)).alias("chunks_p95"),
         F.max("chunks").alias("chunks_max"),
         F.avg(fraction).alias("document_fraction_mean"),
-        F.percentile(fraction, F.lit(0.5)).alias("document_fraction_median"),
         n(F.col("units") > 1).alias("documents_with_multiple_units"),
         n(F.col("observed") == F.col("source")).alias("fully_exposed_documents"),
         n(F.col("original") > F.col("source")).alias("truncated_documents"),
         n(F.col("total_tokens") == 0).alias("tokenless_documents"),
     )
+    same = found["split"].eqNullSafe(medians["s"]) & (found["total"] == medians["whole"])
+    return found.join(F.broadcast(medians), same, "left").drop("s", "whole", "total")  # a row a split
 
 
 def scaling_estimate(runs: DataFrame, documents: str = "documents", seconds: str = "seconds") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import keep
+from .percentiles import exact_percentiles
 
 #: Thresholds that are tried for probabilities, and for the heads' scores of fine-tuned models.
 PROBABILITY_CANDIDATES = [round(0.05 * i, 2) for i in range(1, 20)]
@@ -53,7 +54,7 @@ def candidate_thresholds(scores: DataFrame, score_kind: str) -> list[float]:
     if score_kind == "probabilities":
         return PROBABILITY_CANDIDATES
     at = [0.02 + 0.02 * i for i in range(49)]
-    found = scores.agg(F.percentile("score", F.array(*map(F.lit, at))).alias("q")).first()["q"] or []
+    found = exact_percentiles(scores, "score", at).get(None, [])
     return sorted({0.0, *found})
 
 

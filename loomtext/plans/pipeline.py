@@ -10,11 +10,15 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import classify, dense, items, labels, language, runs, scores, vectorize
+from ..operators import classify, dense, head, items, labels, language, runs, scores, vectorize
 from ..sources import readers, sinks
 from ..sources.scratch import scratch_dir
 
 RESULT = "preprocessing string, feature_set string, representation string, classifier string, f1_macro double, f1_micro double, score_kind string, split_fingerprint string"
+HISTORY = (
+    "epoch int, train_loss double, validation_f1_macro double, validation_f1_micro double, validation_average_precision_macro double, learning_rate double, "
+    "improved boolean, best_epoch int, best_validation_f1_macro double"
+)
 #: Stages that end before the test items are looked at.
 DENSE_STAGES = ("sbert", "labse")
 
@@ -40,7 +44,8 @@ class Run:
         shared = own.get("table_dir")
         if not shared and not spark.sparkContext.master.startswith("local"):
             shared = f"{scratch_dir(spark)}/runs"
-        self.base = f"{shared.rstrip('/')}/{self.folder.name}" if shared else f"file://{self.folder.resolve()}"
+        # Tables and state of a named run are found again by a driver whose own folder is empty.
+        self.base = f"{shared.rstrip('/')}/{own.get('run_id') or self.folder.name}" if shared else f"file://{self.folder.resolve()}"
         self.timings: list[tuple[str, float]] = []
         sinks.write_json({k: v for k, v in config.items() if not k.startswith("_")}, self.folder / "config.json")
         sinks.write_json(sinks.environment(), self.folder / "environment.json")
@@ -86,10 +91,13 @@ class Run:
                 sampled = labels.restore_cohort(kept, frozen)
             else:
                 sampled = labels.stratified_sample(kept, self.config.get("sampling", {}).get("target_n"), self.seed)
+            self.keep("sampled_handles", lambda: sampled.select("handle"))
             return items.content_groups(readers.attach_fulltext(self.spark, data, sampled, found))
 
         self.report("target_schema_report", items.target_schema_report(metadata, targets))
-        return self.keep("items", build)
+        out = self.keep("items", build)
+        self.report("fulltext_missing_handles", self.table("sampled_handles").join(out.select("handle"), "handle", "left_anti").orderBy("handle"))
+        return out
 
     def with_languages(self) -> DataFrame:
         source = self.items()
@@ -286,8 +294,38 @@ class Run:
             row = (*key, float(m.f1_macro), float(m.f1_micro), kind, fingerprint)
             self.spark.createDataFrame([row], RESULT).coalesce(1).write.mode("append").parquet(path)
             self.timings.append(("|".join(key), time.time() - began))
+        told = [t for key in self.candidates(kinds) if (t := self.table("convergence/" + file_name(key))) is not None]
+        if told:
+            self.report("classifier_convergence", reduce(DataFrame.unionByName, told).orderBy(*names, "label"))
         return done()
 
+    def finetune(self, prepared: DataFrame) -> DataFrame:
+        """A trained head for each model of the finetuning section, over its encoder's unit vectors: results on the
+        validation items and every epoch's rows. A head that was interrupted goes on; test items are not looked at."""
+        own = self.config.get("finetuning", {})
+        fingerprint, truth, rows = labels.split_fingerprint(prepared), labels.indicator(prepared), []
+        units = dense.weighted_units(prepared, own.get("feature_set", "abstract+keywords+fulltext"), self.config["features"].get("field_weights"))
+        units = units.withColumn("text_hash", F.sha2("text", 256))
+        settings = head.Settings.of({"seed": self.seed, **own})
+        settings.minimum_label_support = int(self.config.get("thresholds", {}).get("minimum_label_support", 20))
+        for name in own.get("models", {}):
+            if name not in self.encoders:
+                raise ValueError(f"the run was given no encoder for {name}")
+            began = time.time()
+            vectors = self.keep(f"vectors/{name}", lambda: dense.encode_texts(units, self.encoders[name]))  # noqa: B023
+            chunks = units.join(vectors, "text_hash").select("handle", F.concat_ws("|", "handle", "unit_idx").alias("id"), "vector", "weight")
+            chunks = self.keep(f"chunks/{name}", lambda: chunks)  # noqa: B023
+            found = head.train(chunks, truth, prepared.select("handle", "split"), settings, self.path(f"state/heads/{name}"), fingerprint)
+            self.report(f"epoch_history_{name}", self.spark.createDataFrame(found.history, HISTORY))
+            sinks.write_state(self.spark, self.path(f"state/thresholds/{name}"), found.thresholds)
+            m = found.metrics
+            rows.append((name, found.epoch, settings.max_epochs, settings.early_stopping, float(m["f1_macro"]), float(m["f1_micro"]), m["average_precision_macro"]))
+            self.timings.append((f"finetune|{name}", time.time() - began))
+        kind = "model string, selected_epoch int, max_epochs int, early_stopping_enabled boolean, f1_macro double, f1_micro double, average_precision_macro double"
+        out = self.spark.createDataFrame(rows, kind).orderBy(F.desc("f1_macro"), "model")
+        self.report("results_validation_finetuned", out)
+        return out
+
     def test_rows(self, prepared: DataFrame, key: tuple[str, str, str, str]) -> tuple[DataFrame, Any]:
         """Test predictions of a configuration, fitted on training items alone and kept, and its thresholds."""
         name = "test_predictions/" + file_name(key)
@@ -369,9 +407,9 @@ class Run:
         return comparative.select("selection_roles", "family", "representation", "classifier", "validation_f1_macro", "f1_macro", "f1_micro")
 
     def run(self, stage: str = "all") -> DataFrame:
-        """prepare stops after the reports; sparse, sbert and labse after their part of the grid; finalize needs
-        the whole grid and goes to the test results; all does everything."""
-        if stage not in ("prepare", "sparse", *DENSE_STAGES, "finalize", "all"):
+        """prepare stops after the reports; sparse, sbert and labse after their part of the grid; finetune trains the heads;
+        finalize needs the whole grid and goes to the test results; all does everything but the heads."""
+        if stage not in ("prepare", "sparse", *DENSE_STAGES, "finetune", "finalize", "all"):
             raise ValueError(f"unknown stage: {stage}")
         beat = runs.Heartbeat(self.folder / "timing_sessions.json", stage, float(self.config["experiment"].get("heartbeat_seconds", 60)))
         try:
@@ -382,6 +420,8 @@ class Run:
         self.timings.append(("total", beat.stop()))
         self.report("timing", self.spark.createDataFrame(self.timings, "stage string, seconds double"))
         if stage in ("finalize", "all"):
+            observed = self.spark.createDataFrame([(self.table("items").count(), self.timings[-1][1])], "documents long, seconds double")
+            self.report("scaling_estimate", runs.scaling_estimate(observed))
             files = sinks.manifest(self.spark, self.path("reports")).where(F.col("path").endswith(".csv"))
             sinks.write_csv(files, self.path("reports_manifest"))
             sinks.mark(self.folder, sinks.DONE)
@@ -393,6 +433,8 @@ class Run:
             self.reports(prepared)
         if stage == "prepare":
             return prepared
+        if stage == "finetune":
+            return self.finetune(prepared)
         if stage == "finalize":
             return self.finalize(prepared, self.grid(prepared, ()))
         results = self.grid(prepared, {"sparse": classify.SPARSE, "all": None}.get(stage, (stage,)))

@@ -55,7 +55,7 @@ def test_run_and_resume(spark, tmp_path):
     names = (
         "per_label_test multilabel_confusion_matrices language_performance results_test_comparative per_label_test_comparative paired_bootstrap_vs_global "
         "language_agreement_summary fulltext_coverage text_unit_statistics abstract_language_ground_truth_per_language selected_test_models_frozen "
-        "embedding_coverage_sbert_full_document_abstract_fulltext timing"
+        "embedding_coverage_sbert_full_document_abstract_fulltext timing classifier_convergence scaling_estimate"
     ).split()
     assert all(report(n).count() > 0 for n in names)
     assert len(list((run.folder / "reports" / "charts").iterdir())) == 7 and report("charts/test_metrics_overview").count() == 12
@@ -76,6 +76,29 @@ def test_run_and_resume(spark, tmp_path):
     assert other.folder != run.folder and other.with_languages().count() == 120
 
 
+def test_another_driver_goes_on(spark, tmp_path):
+    """State lies beside the tables: a driver with an empty folder keeps to the split and trains on from the head's state."""
+    corpus = readers.synthetic_corpus(spark, 80)
+    sinks.write_csv(corpus.withColumn("fulltext", F.concat("fulltext", "handle")), f"file://{tmp_path}/meta")
+    config = settings(tmp_path)
+    del config["language"]["abstract_ground_truth_csv"]
+    config["split"] |= {"calibration_size": 0.2, "max_tries": 1}
+    config["experiment"] |= {"table_dir": f"file://{tmp_path}/tables", "run_id": "r1"}
+    config["finetuning"] = {"models": {"sbert_finetuned": "hash"}, "max_epochs": 1, "batch_size": 64, "learning_rate": 0.05}
+    encoders = {"sbert_finetuned": dense.hashing_encoder(8)}
+    first = Run(spark, config, encoders=encoders)
+    prepared = first.splits()
+    told = first.finetune(prepared).first()
+    assert told.model == "sbert_finetuned" and told.selected_epoch == 1
+    config["experiment"]["output_dir"] = str(tmp_path / "other")
+    second = Run(spark, config, encoders=encoders)
+    assert second.base == first.base and second.folder != first.folder
+    assert sinks.read_state(spark, second.path("state/thresholds/sbert_finetuned")) and second.finetune(second.splits()).first().f1_macro == told.f1_macro
+    sinks.write_state(spark, second.path("state/context"), {"seed": 42, "split_fingerprint": "x", "split_sizes": {}})
+    with pytest.raises(ValueError):
+        second.splits()
+
+
 def test_heartbeat_counts_interrupted_sessions(tmp_path):
     place = tmp_path / "t.json"
     first = runs.Heartbeat(place, "a", 0.01)
