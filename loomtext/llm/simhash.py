@@ -240,17 +240,25 @@ def group_links(key: np.ndarray, fp: np.ndarray, most: int, node: np.ndarray | N
     return node[linked], node[label[linked]]
 
 
-def group_pairs(key: np.ndarray, fp: np.ndarray, most: int, node: np.ndarray, comp: np.ndarray, no: list, wide: np.ndarray, most_wide: int, more: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def group_pairs(key: np.ndarray, fp: np.ndarray, most: int, node: np.ndarray, yes: list, no: list, wide: np.ndarray, most_wide: int, more: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of nodes that share a key, at ``most`` differing bits and ``most_wide`` wide ones, which join components.
 
-    ``comp`` are the components so far; pairs of a node with one of its ``no`` (a list of nodes) aren't asked for."""
+    A node and its ``yes`` (a list of nodes) are joined before; pairs with one of its ``no`` aren't asked for."""
     none = np.zeros(0, dtype=np.int64)
     if not len(fp):
         return none, none
     order = np.lexsort((gray_rank(fp), key))
-    key, fp, node, comp, wide = key[order], fp[order], node[order], comp[order], wide[order]
-    no = {i: frozenset(no[j]) for i, j in enumerate(order.tolist()) if no[j] is not None and len(no[j])}
-    _, first, back = np.unique(comp, return_index=True, return_inverse=True)
+    key, fp, node, wide = key[order], fp[order], node[order], wide[order]
+    lists = lambda x: {i: frozenset(x[j]) for i, j in enumerate(order.tolist()) if x[j] is not None and len(x[j])}
+    yes, no = lists(yes), lists(no)
+    at: dict[int, list[int]] = {}
+    for i, x in enumerate(node.tolist()):
+        at.setdefault(x, []).append(i)
+    known = [(rows[0], j) for rows in at.values() for j in rows[1:]] + [(i, at[x][0]) for i, of in yes.items() for x in of if x in at]
+    label = np.arange(len(node))
+    if known:
+        known = np.array(known, dtype=np.int64)
+        label = unite(label, known[:, 0], known[:, 1])
     steps = lambda a: [slice(i, i + 8192) for i in range(0, len(a), 8192)]
 
     def accept(a, b):
@@ -262,7 +270,7 @@ def group_pairs(key: np.ndarray, fp: np.ndarray, most: int, node: np.ndarray, co
         return near
 
     pairs: list[np.ndarray] = []
-    GrayTree(key, fp).links(most, accept, first[back], pairs, more)
+    GrayTree(key, fp).links(most, accept, label, pairs, more)
     found = np.concatenate([np.zeros((0, 2), dtype=np.int64), *pairs])
     return node[found[:, 0]], node[found[:, 1]]
 
@@ -297,10 +305,10 @@ def _grouped_links(rows: DataFrame, keys: list[str], most: int, most_wide: int |
     def arrays(batch):
         out = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "fp")]
         if most_wide is not None:
-            no = np.empty(batch.num_rows, dtype=object)
-            no[:] = batch.column("no").to_pylist()
+            yes, no = (np.empty(batch.num_rows, dtype=object) for _ in range(2))
+            yes[:], no[:] = (batch.column(c).to_pylist() for c in ("yes", "no"))
             wide = np.frombuffer(b"".join(batch.column("wide").to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1)
-            out += [batch.column("comp").to_numpy(zero_copy_only=False), no, wide]
+            out += [yes, no, wide]
         return tuple(out)
 
     def found(key, node, fp, *more):
@@ -339,7 +347,7 @@ def _grouped_links(rows: DataFrame, keys: list[str], most: int, most_wide: int |
         if held:
             yield found(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    carried = ["key", "node", "fp", *(["comp", "no", "wide"] if most_wide is not None else [])]
+    carried = ["key", "node", "fp", *(["yes", "no", "wide"] if most_wide is not None else [])]
     keyed = rows.withColumn("key", F.xxhash64(*keys))  # two groups of one key are but one larger group
     if chunk:
         keyed = keyed.withColumn("at", _gray_order(F.col("fp")))
@@ -358,7 +366,7 @@ def _crowded_links(rows: DataFrame, most: int, group_rows: int, most_wide: int |
     """
     rows = stash(rows, "crowded")
     first = stash(_grouped_links(rows, ["path", "value"], most, most_wide, group_rows, extra), "crowded-links")
-    known = rows.select(F.col("node").alias("a"), F.col("comp").alias("b")).distinct() if most_wide is not None else first.limit(0)
+    known = rows.select(F.col("node").alias("a"), F.explode("yes").alias("b")).distinct() if most_wide is not None else first.limit(0)
     stars = stash(components(first.unionByName(known)), "crowded-stars").withColumnRenamed("root", "own")
     rooted = rows.join(stars, "node", "left").withColumn("own", F.coalesce("own", "node"))
     rooted = stash(rooted.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(64))), "crowded-rooted")
@@ -386,11 +394,13 @@ def similar_links(distinct: DataFrame, most: int = 3, group_rows: int = 8192, mo
     """Links (a, b) between the nodes of ``distinct`` (columns node, fp): their components are those of all
     pairs at ``most`` differing bits or fewer. Every link is such a chain; none of the pairs is missing.
     With ``most_wide``, the column ``wide`` has to be that close as well, and pairs that join components come instead:
-    ``comp`` are those so far, and the nodes in the list ``no`` are left out as a node's partners. ``extra`` is how many pairs
+    those of the list ``yes`` are a node's links so far, and those of ``no`` are left out as its partners. ``extra`` is how many pairs
     a node may give beyond these, so that what is left comes to its end in fewer rounds."""
-    carried = ["node", "fp", *(["comp", "no", "wide"] if most_wide is not None else [])]
-    paths = {0: list(range(BITS))}  # each path of blocks leaves these bits free
-    rows = distinct.select(F.lit(0).alias("path"), F.lit(0).cast("long").alias("value"), *carried)
+    carried = ["node", "fp", *(["yes", "no", "wide"] if most_wide is not None else [])]
+    # Each path of blocks leaves these bits free; with a column ``side`` (0 or 1) two indexes run at once.
+    paths = {0: list(range(BITS))} | ({-1: list(range(BITS))} if "side" in distinct.columns else {})
+    start = -F.col("side") if "side" in distinct.columns else F.lit(0)
+    rows = distinct.select(start.cast("int").alias("path"), F.lit(0).cast("long").alias("value"), *carried)
     links, next_path = None, 1
     for level in range(1, LEVELS + 1):
         dealt, deeper = [], {}
@@ -619,7 +629,7 @@ def similar_documents(
     least: float = 0.8,
     margin: float = 0.04,
     most: int = 6,
-    group_rows: int = 4096,
+    group_rows: int = 8192,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -632,9 +642,9 @@ def similar_documents(
     error of about 0.015, and pairs that they put more than ``margin`` below ``least`` are left out.
 
     The index runs on 64-bit fingerprints alone first, which finds the documents that have a neighbour. Then it runs in
-    rounds with the wide fingerprints of these: each gives pairs that join components, one at most for every node of a group,
-    which are verified by the sets of both texts; true ones join, false ones are not asked for again, and rounds go
-    on among the components of the last one's pairs until there is no pair left.
+    rounds with the wide fingerprints of these: each gives pairs that join a group's components, and a few more a
+    node, which are verified by the sets of both texts. True ones are joined from then on, false ones are not asked for again. A
+    pair that a round leaves out is one that others had joined; so a round without a false pair is the last.
 
     Words are cut at ASCII white space and only A-Z are lower-cased; a text of fewer words is one shingle; texts
     without words (null ones, too) are alike. Null identifiers pass through and name no component that has
@@ -647,34 +657,30 @@ def similar_documents(
     )
     distinct = stash(distinct, "distinct-fingerprints")
     either = ["fp", "fp2"]
-    near = [similar_links(distinct.select("node", F.col(c).alias("fp")), most, group_rows) for c in either]
-    seen = near[0].unionByName(near[1])
-    seen = stash(seen.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-nodes")
+    both = lambda df, *more: df.select("node", *more, F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("fp")) for i, c in enumerate(("fp", "fp2"))])).alias("x")).select("node", *more, "x.*")
+    seen = stash(similar_links(both(distinct), most, group_rows).select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-nodes")
     held = stash(distinct.join(seen, "node", "left_semi"), "near-fingerprints")
     forget(seen)
     sets = stash(shingle_sets(docs, held.select("node", "said"), words, text_col), "shingle-sets")
-    held = held.select("node", "fp", "fp2", "wide", F.col("node").alias("comp"), F.array().cast("array<long>").alias("no"))
-    limit, joined, extra = wide_distance(least - margin), None, 0
+    nobody = F.array().cast("array<long>")
+    held = held.select("node", "fp", "fp2", "wide", nobody.alias("yes"), nobody.alias("no"))
+    limit, joined, extra = wide_distance(least - margin), None, 4
     while True:
-        found = [similar_links(held.select("node", F.col(c).alias("fp"), "comp", "no", "wide"), most, group_rows, limit, extra) for c in either]
-        extra = 4 * extra or 2  # most nodes are settled by the first rounds; the rest give more pairs each time
-        found = found[0].unionByName(found[1]).where("a <> b")
-        pairs = stash(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
-        if pairs.isEmpty():
-            break
+        found = similar_links(both(held, "wide", "yes", "no"), most, group_rows, limit, extra).where("a <> b")
+        pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         judged = stash(alike_pairs(pairs, sets, least), "judged-pairs")
+        ends = judged.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("x"), "alike"), F.struct(F.col("b").alias("node"), F.col("a").alias("x"), "alike"))).alias("e"))
+        told = ends.select("e.*").groupBy("node").agg(  # partners of one round
+            F.collect_list(F.when(F.col("alike"), F.col("x"))).alias("more_yes"), F.collect_list(F.when(~F.col("alike"), F.col("x"))).alias("more_no")
+        )
+        wrong = judged.where("not alike").isEmpty()
         good = judged.where("alike").select("a", "b")
         joined = good if joined is None else joined.unionByName(good)
-        stars = stash(components(joined), "near-stars")
-        bad = judged.where("not alike")
-        bad = bad.select(F.col("a").alias("node"), F.col("b").alias("x")).unionByName(bad.select(F.col("b").alias("node"), F.col("a").alias("x")))
-        bad = bad.groupBy("node").agg(F.collect_list("x").alias("more"))  # partners of one round
-        # A pair that another one hid joins components of this round's pairs: all their nodes are asked again.
-        touched = held.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("comp").distinct()
-        left = held.join(small_side(touched, "touched"), "comp", "left_semi")
-        left = left.drop("comp").join(stars, "node", "left").join(bad, "node", "left")
-        no = F.concat("no", F.coalesce("more", F.array().cast("array<long>"))).alias("no")
-        held = stash(left.select("node", "fp", "fp2", "wide", F.coalesce("root", "node").alias("comp"), no), "near-fingerprints")
+        if wrong:
+            break  # what pairs hid was joined by true ones
+        grown = lambda c: F.concat(c, F.coalesce(f"more_{c}", nobody)).alias(c)
+        held = stash(held.join(told, "node", "left").select("node", "fp", "fp2", "wide", grown("yes"), grown("no")), "near-fingerprints")
+        extra *= 4  # most nodes are settled by the first rounds; the rest give more pairs each time
     none = distinct.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     named = component_names(distinct, none if joined is None else joined)
     forget(sets)
