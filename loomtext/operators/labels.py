@@ -130,6 +130,76 @@ def _assign(items: DataFrame, shares: Mapping[str, float], seed: int, key: str)
     return _ordered(items, seed, key).select(key, (F.lit(last) if result is None else result.otherwise(last)).alias("split"))
 
 
+def label_order(sets: DataFrame) -> list[str]:
+    """Labels by iterative stratification: always the one that fewest unassigned items hold (ties by name), whose items are
+    assigned then. ``sets`` has labels and n (items of that very set); labels are few, sets are read once a label."""
+    order: list[str] = []
+    while True:
+        rest = sets.where(~F.arrays_overlap("labels", F.lit(order).cast("array<string>"))) if order else sets
+        held = rest.select(F.explode("labels").alias("label"), "n").groupBy("label").agg(F.sum("n").alias("n"))
+        found = held.orderBy("n", "label").first()
+        if found is None:
+            return order
+        order.append(found.label)
+
+
+def quotas(n: int, wanted: list[float]) -> list[int]:
+    """How many of n items go to each fold if every next one goes where most are still wanted (ties to the earlier fold)."""
+    one = 10**9
+    left = [round(w * one) for w in wanted]  # integers: ties are ties
+    taken = lambda level: [max(0, -((level - x) // one)) for x in left]  # noqa: E731  # steps of one that begin above the level
+    low, high = min(left) - (n + 1) * one, max(left)
+    while low < high:  # the level that folds are filled down to
+        middle = (low + high) // 2
+        if sum(taken(middle)) > n:
+            low = middle + 1
+        else:
+            high = middle
+    given = taken(high)
+    for _ in range(n - sum(given)):  # what lies on the level itself, one a fold at most
+        given[max(range(len(left)), key=lambda f: (left[f] - given[f] * one, -f))] += 1
+    return given
+
+
+def _assign_iteratively(items: DataFrame, shares: Mapping[str, float], seed: int, key: str) -> DataFrame:
+    """key, split by iterative stratification: labels in label_order, each one's items to the folds that want it most.
+
+    An item's stratum is the label at which it is assigned (a label whose items all go before has none), and its rank there goes by hash, so a round is a cut of
+    ranks; what the folds still want of every label is the state that rounds share (labels x folds). An item without
+    labels goes by the folds' shares alone."""
+    rows = items.select(key, F.array_sort(F.array_distinct("labels")).alias("labels"))
+    sets = keep(rows.groupBy("labels").agg(F.count("*").alias("n")), "label-sets")
+    order, folds = label_order(sets), list(shares)
+    place = F.lit(order).cast("array<string>")
+    stratum = F.coalesce(F.array_min(F.transform("labels", lambda x: F.nullif(F.array_position(place, x), F.lit(0)))), F.lit(len(order) + 1)).cast("int")
+    strata = rows.select(key, "labels", stratum.alias("stratum")).withColumn("h", T.portable_hash(str(seed), F.col(key)))
+    strata = strata.withColumn("range", F.shiftright("h", 38).cast("int"))  # the hash has 48 bits
+    sizes = strata.groupBy("stratum", "range").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("stratum").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows a stratum
+    sizes = sizes.select("stratum", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("below"))
+    own = F.row_number().over(Window.partitionBy("stratum", "range").orderBy("h", key))
+    ranked = keep(strata.withColumn("own", own).join(sizes, ["stratum", "range"]).select(key, "labels", "stratum", (F.col("below") + F.col("own")).alias("rank")), "ranked")
+    support = {r.label: r.n for r in sets.select(F.explode("labels").alias("label"), "n").groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    counts = {r.stratum: r.n for r in ranked.groupBy("stratum").agg(F.count("*").alias("n")).collect()}
+    wanted = {label: [n * shares[f] for f in folds] for label, n in support.items()}
+    cuts: dict[int, list[int]] = {}
+
+    def fold_of(at: list[int]) -> Column:
+        edges = [sum(at[: i + 1]) for i in range(len(at))]
+        return F.size(F.filter(F.lit(edges[:-1]).cast("array<long>"), lambda e: e < F.col("rank")))
+
+    for i, label in enumerate(order, start=1):
+        cuts[i] = quotas(counts.get(i, 0), wanted[label])
+        seen = ranked.where(F.col("stratum") == i).select(fold_of(cuts[i]).alias("fold"), F.explode("labels").alias("label")).groupBy("fold", "label").count()
+        for r in seen.collect():  # labels x folds at most
+            wanted[r.label][r.fold] -= r["count"]
+    rest = len(order) + 1
+    cuts[rest] = quotas(counts.get(rest, 0), [counts.get(rest, 0) * shares[f] for f in folds])
+    edges = items.sparkSession.createDataFrame([(i, [sum(c[: k + 1]) for k in range(len(c) - 1)]) for i, c in cuts.items()], "stratum int, edges array<long>")
+    at = F.size(F.filter("edges", lambda e: e < F.col("rank"))) + 1
+    return ranked.join(F.broadcast(edges), "stratum").select(key, F.element_at(F.lit(folds).cast("array<string>"), at.cast("int")).alias("split"))  # a row a label
+
+
 def split_shares(validation: float = 0.15, test: float = 0.15, calibration: float = 0.0) -> dict[str, float]:
     shares = {"train": 1 - validation - test - calibration, "calibration": calibration, "validation": validation, "test": test}
     return {k: v for k, v in shares.items() if v > 0}
@@ -142,12 +212,18 @@ def split_items(
     max_tries: int = 20,
     key: str = "handle",
     group_column: str | None = None,
+    method: str = "hash",
 ) -> tuple[DataFrame, int]:
     """Items with a split, and the seed that was used.
 
+    ``method`` is hash (places by hash within the stratum of an item's rarest label) or iterative (iterative stratification:
+    every label's shares are kept as near as the items allow).
+
     Seeds are tried until every label is in every split; else the seed with fewest missing stays. With a
     group column that repeats, whole groups are split by the union of their labels.
     """
+    if method not in ("hash", "iterative"):
+        raise ValueError(f"unknown split method: {method}")
     shares = dict(shares or split_shares())
     units, unit_key = items, key
     if group_column and group_column in items.columns:
@@ -158,7 +234,8 @@ def split_items(
     units = keep(units.select(unit_key, "labels"), "units")  # narrow, and read several times a try
     best = None
     for tried in range(seed, seed + max_tries):
-        assigned = keep(_assign(units, shares, tried, unit_key), "split")  # read by the count of labels and by the result
+        assign = _assign if method == "hash" else _assign_iteratively
+        assigned = keep(assign(units, shares, tried, unit_key), "split")  # read by the count of labels and by the result
         whole = items.join(assigned, unit_key)
         missing = coverage(whole, tuple(shares)).where("not present_in_all_splits").count()
         if best is None or missing < best[0]:

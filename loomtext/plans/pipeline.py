@@ -156,7 +156,7 @@ class Run:
         s, shares = self.config["split"], self.shares()
         manifest = self.keep(
             "split_manifest",
-            lambda: labels.split_items(source, shares, self.seed, int(s.get("max_tries", 20)), group_column="content_group")[0].select("handle", "split"),
+            lambda: labels.split_items(source, shares, self.seed, int(s.get("max_tries", 20)), group_column="content_group", method=s.get("method", "hash"))[0].select("handle", "split"),
         )
         frozen = labels.restore_split(source, manifest)
         context = {"seed": self.seed, "split_fingerprint": labels.split_fingerprint(frozen), "split_sizes": {r.split: r.n for r in labels.split_sizes(frozen).collect()}}
