@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import classify, dense, head, items, labels, language, runs, scores, vectorize
+from ..operators import classify, dense, head, items, labels, language, language_model, runs, scores, vectorize
 from ..sources import readers, sinks
 from ..sources.scratch import scratch_dir
 
@@ -99,10 +99,16 @@ class Run:
         self.report("fulltext_missing_handles", self.table("sampled_handles").join(out.select("handle"), "handle", "left_anti").orderBy("handle"))
         return out
 
+    def detector(self) -> language.Detector:
+        """The configured back-end; ``ngram`` is trained on the table (language, text) that ``language.ngram_training`` names."""
+        settings = self.config.get("language", {})
+        if settings.get("backend") == "ngram":
+            return language_model.fit_language_model(self.spark.read.parquet(settings["ngram_training"])).detector()
+        return language.create_detector(settings.get("backend", "heuristic"))
+
     def with_languages(self) -> DataFrame:
         source = self.items()
         settings = self.config.get("language", {})
-        detect = language.create_detector(settings.get("backend", "heuristic"))
         width = int(settings.get("fulltext_preprocessing_segment_chars", 12_000))
         share = float(settings.get("multilingual_min_character_share", 0.2))
 
@@ -113,7 +119,7 @@ class Run:
                 found = readers.prepared_dataset(self.spark, held, asked)
                 if found is not None:
                     return found
-            out = source
+            detect, out = self.detector(), source
             for field, column in (("abstract", "abstract_segments"), ("fulltext", "fulltext_documents")):
                 units = source.select("handle", F.posexplode(column).alias("pos", "text")).where(F.trim("text") != "")
                 if field == "fulltext":

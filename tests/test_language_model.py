@@ -44,3 +44,13 @@ def test_accuracy_on_held_out_documents_and_reports(spark):
     assert table.count() >= 4
     each = docs.limit(5).select(detect.each(F.array("text", F.lit(None).cast("string"))).alias("x")).collect()
     assert all(r.x[1].language == "und" for r in each)
+
+
+def test_a_run_trains_its_back_end(spark, tmp_path):
+    from loomtext.plans.pipeline import Run
+
+    place = f"file://{tmp_path}/labelled"
+    spark.createDataFrame([("es", "la casa de los libros"), ("en", "the house of the books")], "language string, text string").write.parquet(place)
+    run = Run(spark, {"experiment": {"name": "d", "output_dir": str(tmp_path / "runs")}, "language": {"backend": "ngram", "ngram_training": place}})
+    row = spark.createDataFrame([("the books",)], "text string").select(run.detector()(F.col("text")).alias("d")).first()
+    assert row.d.language == "en" and row.d.score > 0.5
