@@ -34,8 +34,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest identifier, of every component of texts at a similarity of 0.8 on five-word
-    shingles, as their fingerprints tell it. A row without identifier stays only if its component has none; rows
+    """One document, that of the smallest identifier, of every component of texts at a Jaccard similarity of 0.8 on five-word
+    shingles; fingerprints find the pairs, the texts' whole sets verify them. A row without identifier stays only if its component has none; rows
     that repeat a staying identifier stay once for each text. Texts without words are alike."""
     return drop_near_duplicates(docs)
 
