@@ -679,7 +679,9 @@ def similar_documents(
         if wrong:
             break  # what pairs hid was joined by true ones
         grown = lambda c: F.concat(c, F.coalesce(f"more_{c}", nobody)).alias(c)
-        held = stash(held.join(told, "node", "left").select("node", "fp", "fp2", "wide", grown("yes"), grown("no")), "near-fingerprints")
+        # A node without a link that gave no pair has none left: whatever joins it to another would have come.
+        left = held.join(told, "node", "left").where(F.col("more_yes").isNotNull() | (F.size("yes") > 0))
+        held = stash(left.select("node", "fp", "fp2", "wide", grown("yes"), grown("no")), "near-fingerprints")
         extra *= 4  # most nodes are settled by the first rounds; the rest give more pairs each time
     none = distinct.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     named = component_names(distinct, none if joined is None else joined)
