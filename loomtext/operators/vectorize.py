@@ -1,13 +1,15 @@
 """Sparse features as long tables: term counts, vocabularies, TF-IDF and BM25, fitted on training items.
 
-Counts are dealt out by item before the n-grams are made: only texts move, the n-grams of an item are
-counted, weighted and summed where they are. The vocabulary alone is grouped by term, after partial sums.
+A text's n-grams are counted, weighted and summed in its own row, in Arrow batches: neither texts nor counts move.
+The vocabulary alone is grouped by term, after partial sums of a bounded number of terms a task.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,10 +35,133 @@ def terms(texts: DataFrame, key: str = "handle", text: str = "text", ngrams: tup
     return words.select(key, F.explode(F.concat(*grams)).alias("term"))
 
 
-def term_counts(texts: DataFrame, key: str = "handle", text: str = "text", **settings) -> DataFrame:
-    """key, term, tf; dealt out by key, so that sums by key need no further exchange."""
-    dealt = texts.select(key, text).repartition(key)
-    return terms(dealt, key, text, **settings).groupBy(key, "term").agg(F.count("*").alias("tf"))
+#: Weights that may be equal once rounded to nine digits lie no farther apart.
+NEAR = 1e-8
+#: Terms whose sums a task holds at most.
+HELD_TERMS = 1 << 19
+#: Rows that a task hands on at a time.
+HANDED = 1 << 16
+
+
+def _words(texts: DataFrame, key: str, text: str, lowercase: bool) -> DataFrame:
+    value = F.coalesce(F.col(text), F.lit(""))
+    return texts.select(key, F.regexp_extract_all(F.lower(value) if lowercase else value, F.lit(TERM), F.lit(0)).alias("w"))
+
+
+def _grams(batches, key: str, low: int, high: int):
+    """The key and the n-grams of every row, one row at a time."""
+    for batch in batches:
+        keys, lists = batch.column(key), batch.column("w")
+        for i in range(batch.num_rows):
+            w = lists[i].as_py()
+            grams = list(w) if low <= 1 <= high else []
+            for n in range(max(2, low), high + 1):
+                grams.extend(map(" ".join, zip(*(w[j:] for j in range(n)))))
+            yield keys[i], grams
+
+
+def _handed(rows, columns: dict):
+    """Arrow batches of about HANDED rows from (key, count, then a list for each of the other columns)."""
+    import pyarrow as pa
+
+    names, keys, times, held, n = list(columns), [], [], [[] for _ in list(columns)[1:]], 0
+
+    def batch():
+        at = pa.array(np.repeat(np.arange(len(keys)), times))
+        first = pa.array([k.as_py() for k in keys], columns[names[0]]).take(at)
+        return pa.RecordBatch.from_arrays([first, *(pa.array(h, t) for h, t in zip(held, list(columns.values())[1:], strict=True))], names=names)
+
+    for k, count, *values in rows:
+        keys.append(k)
+        times.append(count)
+        for h, v in zip(held, values, strict=True):
+            h.extend(v)
+        n += count
+        if n >= HANDED:
+            yield batch()
+            keys, times, held, n = [], [], [[] for _ in held], 0
+    if keys:
+        yield batch()
+
+
+def repeats(texts: DataFrame, key: str) -> bool:
+    """Whether a key (or null) has several rows; reads the keys alone."""
+    return not texts.select(key).groupBy(key).count().where("count > 1").isEmpty()
+
+
+def term_counts(
+    texts: DataFrame, key: str = "handle", text: str = "text", ngrams: tuple[int, int] = (1, 2), lowercase: bool = True, one_row: bool | None = None
+) -> DataFrame:
+    """key, term, tf. A row's n-grams are counted in the row; sums by key follow only where a key has several rows
+    (``one_row`` tells that none has; None: looked up)."""
+    words, kind = _words(texts, key, text, lowercase), texts.schema[key].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        def rows():
+            for k, grams in _grams(batches, key, *ngrams):
+                counted = Counter(grams)
+                yield k, len(counted), counted.keys(), counted.values()
+
+        batches = iter(batches)
+        first = next(batches, None)
+        if first is None:
+            return
+        batches = _chained(first, batches)
+        yield from _handed(rows(), {key: first.schema.field(key).type, "term": pa.string(), "tf": pa.int64()})
+
+    counts = words.mapInArrow(run, f"`{key}` {kind}, term string, tf long")
+    if one_row if one_row is not None else not repeats(texts, key):
+        return counts
+    return counts.groupBy(key, "term").agg(F.sum("tf").alias("tf"))
+
+
+def _chained(first, rest):
+    yield first
+    yield from rest
+
+
+def term_totals(
+    texts: DataFrame, key: str = "handle", text: str = "text", ngrams: tuple[int, int] = (1, 2), lowercase: bool = True, one_row: bool | None = None
+) -> DataFrame:
+    """term, df, corpus_tf over all texts. A task holds the sums of HELD_TERMS terms: when there are more, those seen once
+    are handed on (all of them, if that leaves too many). The sums go by term without a further map of partial sums."""
+    if not (one_row if one_row is not None else not repeats(texts, key)):
+        return _totals(term_counts(texts, key, text, ngrams, lowercase, False))
+
+    def run(batches):
+        import pyarrow as pa
+
+        tf, df = Counter(), Counter()
+
+        def out(terms):
+            for s in range(0, len(terms), HANDED):
+                part = terms[s : s + HANDED]
+                columns = pa.array(part, pa.string()), pa.array([df[t] for t in part], pa.int64()), pa.array([tf[t] for t in part], pa.int64())
+                yield pa.RecordBatch.from_arrays(list(columns), names=["term", "df", "corpus_tf"])
+
+        for _, grams in _grams(batches, key, *ngrams):
+            tf.update(grams)
+            df.update(set(grams))
+            if len(tf) > HELD_TERMS:
+                gone = [t for t, n in tf.items() if n == 1]
+                if len(tf) - len(gone) > HELD_TERMS // 2:
+                    gone = list(tf)
+                yield from out(gone)
+                if len(gone) == len(tf):
+                    tf, df = Counter(), Counter()
+                else:
+                    tf = Counter({t: n for t, n in tf.items() if n > 1})
+                    df = Counter({t: df[t] for t in tf})
+        yield from out(list(tf))
+
+    parts = _words(texts, key, text, lowercase).mapInArrow(run, "term string, df long, corpus_tf long")
+    return parts.repartition("term").groupBy("term").agg(F.sum("df").alias("df"), F.sum("corpus_tf").alias("corpus_tf"))
+
+
+def _totals(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("corpus_tf"))
 
 
 def vocabulary(counts: DataFrame, n_documents: int, max_features: int | None = None, min_df: int | float = 1, max_df: int | float = 1.0) -> DataFrame:
@@ -44,9 +169,12 @@ def vocabulary(counts: DataFrame, n_documents: int, max_features: int | None = N
 
     Integers are document counts, fractions shares of the documents. Ties in frequency go by term.
     """
+    return _chosen(_totals(counts), n_documents, max_features, min_df, max_df)
+
+
+def _chosen(found: DataFrame, n_documents: int, max_features: int | None, min_df: int | float, max_df: int | float) -> DataFrame:
     low = min_df if isinstance(min_df, int) else min_df * n_documents
     high = max_df if isinstance(max_df, int) else max_df * n_documents
-    found = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("corpus_tf"))
     found = found.where((F.col("df") >= F.lit(low)) & (F.col("df") <= F.lit(high)))
     return found.orderBy(F.desc("corpus_tf"), "term").limit(max_features) if max_features else found
 
@@ -86,6 +214,63 @@ class SparseModel:
         return known.select(key, "term", (tf * (self.k1 + 1) / denominator * idf).alias("weight"))
 
 
+    def transform_texts(
+        self, texts: DataFrame, key: str = "handle", text: str = "text", ngrams: tuple[int, int] = (1, 2), lowercase: bool = True, one_row: bool | None = None, top: int | None = None
+    ) -> DataFrame:
+        """transform of the texts' counts, without an exchange: a row's terms are looked up, weighted and summed in the row.
+
+        ``top`` may leave out terms that are certainly not among a row's ``top`` highest weights (those within NEAR of the
+        last of them all stay). A vocabulary beyond BROADCAST_BYTES is joined by merging, and keys with several rows are
+        summed first; ``top`` leaves out nothing then."""
+        one_row = one_row if one_row is not None else not repeats(texts, key)
+        if not one_row or self.n_bytes is None or self.n_bytes > BROADCAST_BYTES:
+            return self.transform(term_counts(texts, key, text, ngrams, lowercase, one_row), key)
+        words, kind_of_key = _words(texts, key, text, lowercase), texts.schema[key].dataType.simpleString()
+        table = self.terms.select("term", "df").toArrow()  # BROADCAST_BYTES at most
+        df = table.column("df").to_numpy().astype(np.float64)
+        if self.kind == "tfidf":
+            factor = np.log((1.0 + self.n_documents) / (1.0 + df)) + 1
+        else:
+            factor = np.log((self.n_documents - df + 0.5) / (df + 0.5) + 1)
+        shared = texts.sparkSession.sparkContext.broadcast((table.column("term").to_pylist(), factor))
+        kind, k1, b, average = self.kind, self.k1, self.b, self.average_length if self.average_length > 0 else 1.0
+
+        def run(batches):
+            import pyarrow as pa
+
+            names, factors = shared.value
+            place = {t: i for i, t in enumerate(names)}
+
+            def rows():
+                for k, grams in _grams(batches, key, *ngrams):
+                    counted = Counter(grams)
+                    known = [t for t in counted if t in place]
+                    if not known:
+                        continue
+                    tf = np.array([counted[t] for t in known], dtype=np.float64)
+                    if kind == "bow":
+                        weight = tf
+                    elif kind == "tfidf":
+                        weight = tf * factors[[place[t] for t in known]]
+                        norm = np.sqrt(np.square(weight).sum())
+                        weight = weight / norm if norm > 0 else np.zeros(len(tf))
+                    else:
+                        weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * tf.sum() / average)) * factors[[place[t] for t in known]]
+                    if top and len(known) > top:
+                        at = np.flatnonzero(weight >= np.partition(weight, -top)[-top] - NEAR)
+                        known, weight = [known[i] for i in at], weight[at]
+                    yield k, len(known), known, weight.tolist()
+
+            batches = iter(batches)
+            first = next(batches, None)
+            if first is None:
+                return
+            batches = _chained(first, batches)
+            yield from _handed(rows(), {key: first.schema.field(key).type, "term": pa.string(), "weight": pa.float64()})
+
+        return words.mapInArrow(run, f"`{key}` {kind_of_key}, term string, weight double")
+
+
 def fit(
     kind: str,
     counts: DataFrame,
@@ -97,9 +282,23 @@ def fit(
     b: float = 0.75,
 ) -> SparseModel:
     """bow, tfidf or bm25 from the training items' counts. ``n_documents`` includes items without terms."""
+    return fit_totals(kind, _totals(counts), n_documents, max_features, min_df, max_df, k1, b)
+
+
+def fit_totals(
+    kind: str,
+    totals: DataFrame,
+    n_documents: int,
+    max_features: int | None = 100_000,
+    min_df: int | float = 1,
+    max_df: int | float = 1.0,
+    k1: float = 1.5,
+    b: float = 0.75,
+) -> SparseModel:
+    """fit from the training texts' term_totals."""
     if kind not in ("bow", "tfidf", "bm25"):
         raise ValueError(f"unknown sparse representation: {kind}")
-    table = keep(vocabulary(counts, n_documents, max_features, min_df, max_df), "vocabulary")
+    table = keep(_chosen(totals, n_documents, max_features, min_df, max_df), "vocabulary")
     sums = table.agg(F.sum("corpus_tf").alias("tf"), F.sum(F.octet_length("term") + F.lit(32)).alias("bytes")).first()
     average = float(sums.tf or 0) / n_documents if n_documents else 0.0
     return SparseModel(kind, table, n_documents, average, k1, b, int(sums.bytes or 0))

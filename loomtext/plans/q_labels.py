@@ -129,9 +129,11 @@ _VOCAB = f"""{_COUNTS}, v AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS co
 
 
 def _fitted(spark: SparkSession, sf: str, kind: str):
+    """The model of all documents, and the documents' weights by it."""
     texts = _texts(spark, sf)
-    counts = vectorize.term_counts(texts)
-    return vectorize.fit(kind, counts, texts.count()), counts
+    one_row = not vectorize.repeats(texts, "handle")
+    model = vectorize.fit_totals(kind, vectorize.term_totals(texts, one_row=one_row), texts.count())
+    return model, lambda top=None: model.transform_texts(texts, one_row=one_row, top=top)
 
 
 @query(f"WITH {_VOCAB} SELECT term, df, corpus_tf FROM v")
@@ -141,8 +143,8 @@ def bow_vocab(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_VOCAB} SELECT handle, term, tf::DOUBLE AS weight FROM kc")
 def bow_counts(spark: SparkSession, sf: str) -> DataFrame:
-    model, counts = _fitted(spark, sf, "bow")
-    return model.transform(counts)
+    _, weights = _fitted(spark, sf, "bow")
+    return weights()
 
 
 @query(
@@ -150,8 +152,8 @@ def bow_counts(spark: SparkSession, sf: str) -> DataFrame:
     SELECT handle, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY handle)), 6) AS weight FROM r"""
 )
 def tfidf(spark: SparkSession, sf: str) -> DataFrame:
-    model, counts = _fitted(spark, sf, "tfidf")
-    return model.transform(counts).withColumn("weight", F.round("weight", 6))
+    _, weights = _fitted(spark, sf, "tfidf")
+    return weights().withColumn("weight", F.round("weight", 6))
 
 
 _BM25 = f"""{_VOCAB}, dl AS (SELECT handle, sum(tf)::DOUBLE AS dl FROM kc GROUP BY handle), av AS (SELECT sum(dl) / (SELECT n FROM nd) AS a FROM dl),
@@ -161,8 +163,8 @@ _BM25 = f"""{_VOCAB}, dl AS (SELECT handle, sum(tf)::DOUBLE AS dl FROM kc GROUP
 
 @query(f"WITH {_BM25} SELECT handle, term, round(weight, 6) AS weight FROM b")
 def bm25_weights(spark: SparkSession, sf: str) -> DataFrame:
-    model, counts = _fitted(spark, sf, "bm25")
-    return model.transform(counts).withColumn("weight", F.round("weight", 6))
+    _, weights = _fitted(spark, sf, "bm25")
+    return weights().withColumn("weight", F.round("weight", 6))
 
 
 @query(f"WITH {_BM25} SELECT (SELECT count(*) FROM v) AS terms, (SELECT count(*) FROM documents) AS documents, round((SELECT a FROM av), 6) AS average_length")
@@ -187,8 +189,8 @@ def bm25_train_only(spark: SparkSession, sf: str) -> DataFrame:
     """Fitted on all languages but one, applied to that one."""
     texts = _texts(spark, sf)
     train, test = texts.where("lang <> 'de'"), texts.where("lang = 'de'")
-    model = vectorize.fit("bm25", vectorize.term_counts(train, ngrams=(1, 1)), train.count(), None, min_df=2)
-    return model.transform(vectorize.term_counts(test, ngrams=(1, 1))).withColumn("weight", F.round("weight", 6))
+    model = vectorize.fit_totals("bm25", vectorize.term_totals(train, ngrams=(1, 1)), train.count(), None, min_df=2)
+    return model.transform_texts(test, ngrams=(1, 1)).withColumn("weight", F.round("weight", 6))
 
 
 @query(
@@ -198,7 +200,7 @@ def bm25_train_only(spark: SparkSession, sf: str) -> DataFrame:
 def entry_bm25_top_terms(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window
 
-    model, counts = _fitted(spark, sf, "bm25")
+    _, weights = _fitted(spark, sf, "bm25")
     order = Window.partitionBy("handle").orderBy(F.desc(F.round("weight", 9)), "term")
-    ranked = model.transform(counts).withColumn("rank", F.row_number().over(order)).where("rank <= 5")
+    ranked = weights(5).withColumn("rank", F.row_number().over(order)).where("rank <= 5")
     return ranked.withColumn("weight", F.round("weight", 6))
