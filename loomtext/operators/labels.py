@@ -74,12 +74,12 @@ def label_matrix(items: DataFrame) -> DataFrame:
     return items.select(F.explode(pair).alias("p")).groupBy(F.col("p.a").alias("label_a"), F.col("p.b").alias("label_b")).agg(F.count("*").alias("n"))
 
 
-def indicator(items: DataFrame, key: str = "handle") -> DataFrame:
-    """key, label, y for every item and every label that occurs; label names are one array on each row."""
+def indicator(items: DataFrame, key: str = "handle", others: tuple[str, ...] = ()) -> DataFrame:
+    """key, label, y for every item and every label that occurs, and the items' ``others``; label names are one array on each row."""
     names = label_support(items).agg(F.array_sort(F.collect_set("label")).alias("names"))
-    rows = items.select(key, "labels").join(F.broadcast(names), F.lit(True))  # a single row
-    return rows.select(key, F.explode("names").alias("label"), "labels").select(
-        key, "label", F.array_contains("labels", F.col("label")).cast("int").alias("y")
+    rows = items.select(key, *others, "labels").join(F.broadcast(names), F.lit(True))  # a single row
+    return rows.select(key, *others, F.explode("names").alias("label"), "labels").select(
+        key, *others, "label", F.array_contains("labels", F.col("label")).cast("int").alias("y")
     )
 
 
@@ -237,7 +237,8 @@ def split_items(
         assign = _assign if method == "hash" else _assign_iteratively
         assigned = keep(assign(units, shares, tried, unit_key), "split")  # read by the count of labels and by the result
         whole = items.join(assigned, unit_key)
-        missing = coverage(whole, tuple(shares)).where("not present_in_all_splits").count()
+        # A group has the labels of its items, so the stored units tell which labels a split has.
+        missing = coverage(units.join(assigned, unit_key), tuple(shares)).where("not present_in_all_splits").count()
         if best is None or missing < best[0]:
             best = (missing, whole, tried)
         if missing == 0:

@@ -65,11 +65,17 @@ def document_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("handle"), F.col("text").alias("fulltext"), labels.alias("labels"), "lang")
 
 
-def hash_scores(spark: SparkSession, sf_dir: str, seed: str = "score") -> DataFrame:
-    """handle, label, y, score: pseudo-scores of every order and brand by hash, higher where y is 1."""
+def hash_scores(spark: SparkSession, sf_dir: str, seed: str = "score", language: bool = False) -> DataFrame:
+    """handle, label, y, score: pseudo-scores of every order and brand by hash, higher where y is 1. The items are stored,
+    since every count of the rows reads them; ``language`` adds their orders' priority as a column of that name."""
     from ..operators.labels import indicator
+    from ..sources.scratch import keep
 
-    rows = indicator(order_items(spark, sf_dir))
+    items, others = order_items(spark, sf_dir), ()
+    if language:
+        orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("handle"), F.col("o_orderpriority").alias("language"))
+        items, others = items.join(orders, "handle"), ("language",)
+    rows = indicator(keep(items, "items"), others=others)
     return rows.withColumn("score", T.unit_hash(seed, F.col("handle"), F.col("label")) * 0.75 + F.col("y") * 0.25)
 
 

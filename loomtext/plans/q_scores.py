@@ -100,8 +100,7 @@ _LANG = "lp AS (SELECT p.*, o_orderpriority AS language FROM p JOIN orders ON o_
 
 
 def _by_language(spark: SparkSession, sf: str) -> DataFrame:
-    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("handle"), F.col("o_orderpriority").alias("language"))
-    return _pred(spark, sf).join(orders, "handle")
+    return S.apply_thresholds(hash_scores(spark, sf, language=True), 0.55)
 
 
 @query(
@@ -215,7 +214,7 @@ def paired_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     SELECT count(*) AS n, round(corr(ln(1 + s), v), 6) AS pearson_log1p_support_f1, round(corr(rs::DOUBLE, rv::DOUBLE), 6) AS spearman_support_f1 FROM r"""
 )
 def support_correlations(spark: SparkSession, sf: str) -> DataFrame:
-    found = S.correlations(S.per_label(_pred(spark, sf)))
+    found = S.correlations(S.label_f1(_pred(spark, sf)))
     return found.select("n", *[F.round(c, 6).alias(c) for c in found.columns if c != "n"])
 
 
