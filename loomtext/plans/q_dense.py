@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import classify, dense, head, labels, runs, scores, vectorize
+from ..sources.scratch import keep
 from .base import query, table
 
 
@@ -182,9 +183,9 @@ def sparse_classifier(spark: SparkSession, sf: str) -> DataFrame:
     items, _ = labels.split_items(d.select(F.col("doc_id").alias("handle"), F.array("lang").alias("labels")), {"train": 0.7, "test": 0.3}, max_tries=1)
     texts = d.select(F.col("doc_id").alias("handle"), "text")
     train = items.where("split = 'train'").select("handle")
-    counts = vectorize.term_counts(texts, ngrams=(1, 1))
-    model = vectorize.fit("bm25", counts.join(train, "handle", "left_semi"), train.count())
-    vectors = vectorize.indexed_vectors(model.transform(counts), model)
+    totals = vectorize.term_totals(texts.join(train, "handle", "left_semi"), ngrams=(1, 1))
+    model = vectorize.fit_totals("bm25", totals, train.count())
+    vectors = keep(vectorize.indexed_vectors(model.transform_texts(texts, ngrams=(1, 1)), model), "vectors")  # read by every step of the fit
     truth = labels.indicator(items)
     fitted = classify.fit_one_vs_rest(vectors.join(train, "handle", "left_semi"), truth.join(train, "handle", "left_semi"), "logreg")
     rows = fitted.scores(vectors.join(train, "handle", "left_anti")).join(truth, ["handle", "label"])

@@ -49,3 +49,20 @@ def test_weights_of_texts_are_those_of_their_counts(spark, kind, rows):
     for handle in {h for h, _ in best}:
         every = sorted((v.expected for (h, _), v in of(model.transform_texts(texts)).items() if h == handle), reverse=True)
         assert sorted((v.expected for (h, _), v in best.items() if h == handle), reverse=True)[:2] == every[:2]
+
+
+def test_classifier_reads_stored_vectors(spark, monkeypatch):
+    """Every step of a fit reads the vectors; texts are not cut into terms again."""
+    from loomtext.operators import classify
+    from loomtext.plans import q_dense
+
+    class Stop(Exception):
+        pass
+
+    def seen(features, *_, **__):
+        assert "MapInArrow" not in _plan(features)
+        raise Stop
+
+    monkeypatch.setattr(classify, "fit_one_vs_rest", seen)
+    with pytest.raises(Stop):
+        q_dense.sparse_classifier(spark, "/root/testdata/sf0.001")
