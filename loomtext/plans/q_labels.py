@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import labels, vectorize
+from ..sources.scratch import keep
 from .base import HASH, ORDER_ITEMS, document_items, order_items, query, table
 
 
@@ -94,7 +95,8 @@ _FOLD = "sha256(replace(lower(trim(regexp_replace(coalesce(text, ''), '[\\s\\x0b
 def split_group_safe(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.items import content_groups
 
-    items = content_groups(document_items(spark, sf))
+    # Narrow and stored: the split reads items and groups several times, the texts once.
+    items = keep(content_groups(document_items(spark, sf)).select("handle", "labels", "content_group"), "grouped-items")
     return labels.split_items(items, SHARES, group_column="content_group", max_tries=1)[0].select("handle", "split")
 
 
@@ -106,7 +108,7 @@ def sample_stratified(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def split_restore(spark: SparkSession, sf: str) -> DataFrame:
     """A split frozen to a manifest, restored for reordered items: the fingerprints agree."""
-    items = order_items(spark, sf)
+    items = keep(order_items(spark, sf), "items")  # read by the split, the restored split and both fingerprints
     frozen, seed = labels.split_items(items, SHARES)
     restored = labels.restore_split(items.orderBy(F.desc("handle")), frozen.select("handle", "split"))
     one, two = labels.split_fingerprint(frozen), labels.split_fingerprint(restored)
