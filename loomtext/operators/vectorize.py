@@ -6,7 +6,6 @@ The vocabulary alone is grouped by term, after partial sums of a bounded number
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,8 +36,8 @@ def terms(texts: DataFrame, key: str = "handle", text: str = "text", ngrams: tup
 
 #: Weights that may be equal once rounded to nine digits lie no farther apart.
 NEAR = 1e-8
-#: Terms whose sums a task holds at most.
-HELD_TERMS = 1 << 19
+#: Words whose n-grams a task counts at a time; a longer row is counted alone.
+HELD_TERMS = 1 << 21
 #: Rows that a task hands on at a time.
 HANDED = 1 << 16
 
@@ -48,40 +47,68 @@ def _words(texts: DataFrame, key: str, text: str, lowercase: bool) -> DataFrame:
     return texts.select(key, F.regexp_extract_all(F.lower(value) if lowercase else value, F.lit(TERM), F.lit(0)).alias("w"))
 
 
-def _grams(batches, key: str, low: int, high: int):
-    """The key and the n-grams of every row, one row at a time."""
-    for batch in batches:
-        keys, lists = batch.column(key), batch.column("w")
-        for i in range(batch.num_rows):
-            w = lists[i].as_py()
-            grams = list(w) if low <= 1 <= high else []
-            for n in range(max(2, low), high + 1):
-                grams.extend(map(" ".join, zip(*(w[j:] for j in range(n)))))
-            yield keys[i], grams
-
-
-def _handed(rows, columns: dict):
-    """Arrow batches of about HANDED rows from (key, count, then a list for each of the other columns)."""
+def _pieces(batches, held: int):
+    """The batches' rows in pieces of at most ``held`` words (or of one row), small batches put together."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    names, keys, times, held, n = list(columns), [], [], [[] for _ in list(columns)[1:]], 0
-
-    def batch():
-        at = pa.array(np.repeat(np.arange(len(keys)), times))
-        first = pa.array([k.as_py() for k in keys], columns[names[0]]).take(at)
-        return pa.RecordBatch.from_arrays([first, *(pa.array(h, t) for h, t in zip(held, list(columns.values())[1:], strict=True))], names=names)
+    rows, room = [], held
+    for batch in batches:
+        ends, start = np.cumsum(pc.list_value_length(batch.column("w")).to_numpy(zero_copy_only=False)), 0
+        while start < batch.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            stop = int(np.searchsorted(ends, before + room, "right"))
+            if stop <= start and rows:
+                yield pa.Table.from_batches(rows).combine_chunks()
+                rows, room = [], held
+                continue
+            stop = max(stop, start + 1)
+            rows.append(batch.slice(start, stop - start))
+            room, start = max(0, room - (int(ends[stop - 1]) - before)), stop
+    if rows:
+        yield pa.Table.from_batches(rows).combine_chunks()
+
+
+def _counted(lists, low: int, high: int):
+    """The distinct n-grams of a list array's rows, and arrays of row, n-gram (its place) and count in the row.
+
+    Words are numbered once, and an n-gram is the number of its first words and that of its last one, so counting sorts
+    numbers; a text is put together once for each distinct n-gram."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    coded = lists.flatten().dictionary_encode()
+    words, word, row = coded.dictionary, coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(lengths)), lengths)
+    names, gram, at = words, word, np.arange(len(word))
+    found, before = [], 0
+    for n in range(1, high + 1):
+        if n > 1:
+            fits = at + (n - 1) < len(word)
+            fits[fits] = row[at[fits] + (n - 1)] == row[at[fits]]
+            at = at[fits]
+            pair, gram = np.unique(gram[fits] * max(1, len(words)) + word[at + (n - 1)], return_inverse=True)
+            first, last = names.take(pa.array(pair // max(1, len(words)))), words.take(pa.array(pair % max(1, len(words))))
+            names = pc.binary_join_element_wise(first, last, " ")
+        if n >= low and len(at):
+            both = np.sort(row[at] * len(names) + gram)
+            starts = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
+            found.append((names, both[starts] // len(names), both[starts] % len(names) + before, np.diff(np.r_[starts, len(both)])))
+            before += len(names)
+    if not found:
+        return words.slice(0, 0), *[np.zeros(0, dtype=np.int64)] * 3
+    return pa.concat_arrays([f[0] for f in found]), *[np.concatenate([f[i] for f in found]) for i in (1, 2, 3)]
+
+
+def _handed(columns: dict):
+    """Arrow batches of HANDED rows of whole columns."""
+    import pyarrow as pa
 
-    for k, count, *values in rows:
-        keys.append(k)
-        times.append(count)
-        for h, v in zip(held, values, strict=True):
-            h.extend(v)
-        n += count
-        if n >= HANDED:
-            yield batch()
-            keys, times, held, n = [], [], [[] for _ in held], 0
-    if keys:
-        yield batch()
+    whole = pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+    for start in range(0, whole.num_rows, HANDED):
+        yield whole.slice(start, HANDED)
 
 
 def repeats(texts: DataFrame, key: str) -> bool:
@@ -94,22 +121,14 @@ def term_counts(
 ) -> DataFrame:
     """key, term, tf. A row's n-grams are counted in the row; sums by key follow only where a key has several rows
     (``one_row`` tells that none has; None: looked up)."""
-    words, kind = _words(texts, key, text, lowercase), texts.schema[key].dataType.simpleString()
+    words, kind, held = _words(texts, key, text, lowercase), texts.schema[key].dataType.simpleString(), HELD_TERMS
 
     def run(batches):
         import pyarrow as pa
 
-        def rows():
-            for k, grams in _grams(batches, key, *ngrams):
-                counted = Counter(grams)
-                yield k, len(counted), counted.keys(), counted.values()
-
-        batches = iter(batches)
-        first = next(batches, None)
-        if first is None:
-            return
-        batches = _chained(first, batches)
-        yield from _handed(rows(), {key: first.schema.field(key).type, "term": pa.string(), "tf": pa.int64()})
+        for piece in _pieces(batches, held):
+            names, row, gram, n = _counted(piece.column("w"), *ngrams)
+            yield from _handed({key: piece.column(key).combine_chunks().take(pa.array(row)), "term": names.take(pa.array(gram)), "tf": pa.array(n)})
 
     counts = words.mapInArrow(run, f"`{key}` {kind}, term string, tf long")
     if one_row if one_row is not None else not repeats(texts, key):
@@ -117,44 +136,33 @@ def term_counts(
     return counts.groupBy(key, "term").agg(F.sum("tf").alias("tf"))
 
 
-def _chained(first, rest):
-    yield first
-    yield from rest
+def _best(row: np.ndarray, weight: np.ndarray, top: int) -> np.ndarray:
+    """Places of those that may be among their row's ``top`` highest weights."""
+    order = np.argsort(row, kind="stable")
+    starts = np.flatnonzero(np.r_[True, row[order][1:] != row[order][:-1]]) if len(row) else np.zeros(0, dtype=np.int64)
+    kept = []
+    for part in np.split(order, starts[1:]):
+        w = weight[part]
+        kept.append(part[w >= np.partition(w, -top)[-top] - NEAR] if len(part) > top else part)
+    return np.concatenate(kept)
 
 
 def term_totals(
     texts: DataFrame, key: str = "handle", text: str = "text", ngrams: tuple[int, int] = (1, 2), lowercase: bool = True, one_row: bool | None = None
 ) -> DataFrame:
-    """term, df, corpus_tf over all texts. A task holds the sums of HELD_TERMS terms: when there are more, those seen once
-    are handed on (all of them, if that leaves too many). The sums go by term without a further map of partial sums."""
+    """term, df, corpus_tf over all texts. A task hands on the sums of HELD_TERMS words at a time, which go by term without a
+    further map of partial sums."""
     if not (one_row if one_row is not None else not repeats(texts, key)):
         return _totals(term_counts(texts, key, text, ngrams, lowercase, False))
+    held = HELD_TERMS
 
     def run(batches):
         import pyarrow as pa
 
-        tf, df = Counter(), Counter()
-
-        def out(terms):
-            for s in range(0, len(terms), HANDED):
-                part = terms[s : s + HANDED]
-                columns = pa.array(part, pa.string()), pa.array([df[t] for t in part], pa.int64()), pa.array([tf[t] for t in part], pa.int64())
-                yield pa.RecordBatch.from_arrays(list(columns), names=["term", "df", "corpus_tf"])
-
-        for _, grams in _grams(batches, key, *ngrams):
-            tf.update(grams)
-            df.update(set(grams))
-            if len(tf) > HELD_TERMS:
-                gone = [t for t, n in tf.items() if n == 1]
-                if len(tf) - len(gone) > HELD_TERMS // 2:
-                    gone = list(tf)
-                yield from out(gone)
-                if len(gone) == len(tf):
-                    tf, df = Counter(), Counter()
-                else:
-                    tf = Counter({t: n for t, n in tf.items() if n > 1})
-                    df = Counter({t: df[t] for t in tf})
-        yield from out(list(tf))
+        for piece in _pieces(batches, held):
+            names, _, gram, n = _counted(piece.column("w"), *ngrams)
+            df, tf = np.bincount(gram, minlength=len(names)), np.bincount(gram, n, len(names)).astype(np.int64)
+            yield from _handed({"term": names, "df": pa.array(df), "corpus_tf": pa.array(tf)})
 
     parts = _words(texts, key, text, lowercase).mapInArrow(run, "term string, df long, corpus_tf long")
     return parts.repartition("term").groupBy("term").agg(F.sum("df").alias("df"), F.sum("corpus_tf").alias("corpus_tf"))
@@ -232,41 +240,31 @@ class SparseModel:
             factor = np.log((1.0 + self.n_documents) / (1.0 + df)) + 1
         else:
             factor = np.log((self.n_documents - df + 0.5) / (df + 0.5) + 1)
-        shared = texts.sparkSession.sparkContext.broadcast((table.column("term").to_pylist(), factor))
-        kind, k1, b, average = self.kind, self.k1, self.b, self.average_length if self.average_length > 0 else 1.0
+        shared = texts.sparkSession.sparkContext.broadcast((table.column("term").combine_chunks(), factor))
+        kind, k1, b, average, held = self.kind, self.k1, self.b, self.average_length if self.average_length > 0 else 1.0, HELD_TERMS
 
         def run(batches):
             import pyarrow as pa
-
-            names, factors = shared.value
-            place = {t: i for i, t in enumerate(names)}
-
-            def rows():
-                for k, grams in _grams(batches, key, *ngrams):
-                    counted = Counter(grams)
-                    known = [t for t in counted if t in place]
-                    if not known:
-                        continue
-                    tf = np.array([counted[t] for t in known], dtype=np.float64)
-                    if kind == "bow":
-                        weight = tf
-                    elif kind == "tfidf":
-                        weight = tf * factors[[place[t] for t in known]]
-                        norm = np.sqrt(np.square(weight).sum())
-                        weight = weight / norm if norm > 0 else np.zeros(len(tf))
-                    else:
-                        weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * tf.sum() / average)) * factors[[place[t] for t in known]]
-                    if top and len(known) > top:
-                        at = np.flatnonzero(weight >= np.partition(weight, -top)[-top] - NEAR)
-                        known, weight = [known[i] for i in at], weight[at]
-                    yield k, len(known), known, weight.tolist()
-
-            batches = iter(batches)
-            first = next(batches, None)
-            if first is None:
-                return
-            batches = _chained(first, batches)
-            yield from _handed(rows(), {key: first.schema.field(key).type, "term": pa.string(), "weight": pa.float64()})
+            import pyarrow.compute as pc
+
+            vocabulary, factors = shared.value
+            for piece in _pieces(batches, held):
+                names, row, gram, n = _counted(piece.column("w"), *ngrams)
+                place = pc.fill_null(pc.index_in(names, vocabulary.cast(names.type)), -1).to_numpy()[gram]
+                row, place, tf = row[place >= 0], place[place >= 0], n[place >= 0].astype(np.float64)
+                of_row = lambda values: np.bincount(row, values, piece.num_rows)[row]
+                if kind == "bow":
+                    weight = tf
+                elif kind == "tfidf":
+                    weight = tf * factors[place]
+                    norm = np.sqrt(of_row(np.square(weight)))
+                    weight = np.divide(weight, norm, out=np.zeros(len(tf)), where=norm > 0)
+                else:
+                    weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * of_row(tf) / average)) * factors[place]
+                if top:
+                    best = _best(row, weight, top)
+                    row, place, weight = row[best], place[best], weight[best]
+                yield from _handed({key: piece.column(key).combine_chunks().take(pa.array(row)), "term": vocabulary.take(pa.array(place)), "weight": pa.array(weight)})
 
         return words.mapInArrow(run, f"`{key}` {kind_of_key}, term string, weight double")
 

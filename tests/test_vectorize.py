@@ -66,3 +66,25 @@ def test_classifier_reads_stored_vectors(spark, monkeypatch):
     monkeypatch.setattr(classify, "fit_one_vs_rest", seen)
     with pytest.raises(Stop):
         q_dense.sparse_classifier(spark, "/root/testdata/sf0.001")
+
+
+@pytest.mark.parametrize("ngrams", [(1, 1), (1, 2), (2, 2), (2, 3), (1, 4)])
+def test_rows_are_counted_as_arrays(ngrams):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    rows = [[], ["aa"], ["aa"] * 9, [], *[[f"w{i}" for i in rng.integers(0, 6, n)] for n in rng.integers(0, 30, 40)], []]
+    batches = [pa.RecordBatch.from_pydict({"k": list(range(a, b)), "w": pa.array(rows[a:b], pa.list_(pa.string()))}) for a, b in ((0, 3), (3, 4), (4, 45))]
+    found = {}
+    pieces = list(vectorize._pieces([b.slice(0) for b in batches], 25))
+    assert all(p.num_rows == 1 or sum(map(len, p.column("w").to_pylist())) <= 25 for p in pieces) and any(p.num_rows > 1 for p in pieces)
+    for piece in pieces:
+        names, row, gram, n = vectorize._counted(piece.column("w"), *ngrams)
+        assert len(set(names.to_pylist())) == len(names)
+        for r, g, c in zip(row.tolist(), gram.tolist(), n.tolist(), strict=True):
+            key = piece.column("k")[r].as_py(), names[g].as_py()
+            assert key not in found
+            found[key] = c
+    want = Counter((k, " ".join(w[i : i + n])) for k, w in enumerate(rows) for n in range(ngrams[0], ngrams[1] + 1) for i in range(len(w) - n + 1))
+    assert found == want
