@@ -153,68 +153,157 @@ def multilabel_metrics(rows: DataFrame, key: str = "handle", by: tuple[str, ...]
     return both.select(*[F.col(f"_g.{b}").alias(b) for b in by], *names)
 
 
-def average_precision(scores: DataFrame, by: tuple[str, ...] = ("label",), ranges: int = 64) -> DataFrame:
+#: Rows of a group that average precision sweeps in one piece, about; a larger group is cut at quantiles of its scores.
+RANGE_ROWS = 1 << 19
+#: Rows that a task sorts at a time.
+SORTED_ROWS = 1 << 19
+
+
+def average_precision(scores: DataFrame, by: tuple[str, ...] = ("label",), range_rows: int = RANGE_ROWS) -> DataFrame:
     """Sum of recall steps times precision over distinct scores downwards; groups without positives are left out.
 
-    Scores are cut into ``ranges`` at quantiles of a part of all scores, chosen by hash, and a range into ``ranges`` cells of
-    one width, its upper edge being a cell of its own. Counts of the cells come first, and give each what lies above it; a
-    cell of one score, as a frequent score's mostly is, needs no more. The rows of the others are swept cell by cell, so that
-    no group is a single task's. Any edges give the same result.
+    A group of more than ``range_rows`` rows is cut into ranges at quantiles of a part of its scores, chosen by hash. Counts
+    of the ranges come first, and give each what lies above it. A task then sorts its rows, sums those of equal scores (so
+    a frequent score is a single entry) and hands each range on as arrays, ranges without positives left out; a range's arrays
+    are merged and swept. Any edges give the same result.
     """
-    return _average_precision(keep(scores.select(*by, "score", "y"), "scores"), by, ranges)
+    return _average_precision(keep(scores.select(*by, "score", "y"), "scores"), by, range_rows)
+
+
+def _edges(rows: DataFrame, by: tuple[str, ...], range_rows: int) -> dict[tuple, np.ndarray]:
+    """The edges of each group's ranges, if it has more than one: about one for each ``range_rows`` rows of the table."""
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > range_rows)
+    most = sizes.agg(F.max("n")).first()[0]
+    if not most:
+        return {}
+    ranges = min(10_000, -(-most // range_rows))
+    large = _met(rows, sizes, by, "left_semi")
+    part = large.where(F.pmod(F.xxhash64("score"), F.lit(64)) == 0)
+    found = part.groupBy(*by).agg(F.percentile_approx(F.col("score").cast("double"), [i / ranges for i in range(1, ranges)], 10_000).alias("e"))
+    # A smaller group takes as many of them as it has ranges.
+    own = F.greatest(F.lit(2), F.least(F.lit(ranges), F.ceil(F.col("n") / range_rows)).cast("int"))
+    every = F.transform(F.sequence(F.lit(1), own - 1), lambda i: F.get("e", F.floor(i * ranges / own).cast("int") - 1))
+    told = _met(found, sizes, by).select(*by, every.alias("e")).collect()
+    return {tuple(r[c] for c in by): np.array(sorted({e for e in r.e if e is not None and math.isfinite(e)})) for r in told}
+
+
+def _met(rows: DataFrame, other: DataFrame, names: tuple[str, ...], how: str = "inner") -> DataFrame:
+    """A join by columns of which null is a value."""
+    other = other.withColumnsRenamed({c: f"_{c}" for c in names})
+    return rows.join(other, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names], how).drop(*[f"_{c}" for c in names])
+
+
+def _ranged(rows: DataFrame, by: tuple[str, ...], edges: dict[tuple, np.ndarray], lists: bool) -> DataFrame:
+    """by, range (more is higher, -1 for null) and a task's numbers of it: n and pos, or, as ``lists``, arrays of distinct
+    scores with their n and pos."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    most = SORTED_ROWS
+
+    def summed(table):
+        table = table.combine_chunks()
+        coded = [table.column(c).combine_chunks().dictionary_encode(null_encoding="encode") for c in by]
+        code, keys = coded[0].indices.to_numpy().astype(np.int64), [coded[0].dictionary]
+        for own in coded[1:]:
+            both, code = np.unique(code * len(own.dictionary) + own.indices.to_numpy(), return_inverse=True)
+            keys = [*(k.take(pa.array(both // len(own.dictionary))) for k in keys), own.dictionary.take(pa.array(both % len(own.dictionary)))]
+        groups = len(keys[0])
+        short = code.astype(np.uint16) if groups < 1 << 16 else code  # short numbers sort faster
+        gone = pc.is_null(table.column("score")).to_numpy()
+        score = np.where(gone, -np.inf, table.column("score").to_numpy())
+        y = pc.fill_null(table.column("y"), 0).to_numpy()
+        order = np.argsort(score) if lists else np.arange(len(score))
+        order = order[np.argsort(short[order], kind="stable")]
+        code, score, gone, y = code[order], score[order], gone[order], y[order]
+        place, ends = np.zeros(len(code), dtype=np.int32), np.searchsorted(code, np.arange(groups + 1))
+        for i, group in enumerate(zip(*(k.to_pylist() for k in keys), strict=True)):
+            if group in edges:
+                place[ends[i] : ends[i + 1]] = np.searchsorted(edges[group], score[ends[i] : ends[i + 1]])
+        place[gone] = -1
+        if not lists:
+            wide = int(place.max()) + 2
+            cell = code * wide + place + 1
+            both, at = np.unique(cell, return_inverse=True) if groups * wide > most else (np.arange(groups * wide), cell)
+            n, pos = np.bincount(at, minlength=len(both)), np.bincount(at, y, len(both)).astype(np.int64)
+            both, n, pos = both[n > 0], n[n > 0], pos[n > 0]
+            return keys, both // wide, both % wide - 1, (pa.array(n), pa.array(pos))
+        new = np.r_[True, (code[1:] != code[:-1]) | (place[1:] != place[:-1])]
+        starts = np.flatnonzero(new | np.r_[True, score[1:] != score[:-1]])
+        n, pos = np.diff(np.r_[starts, len(code)]).astype(np.int32), np.add.reduceat(y, starts).astype(np.int32)
+        heads = np.flatnonzero(new[starts])
+        cut = pa.array(np.r_[heads, len(starts)].astype(np.int32))
+        values = [pa.ListArray.from_arrays(cut, pa.array(v)) for v in (score[starts], n, pos)]
+        return keys, code[starts][heads], place[starts][heads], values
+
+    names = [*by, "range", *(("scores", "n", "pos") if lists else ("n", "pos"))]
+
+    def run(batches):
+        held = []
+        for batch in _and_end(batches):
+            if batch is not None:
+                held.append(batch)
+            if held and (batch is None or sum(b.num_rows for b in held) >= most):
+                table = pa.Table.from_batches(held)
+                held = []
+                if not table.num_rows:
+                    continue
+                keys, code, place, values = summed(table)
+                whole = pa.RecordBatch.from_arrays([*(k.take(pa.array(code)) for k in keys), pa.array(place.astype(np.int32)), *values], names=names)
+                # Lists of a whole group are long: a few rows at a time.
+                step = 64 if lists else 1 << 14
+                yield from (whole.slice(i, step) for i in range(0, whole.num_rows, step))
+
+    kind = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by] + ["range int"]
+    kind += ["scores array<double>", "n array<int>", "pos array<int>"] if lists else ["n long", "pos long"]
+    narrow = rows.select(*by, F.col("score").cast("double").alias("score"), F.col("y").cast("long").alias("y"))
+    return narrow.mapInArrow(run, ", ".join(kind))
 
 
-def _edges(rows: DataFrame, ranges: int) -> list[float]:
-    part = rows.where(F.pmod(F.xxhash64("score"), F.lit(ranges)) == 0)
-    found = part.agg(F.percentile_approx("score", [i / ranges for i in range(1, ranges)], 10_000).alias("e")).first()["e"] or []
-    return sorted({float(e) for e in found if math.isfinite(e)})
+def _and_end(batches):
+    yield from batches
+    yield None
 
 
-def _with_cell(rows: DataFrame, edges: list[float], ranges: int) -> DataFrame:
-    """Adds cell, more being higher, -1 for null. Below the first edge and above the last one a range is one cell."""
-    score = F.col("score")
-    if not edges:
-        return rows.withColumn("cell", F.when(score.isNull(), -1).otherwise(0))
-    # The place is a column of its own: it is long, and is used five times.
-    rows = rows.withColumn("place", sum((score > F.lit(e)).cast("int") for e in edges))  # edges below the score
-    place, known = F.col("place"), F.lit(edges).cast("array<double>")
-    rows = rows.withColumns({"from": F.get(known, place - 1), "to": F.get(known, place)})
-    share = (score / 2 - F.col("from") / 2) / (F.col("to") / 2 - F.col("from") / 2)  # halves, so that the width can't overflow
-    inside = F.when(score == F.col("to"), ranges).otherwise(F.coalesce(F.least(F.lit(ranges - 1), F.floor(share * ranges).cast("int")), F.lit(0)))
-    cell = place * (ranges + 1) + F.when(F.col("to").isNull(), 0).otherwise(inside)
-    return rows.withColumn("cell", F.when(score.isNull(), -1).otherwise(cell)).drop("place", "from", "to")
+def _swept(by: tuple[str, ...]):
+    """A range's lists merged: its share of the sum."""
 
+    def run(table):
+        import pyarrow as pa
 
-def _average_precision(rows: DataFrame, by: tuple[str, ...], ranges: int = 64, edges: list[float] | None = None) -> DataFrame:
+        flat = [table.column(c).combine_chunks().flatten().to_numpy() for c in ("scores", "n", "pos")]
+        distinct, at = np.unique(flat[0], return_inverse=True)
+        n, pos = (np.bincount(at, v, len(distinct))[::-1] for v in flat[1:])
+        pos0, n0 = table.column("pos0")[0].as_py(), table.column("n0")[0].as_py()
+        s = float((pos * (pos0 + np.cumsum(pos)) / (n0 + np.cumsum(n))).sum())
+        return pa.table({**{c: table.column(c).slice(0, 1) for c in by}, "pos": pa.array([0.0]), "s": pa.array([s])})
+
+    return run
+
+
+def _average_precision(rows: DataFrame, by: tuple[str, ...], range_rows: int = RANGE_ROWS) -> DataFrame:
     """average_precision of rows that are stored."""
-    edges = _edges(rows, ranges) if edges is None else edges
-    rows = _with_cell(rows.select(*by, "score", "y"), edges, ranges)
-    cells = rows.groupBy(*by, "cell").agg(
-        F.sum("y").cast("double").alias("pos"), F.count("*").cast("double").alias("n"), F.min("score").alias("low"), F.max("score").alias("high")
-    )
-    above = Window.partitionBy(*by).orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)  # ranges x ranges rows a group at most
-    cells = keep(
-        cells.select(*by, "cell", "pos", "n", F.coalesce(F.col("low") == F.col("high"), F.lit(True)).alias("one"), *[F.coalesce(F.sum(c).over(above), F.lit(0.0)).alias(c + "0") for c in ("pos", "n")]),
-        "score-cells",
-    )
-    whole = cells.where("one or pos = 0").select(*by, "pos", (F.col("pos") * (F.col("pos0") + F.col("pos")) / (F.col("n0") + F.col("n"))).alias("s"))
-    w = Window.partitionBy(*by, "cell").orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, Window.currentRow)  # with equal scores
-    # Spark's own size check decides on a broadcast of the cells; else both meet by what the window is dealt by.
-    steps = rows.join(cells.where("not one and pos > 0").select(*by, "cell", "pos0", "n0"), [*by, "cell"])
-    y = F.col("y").cast("double")
-    steps = steps.select(*by, y.alias("pos"), (y * (F.col("pos0") + F.sum(y).over(w)) / (F.col("n0") + F.count("*").over(w))).alias("s"))
-    found = whole.unionByName(steps).groupBy(*by).agg(F.sum("pos").alias("total"), F.sum("s").alias("s"))
+    edges = _edges(rows, by, range_rows)
+    sums = _ranged(rows, by, edges, False).groupBy(*by, "range").agg(F.sum("pos").cast("double").alias("pos"), F.sum("n").cast("double").alias("n"))
+    above = Window.partitionBy(*by).orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)  # a group's ranges
+    sums = keep(sums.select(*by, "range", "pos", *[F.coalesce(F.sum(c).over(above), F.lit(0.0)).alias(c + "0") for c in ("pos", "n")]), "score-ranges")
+    told = sums.where("pos > 0").select(*by, "range", "pos0", "n0")
+    lists = _ranged(rows, by, edges, True)
+    # Spark's own size check decides on a broadcast of the ranges; else both meet by what they are grouped by.
+    lists = _met(lists, told, (*by, "range"))
+    kind = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by] + ["pos double", "s double"])
+    steps = lists.groupBy(*by, "range").applyInArrow(_swept(by), kind)
+    found = sums.select(*by, "pos", F.lit(0.0).alias("s")).unionByName(steps).groupBy(*by).agg(F.sum("pos").alias("total"), F.sum("s").alias("s"))
     return found.where("total > 0").select(*by, (F.col("s") / F.col("total")).alias("average_precision"))
 
 
 def average_precision_summary(scores: DataFrame) -> DataFrame:
     """Micro (all pairs of labels that have positives) and macro average precision; null without positives."""
     rows = keep(scores.select("label", "score", "y"), "scores")
-    edges = _edges(rows, 64)
-    per = keep(_average_precision(rows, ("label",), edges=edges), "average-precision")
+    per = keep(_average_precision(rows, ("label",)), "average-precision")
     macro = per.agg(F.avg("average_precision").alias("average_precision_macro"))
     flat = rows.join(F.broadcast(per.select("label")), "label", "left_semi").withColumn("all", F.lit(1))  # a row a label
-    micro = _average_precision(flat, ("all",), edges=edges).agg(F.max("average_precision").alias("average_precision_micro"))
+    micro = _average_precision(flat, ("all",)).agg(F.max("average_precision").alias("average_precision_micro"))
     return macro.join(F.broadcast(micro), F.lit(True))  # one row each
 
 
