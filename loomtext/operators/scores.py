@@ -410,28 +410,41 @@ def multiplicities(keys: list[str], replicates: int, seed: int, stream: str = ""
     """keys x replicates Poisson(1) draws: every 16 bits of SHA-256(seed|stream|key|block) are one replicate's."""
     steps = (np.arange(65_536)[:, None] / 65_536 >= POISSON_STEPS).sum(axis=1).astype(np.uint8)
     blocks, lead = -(-replicates // 16), f"{seed}|{stream}|"
-    data = b"".join(hashlib.sha256(f"{lead}{key}|{i}".encode()).digest() for key in keys for i in range(blocks))
+    tails, data = [str(i).encode() for i in range(blocks)], bytearray()
+    for key in keys:
+        begun = hashlib.sha256(f"{lead}{key}|".encode())  # what an item's blocks share is read once
+        for tail in tails:
+            block = begun.copy()
+            block.update(tail)
+            data += block.digest()
     return steps[np.frombuffer(data, dtype=">u2").reshape(len(keys), blocks * 16)[:, :replicates]]
 
 
+#: Rows of draws that are summed at a time in 16 bits.
+SUMMED_ROWS = 65_535 // len(POISSON_STEPS)
+
+
 def _replicate_counts(rows: DataFrame, replicates: int, seed: int, key: str, stream: str) -> DataFrame:
     """replicate, label, tp, fp, fn under the items' multiplicities. A task keeps one row of sums a label and
     cell and hands these on; items are never gathered, nor multiplied by the replicates in an exchange."""
+    counted = rows.where("y = 1 or pred = 1").select(key, "label", "y", "pred", F.lit(0).alias("model"))
+    return _drawn_counts(counted, replicates, seed, key, (stream,)).drop("stream", "model")
+
+
+def _drawn_counts(hits: DataFrame, replicates: int, seed: int, key: str, streams: tuple[str, ...]) -> DataFrame:
+    """stream, model, replicate, label, tp, fp, fn of hits (key, label, y, pred, model from 0). An item's draw is made once
+    for all models' rows of it that come together."""
     import pyarrow as pa
 
+    names = ["stream", "model", "label", "cell", "sums"]
+
     def run(batches):
-        held: dict[tuple[str, int], np.ndarray] = {}
+        held: dict[tuple, np.ndarray] = {}
 
         def flush():
-            names = list(held)
-            out = pa.RecordBatch.from_arrays(
-                [
-                    pa.array([n[0] for n in names], pa.string()),
-                    pa.array([n[1] for n in names], pa.int32()),
-                    pa.array([held[n] for n in names], pa.list_(pa.int64())),
-                ],
-                names=["label", "cell", "sums"],
-            )
+            kinds = pa.string(), pa.int32(), pa.string(), pa.int32()
+            of = [pa.array([n[i] for n in held], kind) for i, kind in enumerate(kinds)]
+            out = pa.RecordBatch.from_arrays([*of, pa.array(list(held.values()), pa.list_(pa.int64()))], names=names)
             held.clear()
             return out
 
@@ -440,32 +453,39 @@ def _replicate_counts(rows: DataFrame, replicates: int, seed: int, key: str, str
                 part = batch.slice(start, 20_000)
                 items = part.column("item").dictionary_encode()
                 labels = part.column("label").dictionary_encode()
-                own = multiplicities(items.dictionary.to_pylist(), replicates, seed, stream)
-                code = labels.indices.to_numpy().astype(np.int64) * 3 + part.column("cell").to_numpy()
+                model = part.column("model").to_numpy().astype(np.int64)
+                code = (model * len(labels.dictionary) + labels.indices.to_numpy()) * 3 + part.column("cell").to_numpy()
                 order = np.argsort(code, kind="stable")
                 code, at = code[order], items.indices.to_numpy()[order]
                 first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, dtype=np.int64)
-                names = labels.dictionary.to_pylist()
-                for i, j in zip(first.tolist(), [*first[1:].tolist(), len(code)], strict=True):
-                    name = names[int(code[i]) // 3], int(code[i]) % 3
-                    sums = own[at[i:j]].sum(axis=0, dtype=np.int64)
-                    held[name] = held[name] + sums if name in held else sums
+                known = labels.dictionary.to_pylist()
+                for stream in streams:
+                    own = multiplicities(items.dictionary.to_pylist(), replicates, seed, stream).astype(np.uint16)
+                    for i, j in zip(first.tolist(), [*first[1:].tolist(), len(code)], strict=True):
+                        of, cell = divmod(int(code[i]), 3)
+                        of, label = divmod(of, len(known))
+                        sums = sum(own[at[k : min(j, k + SUMMED_ROWS)]].sum(axis=0, dtype=np.uint16).astype(np.int64) for k in range(i, j, SUMMED_ROWS))
+                        name = stream, of, known[label], cell
+                        held[name] = held[name] + sums if name in held else sums
                 if len(held) > HELD_CELLS:
                     yield flush()
         if held:
             yield flush()
 
     cell = F.when((F.col("y") == 1) & (F.col("pred") == 1), 0).when(F.col("pred") == 1, 1).otherwise(2)
-    narrow = rows.where("y = 1 or pred = 1").select(F.col(key).cast("string").alias("item"), F.col("label").cast("string").alias("label"), cell.alias("cell"))
-    sums = narrow.mapInArrow(run, "label string, cell int, sums array<long>").select("label", "cell", F.posexplode("sums").alias("replicate", "n"))
+    narrow = hits.select(F.col(key).cast("string").alias("item"), F.col("label").cast("string").alias("label"), cell.alias("cell"), F.col("model").cast("int").alias("model"))
+    sums = narrow.mapInArrow(run, "stream string, model int, label string, cell int, sums array<long>").select("stream", "model", "label", "cell", F.posexplode("sums").alias("replicate", "n"))
     of = lambda c: F.sum(F.when(F.col("cell") == c, F.col("n")).otherwise(0))
-    return sums.groupBy("replicate", "label").agg(of(0).alias("tp"), of(1).alias("fp"), of(2).alias("fn"))
+    return sums.groupBy("stream", "model", "replicate", "label").agg(of(0).alias("tp"), of(1).alias("fp"), of(2).alias("fn"))
 
 
-def _replicate_f1(rows: DataFrame, replicates: int, seed: int, key: str, stream: str = "") -> DataFrame:
+def _drawn_f1(counted: DataFrame, by: tuple[str, ...]) -> DataFrame:
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    per = _replicate_counts(rows, replicates, seed, key, stream)
-    return per.groupBy("replicate").agg(F.sum(f1_of(tp, fp, fn)).alias("f1_sum"), ratio(2 * F.sum(tp), F.sum(2 * tp + fp + fn)).alias("f1_micro"))
+    return counted.groupBy(*by).agg(F.sum(f1_of(tp, fp, fn)).alias("f1_sum"), ratio(2 * F.sum(tp), F.sum(2 * tp + fp + fn)).alias("f1_micro"))
+
+
+def _replicate_f1(rows: DataFrame, replicates: int, seed: int, key: str, stream: str = "") -> DataFrame:
+    return _drawn_f1(_replicate_counts(rows, replicates, seed, key, stream), ("replicate",))
 
 
 def _hits(rows: DataFrame, key: str) -> tuple[DataFrame, int, DataFrame]:
@@ -500,14 +520,19 @@ def bootstrap_intervals(rows: DataFrame, replicates: int = 1000, confidence: flo
 def paired_bootstrap(reference: DataFrame, candidate: DataFrame, replicates: int = 1000, confidence: float = 0.95, seed: int = 42, key: str = "handle") -> DataFrame:
     """Candidate minus reference: difference, interval and share of replicates above 0, on the same items.
 
-    Macro and micro draws come from streams of their own.
+    Macro and micro draws come from streams of their own. Both tables' rows of an item are brought together, so that its draw
+    of a stream is made once.
     """
     (hits_a, labels, base), (hits_b, _, seen) = _hits(reference, key), _hits(candidate, key)
     alpha, out = (1 - confidence) / 2, None
-    for metric in ("f1_macro", "f1_micro"):
+    both = hits_a.withColumn("model", F.lit(0)).unionByName(hits_b.withColumn("model", F.lit(1)))
+    both = both.repartition(key).sortWithinPartitions(key)
+    streams = ("f1_macro", "f1_micro")
+    drawn = keep(_drawn_f1(_drawn_counts(both, replicates, seed, key, streams), ("stream", "model", "replicate")), "drawn")
+    for metric in streams:
         value = F.col("f1_sum") / F.lit(float(labels)) if metric == "f1_macro" else F.col("f1_micro")
-        a = _replicate_f1(hits_a, replicates, seed, key, metric).select("replicate", value.alias("a"))
-        b = _replicate_f1(hits_b, replicates, seed, key, metric).select("replicate", value.alias("b"))
+        of = drawn.where(F.col("stream") == metric)
+        a, b = (of.where(f"model = {i}").select("replicate", value.alias(name)) for i, name in enumerate("ab"))
         d = a.join(b, "replicate", "full").select((F.coalesce("b", F.lit(0.0)) - F.coalesce("a", F.lit(0.0))).alias("d"))
         q = d.agg(
             F.percentile("d", F.lit(alpha)).alias("ci_lower"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import scores as S
+from ..sources.scratch import keep
 from .base import ORDER_ITEMS, hash_scores, query, scores_sql, table
 
 BASE = f"{ORDER_ITEMS}, {scores_sql()}, p AS (SELECT *, (score >= 0.55)::INT AS pred FROM scores)"
@@ -202,7 +203,7 @@ def _paired_sql(metric: str) -> str:
     {_paired_sql("f1_macro")} UNION ALL {_paired_sql("f1_micro")}"""
 )
 def paired_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    rows = hash_scores(spark, sf)
+    rows = keep(hash_scores(spark, sf), "scores")  # read for either side
     found = S.paired_bootstrap(S.apply_thresholds(rows, 0.7), S.apply_thresholds(rows, 0.55))
     names = ("difference_candidate_minus_global", "ci_lower", "ci_upper", "probability_candidate_better")
     return found.select("metric", *[F.round(c, 6).alias(c) for c in names])

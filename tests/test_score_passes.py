@@ -60,3 +60,23 @@ def test_ranges_of_any_size_give_the_same_precision(spark, monkeypatch, range_ro
 
 def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_an_items_draw_is_made_once_for_both_sides(spark, monkeypatch):
+    """Draws of both models and streams are those of one model and stream alone, and one pass makes them."""
+    rng = np.random.default_rng(4)
+    rows = [(i, label, int(rng.random() < 0.5), int(rng.random() < 0.5)) for i in range(60) for label in "abc"]
+    one = spark.createDataFrame(rows, "handle long, label string, y int, pred int").repartition(3)
+    two = one.withColumn("pred", 1 - one.pred)
+    asked, plain = [], scores._drawn_counts
+    monkeypatch.setattr(scores, "_drawn_counts", lambda hits, n, seed, key, streams: asked.append((hits, streams)) or plain(hits, n, seed, key, streams))
+    scores.paired_bootstrap(one, two, 40)
+    ((hits, streams),) = asked
+    assert streams == ("f1_macro", "f1_micro")
+    parts = hits.rdd.glom().map(lambda p: [r.handle for r in p]).collect()
+    assert all(p == sorted(p) for p in parts) and sum(len(set(p)) for p in parts) == len(set(sum(parts, [])))
+    found = plain(hits, 40, 42, "handle", streams).collect()
+    for model, df in enumerate((one, two)):
+        for stream in streams:
+            want = {tuple(r) for r in scores._replicate_counts(df, 40, 42, "handle", stream).select("replicate", "label", "tp", "fp", "fn").collect()}
+            assert {(r.replicate, r.label, r.tp, r.fp, r.fn) for r in found if (r.model, r.stream) == (model, stream)} == want
