@@ -162,10 +162,10 @@ SORTED_ROWS = 1 << 19
 def average_precision(scores: DataFrame, by: tuple[str, ...] = ("label",), range_rows: int = RANGE_ROWS) -> DataFrame:
     """Sum of recall steps times precision over distinct scores downwards; groups without positives are left out.
 
-    A group of more than ``range_rows`` rows is cut into ranges at quantiles of a part of its scores, chosen by hash. Counts
-    of the ranges come first, and give each what lies above it. A task then sorts its rows, sums those of equal scores (so
-    a frequent score is a single entry) and hands each range on as arrays, ranges without positives left out; a range's arrays
-    are merged and swept. Any edges give the same result.
+    A group of more than ``range_rows`` rows is cut into ranges at quantiles of a part of its scores, chosen by hash. A task
+    sorts its rows, sums those of equal scores (so a frequent score is a single entry) and stores each range as arrays; their
+    totals give each range what lies above it. Ranges without positives are left out, the arrays of others merged and swept.
+    Any edges give the same result.
     """
     return _average_precision(keep(scores.select(*by, "score", "y"), "scores"), by, range_rows)
 
@@ -193,9 +193,9 @@ def _met(rows: DataFrame, other: DataFrame, names: tuple[str, ...], how: str = "
     return rows.join(other, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names], how).drop(*[f"_{c}" for c in names])
 
 
-def _ranged(rows: DataFrame, by: tuple[str, ...], edges: dict[tuple, np.ndarray], lists: bool) -> DataFrame:
-    """by, range (more is higher, -1 for null) and a task's numbers of it: n and pos, or, as ``lists``, arrays of distinct
-    scores with their n and pos."""
+def _ranged(rows: DataFrame, by: tuple[str, ...], edges: dict[tuple, np.ndarray]) -> DataFrame:
+    """by, range (more is higher, -1 for null) and a task's part of it: all_n, all_pos and arrays of the distinct scores with
+    their n and pos."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
@@ -213,7 +213,7 @@ def _ranged(rows: DataFrame, by: tuple[str, ...], edges: dict[tuple, np.ndarray]
         gone = pc.is_null(table.column("score")).to_numpy()
         score = np.where(gone, -np.inf, table.column("score").to_numpy())
         y = pc.fill_null(table.column("y"), 0).to_numpy()
-        order = np.argsort(score) if lists else np.arange(len(score))
+        order = np.argsort(score)
         order = order[np.argsort(short[order], kind="stable")]
         code, score, gone, y = code[order], score[order], gone[order], y[order]
         place, ends = np.zeros(len(code), dtype=np.int32), np.searchsorted(code, np.arange(groups + 1))
@@ -221,22 +221,15 @@ def _ranged(rows: DataFrame, by: tuple[str, ...], edges: dict[tuple, np.ndarray]
             if group in edges:
                 place[ends[i] : ends[i + 1]] = np.searchsorted(edges[group], score[ends[i] : ends[i + 1]])
         place[gone] = -1
-        if not lists:
-            wide = int(place.max()) + 2
-            cell = code * wide + place + 1
-            both, at = np.unique(cell, return_inverse=True) if groups * wide > most else (np.arange(groups * wide), cell)
-            n, pos = np.bincount(at, minlength=len(both)), np.bincount(at, y, len(both)).astype(np.int64)
-            both, n, pos = both[n > 0], n[n > 0], pos[n > 0]
-            return keys, both // wide, both % wide - 1, (pa.array(n), pa.array(pos))
         new = np.r_[True, (code[1:] != code[:-1]) | (place[1:] != place[:-1])]
         starts = np.flatnonzero(new | np.r_[True, score[1:] != score[:-1]])
         n, pos = np.diff(np.r_[starts, len(code)]).astype(np.int32), np.add.reduceat(y, starts).astype(np.int32)
         heads = np.flatnonzero(new[starts])
         cut = pa.array(np.r_[heads, len(starts)].astype(np.int32))
-        values = [pa.ListArray.from_arrays(cut, pa.array(v)) for v in (score[starts], n, pos)]
+        values = [pa.array(np.add.reduceat(v, heads, dtype=np.int64)) for v in (n, pos)] + [pa.ListArray.from_arrays(cut, pa.array(v)) for v in (score[starts], n, pos)]
         return keys, code[starts][heads], place[starts][heads], values
 
-    names = [*by, "range", *(("scores", "n", "pos") if lists else ("n", "pos"))]
+    names = [*by, "range", "all_n", "all_pos", "scores", "n", "pos"]
 
     def run(batches):
         held = []
@@ -251,11 +244,10 @@ def _ranged(rows: DataFrame, by: tuple[str, ...], edges: dict[tuple, np.ndarray]
                 keys, code, place, values = summed(table)
                 whole = pa.RecordBatch.from_arrays([*(k.take(pa.array(code)) for k in keys), pa.array(place.astype(np.int32)), *values], names=names)
                 # Lists of a whole group are long: a few rows at a time.
-                step = 64 if lists else 1 << 14
-                yield from (whole.slice(i, step) for i in range(0, whole.num_rows, step))
+                yield from (whole.slice(i, 64) for i in range(0, whole.num_rows, 64))
 
-    kind = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by] + ["range int"]
-    kind += ["scores array<double>", "n array<int>", "pos array<int>"] if lists else ["n long", "pos long"]
+    kind = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by]
+    kind += ["range int", "all_n long", "all_pos long", "scores array<double>", "n array<int>", "pos array<int>"]
     narrow = rows.select(*by, F.col("score").cast("double").alias("score"), F.col("y").cast("long").alias("y"))
     return narrow.mapInArrow(run, ", ".join(kind))
 
@@ -284,13 +276,13 @@ def _swept(by: tuple[str, ...]):
 def _average_precision(rows: DataFrame, by: tuple[str, ...], range_rows: int = RANGE_ROWS) -> DataFrame:
     """average_precision of rows that are stored."""
     edges = _edges(rows, by, range_rows)
-    sums = _ranged(rows, by, edges, False).groupBy(*by, "range").agg(F.sum("pos").cast("double").alias("pos"), F.sum("n").cast("double").alias("n"))
+    lists = keep(_ranged(rows, by, edges), "score-lists")  # rows go through Python once
+    sums = lists.groupBy(*by, "range").agg(F.sum("all_pos").cast("double").alias("pos"), F.sum("all_n").cast("double").alias("n"))
     above = Window.partitionBy(*by).orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)  # a group's ranges
     sums = keep(sums.select(*by, "range", "pos", *[F.coalesce(F.sum(c).over(above), F.lit(0.0)).alias(c + "0") for c in ("pos", "n")]), "score-ranges")
     told = sums.where("pos > 0").select(*by, "range", "pos0", "n0")
-    lists = _ranged(rows, by, edges, True)
     # Spark's own size check decides on a broadcast of the ranges; else both meet by what they are grouped by.
-    lists = _met(lists, told, (*by, "range"))
+    lists = _met(lists.drop("all_n", "all_pos"), told, (*by, "range"))
     kind = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by] + ["pos double", "s double"])
     steps = lists.groupBy(*by, "range").applyInArrow(_swept(by), kind)
     found = sums.select(*by, "pos", F.lit(0.0).alias("s")).unionByName(steps).groupBy(*by).agg(F.sum("pos").alias("total"), F.sum("s").alias("s"))

@@ -54,7 +54,7 @@ def test_ranges_of_any_size_give_the_same_precision(spark, monkeypatch, range_ro
         if any(t for _, t in own):
             want[label] = sum(sum(u for q, u in own if q >= p) / sum(q >= p for q, _ in own) for p, t in own if t) / sum(t for _, t in own)
     assert found == {k: pytest.approx(v, abs=1e-12) for k, v in want.items()}
-    lists = scores._ranged(df, ("label",), scores._edges(df, ("label",), range_rows), True)
+    lists = scores._ranged(df, ("label",), scores._edges(df, ("label",), range_rows))
     assert "explode" not in _plan(lists) and all(sorted(set(r.scores)) == r.scores for r in lists.where("range >= 0 and label <> 'b'").collect())
 
 
