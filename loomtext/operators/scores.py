@@ -92,13 +92,16 @@ def per_label_thresholds(swept: DataFrame, fallback: float, minimum_support: int
 
 
 def calibrate(scores: DataFrame, score_kind: str, mode: str = "default", minimum_support: int = 20) -> float | DataFrame:
-    """A threshold, or a table of them, by mode: default, global_threshold, per_label_threshold."""
+    """A threshold, or a table of them, by mode: default, global_threshold, per_label_threshold. Without rows, the default."""
     if mode == "default":
         return default_threshold(score_kind)
     if mode not in ("global_threshold", "per_label_threshold"):
         raise ValueError(f"unknown threshold mode: {mode}")
     swept = sweep(scores, candidate_thresholds(scores, score_kind))
-    chosen = float(global_thresholds(swept).first()["threshold"])
+    best = global_thresholds(swept).first()
+    if best is None:
+        return default_threshold(score_kind)
+    chosen = float(best["threshold"])
     return chosen if mode == "global_threshold" else per_label_thresholds(swept, chosen, minimum_support)
 
 

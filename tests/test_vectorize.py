@@ -68,6 +68,44 @@ def test_classifier_reads_stored_vectors(spark, monkeypatch):
         q_dense.sparse_classifier(spark, "/root/testdata/sf0.001")
 
 
+def test_classifier_is_calibrated_on_items_of_its_own(spark, monkeypatch):
+    """Thresholds by label come from items that are neither fitted nor measured; these scores never reach 0.5."""
+    from pyspark.sql import functions as F
+
+    from loomtext.functions.text import unit_hash
+    from loomtext.operators import classify, scores
+    from loomtext.plans import q_dense
+
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    seen, calibrate, apply = {}, scores.calibrate, scores.apply_thresholds
+    of = lambda rows: {r.handle for r in rows.select("handle").distinct().collect()}
+
+    class Model:
+        score_kind = "probabilities"
+
+        def scores(self, features):
+            rows = features.select("handle").crossJoin(d.select(F.col("lang").alias("label")).distinct())
+            own = rows.join(d.select(F.col("doc_id").alias("handle"), "lang"), "handle")
+            return own.select("handle", "label", ((F.col("lang") == F.col("label")).cast("int") * 0.2 + unit_hash("s", F.col("handle"), F.col("label")) * 0.15).alias("score"))
+
+    def calibrated(rows, *args):
+        seen["calibration"], seen["told"] = of(rows), calibrate(rows, *args)
+        return seen["told"]
+
+    def applied(rows, thresholds):
+        seen["test"], seen["given"] = of(rows), thresholds
+        return apply(rows, thresholds)
+
+    monkeypatch.setattr(classify, "fit_one_vs_rest", lambda features, truth, name: seen.update(train=of(features) & of(truth)) or Model())
+    monkeypatch.setattr(scores, "calibrate", calibrated)
+    monkeypatch.setattr(scores, "apply_thresholds", applied)
+    found = q_dense.sparse_classifier(spark, "/root/testdata/sf0.001").first()
+    parts = [seen[s] for s in ("train", "calibration", "test")]
+    assert all(parts) and sum(map(len, parts)) == d.count() == len(set.union(*parts))
+    assert seen["given"] is seen["told"] and found.n_items == len(seen["test"]) and found.f1_micro > 0.9
+    assert calibrate(d.select("lang").limit(0).selectExpr("lang label", "0.5D score", "1 y"), "probabilities", "per_label_threshold") == 0.5
+
+
 @pytest.mark.parametrize("ngrams", [(1, 1), (1, 2), (2, 2), (2, 3), (1, 4)])
 def test_rows_are_counted_as_arrays(ngrams):
     import numpy as np
