@@ -105,11 +105,11 @@ def calibrate(scores: DataFrame, score_kind: str, mode: str = "default", minimum
     return chosen if mode == "global_threshold" else per_label_thresholds(swept, chosen, minimum_support)
 
 
-def counts(by: tuple[str, ...], rows: DataFrame, weight: Column | None = None) -> DataFrame:
+def counts(by: tuple[str, ...], rows: DataFrame, weight: Column | None = None, more: tuple[Column, ...] = ()) -> DataFrame:
     w = F.lit(1) if weight is None else weight
     y, p = F.col("y") == 1, F.col("pred") == 1
     n = lambda c: F.sum(F.when(c, w).otherwise(0))
-    return rows.groupBy(*by).agg(n(y & p).alias("tp"), n(~y & p).alias("fp"), n(y & ~p).alias("fn"), n(~y & ~p).alias("tn"))
+    return rows.groupBy(*by).agg(n(y & p).alias("tp"), n(~y & p).alias("fp"), n(y & ~p).alias("fn"), n(~y & ~p).alias("tn"), *more)
 
 
 def confusion_matrices(rows: DataFrame) -> DataFrame:
@@ -346,14 +346,49 @@ def performance_ranking(table: DataFrame) -> DataFrame:
 
 
 def by_language(rows: DataFrame, minimum_support: int = 30, key: str = "handle") -> DataFrame:
-    """Metrics of each language with at least ``minimum_support`` items (column language)."""
-    items = rows.groupBy("language").agg(F.count_distinct(key).alias("n"))
-    kept = rows.join(items.where(F.col("n") >= minimum_support).select("language"), "language", "left_semi")
-    labels = kept.groupBy("language", "label").agg(F.max("y").alias("any")).groupBy("language").agg(
-        F.sum("any").alias("evaluable_labels"), F.sum(1 - F.col("any")).alias("non_evaluable_labels")
+    """Metrics of each language with at least ``minimum_support`` items, of (key, language, label, score, y, pred)."""
+    packed = rows.groupBy(key).agg(F.collect_list(F.struct("language", "label", "score", "y", "pred")).alias("rows"))
+    return items_by_language(packed, minimum_support, key)
+
+
+def items_by_language(items: DataFrame, minimum_support: int = 30, key: str = "handle") -> DataFrame:
+    """by_language of one row an item: key and rows, the array of its (language, label, score, y, pred).
+
+    An item is ranked in its row, its rows are read once, and sums by language and label are all that is exchanged. Ties of
+    score and label rank by language.
+    """
+    ks = (3, 5)
+
+    def placed(x: Column) -> Column:
+        score = x["score"].cast("double")
+        kind = F.when(score.isNull(), 2).when(F.isnan(score), 0).otherwise(1)  # as a descending sort has them
+        return F.struct(kind.alias("kind"), F.when(kind == 1, -score).alias("down"), *[x[c].alias(c) for c in ("label", "language", "y", "pred")])
+
+    ranked = items.select(key, F.array_sort(F.transform("rows", placed)).alias("rows"))
+    each = ranked.select(key, "rows", F.explode_outer(F.array_distinct(F.transform("rows", lambda x: x["language"]))).alias("language")).where("language is not null")
+    placed_rows = F.transform("rows", lambda x, i: F.struct(x["language"].alias("language"), x["label"].alias("label"), x["y"].alias("y"), x["pred"].alias("pred"), i.alias("place")))
+    own = each.select(key, "language", F.filter(placed_rows, lambda x: x["language"] == F.col("language")).alias("own"))
+    of = lambda rows: F.aggregate(rows, F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x["y"], F.lit(0)).cast("long"))
+    hits = {k: of(F.filter("own", lambda x: x["place"] < k)).alias(f"hit_{k}") for k in ks}  # noqa: B023
+    whole = own.select(F.col(key).isNotNull().cast("long").alias("known"), "language", "own", of("own").alias("positives"), F.size("own").alias("labels"), *hits.values())
+    told = whole.select("known", "language", "positives", "labels", *[f"hit_{k}" for k in ks], F.posexplode_outer("own").alias("at", "x"))  # no array is read once a row
+    first = F.col("at") == 0  # carries what the item adds as a whole
+    values = {}
+    for k in ks:
+        values[f"precision_at_{k}"] = F.col(f"hit_{k}") / F.least(F.lit(k), F.col("labels"))
+        values[f"recall_at_{k}"] = ratio(F.col(f"hit_{k}"), F.col("positives"))
+    rows = told.select("language", "x.label", "x.y", "x.pred", first.cast("long").alias("items"), F.when(first, F.col("known")).otherwise(0).alias("known"), *[F.when(first, v).alias(c) for c, v in values.items()])
+    cells = counts(("language", "label"), rows, more=(F.max("y").alias("any"), *[F.sum(c).alias(c) for c in ("items", "known", *values)]))
+    tp, fp, fn = (F.col(c) for c in ("tp", "fp", "fn"))
+    found = cells.groupBy("language").agg(
+        F.sum("known").alias("n"),
+        F.sum("any").alias("evaluable_labels"),
+        F.sum(1 - F.col("any")).alias("non_evaluable_labels"),
+        ratio(2 * F.sum(tp), F.sum(2 * tp + fp + fn)).alias("f1_micro"),
+        F.avg(f1_of(tp, fp, fn)).alias("f1_macro"),
+        *[(F.sum(c) / F.sum("items")).alias(c) for c in values],
     )
-    main = f1_metrics(kept, ("language",)).select("language", "f1_micro", "f1_macro")
-    return items.join(labels, "language").join(main, "language").join(at_k(kept, (3, 5), key, ("language",)), "language")
+    return found.where(F.col("n") >= minimum_support)
 
 
 def substitution_errors(rows: DataFrame, key: str = "handle") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -35,20 +35,29 @@ DEALT_FROM, ONE_SPLIT = 1 << 20, 128 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder. One that fits a single split of files is dealt out to all cores (a file with one row
-    group is one task's work otherwise); larger ones are left as their files are."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder, dealt out if it is small."""
+    return dealt(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A stored table that fits a single split of files, dealt out to all cores (a file with one row group is one task's work
+    otherwise); a larger one is left as its files are."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(spark.sparkContext.defaultParallelism) if DEALT_FROM <= size <= ONE_SPLIT else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if DEALT_FROM <= size <= ONE_SPLIT else df
 
 
-def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as items, the brands of their parts as labels."""
+def order_items(spark: SparkSession, sf_dir: str, languages: bool = False) -> DataFrame:
+    """Orders as items, the brands of their parts as labels; ``languages`` adds the array of an order's priorities, one for each
+    time that it is in the table."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     rows = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-    rows = rows.join(table(spark, sf_dir, "orders").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
-    return rows.groupBy(F.col("l_orderkey").alias("handle")).agg(F.array_sort(F.collect_set("p_brand")).alias("labels"))
+    orders, how, more = table(spark, sf_dir, "orders"), "left_semi", []
+    if languages:
+        orders = orders.select("o_orderkey", F.struct(F.col("o_orderpriority").alias("language")).alias("l")).repartition("o_orderkey")  # moved as narrow rows
+        orders, how, more = orders.groupBy("o_orderkey").agg(F.collect_list("l").alias("languages")), "inner", [F.first("languages").alias("languages")]
+    rows = rows.join(orders.select("o_orderkey", *(["languages"] if languages else [])), F.col("l_orderkey") == F.col("o_orderkey"), how)
+    return rows.groupBy(F.col("l_orderkey").alias("handle")).agg(F.array_sort(F.collect_set("p_brand")).alias("labels"), *more)
 
 
 ORDER_ITEMS = """items AS (
@@ -65,18 +74,37 @@ def document_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("handle"), F.col("text").alias("fulltext"), labels.alias("labels"), "lang")
 
 
-def hash_scores(spark: SparkSession, sf_dir: str, seed: str = "score", language: bool = False) -> DataFrame:
+def hash_scores(spark: SparkSession, sf_dir: str, seed: str = "score") -> DataFrame:
     """handle, label, y, score: pseudo-scores of every order and brand by hash, higher where y is 1. The items are stored,
-    since every count of the rows reads them; ``language`` adds their orders' priority as a column of that name."""
+    since every count of the rows reads them."""
     from ..operators.labels import indicator
     from ..sources.scratch import keep
 
-    items, others = order_items(spark, sf_dir), ()
-    if language:
-        orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("handle"), F.col("o_orderpriority").alias("language"))
-        items, others = items.join(orders, "handle"), ("language",)
-    rows = indicator(keep(items, "items"), others=others)
-    return rows.withColumn("score", T.unit_hash(seed, F.col("handle"), F.col("label")) * 0.75 + F.col("y") * 0.25)
+    rows = indicator(keep(order_items(spark, sf_dir), "items"))
+    return rows.withColumn("score", _hash_score(seed, F.col("handle"), F.col("label"), F.col("y")))
+
+
+def _hash_score(seed: str, handle: Column, label: Column, y: Column) -> Column:
+    return T.unit_hash(seed, handle, label) * 0.75 + y * 0.25
+
+
+def language_scores(spark: SparkSession, sf_dir: str, threshold: float, seed: str = "score") -> DataFrame:
+    """handle, rows: hash_scores of an order in one array of (language, label, score, y, pred), its priority being the language.
+    An order that repeats has its rows once for each time."""
+    from ..operators.labels import label_support
+    from ..sources.scratch import keep
+
+    items = keep(order_items(spark, sf_dir, languages=True), "items")
+    names = label_support(items).agg(F.array_sort(F.collect_set("label")).alias("names"))
+    rows = dealt(items).join(F.broadcast(names), F.lit(True))  # a single row
+    held = F.transform("names", lambda n: F.struct(n.alias("label"), F.array_contains("labels", n).cast("int").alias("y")))
+    scored = F.transform(held, lambda x: F.struct(x["label"].alias("label"), _hash_score(seed, F.col("handle"), x["label"], x["y"]).alias("score"), x["y"].alias("y")))
+
+    def told(at: Column) -> Column:
+        names = ("label", "score", "y")
+        return F.transform(scored, lambda x: F.struct(at["language"].alias("language"), *[x[c].alias(c) for c in names], (x["score"] >= threshold).cast("int").alias("pred")))
+
+    return rows.select("handle", F.flatten(F.transform("languages", told)).alias("rows"))
 
 
 def scores_sql(seed: str = "score", name: str = "scores") -> str:

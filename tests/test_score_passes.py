@@ -80,3 +80,75 @@ def test_an_items_draw_is_made_once_for_both_sides(spark, monkeypatch):
         for stream in streams:
             want = {tuple(r) for r in scores._replicate_counts(df, 40, 42, "handle", stream).select("replicate", "label", "tp", "fp", "fn").collect()}
             assert {(r.replicate, r.label, r.tp, r.fp, r.fn) for r in found if (r.model, r.stream) == (model, stream)} == want
+
+
+def test_languages_are_measured_in_the_items_rows(spark):
+    """Sums by language and label are all that is exchanged: no row of an item and a label is moved or ranked by a window."""
+    import re
+
+    from loomtext.plans import q_scores
+
+    plan = _plan(q_scores.language_performance(spark, "/root/testdata/sf0.001"))
+    keys = {tuple(re.findall(r"(\w+)#", k)) for k in re.findall(r"exchange hashpartitioning\((.*?), \d+\)", plan)}
+    assert "window" not in plan and keys == {("language", "label"), ("language",)}
+    # Neither the hashes nor the sorted rows are made twice.
+    assert plan.count("sha2(") == 1 and plan.count("array_sort(") == 1 and plan.count("aggregate(filter(") == 2
+
+
+@pytest.mark.parametrize("labels", [2, 4, 9])
+def test_languages_of_odd_rows(spark, labels):
+    """Frequent and odd scores, an item of two languages, one without a language, repeated rows and a rare language."""
+    rng = np.random.default_rng(labels)
+    odd = [float("nan"), None, float("inf"), float("-inf"), -0.0, 0.0]
+    rows = []
+    for i in range(120):
+        own = ["en", "fr", "fr", None][i % 4] if i else "it"
+        for j in range(labels):
+            s = odd[int(rng.integers(6))] if rng.random() < 0.2 else float(rng.integers(0, 5)) / 4
+            rows.append((i, own, f"l{j}", s, int(rng.random() < 0.4), int(rng.random() < 0.4)))
+        if i % 10 == 5:
+            rows += [r for r in rows if r[0] == i]  # in the same language
+        if i % 10 == 6:
+            rows += [(i, "de", f"x{j}", *r[3:]) for j, r in enumerate([r for r in rows if r[0] == i])]
+    df = spark.createDataFrame(rows, "handle int, language string, label string, score double, y int, pred int").repartition(3)
+    found = {r.language: r for r in scores.by_language(df, 2).collect()}
+    place = lambda r: ((2, 0.0) if r[3] is None else (0, 0.0) if r[3] != r[3] else (1, -r[3]), r[2], r[1] or "")
+    ranked = [(r, at) for i in range(120) for at, r in enumerate(sorted((r for r in rows if r[0] == i), key=place))]
+    assert set(found) == {"en", "fr", "de"}
+    for language, r in found.items():
+        own = [(x, at) for x, at in ranked if x[1] == language]
+        items = {i: [(x, at) for x, at in own if x[0] == i] for i in {x[0] for x, _ in own}}
+        assert r.n == len(items)
+        for k in (3, 5):
+            hits = {i: sum(x[4] for x, at in of if at < k) for i, of in items.items()}
+            assert r[f"precision_at_{k}"] == pytest.approx(np.mean([hits[i] / min(k, len(of)) for i, of in items.items()]))
+            assert r[f"recall_at_{k}"] == pytest.approx(np.mean([hits[i] / max(1, sum(x[4] for x, _ in of)) for i, of in items.items()]))
+        f1, names = [], {x[2] for x, _ in own}
+        for name in names:
+            y, p = np.array([(x[4], x[5]) for x, _ in own if x[2] == name]).T
+            f1.append(2 * (y * p).sum() / max(1, (y + p).sum()))
+        y, p = np.array([(x[4], x[5]) for x, _ in own]).T
+        assert (r.f1_macro, r.f1_micro) == (pytest.approx(np.mean(f1)), pytest.approx(2 * (y * p).sum() / (y + p).sum()))
+        held = len({x[2] for x, _ in own if x[4]})
+        assert (r.evaluable_labels, r.non_evaluable_labels) == (held, len(names) - held)
+
+
+def test_language_performance_of_odd_tables_is_that_of_the_sql(spark, tmp_path):
+    """Orders that repeat or have no priority, parts without a brand or unknown, lines without an order."""
+    import duckdb
+
+    from loomtext.plans import base, q_scores
+
+    held = "/root/testdata/sf0.001"
+    tables = {
+        "orders": f"SELECT * REPLACE (CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority) FROM '{held}/orders.parquet', range(3) r(i) WHERE i = 0 OR o_orderkey % (i + 2) = 0",
+        "part": f"SELECT * REPLACE (CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_brand END AS p_brand) FROM '{held}/part.parquet' WHERE p_partkey % 17 <> 0",
+        "lineitem": f"SELECT * REPLACE (CASE WHEN l_orderkey % 19 = 0 THEN NULL ELSE l_orderkey END AS l_orderkey) FROM '{held}/lineitem.parquet'",
+    }
+    con = duckdb.connect()
+    for name, sql in tables.items():
+        con.execute(f"COPY ({sql}) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    want = {r[0]: r[1:] for r in con.execute(base.oracle_sql()["language_performance"]).fetchall()}
+    found = {r[0]: tuple(r[1:]) for r in q_scores.language_performance(spark, str(tmp_path)).collect()}
+    assert len(want) == 5 and found == {k: pytest.approx(v, abs=2e-6) for k, v in want.items()}
